@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
+from .decontamination import contamination
 from .near_dedup import near_duplicates
 from .quality_rules import judged
 from .source_mixing import mix
+from .warc_store import archived
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,17 +20,32 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"))
+    digest = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept"]
+    return judged(table(spark, sf_dir, "documents")).select(*digest)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).where("verified").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op5_quality_rules": op5_quality_rules,
+    "op7_warc": op7_warc,
     "op8_source_mixing": op8_source_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": oracles.OP5_RULES,
+    "op7_warc": oracles.OP7_WARC,
+    "op10_decontamination": oracles.OP10_DECONTAMINATION,
+}
