@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .common import table
 from .decontamination import contamination
+from .html_extraction import extracted
 from .near_dedup import near_duplicates
 from .quality_rules import judged
+from .secret_scan import secret_digests
 from .source_mixing import mix
 from .warc_store import archived
 
@@ -19,6 +21,14 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed", "base_failed", "kept"]
     return judged(table(spark, sf_dir, "documents")).select(*digest)
@@ -38,6 +48,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op7_warc": op7_warc,
     "op8_source_mixing": op8_source_mixing,
