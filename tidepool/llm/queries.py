@@ -10,10 +10,12 @@ from . import oracles
 from .common import table
 from .decontamination import contamination
 from .html_extraction import extracted
+from .lm_scoring import scored
 from .near_dedup import near_duplicates
 from .quality_rules import judged
 from .secret_scan import secret_digests
 from .source_mixing import mix
+from .token_packing import packed
 from .warc_store import archived
 
 
@@ -21,6 +23,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select(*digest)
 
 
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages")).where("verified").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -48,9 +58,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_secret_scan": op3_secret_scan,
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_packing": op6_token_packing,
     "op7_warc": op7_warc,
     "op8_source_mixing": op8_source_mixing,
     "op10_decontamination": op10_decontamination,
