@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHashes, window_hashes
 
@@ -50,7 +51,7 @@ def measure(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
 def measurements(docs: DataFrame, *keep: str) -> DataFrame:
     """The `keep` columns (doc_id at least) and the MEASURES of every row."""
     keep = tuple(dict.fromkeys(("doc_id", *keep)))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{m} long" for m in MEASURES])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(m, T.LongType()) for m in MEASURES])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

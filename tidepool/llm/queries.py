@@ -16,6 +16,7 @@ from .quality_rules import judged
 from .secret_scan import secret_digests
 from .source_mixing import mix
 from .token_packing import packed
+from .toxicity import scores
 from .warc_store import archived
 
 
@@ -52,6 +53,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_packing": op6_token_packing,
     "op7_warc": op7_warc,
     "op8_source_mixing": op8_source_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 
