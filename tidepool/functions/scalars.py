@@ -155,8 +155,8 @@ def normal_tag(tag: Column) -> Column:
 
 
 def parent(name: Column, separator: str = "::") -> Column:
-    cut = F.size(F.split(name, separator)) - 1
-    return F.when(cut > 0, F.substring_index(name, separator, cut))
+    parts = F.split(name, separator)
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), separator))
 
 
 def leaf(name: Column, separator: str = "::") -> Column:
