@@ -1 +1,117 @@
-"""Not written yet."""
+"""Corpus, retrieval and leak-scan queries over the given text tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepool.functions import scalars as S
+from tidepool.operators import corpus as C
+from tidepool.operators import leakage as L
+from tidepool.operators import retrieval as R
+from tidepool.plans.registry import register
+from tidepool.sources.fixtures import view
+
+c = F.col
+_NORM = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_ITEMS = f"i AS (SELECT item_id, {_NORM.format('stem')} AS a, answer FROM items)"
+_DOCS = f"d AS (SELECT surface, id, {_NORM.format('text')} AS t FROM docs)"
+
+
+def _split(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+def _grams(table: str, key: str, text: str, n: int) -> str:
+    return f"(SELECT {key}, p, array_to_string(w[p + 1 : p + {n}], ' ') AS g FROM (SELECT {key}, w, unnest(range(0, len(w) - {n - 1})) AS p FROM (SELECT {key}, {_split(text)} AS w FROM {table})))"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return C.laid_out(C.screened(C.sanitised(view(spark, d, "pages")))[0])
+
+
+register("t01_sanitised")(lambda spark, d: C.sanitised(view(spark, d, "pages")).select("page_id", F.size("blocks").alias("n"), F.transform("blocks", lambda b: b["kind"]).alias("kinds"), c("removed")["opaque"].alias("opaque"), c("removed")["comments"].alias("comments")))
+register("t02_refused")(lambda spark, d: C.screened(C.sanitised(view(spark, d, "pages")))[1])
+register("t03_laid_out")(lambda spark, d: _pages(spark, d).select("page_id", F.length("text").alias("n"), F.transform("blocks", lambda b: b["start"]).alias("starts")))
+register("t04_chunks")(lambda spark, d: C.chunks(_pages(spark, d)))
+
+
+@register("t06_chunk_topics")
+def chunk_topics(spark: SparkSession, d: str) -> DataFrame:
+    chunks = C.chunks(_pages(spark, d))
+    by_page = view(spark, d, "pages").select("page_id", F.regexp_extract("url", r"\.example\.[a-z]+/([a-z]+)/", 1).alias("category"))
+    heads = chunks.select(F.explode("heading_path").alias("heading")).where("heading like 'The %'").distinct().withColumn("category", F.lit("the"))
+    return C.chunk_topics(chunks, by_page, heads)
+
+
+register("ag35_coverage", "SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'it', 0")(lambda spark, d: C.coverage(view(spark, d, "documents").select(c("lang").alias("category")), view(spark, d, "documents").select(c("lang").alias("category")).distinct().union(spark.sql("select 'it'"))))
+register("ag36_corpus_stats", "SELECT 'pages' AS measure, count(*) AS n FROM pages UNION ALL SELECT 'chunks', count(*) FROM documents UNION ALL SELECT 'refused', count(*) FROM benchmark")(lambda spark, d: C.corpus_stats(view(spark, d, "pages"), view(spark, d, "documents"), view(spark, d, "benchmark")))
+register(
+    "t07_bm25",
+    f"WITH w AS (SELECT doc_id, {_split(_NORM.format('text'))} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), q AS (SELECT DISTINCT item_id, unnest({_split(_NORM.format('text'))}) AS term FROM benchmark WHERE item_id < 10), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), "
+    "x AS (SELECT q.item_id AS query_id, tf.doc_id, round(sum(ln((s.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.mean))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 10",
+)(lambda spark, d: R.bm25(view(spark, d, "documents").select("doc_id", "text"), view(spark, d, "benchmark").where("item_id < 10").select(c("item_id").alias("query_id"), "text"), 10))
+_COS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id < 10 AND q.vec_id <> v.vec_id"
+register("t08_nearest", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COS}) QUALIFY rank <= 10")(lambda spark, d: R.nearest(view(spark, d, "embeddings"), view(spark, d, "embeddings").where("vec_id < 10"), 10))
+register("t09_fused", f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COS}) QUALIFY rank <= 20), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM a), x AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, vec_id, rank FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x QUALIFY rank <= 20")(
+    lambda spark, d: _fused(spark, d)
+)
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    e = view(spark, d, "embeddings")
+    near = R.nearest(e, e.where("vec_id < 10"), 20)
+    return R.fused([near, R.top(near.select("query_id", "vec_id", (-c("vec_id")).alias("score")), "query_id", "score", "vec_id", 20)], "vec_id")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "documents").select(c("doc_id").alias("chunk_id"), c("doc_id").alias("page_id"), "text")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    asked = view(spark, d, "benchmark").select(c("item_id").alias("query_id"), "text")
+    return R.bm25(view(spark, d, "documents").select("doc_id", "text"), asked, 10).withColumnRenamed("doc_id", "chunk_id")
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "items").select(c("item_id").alias("query_id"), "answer")
+
+
+register("t10_support")(lambda spark, d: R.support(_ranked(spark, d), _answers(spark, d), _chunks(spark, d)))
+register("t11_grounded", f"WITH {_ITEMS}, {_DOCS}, b AS (SELECT item_id, {_NORM.format('answer')} AS x FROM items) SELECT DISTINCT item_id AS query_id FROM b JOIN d ON surface = 'documents' AND x <> '' AND contains(' ' || t || ' ', ' ' || x || ' ')")(lambda spark, d: R.grounded(_answers(spark, d), _chunks(spark, d)))
+register("t12_verbatim", f"WITH {_ITEMS}, {_DOCS} SELECT DISTINCT item_id, surface, id FROM i JOIN d ON contains(' ' || t || ' ', ' ' || a || ' ')")(lambda spark, d: L.verbatim(view(spark, d, "items"), view(spark, d, "docs")))
+_CONTAINED = f"ig AS (SELECT DISTINCT item_id, g FROM {_grams('i', 'item_id', 'a', 5)}), dg AS (SELECT DISTINCT surface, id, g FROM {_grams('d', 'surface, id', 't', 5)}), m AS (SELECT item_id, surface, id, count(*) AS shared FROM ig JOIN dg USING (g) GROUP BY ALL), k AS (SELECT m.*, shared / size AS containment FROM m JOIN (SELECT item_id, count(*) AS size FROM ig GROUP BY 1) USING (item_id) WHERE shared / size >= 0.6)"
+register("t13_contained", f"WITH {_ITEMS}, {_DOCS}, {_CONTAINED} SELECT item_id, surface, id, shared, containment FROM k")(lambda spark, d: L.contained(view(spark, d, "items"), view(spark, d, "docs")))
+register("t13_best_windows")(lambda spark, d: L.best_windows(L.contained(view(spark, d, "items"), view(spark, d, "docs")), view(spark, d, "items"), view(spark, d, "docs")))
+register(
+    "t14_longest_runs",
+    f"WITH {_ITEMS}, {_DOCS}, a AS (SELECT item_id, p AS ip, g FROM {_grams('i', 'item_id', 'a', 5)}), b AS (SELECT surface, id, p AS dp, g FROM {_grams('d', 'surface, id', 't', 5)}), x AS (SELECT item_id, surface, id, dp, dp - ip AS dg FROM a JOIN b USING (g)), y AS (SELECT *, dp - row_number() OVER (PARTITION BY item_id, surface, id, dg ORDER BY dp) AS island FROM x), z AS (SELECT item_id, surface, id, count(*) AS n FROM y GROUP BY item_id, surface, id, dg, island) SELECT item_id, surface, id, CAST(max(n) + 4 AS INT) AS run FROM z GROUP BY ALL",
+)(lambda spark, d: L.longest_runs(view(spark, d, "items"), view(spark, d, "docs"), 5))
+register("t15_answer_hits", f"WITH {_DOCS}, b AS (SELECT item_id, {_NORM.format('answer')} AS x FROM items) SELECT item_id, count(*) AS n FROM b JOIN d ON length(x) >= 4 AND contains(' ' || t || ' ', ' ' || x || ' ') GROUP BY 1")(lambda spark, d: L.answer_hits(view(spark, d, "items"), view(spark, d, "docs")))
+register("t15_graded", f"WITH {_ITEMS}, {_DOCS}, {_CONTAINED} SELECT item_id, surface, id, item_id = id AS own_source, item_id <> id AS counts FROM k")(lambda spark, d: L.graded(L.contained(view(spark, d, "items"), view(spark, d, "docs")), view(spark, d, "items").withColumn("source_id", c("item_id")), view(spark, d, "docs")).select("item_id", "surface", "id", "own_source", "counts"))
+register("t16_denominators", f"WITH {_DOCS} SELECT surface, count(*) AS docs, sum(len({_split('t')})) AS words, count(*) * (SELECT count(*) FROM items) AS comparisons FROM d GROUP BY 1")(lambda spark, d: L.denominators(view(spark, d, "items"), view(spark, d, "docs")))
+register("t17_windows_shared", f"WITH {_ITEMS}, {_DOCS} SELECT item_id, count(*) AS windows FROM (SELECT DISTINCT item_id, g FROM {_grams('i', 'item_id', 'a', 8)}) WHERE g IN (SELECT g FROM {_grams('d', 'surface, id', 't', 8)}) GROUP BY 1")(lambda spark, d: L.windows_shared(view(spark, d, "items"), view(spark, d, "docs")))
+register("t18_rewording")(lambda spark, d: L.rewording(view(spark, d, "items").join(view(spark, d, "documents"), c("doc_id") == c("item_id")).select(c("item_id").alias("pair_id"), c("stem").alias("a"), c("text").alias("b"), "answer")))
+_ARM = "SELECT role AS arm, turn > 0 AS shipped, conv_id % 7 AS topic, length(text) % 9 AS answer FROM conversations"
+register("t19_arm_summary", f"WITH a AS ({_ARM}), s AS (SELECT arm, count(*) AS attempts, count(*) FILTER (shipped) AS shipped, count(DISTINCT (topic, answer)) FILTER (shipped) AS distinct_shipped FROM a GROUP BY 1), p AS (SELECT *, shipped / attempts AS p, attempts * 1.0 AS n FROM s) SELECT arm, attempts, shipped, distinct_shipped, 100.0 * p AS per_hundred, 100 * greatest((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 0) AS low, 100 * least((p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 1) AS high FROM p")(
+    lambda spark, d: R.arm_summary(view(spark, d, "conversations").select(c("role").alias("arm"), (c("turn") > 0).alias("shipped"), (c("conv_id") % 7).alias("topic"), (F.length("text") % 9).alias("answer")))
+)
+register("ag37_outcome_tally", "SELECT role AS outcome, CAST(turn AS VARCHAR) AS reason, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM conversations) AS per_hundred FROM conversations GROUP BY ALL")(lambda spark, d: R.outcome_tally(view(spark, d, "conversations").select(c("role").alias("outcome"), c("turn").cast("string").alias("reason"))))
+
+
+@register("t20_verdicts")
+def verdicts(spark: SparkSession, d: str) -> DataFrame:
+    ranked, chunks = _ranked(spark, d), _chunks(spark, d)
+    supported = R.support(ranked, _answers(spark, d), chunks)
+    return R.verdicts(_answers(spark, d), ranked, supported, chunks, chunks.select("page_id", "text"))
+
+
+register("sf07_checksum", "SELECT id, csum FROM notes")(lambda spark, d: view(spark, d, "notes").select("id", S.checksum(c("front")).alias("csum")))
+register("sf23_leak_normal", f"SELECT doc_id, {_NORM.format('text')} AS t FROM documents")(lambda spark, d: view(spark, d, "documents").select("doc_id", S.leak_normal(c("text")).alias("t")))
+register("sf25_jaccard", f"WITH w AS (SELECT doc_id, list_distinct({_split(_NORM.format('text'))}) AS w FROM documents) SELECT a.doc_id, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 9) AS j FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")(
+    lambda spark, d: (lambda w: w.alias("a").join(w.alias("b"), F.expr("b.doc_id = a.doc_id + 1")).select("a.doc_id", F.round(S.jaccard(c("a.w"), c("b.w")), 9).alias("j")))(view(spark, d, "documents").select("doc_id", F.array_distinct(L.words(c("text"))).alias("w")))
+)
+register("sf29_fuzz_bounds", "SELECT id, CASE WHEN high = low AND high > 2 AND high < 36500 THEN low ELSE low END AS low, CASE WHEN high = low AND high > 2 AND high < 36500 THEN high + 1 ELSE high END AS high FROM (SELECT id, least(greatest(CAST(round(ivl - delta) AS INT), 1), 36500) AS low, least(greatest(CAST(round(ivl + delta) AS INT), 1), 36500) AS high FROM (SELECT id, ivl, CASE WHEN ivl < 2.5 THEN 0 ELSE 1 + greatest(least(ivl, 7) - 2.5, 0) * 0.15 + greatest(least(ivl, 20) - 7, 0) * 0.1 + greatest(ivl - 20, 0) * 0.05 END AS delta FROM cards))")(
+    lambda spark, d: (lambda b: view(spark, d, "cards").select("id", b[0].alias("low"), b[1].alias("high")))(S.fuzz_bounds(c("ivl").cast("double")))
+)
+register("sf22_time_span")(lambda spark, d: view(spark, d, "reviews").select("event_id", S.time_span(c("time_ms") * 3).alias("span")))
