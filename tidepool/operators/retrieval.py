@@ -45,13 +45,18 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, score, rank) by exact cosine: a bounded set of queries meets every vector once."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(query_id, vec_id, score, rank) by exact cosine: a stated set of queries, in blocks, against all vectors.
+
+    A block of queries meets a vector as one array, so the join has a row for each vector and block, not for each pair of
+    rows; what it is joined by is left to Spark, which measures the blocks.
+    """
     asked = queries.select(c("vec_id").alias("query_id"), c("embedding").alias("q"))
-    if asked.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in blocks")
-    per = asked.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))  # bounded by most_queries
-    scored = vectors.join(F.broadcast(per), F.lit(True), "left").select("vec_id", F.posexplode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(cosine(c("embedding"), x["q"]), 9).alias("score")))).alias("i", "x"))
+    blocks = -(-asked.count() // block)
+    per = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))).alias("b")).agg(F.collect_list(F.struct("query_id", "q", F.sqrt(dot("q", "q")).alias("size"))).alias("qs"))
+    sized = vectors.select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("own"))
+    each = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(c("embedding"), x["q"]) / (c("own") * x["size"]), 9).alias("score")))
+    scored = sized.join(per, F.lit(True)).select("vec_id", F.explode(each).alias("x"))
     return top(scored.select("x.query_id", "vec_id", "x.score").where("query_id <> vec_id"), "query_id", "score", "vec_id", k)
 
 
