@@ -50,23 +50,26 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, digest, sig): digest identifies the whole set, sig holds its 128 minwise values."""
+    """(doc_id, n_shingles, digest, sig, sketch): digest identifies the whole set, sig holds its 128 minwise values and
+    sketch their last bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, digests, sigs = [], [], []
+            sizes, digests, sigs, sketches = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), hashes, k)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(minwise(s).view(np.int32) if len(s) else None)
+                sig = minwise(s) if len(s) else None
+                sigs.append(None if sig is None else sig.view(np.int32))
+                sketches.append(None if sig is None else sig.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "digest", "sig"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32())), pa.array(sketches, pa.binary())],
+                ["doc_id", "n_shingles", "digest", "sig", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>, sketch binary")
 
 
 def sketch_threshold(similarity: float) -> int:
@@ -74,8 +77,16 @@ def sketch_threshold(similarity: float) -> int:
     return math.floor(COORDINATES * similarity - 4.5 * math.sqrt(COORDINATES * similarity * (1 - similarity)))
 
 
-def _agree(a: str, b: str) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+def _agreeing(pairs: DataFrame, least: int) -> DataFrame:
+    """(a, b) of the pairs (rep, pivot, sketch, pivot_sketch) with at least this many equal sketch bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES) for c in ("sketch", "pivot_sketch"))
+            near = pa.array((one == other).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("rep").filter(near), batch.column("pivot").filter(near)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _leaf_links(leaves: DataFrame, least: int) -> DataFrame:
@@ -89,8 +100,7 @@ def _leaf_links(leaves: DataFrame, least: int) -> DataFrame:
             if m < 2:
                 continue
             reps, label = rows.column("rep").to_numpy(), rows.column("label").to_numpy().copy()
-            sketch = rows.column("sig").combine_chunks()
-            sketch = sketch.values.to_numpy()[sketch.offsets[0].as_py() : sketch.offsets[-1].as_py()].reshape(m, COORDINATES).astype(np.uint8)
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(m, COORDINATES)
             for i in range(m - 1):
                 apart = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
                 if not len(apart):
@@ -143,27 +153,36 @@ def _blocks(rows: DataFrame, key: str, weight: Column, block: int) -> DataFrame:
 
 def _trees(reps: DataFrame, labels: DataFrame | None, first: int, count: int, levels: int, leaf_rows: int, least: int, extra: float) -> DataFrame:
     """Candidate links (a, b) of `count` trees. Without labels only a seed: large nodes link with their smallest member."""
-    known = reps.select("rep", F.col("rep").alias("label"), "sig") if labels is None else reps.join(labels.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"), "sig")
-    if labels is not None:
-        known = materialize(known, "known")
+    if labels is None:
+        known = reps.select("rep", F.col("rep").alias("label"))
+    else:
+        known = reps.select("rep").join(labels.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
+    sigs, sketches = reps.select("rep", "sig"), reps.select("rep", "sketch")
     roots = [F.xxhash64(F.lit(tree)) for tree in range(first, first + count)]
-    level = known.select("rep", "label", F.explode(F.array_distinct(F.flatten(F.array(*[_children(r, F.col("sig"), extra) for r in roots])))).alias("node"))
+    of_root = F.explode(F.array_distinct(F.flatten(F.array(*[_children(r, F.col("sig"), extra) for r in roots])))).alias("node")
+    level = sigs.select("rep", of_root).join(known, "rep") if labels is not None else sigs.select("rep", F.col("rep").alias("label"), of_root)
     found: list[DataFrame] = []
     for depth in range(levels):
-        sized = level.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("pivot"))
-        live = materialize(level.join(sized.where("n > 1 and low < high"), "node").select("node", "rep", "label", "n", "pivot"), "nodes")
-        sigs = known.select("rep", "sig")
-        found.append(materialize(_leaf_links(live.where(F.col("n") <= leaf_rows).join(sigs, "rep").select("node", "rep", "label", "sig"), least), "links"))
+        each = level.groupBy("node", "label").agg(F.count("*").alias("c")) if labels is not None else level.select("node", "label", F.lit(1).cast("long").alias("c"))
+        sized = each.groupBy("node").agg(F.sum("c").alias("n"), F.min("label").alias("pivot"), F.max("label").alias("high"), F.max("c").alias("top"))
+        live = materialize(level.join(sized.where("pivot < high").drop("high"), "node").select("node", "rep", "label", "n", "pivot", "top"), "nodes")
+        found.append(materialize(_leaf_links(live.where(F.col("n") <= leaf_rows).join(sketches, "rep").select("node", "rep", "label", "sketch"), least), "links"))
         large = live.where(F.col("n") > leaf_rows)
         if large.isEmpty():
             break
         if labels is None:
-            star = large.where("rep <> pivot").select("rep", "pivot").distinct().join(sigs, "rep").join(sigs.select(F.col("rep").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
-            found.append(star.where(_agree("sig", "pivot_sig") >= least).select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        elif depth == levels - 1:
-            blocks = _blocks(large.select(F.col("node").alias("large"), "rep", "label"), "large", F.lit(1), leaf_rows)
-            found.append(_leaf_links(blocks.join(sigs, "rep").select("node", "rep", "label", "sig"), least))
-        level = large.select("node", "rep", "label").join(sigs, "rep").select("rep", "label", F.explode(_children(F.col("node"), F.col("sig"), extra)).alias("node"))
+            star = large.where("rep <> pivot").select("rep", "pivot").distinct().join(sketches, "rep").join(sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+            found.append(_agreeing(star.select("rep", "pivot", "sketch", "pivot_sketch"), least))
+            break
+        # a node that one label fills but for a few rows is compared now: those rows against all; so is what is left at the end
+        last = depth == levels - 1
+        ready = large if last else large.where(F.col("n") - F.col("top") <= leaf_rows)
+        blocks = _blocks(ready.select(F.col("node").alias("large"), "rep", "label"), "large", F.lit(1), leaf_rows)
+        found.append(materialize(_leaf_links(blocks.join(sketches, "rep").select("node", "rep", "label", "sketch"), least), "links"))
+        more = large.where(F.col("n") - F.col("top") > leaf_rows)
+        if last or more.isEmpty():
+            break
+        level = more.select("node", "rep", "label").join(sigs, "rep").select("rep", "label", F.explode(_children(F.col("node"), F.col("sig"), extra)).alias("node"))
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
@@ -229,8 +248,8 @@ def near_duplicates(
     least, extra = sketch_threshold(similarity), 1 / 0.8 - 1
     signed = materialize(signatures(docs, k), "signatures")
     full = signed.where("digest is not null")
-    reps = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")), "reps")
-    seeds = components(_trees(reps, None, 0, seed_trees, 3, leaf_rows, least, extra))
+    reps = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.max("n_shingles").alias("n")), "reps")
+    seeds = components(_trees(reps, None, 0, seed_trees, 1, leaf_rows, least, extra))
     more = _trees(reps, seeds, seed_trees, trees, levels, leaf_rows, least, extra)
     grouped = components(more.union(seeds.select(F.col("node").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     grouped = materialize(grouped.join(reps.select("rep", "n"), "rep"), "grouped")
