@@ -254,7 +254,7 @@ def near_duplicates(
     grouped = components(more.union(seeds.select(F.col("node").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     grouped = materialize(grouped.join(reps.select("rep", "n"), "rep"), "grouped")
     sized = grouped.groupBy("grp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(grouped.join(sized, "grp"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(grouped.join(sized, "grp").hint("merge"), "rep")  # the same plan at every size
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0)
     pivot = (F.col("blocks") > 1) & (F.col("rep") == F.col("grp"))
     nodes = F.when(pivot, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("grp", b.cast("long")))).otherwise(F.array(F.xxhash64("grp", own.cast("long"))))
