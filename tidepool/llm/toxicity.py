@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, window_hashes
+from .common import WordHashes, materialize, window_hashes
 from .decontamination import words_of
 from .lm_scoring import held_out
 
@@ -73,36 +73,41 @@ class Index:
         for i, v in enumerate(vectors):
             for t, w in v.items():
                 by.setdefault(t, []).append((i, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for t, found in by.items():
             at, w = np.array([f[0] for f in found]), np.array([f[1] for f in found])
             block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = at, w, block, np.append(first, len(at)), np.maximum.reduceat(w, first)
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k most similar examples with a positive cosine, ties by number: (similarity, example)."""
-        bound = np.zeros(self.blocks)
-        terms = [(w, self.postings[t]) for t, w in query.items() if t in self.postings]
-        for w, (_, _, block, _, top) in terms:
-            bound[block] += w * top
-        best: list[tuple[float, int]] = []
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        for start in range(0, len(order), 16):
-            some = order[start : start + 16]
-            if len(best) == k and bound[some[0]] < best[-1][0]:
-                break
-            score = np.zeros((len(some), BLOCK))
-            for w, (at, weight, block, cut, _) in terms:
-                for r, b in enumerate(some):
-                    p = np.searchsorted(block, b)
-                    if p < len(block) and block[p] == b:
-                        lo, hi = cut[p], cut[p + 1]
-                        score[r, at[lo:hi] - b * BLOCK] += w * weight[lo:hi]
-            rows, cols = np.nonzero(score)
-            best += [(float(round(score[r, c], 12)), int(some[r] * BLOCK + c)) for r, c in zip(rows, cols, strict=True)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+            self.postings[t] = at, w, block, np.maximum.reduceat(w, first)
+
+    def nearest(self, query: dict[int, float], k: int, first: int = 16) -> list[tuple[float, int]]:
+        """The k most similar examples with a positive cosine, ties by number: (similarity, example).
+
+        The blocks with the highest bounds are scored first; of the others only those whose bound reaches the k-th best.
+        """
+        terms = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
+        if not terms:
+            return []
+        bound = np.bincount(np.concatenate([x[3] for x in terms]), np.concatenate([x[0] * x[4] for x in terms]), self.blocks)
+        at, weight = np.concatenate([x[1] for x in terms]), np.concatenate([x[0] * x[2] for x in terms])
+        chosen = np.zeros(self.blocks, dtype=bool)
+        chosen[np.argpartition(-bound, first - 1)[:first] if self.blocks > first else slice(None)] = True
+        score = self._scored(at, weight, chosen)
+        if self.blocks > first:
+            positive = score[score > 0]
+            least = np.partition(positive, -k)[-k] if len(positive) >= k else 0.0
+            rest = (bound >= least - 1e-12) & (bound > 0) & ~chosen
+            if rest.any():
+                score = score + self._scored(at, weight, rest)
+        hits = np.flatnonzero(score > 0)
+        if len(hits) > 4 * k:
+            hits = hits[score[hits] >= np.partition(score[hits], -k)[-k] - 1e-12]
+        value = np.round(score[hits], 12)
+        best = np.lexsort((hits, -value))[:k]
+        return list(zip(value[best].tolist(), hits[best].tolist(), strict=True))
+
+    def _scored(self, at: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        inside = blocks[at // BLOCK]
+        return np.bincount(at[inside], weight[inside], self.n)
 
 
 def unit(counts: Counter[int], idf: np.ndarray) -> dict[int, float]:
@@ -139,8 +144,8 @@ def scores(
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, and evidence: the nearest examples (doc_id, label, similarity)."""
     spark = docs.sparkSession
-    one = _examples(docs, labels, most_examples)
-    sample = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"])  # bounded, as above
+    one = materialize(_examples(docs, labels, most_examples), "examples")
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]), "sample")  # bounded, as above
 
     def terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, set[bytes]] = {}
