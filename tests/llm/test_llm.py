@@ -149,6 +149,45 @@ def test_guess_cost_is_the_cheapest_segmentation():
     assert SS.guess_cost("qwertyuiop") < 4 and SS.guess_cost("aaaaaaaaaaaaaaaa") < 4 and SS.guess_cost("19870412") < 6 and SS.guess_cost("") == 0
 
 
+def _plain_cost(value):
+    """The definition of guess_cost, with every start of every walk and every repeat counted anew."""
+    low, each, best = value.lower(), [SS._class_cost(x) for x in value], [0.0]
+    plain = low.translate(SS._LEET)
+    step = [(a, b) in SS._NEXT for a, b in zip(low, low[1:])]
+    for j in range(1, len(value) + 1):
+        costs = [best[j - 1] + each[j - 1]]
+        for i in range(j - 2):
+            rank = SS._RANK.get(low[i:j]) or SS._RANK.get(plain[i:j])
+            if rank:
+                costs.append(best[i] + math.log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0.0) + (0.0 if low[i:j] in SS._RANK else 0.6) + 0.3)
+            if all(step[i : j - 1]):
+                costs.append(best[i] + math.log10(47 * (j - i)))
+        costs += [best[i] + math.log10(365 * 120 if j - i > 4 else 120) for i in range(j) if value[i].isdigit() and (m := SS._DATE.match(value, i)) and m.end() == j]
+        for unit in range(1, min(12, j // 2) + 1):
+            times = 1
+            while (times + 1) * unit <= j and low[j - (times + 1) * unit : j - times * unit] == low[j - unit : j]:
+                times += 1
+            if times > 1:
+                costs.append(best[j - times * unit] + sum(each[j - unit : j]) + math.log10(times))
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_cost_covers_values_of_any_length(spark):
+    rng = random.Random(5)
+    bits = ["qwertyuiop", "qwqwqwqwqw", "987654", "zaq", "password", "P4ssw0rd", "2019-04-12", "aaaa", "xk", "7", "Q!", "édc", "abcdef"]
+    for trial in range(400):
+        value = "".join(rng.choice(bits) if trial % 2 else rng.choice("qwertyas12") for _ in range(rng.randrange(1, 40)))
+        assert abs(SS.guess_cost(value) - _plain_cost(value)) < 1e-6, value
+    for value in ("qw" * 300, "qwaq" * 200, "".join(rng.choice("qwe") for _ in range(600))):
+        assert abs(SS.guess_cost(value) - _plain_cost(value)) < 1e-6
+    noise = "".join(rng.choice("bdfhjkmprtvxz2468BDFHJKMPRTVXZ") for _ in range(40))
+    texts = ["auth: " + "x" * 130 + noise, "pwd=" + "x" * 5000 + noise, "pwd=" + "xkzqv" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in SS.scan(docs).collect()}
+    assert got == {0: ["x" * 130 + noise], 1: ["x" * 5000 + noise], 2: []}
+
+
 HTML = [
     ("<body><nav><a>menu</a></nav><div class='cookie-notice'>accept</div><article><h1>T &amp; U</h1><p><b>One  two<br>three<p>four <i>f</i>ive</article><div id=comments><p>spam</p></div><footer>&copy;</footer>", "T & U One two three four five"),
     ("<div class='layout has-sidebar'><main><p>Body text here.</p></main><aside>side</aside></div>", "Body text here."),

@@ -6,8 +6,8 @@ dictionary words, dates, repeats, keyboard walks and brute-force spans, in power
 at least `least_cost` is a span of kind guess; placeholders and plain words stay below. Guess spans that overlap a fixed
 span are left out, fixed ones always stay.
 
-Defined results: null and empty texts have no spans; texts of any length are scanned whole; a value's cost never falls as it grows,
-so that of its first 128 characters is a lower bound and bounds the work; repeated rows
+Defined results: null and empty texts have no spans; texts of any length are scanned whole; a value is priced whole, in time
+linear in its length (a longer value may cost less: it may complete a word or a repeat); repeated rows
 are scanned each; an empty table gives no rows; other columns are ignored. Offsets are code points, ends exclusive.
 """
 
@@ -52,16 +52,14 @@ def _class_cost(c: str) -> float:
 
 
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of a value (its first 128 characters)."""
-    value = value[:128]
+    """log10 of the guesses for the cheapest segmentation of a value, in time linear in its length."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     each = [_class_cost(c) for c in value]
     best = [0.0] + [math.inf] * n
-    walk = [1] * n  # length of the keyboard walk that ends here
-    for j in range(1, n):
-        if (low[j - 1], low[j]) in _NEXT:
-            walk[j] = walk[j - 1] + 1
+    equal = [0] * 13  # per unit length: how many characters up to here equal those a unit before
+    walk = 0  # where the keyboard walk that ends here starts
+    starts: list[int] = []  # starts of its segments that are or can become the cheapest, the cheapest now last
     dates: dict[int, list[int]] = {}
     for i in range(n):
         if value[i].isdigit() and (m := _DATE.match(value, i)):
@@ -77,19 +75,39 @@ def guess_cost(value: str) -> float:
                 cost = min(cost, best[i] + math.log10(rank + 1) + case + leet + 0.3)
         for i in dates.get(j, ()):
             cost = min(cost, best[i] + math.log10(365 * 120 if j - i > 4 else 120))
-        for size in range(3, walk[j - 1] + 1):
-            cost = min(cost, best[j - size] + math.log10(47 * size))
-        for unit in range(1, min(12, j // 2) + 1):
-            times = 1
-            while (times + 1) * unit <= j and low[j - (times + 1) * unit : j - times * unit] == low[j - unit : j]:
-                times += 1
+        if j > 1 and (low[j - 2], low[j - 1]) not in _NEXT:
+            walk = j - 1
+            starts.clear()
+        if j - walk >= 3:
+            _add_start(starts, best, j)
+            cost = min(cost, best[starts[-1]] + math.log10(47 * (j - starts[-1])))
+        for unit in range(1, min(12, j - 1) + 1):
+            equal[unit] = equal[unit] + 1 if low[j - 1] == low[j - 1 - unit] else 0
+            times = equal[unit] // unit + 1
             if times > 1:
-                start = j - times * unit
-                cost = min(cost, best[start] + sum(each[j - unit : j]) + math.log10(times))
+                cost = min(cost, best[j - times * unit] + sum(each[j - unit : j]) + math.log10(times))
         best[j] = cost
     return best[n]
 
 
+def _overtakes(best: list[float], old: int, new: int) -> float:
+    """The end from which a walk from `old` costs no more than one from the later `new`: once overtaken, `new` stays so."""
+    ratio = 10.0 ** min(best[new] - best[old], 300.0)
+    return (ratio * new - old) / (ratio - 1.0) if ratio > 1.0 else math.inf
+
+
+def _add_start(starts: list[int], best: list[float], j: int) -> None:
+    """Let walks that end at j start at j - 3 too. Each start is overtaken by the one before it, later ones sooner."""
+    while len(starts) > 1 and _overtakes(best, starts[-2], starts[-1]) <= j:
+        starts.pop()
+    new = j - 3
+    if starts and _overtakes(best, starts[-1], new) <= j:
+        return
+    while starts and (best[new] <= best[starts[-1]] or (len(starts) > 1 and _overtakes(best, starts[-1], new) >= _overtakes(best, starts[-2], starts[-1]))):
+        starts.pop()
+    starts.append(new)
+
+
 def spans(text: str | None, least_cost: float = 11.0) -> list[tuple[int, int, int, float | None]]:
     """(start, end, kind number, cost of guess spans) in the order of start, then kind."""
     if not text:
