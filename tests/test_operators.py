@@ -1,6 +1,7 @@
 """Hand-made cases that the given tables do not have."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,28 @@ def test_leak_scan_can_fail_and_pass(spark):
     assert L.answer_hits(items, docs).first()["n"] == 3
 
 
+def test_leaked_windows_by_five_word_shingles_and_short_items(spark):
+    rng = random.Random(3)
+    stems = {i: [f"w{rng.randrange(40)}" for _ in range(rng.randrange(5, 30))] for i in range(12)} | {20 + k: [f"w{x}" for x in range(k)] for k in range(1, 6)}
+    told = {}
+    for i, (item, w) in enumerate(stems.items()):
+        pad = [f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 40))]
+        for j, kept in enumerate((w, w[:-2], [x if p != len(w) // 2 else "new" for p, x in enumerate(w)], sorted(w), [x if p % 5 != 4 else "new" for p, x in enumerate(w)])):
+            told[i * 10 + j] = pad[: len(pad) // 2] + kept + pad[len(pad) // 2 :] if j != 1 else kept
+    items = spark.createDataFrame([(i, " ".join(w), "") for i, w in stems.items()], "item_id long, stem string, answer string")
+    docs = spark.createDataFrame([("d", i, " ".join(w)) for i, w in told.items()], "surface string, id long, text string")
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    def brute(a, b):
+        starts = range(max(len(b) - len(a), 0) + 1)
+        return max(len(grams(a) & x) / len(grams(a) | x) for x in (grams(b[s : s + len(a)]) for s in starts)) if grams(a) else 0.0
+
+    want = {(i, d): best for i, a in stems.items() for d, b in told.items() if (best := brute(a, b)) >= 0.6}
+    got = {(r["item_id"], r["id"]): r["best"] for r in L.best_windows(L.contained(items, docs), items, docs, n=5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {(r["item_id"], r["id"]) for r in L.verbatim(items, docs).collect()} == {(i, d) for i, a in stems.items() for d, b in told.items() if f" {' '.join(a)} " in f" {' '.join(b)} "}
+
+
 def test_integrity_repairs(spark):
     notes = spark.createDataFrame([(1, 1, ["{{c1::a}} {{c3::b}}"], "x")], "id long, mid int, flds array<string>, front string")
     cards = spark.createDataFrame([(1, 0), (1, 1)], "nid long, ord int")

@@ -32,11 +32,18 @@ def _grams(w: Column, n: int) -> Column:
 
 
 def verbatim(items: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """(item_id, surface, id): documents that hold an item's normalised text whole, found by its first shingle."""
-    asked = items.select("item_id", leak_normal(c("stem")).alias("a")).where("a <> ''").withColumn("g", F.get(_grams(F.split("a", " "), n), 0)["g"])
+    """(item_id, surface, id): documents that hold an item's normalised text whole, found by its first shingle.
+
+    Items of fewer than n words are found by the shingle of all their words.
+    """
+    asked = items.select("item_id", leak_normal(c("stem")).alias("a")).where("a <> ''").withColumn("k", F.least(F.size(F.split("a", " ")), F.lit(n)))
     told = docs.select("surface", "id", leak_normal(c("text")).alias("t"))
-    held = told.select("surface", "id", F.explode(F.array_distinct(F.transform(_grams(F.split("t", " "), n), lambda x: x["g"]))).alias("g"))
-    met = held.join(asked, "g").select("item_id", "a", "surface", "id")
+    met = None
+    for k in range(1, n + 1):
+        first = asked.where(c("k") == k).withColumn("g", F.get(_grams(F.split("a", " "), k), 0)["g"])
+        held = told.select("surface", "id", F.explode(F.array_distinct(F.transform(_grams(F.split("t", " "), k), lambda x: x["g"]))).alias("g"))
+        some = held.join(first, "g").select("item_id", "a", "surface", "id")
+        met = some if met is None else met.union(some)
     whole = met.join(told, ["surface", "id"])
     return whole.where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" ")))).select("item_id", "surface", "id").distinct()
 
@@ -49,15 +56,16 @@ def contained(items: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.6)
     return met.withColumn("containment", c("shared") / c("size")).where(c("containment") >= least).drop("size")
 
 
-def best_windows(candidates: DataFrame, items: DataFrame, docs: DataFrame, least: float = 0.6) -> DataFrame:
-    """(item_id, surface, id, best): the best word-set Jaccard of the item with a window of its own length, for candidates only.
+def best_windows(candidates: DataFrame, items: DataFrame, docs: DataFrame, least: float = 0.6, n: int = 1) -> DataFrame:
+    """(item_id, surface, id, best): the best Jaccard of the item's n-word shingles with those of a window of its own length, for candidates only.
 
-    A window's distinct words are counted by position: a word counts in a window where it is the first of its kind, that
-    is where its previous place lies before the window. So each place of a word covers a range of windows, and running
-    sums over window starts give both set sizes.
+    A document that is shorter than the item is one window. A window's distinct shingles are counted by position: a shingle
+    counts in a window where it is the first of its kind, that is where its previous place lies before the window. So each
+    place of a shingle covers a range of windows, and running sums over window starts give both set sizes.
     """
-    asked = items.select("item_id", words(c("stem")).alias("iw")).select("item_id", F.size("iw").alias("n"), F.array_distinct("iw").alias("iw"))
-    met = candidates.select("item_id", "surface", "id").join(asked, "item_id").join(docs.select("surface", "id", words(c("text")).alias("dw")), ["surface", "id"])
+    grams = lambda text: F.transform(_grams(words(text), n), lambda x: x["g"])
+    asked = items.select("item_id", grams(c("stem")).alias("iw")).select("item_id", F.size("iw").alias("n"), F.array_distinct("iw").alias("iw")).where("n > 0")
+    met = candidates.select("item_id", "surface", "id").join(asked, "item_id").join(docs.select("surface", "id", grams(c("text")).alias("dw")), ["surface", "id"])
     key = ["item_id", "surface", "id"]
     each = met.select(*key, "n", F.size("iw").alias("kinds"), F.size("dw").alias("len"), F.posexplode("dw").alias("p", "word"), c("iw"))
     each = each.select(*key, "n", "kinds", "len", "p", "word", F.array_contains("iw", c("word")).alias("held"))

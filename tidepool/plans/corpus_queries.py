@@ -82,7 +82,7 @@ register("t11_grounded", f"WITH {_ITEMS}, {_DOCS}, b AS (SELECT item_id, {_NORM.
 register("t12_verbatim", f"WITH {_ITEMS}, {_DOCS} SELECT DISTINCT item_id, surface, id FROM i JOIN d ON contains(' ' || t || ' ', ' ' || a || ' ')")(lambda spark, d: L.verbatim(view(spark, d, "items"), view(spark, d, "docs")))
 _CONTAINED = f"ig AS (SELECT DISTINCT item_id, g FROM {_grams('i', 'item_id', 'a', 5)}), dg AS (SELECT DISTINCT surface, id, g FROM {_grams('d', 'surface, id', 't', 5)}), m AS (SELECT item_id, surface, id, count(*) AS shared FROM ig JOIN dg USING (g) GROUP BY ALL), k AS (SELECT m.*, shared / size AS containment FROM m JOIN (SELECT item_id, count(*) AS size FROM ig GROUP BY 1) USING (item_id) WHERE shared / size >= 0.6)"
 register("t13_contained", f"WITH {_ITEMS}, {_DOCS}, {_CONTAINED} SELECT item_id, surface, id, shared, containment FROM k")(lambda spark, d: L.contained(view(spark, d, "items"), view(spark, d, "docs")))
-register("t13_best_windows")(lambda spark, d: L.best_windows(L.contained(view(spark, d, "items"), view(spark, d, "docs")), view(spark, d, "items"), view(spark, d, "docs")))
+register("t13_best_windows")(lambda spark, d: L.best_windows(L.contained(view(spark, d, "items"), view(spark, d, "docs")), view(spark, d, "items"), view(spark, d, "docs"), n=5))
 register(
     "t14_longest_runs",
     f"WITH {_ITEMS}, {_DOCS}, a AS (SELECT item_id, p AS ip, g FROM {_grams('i', 'item_id', 'a', 5)}), b AS (SELECT surface, id, p AS dp, g FROM {_grams('d', 'surface, id', 't', 5)}), x AS (SELECT item_id, surface, id, dp, dp - ip AS dg FROM a JOIN b USING (g)), y AS (SELECT *, dp - row_number() OVER (PARTITION BY item_id, surface, id, dg ORDER BY dp) AS island FROM x), z AS (SELECT item_id, surface, id, count(*) AS n FROM y GROUP BY item_id, surface, id, dg, island) SELECT item_id, surface, id, CAST(max(n) + 4 AS INT) AS run FROM z GROUP BY ALL",
