@@ -126,28 +126,6 @@ def test_lm_distributions_sum_to_one(spark):
         assert p.sum() == pytest.approx(1)
 
 
-def test_lm_tree_keeps_its_states_in_a_larger_table(spark):
-    gram = lambda x: int.from_bytes(x, "big")
-    small = [(gram(b"\n\n\nquiz"[-LM.ORDER :] + b"z"), 20), (gram(b"\n\n\nquix"[-LM.ORDER :] + b"y"), 20)]
-    large = small + [(gram((b"aaaaaaa"[-LM.ORDER :]) + bytes([x])), 100_000_000) for x in b"abcyz"]
-    trees = [LM.grow(spark.createDataFrame(rows, "key long, n long"), 2, 2.0) for rows in (small, large)]
-    assert all((gram(b"z") in tree.contexts[1][0]) and (gram(b"zz") in tree.entries[1][0]) for tree in trees)
-
-
-def test_lm_scores_are_the_trees_however_many_grams_are_broadcast(spark):
-    rng = random.Random(6)
-    words = ["abra", "cadabra", "Ünïq", "zebra", "日本語", "qa"]
-    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(60)] + [(70, None), (None, "abra zebra")], "doc_id long, text string")
-    tree = LM.grow(LM._train(docs.where(~LM.held_out(F.col("doc_id"), 10, 0))).where("kind = 1"), 2, 2.0)
-    want = {}
-    for r in docs.collect():
-        found, _ = LM.grams(LM._END * LM.ORDER + b" ".join(LM.ascii_lower_words(r["text"])) + LM._END, [0])
-        want[r["doc_id"]] = tree.log10(found).sum()
-    for share in (0.01, 2.0):
-        got = {r["doc_id"]: r["score"] for r in LM.scored(docs, gram_share=share).collect()}
-        assert got == pytest.approx(want)
-
-
 def test_lm_beats_the_base_on_held_out_text(spark):
     rows = queries.op2_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert rows["s"] > rows["b"]
