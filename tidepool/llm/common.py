@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The word pattern of most contracts: everything but space and the ASCII controls 9 to 13.
@@ -95,23 +95,31 @@ def arrow_rows(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[ob
         yield current, pa.Table.from_batches(held)
 
 
+def with_least(pairs: DataFrame, cuts: int = 64) -> DataFrame:
+    """Adds m, the least b of each a, to the rows (a, b).
+
+    Minima are taken per (a, slice of the b) and joined back by both, so that the rows of a hub stay dealt over many tasks.
+    """
+    rows = pairs.withColumn("cut", F.pmod(F.xxhash64("b"), F.lit(cuts)).cast("int"))
+    part = rows.groupBy("a", "cut").agg(F.min("b").alias("m"))
+    low = part.withColumn("m", F.min("m").over(Window.partitionBy("a")))  # at most `cuts` rows of each a
+    return rows.join(low, ["a", "cut"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node, root the smallest node reachable.
 
     Alternates large-star and small-star over written tables until nothing changes. Minima are pre-aggregated and
-    joined back, so no node's neighbours are gathered in a group.
+    joined back by slices, so no node's neighbours are gathered in a group or in one task.
     """
-    spark = edges.sparkSession
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, large.a == least.u).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = materialize(small.union(least.select("u", "m")).distinct(), "edges")
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = with_least(large.where("a <> b").distinct())
+        pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
+        new = materialize(small.select(F.inline(F.array(pair("b"), pair("a")))).where("a <> b").distinct(), "edges")
         got = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         discard(now)
         now = new

@@ -6,7 +6,8 @@ values at coordinates drawn from the node itself (1/lambda of them on average, a
 node of at most `leaf_rows` classes is compared exhaustively on minwise sketches, and a node whose classes are all known
 to belong together is dropped. A first batch of trees only seeds that knowledge, so that large groups of near copies
 collapse before the second batch looks for everything else. A node that is still large at the last level is compared
-block against block. What the trees connect is a superset of the groups (a pair is missed by a sketch with a chance
+block against block, each text first within the largest such node it is in; what two texts of one such node are to each
+other is known from then on. What the trees connect is a superset of the groups (a pair is missed by a sketch with a chance
 near 1e-5, by all trees with less than the documented recall allows); inside each such group the links are then
 confirmed on the full shingle sets, every pair being either compared or already connected.
 
@@ -151,6 +152,42 @@ def _blocks(rows: DataFrame, key: str, weight: Column, block: int) -> DataFrame:
     return dealt.withColumn("node", F.explode(F.when(F.col("is_top"), with_top).otherwise(F.concat(from_rest, among)))).drop("top_label", "n_top", "n_rest", "is_top", "own")
 
 
+def _sized(level: DataFrame, cuts: int = 64) -> DataFrame:
+    """Adds to the rows (node, rep, label) of nodes that hold an unknown link their size n, least label (pivot) and the
+    rows of their most frequent label (top). Joined by (node, slice of the members): a hot node stays dealt over tasks."""
+    rows = level.withColumn("cut", F.pmod(F.xxhash64("rep"), F.lit(cuts)).cast("int"))
+    each = rows.groupBy("node", "label").agg(F.count("*").alias("c"))
+    per = each.groupBy("node").agg(F.sum("c").alias("n"), F.min("label").alias("pivot"), F.max("label").alias("high"), F.max("c").alias("top")).where("pivot < high")
+    found = rows.select("node", "cut").distinct().join(per.drop("high"), "node")  # at most `cuts` rows of a node
+    return rows.join(found, ["node", "cut"]).select("node", "rep", "label", "n", "pivot", "top")
+
+
+def _dense_links(ready: DataFrame, sketches: DataFrame, leaf_rows: int, least: int) -> list[DataFrame]:
+    """Links inside nodes (node, rep, label, n) too large for one task, block against block.
+
+    A text is often in many such nodes together with the same others. So each text is compared first within the largest
+    of its nodes, its home; after that, two texts that share a home are as good as known to each other in every node.
+    """
+    homes = materialize(ready.groupBy("rep").agg(F.max_by("node", F.struct("n", "node")).alias("home"), F.first("label").alias("label")), "homes")
+    within = _blocks(homes.select(F.col("home").alias("large"), "rep", "label"), "large", F.lit(1), leaf_rows)
+    first = materialize(_leaf_links(within.join(sketches, "rep").select("node", "rep", "label", "sketch"), least), "links")
+    across = ready.select(F.col("node").alias("large"), "rep").join(homes.select("rep", F.col("home").alias("label")), "rep")
+    rest = _blocks(across, "large", F.lit(1), leaf_rows)
+    return [first, materialize(_leaf_links(rest.join(sketches, "rep").select("node", "rep", "label", "sketch"), least), "links")]
+
+
+def _relabelled(rows: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """The rows with labels that the links found so far have joined replaced by one of them."""
+    known = rows.select("rep", "label").distinct()
+    found = links[0]
+    for more in links[1:]:
+        found = found.union(more)
+    one, other = (known.withColumnRenamed("rep", end).withColumnRenamed("label", f"{end}_label") for end in ("a", "b"))
+    edges = found.join(one, "a").join(other, "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    joined = components(edges).select(F.col("node").alias("label"), "root")
+    return rows.join(joined, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+
+
 def _trees(reps: DataFrame, labels: DataFrame | None, first: int, count: int, levels: int, leaf_rows: int, least: int, extra: float) -> DataFrame:
     """Candidate links (a, b) of `count` trees. Without labels only a seed: large nodes link with their smallest member."""
     if labels is None:
@@ -163,9 +200,7 @@ def _trees(reps: DataFrame, labels: DataFrame | None, first: int, count: int, le
     level = sigs.select("rep", of_root).join(known, "rep") if labels is not None else sigs.select("rep", F.col("rep").alias("label"), of_root)
     found: list[DataFrame] = []
     for depth in range(levels):
-        each = level.groupBy("node", "label").agg(F.count("*").alias("c")) if labels is not None else level.select("node", "label", F.lit(1).cast("long").alias("c"))
-        sized = each.groupBy("node").agg(F.sum("c").alias("n"), F.min("label").alias("pivot"), F.max("label").alias("high"), F.max("c").alias("top"))
-        live = materialize(level.join(sized.where("pivot < high").drop("high"), "node").select("node", "rep", "label", "n", "pivot", "top"), "nodes")
+        live = materialize(_sized(level), "nodes")
         found.append(materialize(_leaf_links(live.where(F.col("n") <= leaf_rows).join(sketches, "rep").select("node", "rep", "label", "sketch"), least), "links"))
         large = live.where(F.col("n") > leaf_rows)
         if large.isEmpty():
@@ -177,12 +212,12 @@ def _trees(reps: DataFrame, labels: DataFrame | None, first: int, count: int, le
         # a node that one label fills but for a few rows is compared now: those rows against all; so is what is left at the end
         last = depth == levels - 1
         ready = large if last else large.where(F.col("n") - F.col("top") <= leaf_rows)
-        blocks = _blocks(ready.select(F.col("node").alias("large"), "rep", "label"), "large", F.lit(1), leaf_rows)
-        found.append(materialize(_leaf_links(blocks.join(sketches, "rep").select("node", "rep", "label", "sketch"), least), "links"))
+        found += _dense_links(ready, sketches, leaf_rows, least)
         more = large.where(F.col("n") - F.col("top") > leaf_rows)
         if last or more.isEmpty():
             break
-        level = more.select("node", "rep", "label").join(sigs, "rep").select("rep", "label", F.explode(_children(F.col("node"), F.col("sig"), extra)).alias("node"))
+        more = _relabelled(more.select("node", "rep", "label"), found)
+        level = more.join(sigs, "rep").select("rep", "label", F.explode(_children(F.col("node"), F.col("sig"), extra)).alias("node"))
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
@@ -237,7 +272,7 @@ def _confirm(groups: DataFrame, threshold: int, k: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: int = 85, k: int = 5, seed_trees: int = 4, trees: int = 12, levels: int = 6, leaf_rows: int = 400, block_shingles: int = 1_500_000
+    docs: DataFrame, threshold: int = 85, k: int = 5, seed_trees: int = 4, trees: int = 12, levels: int = 6, leaf_rows: int = 2048, block_shingles: int = 1_500_000
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -253,7 +288,8 @@ def near_duplicates(
     more = _trees(reps, seeds, seed_trees, trees, levels, leaf_rows, least, extra)
     grouped = components(more.union(seeds.select(F.col("node").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     grouped = materialize(grouped.join(reps.select("rep", "n"), "rep"), "grouped")
-    sized = grouped.groupBy("grp").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    weight = F.col("n") + 300  # many short texts make a large block as well
+    sized = grouped.groupBy("grp").agg(F.ceil(F.sum(weight) / block_shingles).cast("int").alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(grouped.join(sized, "grp").hint("merge"), "rep")  # the same plan at every size
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0)
     pivot = (F.col("blocks") > 1) & (F.col("rep") == F.col("grp"))
@@ -264,7 +300,7 @@ def near_duplicates(
     large = texts.where("blocks > 1")
     if not large.isEmpty():
         labelled = large.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("grp", "rep", F.coalesce("root", "rep").alias("label"), "n", "text")
-        across = _confirm(_blocks(labelled, "grp", F.col("n"), block_shingles).select("node", "rep", "label", "text"), threshold, k)
+        across = _confirm(_blocks(labelled, "grp", weight, block_shingles).select("node", "rep", "label", "text"), threshold, k)
         links = components(within.union(across))
     discard(texts)
     classes = reps.select("digest", "rep").join(links.select(F.col("node").alias("rep"), "root"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
