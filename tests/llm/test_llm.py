@@ -6,6 +6,7 @@ import base64
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -234,6 +235,74 @@ def test_html_main_text(spark):
     assert got == {i: (t, len(t)) for i, (_, t) in enumerate(HTML)}
 
 
+PROSE = [" ".join(f"word{i}{j} of the text," for j in range(14)) for i in range(5)]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+LINKS = "<div><ul>" + "".join(f"<li><a href=/{i}>some entry {i}</a></li>" for i in range(40)) + "</ul></div>"
+
+
+def test_html_density_alone_decides():
+    """Pages without any telling tag or name."""
+    want = " ".join(PROSE)
+    assert HX.main_text(f"<body>{LINKS}<div>{BODY}</div><div>short line</div>{LINKS}</body>") == want
+    assert HX.main_text(f"<body><div>{LINKS}<div><div><h2>Head</h2>{BODY}</div></div></div></body>") == "Head " + want
+    assert HX.main_text(f"<body><div><p>{PROSE[0]}</p><ul>{''.join(f'<li>{x}</li>' for x in PROSE)}</ul><p>Yes.</p></div>{LINKS}</body>") == f"{PROSE[0]} {want} Yes."
+    assert HX.main_text(f"<body><div><div>{BODY}</div><div>{BODY}</div></div>{LINKS}</body>") == f"{want} {want}"
+    assert HX.main_text(f"<body><article>{BODY}{LINKS}</article></body>") == want
+
+
+def test_html_names_and_forms():
+    want = " ".join(PROSE)
+    assert HX.main_text(f"<body><form id=page>{BODY}</form></body>") == want
+    assert HX.main_text(f"<article><p>{PROSE[0]}</p><div class='social-history'><p>{PROSE[1]}</p></div><div id=legal><p>{PROSE[2]}</p></div></article>") == " ".join(PROSE[:3])
+    for name in ("comments", "comment-list", "ad-slot", "cookieConsent", "site-footer", "newsletter_signup"):
+        assert HX.main_text(f"<article>{BODY}<div class='x {name}'><p>{PROSE[0]} {PROSE[1]}</p></div></article>") == want, name
+    assert HX.main_text(f"<body><article>{BODY}</article><form><p>{PROSE[0]}</p></form></body>") == want
+
+
+def test_html_densities_equal_a_plain_recursion():
+    rng = random.Random(12)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 60)):
+            parts.append(rng.choice(["<div>", "</div>", "<p>", "</p>", "<a>", "</a>", "<b>", "</b>", "x" * rng.randint(1, 30), " yy "]))
+        tree = HX._Tree()
+        tree.feed("<body>" + "".join(parts))
+        tree.close()
+        n = len(tree.tag)
+        found = HX._Density(tree, [False] * n)
+        kids = collections.defaultdict(list)
+        for i in range(1, n):
+            kids[tree.parent[i]].append(i)
+
+        def measure(i, link):
+            link = link or tree.tag[i] == "a"
+            own = sum(len(d.replace(" ", "")) for j, d in tree.pieces if j == i)
+            got = [own, 1, own * link, int(tree.tag[i] == "a")]
+            for k in kids[i]:
+                got = [x + y for x, y in zip(got, measure(k, link))]
+            return got
+
+        def above(i):
+            return i > 0 and (tree.tag[tree.parent[i]] == "a" or above(tree.parent[i]))
+
+        c, _, lc, _ = measure(found.body, False)
+        for i in range(n):
+            chars, tags, linked, links = measure(i, above(i))
+            want = 0.0
+            if chars:
+                base = math.log(chars / max(chars - linked, 1) * linked + lc / max(c, 1) * chars + math.e)
+                want = max(chars / tags * math.log(max(chars / max(linked, 1) * tags / max(links, 1), 1.0), max(base, 1 + 1e-6)), 0) if base > 1 + 1e-6 else chars / tags
+            assert found.density[i] == pytest.approx(want)
+        assert found.sums == pytest.approx([sum(found.density[k] for k in kids[i]) for i in range(n)])
+
+
+def test_html_deep_pages_are_linear():
+    start = time.perf_counter()
+    assert HX.main_text("<div>" * 100_000 + "<p>deep <ul><li>a<li>b") == "deep a b"
+    assert HX.main_text("<li><div>" * 20_000 + "x") == "x"
+    assert time.perf_counter() - start < 20
+
+
 def test_html_articles_of_the_pages(spark):
     import html
 
