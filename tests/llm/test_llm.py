@@ -436,7 +436,8 @@ def test_contamination_paths_agree_with_brute_force(spark):
             at = rng.randint(0, len(w))
             w[at:at] = cut
         docs.append((i, " ".join(w).upper() if i % 2 else " ".join(w)))
-    docs += [(100, None), (101, "")]
+    docs += [(100, None), (101, ""), (102, "v1 " * 70), (103, "v1 v2 " * 40), (104, "v9 " + "v1 " * 30 + "v2 v1 " * 9)]
+    items += [(91, "v1 " * 20), (92, "v2 v1 " * 11), (93, "v1 v1 v1"), (93, "v3 v3 v3 v2")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     parse = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     want = {}
@@ -457,6 +458,14 @@ def test_contamination_paths_agree_with_brute_force(spark):
         assert got == want
 
 
+def test_runs_of_one_word_are_linear():
+    h = DC.WordHashes().of([b"one"] * 200_000)
+    start = time.perf_counter()
+    assert len(DC.winnow(DC.window_hashes(h, 5), 9)) < 25_000
+    assert DC.Index([(1, [b"one"] * 20_000)]).hits(h) == (200_000, {1})
+    assert time.perf_counter() - start < 10
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)

@@ -65,11 +65,11 @@ class WordHashes(dict):
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Order-sensitive hash of each k consecutive word hashes."""
+    """Order-sensitive hash of each k consecutive word hashes (or rows of them)."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.zeros((n, *words.shape[1:]), dtype=np.uint64)
     for j in range(k):
         out = (out ^ words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
