@@ -221,6 +221,28 @@ def test_guess_cost_covers_values_of_any_length(spark):
     assert got == {0: ["x" * 130 + noise], 1: ["x" * 5000 + noise], 2: []}
 
 
+def test_prose_is_no_secret_and_chains_are_linear(spark):
+    prose = ["the secret is persistence, not luck", "Authorization: Documentation of the office", "le secret est que le token: développement", "El password es: contraseñas", "das Geheimnis, token: Verschlüsselung", "my password is correct-horse today"]
+    docs = spark.createDataFrame(list(enumerate(prose)), "doc_id long, text string")
+    assert not [s for r in SS.scan(docs).collect() for s in r["spans"] if s["kind"] == "guess"]
+    text = "passphrase=Tr0ub4dor&3xQ9 auth: kx8#vQ2!mZ db_token_prod = 9fK2x7Lq0zW4"
+    assert [text[s:e] for s, e, k, _ in SS.spans(text) if k == 3] == ["Tr0ub4dor&3xQ9", "kx8#vQ2!mZ", "9fK2x7Lq0zW4"]
+    start = time.perf_counter()
+    for text in ("key " + "a." * 500_000, "token_" * 100_000, "password" * 100_000, "secret " * 100_000 + "=" * 1000, "hex " + " ".join("deadbeef" * 4 for _ in range(20_000)) + " pwd=" + "x1!" * 20):
+        SS.spans(text)
+    assert time.perf_counter() - start < 20
+
+
+def test_dictionary_comes_from_the_texts(spark):
+    docs = spark.createDataFrame([(i, "gribblefrotz wonkity pwd=gribblefrotzwonkity") for i in range(3)] + [(9, "pwd=qzxvkwjhpfmbdgtn")], "doc_id long, text string")
+    ranks = SS.word_ranks(docs, 10)
+    assert set(ranks) - set(SS.WORDS) == {"gribblefrotz", "wonkity", "pwd"} and "qzxvkwjhpfmbdgtn" not in ranks
+    got = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in SS.scan(docs).collect()}
+    assert got == {0: [], 1: [], 2: [], 9: ["qzxvkwjhpfmbdgtn"]}
+    (base,) = SS.scan(spark.createDataFrame([(1, "password=hunter2x9")], "doc_id long, text string")).collect()[0]["spans"]
+    assert base["kind"] == "assign" and base["cost"] > 3
+
+
 HTML = [
     ("<body><nav><a>menu</a></nav><div class='cookie-notice'>accept</div><article><h1>T &amp; U</h1><p><b>One  two<br>three<p>four <i>f</i>ive</article><div id=comments><p>spam</p></div><footer>&copy;</footer>", "T & U One two three four five"),
     ("<div class='layout has-sidebar'><main><p>Body text here.</p></main><aside>side</aside></div>", "Body text here."),
@@ -408,6 +430,43 @@ def test_mixing(spark, odd):
     assert SM.mix(odd).count() == odd.count()
 
 
+def test_permutations_are_whole_and_safe(spark):
+    rows = spark.range(1, 260).withColumnRenamed("id", "n").select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select("n", F.col("k").cast("long").alias("k"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("key"))
+    got = SM.permuted(rows, F.col("k"), F.col("n"), F.col("key"), "at").groupBy("n", "key").agg(F.countDistinct("at").alias("kinds"), F.min("at").alias("low"), F.max("at").alias("high"))
+    assert got.where("kinds <> n or low <> 0 or high <> n - 1").count() == 0
+    large = SM.permuted(spark.range(200_000), F.lit(399_999_999_999) - F.col("id"), F.lit(400_000_000_007).cast("long"), F.lit("a"), "at")
+    row = large.agg(F.countDistinct("at").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.corr("id", "at").alias("c")).first()
+    assert row["n"] == 200_000 and row["low"] >= 0 and row["high"] < 400_000_000_007 and abs(row["c"]) < 0.02
+
+
+def test_shares_are_found_by_steps(spark):
+    quotas = [1] * 300 + [5000, 2, 9000] + [1] * 50
+    starts = np.cumsum([0, *quotas[:-1]])
+    shares = spark.createDataFrame([(i, int(a), int(q)) for i, (a, q) in enumerate(zip(starts, quotas))], "rank long, `from` long, quota long")
+    got = SM._placed(spark.range(sum(quotas)).withColumnRenamed("id", "draw"), "draw", shares).groupBy("rank").count().collect()
+    assert {r["rank"]: r["count"] for r in got} == dict(enumerate(quotas))
+
+
+def test_taken_equals_a_plain_count(spark):
+    """taken is what the slots take: every block a source's permutation gives, cut to the words of each document."""
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.randint(0, 90)), rng.choice("aab")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in SM.mix(docs, block_words=8).collect()}
+    for source in "ab":
+        own = [i for i, t, s in rows if s == source and t]
+        sizes = {i: len(rows[i][1].split()) for i in own}
+        blocks = -(-sum(sizes.values()) // 8)
+        passes = int(got[own[0]]["target"] // sum(sizes.values()))
+        quota = passes * blocks + round((got[own[0]]["target"] - passes * sum(sizes.values())) / 8)
+        k = SM.blocks_of(spark.range(quota).select(F.lit(1).alias("rank"), F.col("id").alias("k")), spark.createDataFrame([(1, "0" + source, blocks)], "rank int, source_key string, blocks long"))
+        times = {r["block"]: r["count"] for r in k.groupBy("block").count().collect()}
+        at = 0
+        for i in own:
+            assert got[i]["taken"] == sum(times.get(w // 8, 0) for w in range(at, at + sizes[i]))
+            at += sizes[i]
+
+
 def test_toxicity_search_is_exact_and_learns(spark):
     rng = random.Random(4)
     vectors = [TX.unit(collections.Counter({rng.randrange(40): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}), np.ones(40)) for _ in range(500)]

@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, and guess-cost dynamic programming on values in a credential context.
 
 The fixed patterns (assign, access, hex) are found leftmost and without overlap per kind. Beside them, values that follow
-a wider range of credential words are priced: a dynamic programme finds the cheapest segmentation of the value into
-dictionary words, dates, repeats, keyboard walks and brute-force spans, in powers of ten of guesses. A value that costs
-at least `least_cost` is a span of kind guess; placeholders and plain words stay below. Guess spans that overlap a fixed
-span are left out, fixed ones always stay.
+a wider range of credential words are priced, as are the values of assign spans: a dynamic programme finds the cheapest
+segmentation of the value into dictionary words, dates, repeats, keyboard walks and brute-force spans, in powers of ten of
+guesses. The dictionary is made of the texts themselves: words by the number of texts that have them. A value that costs at
+least `least_cost` is a span of kind guess; placeholders stay below. After "is", or after a separator and a space, a value
+that looks like a plain word of any language is prose and no secret. Guess spans that overlap a fixed span are left out,
+fixed ones always stay.
 
 Defined results: null and empty texts have no spans; texts of any length are scanned whole; a value is priced whole, in time
 linear in its length (a longer value may cost less: it may complete a word or a repeat); repeated rows
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -25,11 +29,14 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: A credential word, the rest of its name, a separator and a value. Names are read from the credential word on: no chain before it.
 _CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_.-])*(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|secret|signing|encryption)[_-]?key)(?:[_.-][A-Za-z0-9]+)*"
-    r"[\"']?\s{0,3}(?::|=>|:=|=|\bis\b)\s{0,3}[\"']?(?:bearer\s)?([^\s\"'<>,;`]{8,})",
+    r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|secret|signing|encryption)[_-]?key)(?:[_.-]?[A-Za-z0-9]+){0,4}+"
+    r"[\"']?\s{0,3}(:|=>|:=|=|\bis\b)(\s{0,3})([\"']?)(?:bearer\s)?([^\s\"'<>,;`]{8,})",
     re.A | re.I,
 )
+#: What a plain word looks like: letters of one case, or only the first upper, in pieces joined by hyphens or apostrophes.
+_PLAIN = re.compile(r"[^\W\d_]?(?:[^\W\d_A-Z]+|[A-Z]+)(?:['’-][^\W\d_A-Z]+)*[.!?:)]*")
 _HINTS = ("pass", "pwd", "secret", "token", "bearer", "auth", "credential", "key")
 
 #: Common words in the order guessers try them; a word's cost is its rank.
@@ -40,7 +47,9 @@ WORDS = (
     "public private service account system manager office company security value string name email phone house water light green blue black white red"
 ).split()
 _RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
-_LONGEST = max(map(len, _RANK))
+#: Words of more letters are left out of the dictionary, so that a value's cost takes linear time.
+LONGEST = 20
+_LETTERS = re.compile(r"[^\W\d_]{3,%d}" % LONGEST)
 _LEET = str.maketrans("013457@$!", "oieastasi")
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
 _NEXT = {(row[i], row[i + d]) for row in _ROWS for d in (1, -1) for i in range(len(row)) if 0 <= i + d < len(row)}
@@ -51,8 +60,9 @@ def _class_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else 1.52
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of a value, in time linear in its length."""
+def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
+    """log10 of the guesses for the cheapest segmentation of a value, in time linear in its length. ranks: a word's place in
+    the order in which guessers try words."""
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     each = [_class_cost(c) for c in value]
@@ -66,12 +76,12 @@ def guess_cost(value: str) -> float:
             dates.setdefault(m.end(), []).append(i)
     for j in range(1, n + 1):
         cost = best[j - 1] + each[j - 1]
-        for size in range(3, min(_LONGEST, j) + 1):
+        for size in range(3, min(LONGEST, j) + 1):
             i = j - size
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 case = 0.3 if value[i:j] != low[i:j] else 0.0
-                leet = 0.0 if low[i:j] in _RANK else 0.6
+                leet = 0.0 if low[i:j] in ranks else 0.6
                 cost = min(cost, best[i] + math.log10(rank + 1) + case + leet + 0.3)
         for i in dates.get(j, ()):
             cost = min(cost, best[i] + math.log10(365 * 120 if j - i > 4 else 120))
@@ -108,37 +118,84 @@ def _add_start(starts: list[int], best: list[float], j: int) -> None:
     starts.append(new)
 
 
-def spans(text: str | None, least_cost: float = 11.0) -> list[tuple[int, int, int, float | None]]:
-    """(start, end, kind number, cost of guess spans) in the order of start, then kind."""
+def spans(text: str | None, least_cost: float = 11.0, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, int, float | None]]:
+    """(start, end, kind number, cost) in the order of start, then kind; cost for values in a credential context."""
     if not text:
         return []
     found: list[tuple[int, int, int, float | None]] = []
     low = text.lower()
     hints = any(h in low for h in _HINTS)
     if hints:
-        found += [(m.start(), m.end(), 0, None) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), m.end(), 0, guess_cost(m[2], ranks)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1, None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), 2, None) for m in _HEX.finditer(text)]
     if hints:
-        fixed = sorted((s, e) for s, e, *_ in found)
+        starts, ends = _union(found)
         for m in _CONTEXT.finditer(text):
-            start, end = m.span(1)
-            if not any(s < end and start < e for s, e in fixed) and (cost := guess_cost(m[1])) >= least_cost:
+            start, end = m.span(4)
+            at = bisect_left(ends, start + 1)  # the first fixed stretch that ends behind the start
+            if at < len(starts) and starts[at] < end:
+                continue
+            prose = m[1].lower() == "is" or (m[2] and not m[3])
+            if not (prose and _PLAIN.fullmatch(m[4])) and (cost := guess_cost(m[4], ranks)) >= least_cost:
                 found.append((start, end, 3, cost))
-    return sorted(found)
+    return sorted(found, key=lambda s: s[:3])
 
 
-def scan(docs: DataFrame, least_cost: float = 11.0) -> DataFrame:
+def _union(found: list[tuple[int, int, int, float | None]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order and apart."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end, *_ in sorted(found, key=lambda s: s[:2]):
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def word_ranks(docs: DataFrame, most_words: int = 50_000) -> dict[str, int]:
+    """The guessers' dictionary: the fixed words, then the words of the texts by the number of texts that have them, at most
+    `most_words` (about 5 MB). Counted over all texts, but for what stands in a credential context: a secret that copies repeat
+    must not become a word. The bound is one on what is broadcast."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column("text"):
+                low = (text.as_py() or "").lower()
+                if any(h in low for h in _HINTS):
+                    low = _CONTEXT.sub(lambda m: m[0][: m.start(4) - m.start()], low)
+                counts.update(set(_LETTERS.findall(low)))
+                if len(counts) > 500_000:
+                    yield flush()
+        yield flush()
+
+    counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    ranked = dict.fromkeys([*WORDS, *(r.word for r in counted.orderBy(F.desc("n"), "word").limit(most_words).collect())])
+    return {w: i + 1 for i, w in enumerate(ranked)}
+
+
+def scan(docs: DataFrame, least_cost: float = 11.0, most_words: int = 50_000) -> DataFrame:
     """doc_id and its spans: array of (kind, start, end, cost, value)."""
+    ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, most_words))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64()), ("value", pa.string())]))
+        known = ranks.value
         for batch in batches:
             rows = []
             for value in batch.column("text"):
                 text = value.as_py()
-                rows.append([{"kind": KINDS[k], "start": s, "end": e, "cost": c, "value": text[s:e]} for s, e, k, c in spans(text, least_cost)])
+                rows.append([{"kind": KINDS[k], "start": s, "end": e, "cost": c, "value": text[s:e]} for s, e, k, c in spans(text, least_cost, known)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(rows, kind)], ["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:int,end:int,cost:double,value:string>>")

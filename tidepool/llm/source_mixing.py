@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: Primes for the index permutations; none of them divides another.
-_PRIMES = (1_000_000_007, 1_000_000_009, 1_000_000_021, 1_000_000_033, 1_000_000_087, 1_000_000_093, 1_000_000_097, 1_000_000_103)
-
-
 def running(df: DataFrame, order: list[str], value: str, name: str, within: str | None = None) -> DataFrame:
     """Adds `name`: the sum of `value` over the rows before this one in `order`, within equal `within` if given.
 
@@ -57,18 +53,60 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     return filled.select("source_key", "source_size", "rank", "weight", target.alias("target"))
 
 
-def _permuted(k: Column, n: Column, key: Column) -> Column:
-    """The k-th index of a pseudorandom permutation of 0..n-1 that belongs to key (n below 8e9)."""
-    start = F.pmod(F.xxhash64(key), F.lit(len(_PRIMES))).cast("int")
-    primes = F.array(*[F.lit(p).cast("long") for p in _PRIMES])
-    fits = F.filter(F.concat(F.slice(primes, start + 1, len(_PRIMES)), F.slice(primes, 1, start)), lambda p: (n % p) != 0)
-    shift = F.pmod(F.xxhash64(key, F.lit(1)), n)
-    return F.pmod(F.get(fits, 0) * F.pmod(k, n) + shift, n)
+def _mixed(key: Column, number: int, half: Column, size: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(number), half), size)
+
+
+def _halves(x: Column, b: Column) -> tuple[Column, Column]:
+    right = F.pmod(x, b)
+    return F.floor((x - right) / b), right
 
 
-def _placed(rows: DataFrame, at: str, shares: DataFrame, step: int = 4096) -> DataFrame:
-    """Joins each row to the share whose range [from, from + quota) holds its value: by equal steps, so that a large
-    share is many join keys."""
+def _stepped(x: Column, a: Column, b: Column, key: Column) -> Column:
+    """One pass of a four-round Feistel network over 0..a*b-1: x = left * b + right, each half shifted by a hash of the other."""
+    left, right = _halves(x, b)
+    for number in (0, 2):
+        left = F.pmod(left + _mixed(key, number, right, a), a)
+        right = F.pmod(right + _mixed(key, number + 1, left, b), b)
+    return left * b + right
+
+
+def permuted(rows: DataFrame, k: Column, n: Column, key: Column, name: str) -> DataFrame:
+    """Adds `name`: the k-th index (modulo n) of the pseudorandom permutation of 0..n-1 that belongs to key, n below 2**52.
+
+    The network runs over the least a * b >= n with a near the root of n. What it maps beyond n is mapped on until it is
+    below n (cycle walking); there are fewer than a such places, so all but about one in a is right at once.
+    """
+    a, b, left, right = (F.col(c) for c in ("__a", "__b", "__left", "__right"))
+    out = rows.withColumn("__k", F.pmod(k, n)).withColumn("__n", n).withColumn("__key", key).withColumn("__a", F.ceil(F.sqrt(F.col("__n").cast("double"))).cast("long"))
+    out = out.withColumn("__b", F.floor((F.col("__n") + a - 1) / a).cast("long"))
+    halves = _halves(F.col("__k"), b)
+    out = out.withColumn("__left", halves[0]).withColumn("__right", halves[1])
+    for number in (0, 2):  # the rounds of _stepped, each as a column of its own
+        out = out.withColumn("__left", F.pmod(left + _mixed(F.col("__key"), number, right, a), a))
+        out = out.withColumn("__right", F.pmod(right + _mixed(F.col("__key"), number + 1, left, b), b))
+    once, size = F.col("__once"), F.col("__n")
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once, lambda x, _: F.when(x < size, x).otherwise(_stepped(x, a, b, F.col("__key"))))
+    out = out.withColumn("__once", left * b + right).withColumn("__walked", F.when(once < size, once).otherwise(walked))
+    known = F.when(F.col("__walked") < size, F.col("__walked")).otherwise(F.raise_error(F.lit("a permutation's cycle is too long")).cast("long"))
+    return out.withColumn(name, known).drop("__k", "__n", "__key", "__a", "__b", "__left", "__right", "__once", "__walked")
+
+
+def blocks_of(rows: DataFrame, last: DataFrame) -> DataFrame:
+    """Adds `block` to the rows (rank, k): the k-th of the source's permutation, with the last block swapped to the last place
+    of each pass. last: (rank, source_key, blocks) per source."""
+    swapped = permuted(last, F.col("blocks") - 1, F.col("blocks"), F.col("source_key"), "swapped")
+    mapped = permuted(rows.join(swapped, "rank"), F.col("k"), F.col("blocks"), F.col("source_key"), "at")
+    end = F.col("blocks") - 1
+    return mapped.withColumn("block", F.when(F.pmod("k", "blocks") == end, end).when(F.col("at") == end, F.col("swapped")).otherwise(F.col("at")))
+
+
+def _placed(rows: DataFrame, at: str, shares: DataFrame, most_step: int = 4096) -> DataFrame:
+    """Joins each row to the share whose range [from, from + quota) holds its value: by equal steps, so that a large share
+    is many join keys. A step is no longer than a share's mean length, so that the rows of a step meet few shares: over all
+    steps at most twice as many pairs as rows, if these lie evenly."""
+    size = shares.agg(F.count("*").alias("n"), F.coalesce(F.sum("quota"), F.lit(0)).alias("slots")).first()
+    step = max(1, min(most_step, size["slots"] // max(size["n"], 1)))
     first, last = F.floor(F.col("from") / step), F.floor((F.col("from") + F.col("quota") - 1) / step)
     cut = shares.select("*", F.explode(F.sequence(first, last)).alias("__step"))
     inside = (F.col(at) >= F.col("from")) & (F.col(at) < F.col("from") + F.col("quota"))
@@ -85,7 +123,9 @@ def mix(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, seed: i
     per = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     plan = targets(per, weights, most)
     plan = plan.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
-    plan = plan.withColumn("quota", F.least(F.round(F.col("target") / block_words).cast("long"), F.col("blocks") * most))
+    # whole passes over a source's blocks, then full blocks only: its last, shorter block comes last in every pass
+    passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
+    plan = plan.withColumn("quota", F.least(passes * F.col("blocks") + F.round((F.col("target") - passes * F.col("source_size")) / block_words).cast("long"), F.col("blocks") * most))
     plan = materialize(running(plan, ["rank"], "quota", "from"), "plan")
     placed = running(sized.where("size > 0"), ["source_key", "doc_id", "tie"], "size", "start", "source_key")
 
@@ -106,7 +146,7 @@ def mix(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, seed: i
     redrawn = _placed(surplus.select("slot", "shard", "draw"), "draw", short.select("source_key", "rank", F.col("missing").alias("quota"), "from", "blocks", F.coalesce("got", F.lit(0)).alias("got")))
     redrawn = redrawn.withColumn("k", F.col("got") + F.col("draw") - F.col("from"))
     full = held.union(redrawn.select("slot", "shard", "rank", "k"))
-    mapped = full.join(shares.select("rank", "source_key", "blocks"), "rank").select("shard", "slot", "source_key", _permuted(F.col("k"), F.col("blocks"), F.col("source_key")).alias("block"))
+    mapped = blocks_of(full, shares.select("rank", "source_key", "blocks")).select("shard", "slot", "source_key", "block")
     times = mapped.groupBy("source_key", "block").agg(F.count("*").alias("times"))
 
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
