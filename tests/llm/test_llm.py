@@ -472,9 +472,17 @@ def test_toxicity_search_is_exact_and_learns(spark):
     vectors = [TX.unit(collections.Counter({rng.randrange(40): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}), np.ones(40)) for _ in range(500)]
     index = TX.Index(vectors, np.zeros(500))
     for q in vectors[:40]:
-        want = sorted(((round(sum(w * v.get(t, 0) for t, w in q.items()), 9), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        got = [round(s, 9) for s, _ in index.nearest(q, 10)]
-        assert got == pytest.approx([s for s, _ in want[:10] if s > 0], abs=1e-8)
+        want = sorted(((sum(w * v.get(t, 0) for t, w in q.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
+        least = want[9][0]
+        got = index.nearest(q, 10)
+        assert sorted(i for _, i in got) == sorted(i for s, i in want if s > 0 and s >= least - 1e-9)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want[: len(got)]])
+    tied = TX.Index([{0: 1.0}] * 300 + [{1: 1.0}], np.zeros(301))
+    assert len(tied.nearest({0: 1.0}, 10)) == 300
+    read, add = [], TX.Index._add
+    far = TX.Index([{0: 1.0}] * 5 + [{0: 0.1, i: 0.99} for i in range(1, 5000)], np.zeros(5004))
+    far._add = lambda score, terms, blocks: (read.extend(blocks), add(far, score, terms, blocks))
+    assert len(far.nearest({0: 1.0}, 5)) == 5 and len(read) <= 8  # blocks below the fifth best stay unread
     rows = [(i, f"plain words of text {rng.randrange(50)} and more " + ("you awfulword" if i % 5 == 0 else "friend"), i % 5 == 0) for i in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(y)) for i, _, y in rows], "doc_id long, quality int, toxic int")

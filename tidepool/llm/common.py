@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where driver and executors are one machine
+    may it be unset; then it is a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidepool-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidepool/{uuid.uuid4().hex}"
@@ -36,6 +39,11 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df, written, with a column __row that tells its rows apart."""
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files under a materialized DataFrame that nothing reads any more."""
     spark = df.sparkSession

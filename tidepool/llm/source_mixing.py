@@ -113,11 +113,12 @@ def _placed(rows: DataFrame, at: str, shares: DataFrame, most_step: int = 4096)
     return rows.withColumn("__step", F.floor(F.col(at) / step)).join(cut, "__step").where(inside).drop("__step")
 
 
-def mix(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes from the document, repeats counted)."""
+def mix(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words the mix takes from the document, repeats counted), and the columns
+    of docs named in carry."""
     known = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
     sized = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), known.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie")), "sized"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), known.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"), *carry), "sized"
     )
     # null sources sort last: "0..." before "1"
     per = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
@@ -153,6 +154,6 @@ def mix(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, seed: i
     pieces = placed.select("source_key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), last)).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
     taken = pieces.join(times, ["source_key", "block"]).groupBy("source_key", "start").agg(F.sum(F.col("times") * overlap).alias("taken"))
-    got = placed.join(taken, ["source_key", "start"], "left").select("doc_id", "source_key", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
-    got = got.union(sized.where("size = 0").select("doc_id", "source_key", "size", F.lit(0).cast("long").alias("taken")))
-    return got.join(plan.select("source_key", "source_size", "target"), "source_key").select("doc_id", "size", "source_size", "target", "taken")
+    got = placed.join(taken, ["source_key", "start"], "left").select("doc_id", "source_key", "size", F.coalesce("taken", F.lit(0)).alias("taken"), *carry)
+    got = got.union(sized.where("size = 0").select("doc_id", "source_key", "size", F.lit(0).cast("long").alias("taken"), *carry))
+    return got.join(plan.select("source_key", "source_size", "target"), "source_key").select("doc_id", "size", "source_size", "target", "taken", *carry)

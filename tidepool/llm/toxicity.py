@@ -1,14 +1,19 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes.
 
 Terms are the words of a text (ASCII lower-cased; letters, digits and all non-ASCII characters) and the 4- and 5-letter
-pieces of them, so that inflected and misspelt forms meet. Of the terms of the labelled examples those count that are
-clearly more frequent in toxic ones; document frequencies are taken over all documents. Every text is compared with the
-examples: posting blocks have the largest weight they hold, blocks are visited in the order of their upper bounds, and
-the search ends when no block left can beat the k-th neighbour, so the k nearest are exact. Votes weigh by similarity;
-a prior of `prior_weight` votes at the base rate keeps scores calibrated where neighbours are few or far.
+pieces of them, so that inflected and misspelt forms meet. A term weighs TF-IDF, the document frequencies taken over all
+documents, times what the labelled examples prove of it: the logarithm of how much more frequent it is in toxic ones, less
+`errors` standard errors. Terms whose bound is not above zero weigh nothing and so take no part in any cosine; no term is
+left out by its rank or by a share. (Without that factor a few insults vanish among hundreds of other words, and the nearest
+examples are those of the same language and length; README has the figures.)
 
-The examples are a bounded sample: at most `most_examples` labelled rows for each label, the first in a hash order, of which near
-copies (equal minwise shingle) count once; at most `most_terms` terms are kept. Everything else covers all rows.
+Every text is compared with the examples: posting blocks have the largest weight they hold, blocks are visited in the order of
+their upper bounds, and the search ends when no block left can reach the k-th neighbour, so the k nearest are exact; all
+that tie with the last vote as well. Votes weigh by similarity; a prior of `prior_weight` votes at the base rate keeps
+scores calibrated where neighbours are few or far.
+
+The examples are a bounded sample: at most `most_examples` labelled rows for each label, the first in a hash order, of which
+near copies (equal minwise shingle) count once. Everything else covers all rows.
 
 Defined results: null, empty and termless texts get the prior's share of examples without terms; labels that are null are
 ignored; with no labelled examples every score is 0; repeated label rows count once; an empty table gives no rows; other
@@ -64,7 +69,7 @@ class Terms(dict):
 
 
 class Index:
-    """Block-max inverted index of unit vectors: per term its examples and weights, and the largest weight per block."""
+    """Block-max inverted index of unit vectors: per term its examples and weights by block, and the largest weight per block."""
 
     def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray) -> None:
         self.labels, self.n = labels, len(vectors)
@@ -73,45 +78,46 @@ class Index:
         for i, v in enumerate(vectors):
             for t, w in v.items():
                 by.setdefault(t, []).append((i, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
         for t, found in by.items():
             at, w = np.array([f[0] for f in found]), np.array([f[1] for f in found])
             block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = at, w, block, np.maximum.reduceat(w, first)
+            self.postings[t] = at, w, block, np.append(first, len(at)), np.maximum.reduceat(w, first)
 
-    def nearest(self, query: dict[int, float], k: int, first: int = 16) -> list[tuple[float, int]]:
-        """The k most similar examples with a positive cosine, ties by number: (similarity, example).
+    def nearest(self, query: dict[int, float], k: int, first: int = 8) -> list[tuple[float, int]]:
+        """(similarity, example) of the k most similar examples with a positive cosine, and of all that tie with the last of them.
 
-        The blocks with the highest bounds are scored first; of the others only those whose bound reaches the k-th best.
+        The blocks with the highest bounds are scored first; of the others only those whose bound reaches the k-th best so
+        far are read, `first` and then twice as many at a time.
         """
         terms = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
         if not terms:
             return []
-        bound = np.bincount(np.concatenate([x[3] for x in terms]), np.concatenate([x[0] * x[4] for x in terms]), self.blocks)
-        at, weight = np.concatenate([x[1] for x in terms]), np.concatenate([x[0] * x[2] for x in terms])
-        chosen = np.zeros(self.blocks, dtype=bool)
-        chosen[np.argpartition(-bound, first - 1)[:first] if self.blocks > first else slice(None)] = True
-        score = self._scored(at, weight, chosen)
-        if self.blocks > first:
+        bound = np.bincount(np.concatenate([x[3] for x in terms]), np.concatenate([x[0] * x[5] for x in terms]), self.blocks)
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        score, done, least = np.zeros(self.n), 0, 0.0
+        while done < len(order) and bound[order[done]] >= least - 1e-9:
+            some = order[done : done + first]
+            some = some[bound[some] >= least - 1e-9]
+            self._add(score, terms, np.sort(some))
+            done, first = done + first, 2 * first
             positive = score[score > 0]
             least = np.partition(positive, -k)[-k] if len(positive) >= k else 0.0
-            rest = (bound >= least - 1e-12) & (bound > 0) & ~chosen
-            if rest.any():
-                score = score + self._scored(at, weight, rest)
-        hits = np.flatnonzero(score > 0)
-        if len(hits) > 4 * k:
-            hits = hits[score[hits] >= np.partition(score[hits], -k)[-k] - 1e-12]
-        value = np.round(score[hits], 12)
-        best = np.lexsort((hits, -value))[:k]
-        return list(zip(value[best].tolist(), hits[best].tolist(), strict=True))
-
-    def _scored(self, at: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        inside = blocks[at // BLOCK]
-        return np.bincount(at[inside], weight[inside], self.n)
-
-
-def unit(counts: Counter[int], idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
+        hits = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+        return sorted(zip(score[hits].tolist(), hits.tolist(), strict=True), key=lambda x: (-x[0], x[1]))
+
+    def _add(self, score: np.ndarray, terms: list[tuple], blocks: np.ndarray) -> None:
+        """Adds what the terms give to the examples of these blocks; only their postings are read."""
+        for weight, at, w, block, first, _ in terms:
+            spot = np.searchsorted(block, blocks)
+            spot = spot[spot < len(block)] if len(spot) and spot[-1] >= len(block) else spot
+            spot = spot[block[spot] == blocks[: len(spot)]]
+            for lo, hi in zip(first[spot], first[spot + 1], strict=True):
+                score[at[lo:hi]] += weight * w[lo:hi]
+
+
+def unit(counts: Counter[int], weight: np.ndarray) -> dict[int, float]:
+    raw = {t: (1 + math.log(n)) * weight[t] for t, n in counts.items()}
     size = math.sqrt(sum(w * w for w in raw.values()))
     return {t: w / size for t, w in raw.items()} if size else {}
 
@@ -140,7 +146,7 @@ def _examples(docs: DataFrame, labels: DataFrame, most_examples: int) -> DataFra
 
 
 def scores(
-    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 10_000, most_terms: int = 20_000, lift: float = 8.0, least_toxic: int = 3, prior_weight: float = 0.25, threshold: float = 0.7
+    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 10_000, errors: float = 2.5, prior_weight: float = 0.25, threshold: float = 0.7
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, and evidence: the nearest examples (doc_id, label, similarity)."""
     spark = docs.sparkSession
@@ -173,10 +179,12 @@ def scores(
     sizes = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     by_term = sample.mapInArrow(terms, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    least = max(least_toxic, math.ceil(0.01 * toxic))
-    ratio = (F.col("toxic") + 0.0) * (clean + 1) / ((F.col("clean") + 0.5) * max(toxic, 1))
-    picked = by_term.where((F.col("toxic") >= least) & (ratio >= lift)).orderBy(F.desc("toxic"), "clean", "term").limit(most_terms).collect()  # at most most_terms rows
-    chosen = {bytes(r.term): i for i, r in enumerate(sorted(picked, key=lambda r: bytes(r.term)))}
+    known, other = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    lift = F.log(known / (toxic + 1) * (clean + 1) / other) - errors * F.sqrt(1 / known + 1 / other)
+    picked = by_term.withColumn("lift", lift).where("lift > 0").select("term", "lift").collect()  # terms of the bounded sample
+    ranked = sorted((bytes(r.term), r.lift) for r in picked)
+    chosen = {term: i for i, (term, _) in enumerate(ranked)}
+    lifts = np.array([x for _, x in ranked])
     shared = spark.sparkContext.broadcast(chosen)
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +197,9 @@ def scores(
                     df[t] += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["term", "df"])
 
-    df = dict(docs.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect())  # at most most_terms rows
+    df = dict(docs.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect())  # one row for each term
     total = df.pop(-1, 0)
-    idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(chosen))])
+    idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(chosen))]) * lifts
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Terms(shared.value)
