@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -157,8 +159,8 @@ def _union(found: list[tuple[int, int, int, float | None]]) -> tuple[list[int],
 
 
 def word_ranks(docs: DataFrame, most_words: int = 50_000) -> dict[str, int]:
-    """The guessers' dictionary: the fixed words, then the words of the texts by the number of texts that have them, at most
-    `most_words` (about 5 MB). Counted over all texts, but for what stands in a credential context: a secret that copies repeat
+    """The guessers' dictionary: the fixed words, then the words of the texts by the number of texts that have them: all from
+    the least number on (in eighths of powers of two) that leaves at most `most_words` of them (about 5 MB). Counted over all texts, but for what stands in a credential context: a secret that copies repeat
     must not become a word. The bound is one on what is broadcast."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,15 @@ def word_ranks(docs: DataFrame, most_words: int = 50_000) -> dict[str, int]:
         yield flush()
 
     counted = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    ranked = dict.fromkeys([*WORDS, *(r.word for r in counted.orderBy(F.desc("n"), "word").limit(most_words).collect())])
+    counted = materialize(counted.withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "words")
+    least, total = None, 0
+    for row in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 8 * 63 rows
+        total += row["count"]
+        if total > most_words:
+            break
+        least = row["step"]
+    common = [] if least is None else counted.where(F.col("step") >= least).collect()
+    ranked = dict.fromkeys([*WORDS, *(r.word for r in sorted(common, key=lambda r: (-r.n, r.word)))])
     return {w: i + 1 for i, w in enumerate(ranked)}
 
 
