@@ -148,7 +148,8 @@ def mix(docs: DataFrame, block_words: int = 32, shard_slots: int = 4096, seed: i
     redrawn = redrawn.withColumn("k", F.col("got") + F.col("draw") - F.col("from"))
     full = held.union(redrawn.select("slot", "shard", "rank", "k"))
     mapped = blocks_of(full, shares.select("rank", "source_key", "blocks")).select("shard", "slot", "source_key", "block")
-    times = mapped.groupBy("source_key", "block").agg(F.count("*").alias("times"))
+    # written, so that the join's null test on block does not take the whole permutation down into every join before it
+    times = materialize(mapped.groupBy("source_key", "block").agg(F.count("*").alias("times")), "times")
 
     last = F.floor((F.col("start") + F.col("size") - 1) / block_words)
     pieces = placed.select("source_key", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block_words), last)).alias("block"))
