@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool import context as C
+from tidepool.operators.ranks import numbered
 from tidepool.functions.scalars import due_range, normal_tag, reparented, stable_order
 from tidepool.operators.hierarchy import ancestors
 
@@ -50,7 +51,7 @@ def without_collisions(incoming: DataFrame, existing: DataFrame, key: str = "id"
     """Incoming rows whose id is taken get ids after the largest of both tables, in order of id."""
     top = existing.select(key).union(incoming.select(key)).agg(F.max(key).alias("top"))
     taken = incoming.join(existing.select(key), key, "left_semi")
-    moved = taken.select(c(key), F.row_number().over(Window.orderBy(key)).alias("n")).join(F.broadcast(top), F.lit(True), "left").select(key, (c("top") + c("n")).alias("new_id"))
+    moved = numbered(taken.select(key).distinct(), [key], "n").join(F.broadcast(top), F.lit(True), "left").select(key, (c("top") + c("n")).alias("new_id"))
     return incoming.join(moved, key, "left").withColumn("new_id", F.coalesce("new_id", key))
 
 

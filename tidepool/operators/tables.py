@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool import context as C
+from tidepool.operators.ranks import numbered
 from tidepool.context import DAY, Clock
 from tidepool.functions.scalars import ancestors, checksum, forgetting_curve, relative_overdueness, stable_order
 from tidepool.operators.projections import since_review
@@ -126,17 +127,14 @@ def reallocated_ids(rows: DataFrame, key: str, valid_below: int) -> DataFrame:
     """
     top = rows.where(c(key) < valid_below).agg(F.coalesce(F.max(key), F.lit(0)).alias("m")).first()["m"]
     bad = rows.where(c(key) >= valid_below).select(c(key).alias("old"))
-    spread = bad.repartitionByRange(c("old")).withColumn("part", F.spark_partition_id()).persist()
-    sizes = spread.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("old"))
-    return spread.withColumn("rank", rank).join(sizes.select("part", "before"), "part").select("old", (c("rank") + c("before") + top).alias("new"))
+    return numbered(bad, ["old"], "place").select("old", (c("place") + top).alias("new"))
 
 
 def holdout(reviews: DataFrame, share: float = 0.2, least: int = 5) -> DataFrame:
     """The last share of each collection's reviews by time, ties by card; collections below `least` reviews are left out."""
-    w = Window.partitionBy("collection_id")
-    ranked = reviews.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy("id", "cid", "event_id"))).where(c("n") >= least)
-    return ranked.withColumn("held_out", c("rank") > c("n") - F.ceil(c("n") * share)).drop("n", "rank")
+    sizes = reviews.groupBy("collection_id").agg(F.count("*").alias("n")).where(c("n") >= least)
+    ranked = numbered(reviews, ["id", "cid", "event_id"], "rank", ["collection_id"]).join(sizes, "collection_id")
+    return ranked.withColumn("held_out", c("rank") > c("n") - F.ceil(c("n") * share)).select(*reviews.columns, "held_out")
 
 
 def sibling_suppressed(gathered: DataFrame) -> DataFrame:
@@ -154,8 +152,8 @@ def repositioned(cards: DataFrame, start: int, step: int, salt: int | None = Non
     """New positions: all cards of a note share one, notes in order of id or, with a salt, of a stable hash."""
     new = cards.where(c("type") == C.NEW)
     key = c("nid") if salt is None else stable_order("nid", salt=salt)
-    notes = new.select("nid", key.alias("key")).distinct().withColumn("rank", F.row_number().over(Window.orderBy("key", "nid")) - 1)
-    return new.join(notes.select("nid", (F.lit(start) + F.lit(step) * c("rank")).alias("position")), "nid").select("id", "nid", "position")
+    notes = numbered(new.select("nid", key.alias("key")).distinct(), ["key", "nid"], "rank")
+    return new.join(notes.select("nid", (F.lit(start) + F.lit(step) * (c("rank") - 1)).alias("position")), "nid").select("id", "nid", "position")
 
 
 def first_card(cards: DataFrame) -> DataFrame:
@@ -172,16 +170,24 @@ def sort_keys(clock: Clock) -> dict[str, Column]:
     }
 
 
-def sorted_cards(cards: DataFrame, by: str, clock: Clock, reverse: bool = False) -> DataFrame:
+def card_order(by: str, clock: Clock, reverse: bool = False) -> list[Column]:
     key = sort_keys(clock)[by]
-    return cards.orderBy(key.desc_nulls_last() if reverse else key.asc_nulls_first(), "id")
+    return [key.desc_nulls_last() if reverse else key.asc_nulls_first(), c("id")]
+
+
+def sorted_cards(cards: DataFrame, by: str, clock: Clock, reverse: bool = False) -> DataFrame:
+    return cards.orderBy(*card_order(by, clock, reverse))
+
+
+def note_keys(cards: DataFrame, by: str) -> DataFrame:
+    """(nid, key): an aggregate of the cards of each note."""
+    value = {"modified": F.max("mod"), "cards": F.count("*"), "decks": F.countDistinct(home_deck()), "due": F.min("due"), "ease": F.avg("factor"), "interval": F.avg("ivl"), "lapses": F.sum("lapses"), "reps": F.sum("reps")}[by]
+    return cards.groupBy("nid").agg(value.alias("key"))
 
 
 def sorted_notes(cards: DataFrame, by: str, reverse: bool = False) -> DataFrame:
     """Notes in the order of an aggregate of their cards."""
-    value = {"modified": F.max("mod"), "cards": F.count("*"), "decks": F.countDistinct(home_deck()), "due": F.min("due"), "ease": F.avg("factor"), "interval": F.avg("ivl"), "lapses": F.sum("lapses"), "reps": F.sum("reps")}[by]
-    out = cards.groupBy("nid").agg(value.alias("key"))
-    return out.orderBy(c("key").desc() if reverse else c("key").asc(), "nid")
+    return note_keys(cards, by).orderBy(c("key").desc() if reverse else c("key").asc(), "nid")
 
 
 def review_list(cards: DataFrame, order: str, clock: Clock) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.context import FIXED
 from tidepool.functions import scalars as S
+from tidepool.operators.ranks import numbered
 from tidepool.operators import hierarchy as H
 from tidepool.operators import merge as M
 from tidepool.operators import projections as PJ
@@ -75,26 +76,44 @@ _q("w14_first_card", f"SELECT nid, arg_min({_HOME}, ord) AS deck, min(ord) AS or
 # --- orders ------------------------------------------------------------------------------------------------------------
 
 
-def _ranked(df: DataFrame, key: str = "id") -> DataFrame:
-    """An order as rows: the first hundred keys with their places."""
-    from pyspark.sql import Window
-
-    return df.limit(100).withColumn("m", F.monotonically_increasing_id()).select(key, F.row_number().over(Window.orderBy("m")).alias("place"))
+def _placed(df: DataFrame, order: list, key: str = "id") -> DataFrame:
+    """An order as rows: every key with its place."""
+    return numbered(df, order, "place").select(key, "place")
 
 
 def _place(order: str, frm: str, key: str = "id") -> str:
-    return f"SELECT {key}, row_number() OVER (ORDER BY {order}) AS place FROM {frm} QUALIFY place <= 100"
-
-
-for _by, _order in (("due", "due, id"), ("ease", "factor, id"), ("difficulty", "d NULLS FIRST, id"), ("retrievability", f"{_RECALL} NULLS FIRST, id")):
-    _q(f"s01_cards_by_{_by}", _place(_order, "cards"), lambda k, by=_by: _ranked(T.sorted_cards(k, by, FIXED)), "cards")
-_q("s02_notes_by_ease", _place("avg(factor) DESC, nid", "cards GROUP BY nid", "nid"), lambda k: _ranked(T.sorted_notes(k, "ease", reverse=True), "nid"), "cards")
-_q("s03_review_list", _place("due, did, rnd, id", f"(SELECT *, 0 AS rnd FROM cards WHERE queue = 2 AND due <= {DAYS})").replace("rnd, ", ""), lambda k: _ranked(T.review_list(k, "day_deck", FIXED).orderBy("due", "did", "id")), "cards")
-_q("s04_new_list", _place("due, ord, id", "(SELECT * FROM cards WHERE queue = 0)"), lambda k: _ranked(T.new_list(k, "position")), "cards")
+    return f"SELECT {key}, row_number() OVER (ORDER BY {order}) AS place FROM {frm}"
+
+
+for _by, _order in (
+    ("due", "due NULLS FIRST, id"),
+    ("ease", "factor NULLS FIRST, id"),
+    ("difficulty", "d NULLS FIRST, id"),
+    ("retrievability", f"{_RECALL} NULLS FIRST, id"),
+):
+    _q(f"s01_cards_by_{_by}", _place(_order, "cards"), lambda k, by=_by: _placed(k, T.card_order(by, FIXED)), "cards")
+_q(
+    "s02_notes_by_ease",
+    _place("avg(factor) DESC, nid", "cards GROUP BY nid", "nid"),
+    lambda k: _placed(T.note_keys(k, "ease"), [c("key").desc(), c("nid")], "nid"),
+    "cards",
+)
+_q(
+    "s03_review_list",
+    _place("due, did, id", f"cards WHERE queue = 2 AND due <= {DAYS}"),
+    lambda k: _placed(T.review_list(k, "day_deck", FIXED), ["due", "did", "id"]),
+    "cards",
+)
+_q(
+    "s04_new_list",
+    _place("due, ord, id", "cards WHERE queue = 0"),
+    lambda k: _placed(T.new_list(k, "position"), ["due", "ord", "id"]),
+    "cards",
+)
 _q("s05_term_oldest", "SELECT id FROM (SELECT k.id, max(r.id) AS l FROM cards k LEFT JOIN reviews r ON r.cid = k.id GROUP BY k.id) ORDER BY l NULLS FIRST, id LIMIT 50", lambda k, r: T.term_order(k, r, "oldest_reviewed", FIXED, 50).select("id"), "cards", "reviews")
 _q("s06_forgotten", f"SELECT id FROM cards WHERE queue >= 0 AND odid = 0 AND id IN (SELECT cid FROM reviews WHERE ease = 1 AND id >= {(NEXT - 3 * 86400) * 1000})", lambda k, r: T.study_list(k, r, "forgotten", FIXED, 3).select("id"), "cards", "reviews")
 _q("s07_two_terms", "WITH a AS (SELECT id FROM cards WHERE type = 2 ORDER BY due, id LIMIT 20), b AS (SELECT id, due FROM cards WHERE lapses > 2 ORDER BY due, id LIMIT 40) SELECT id, row_number() OVER (ORDER BY due, id) AS position FROM cards WHERE id IN (SELECT id FROM a) UNION ALL SELECT id, 20 + row_number() OVER (ORDER BY due, id) FROM b WHERE id NOT IN (SELECT id FROM a)", lambda k: T.two_terms(k.where("type = 2").orderBy("due", "id").limit(20), k.where("lapses > 2").orderBy("due", "id").limit(40), [c("due"), c("id")], [c("due"), c("id")]), "cards")
-_q("s08_interleaved", "WITH a AS (SELECT id, row_number() OVER (ORDER BY id) AS p, count(*) OVER () AS n FROM cards WHERE type = 0), b AS (SELECT id, row_number() OVER (ORDER BY id) AS p, count(*) OVER () AS n FROM cards WHERE flags = 5 AND type <> 0) SELECT id, p / (n + 1) AS key, 0 AS which FROM a UNION ALL SELECT id, p / (n + 1), 1 FROM b", lambda k: T.interleaved(*[x.withColumn("position", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("id"))).select("id", "position") for x in (k.where("type = 0"), k.where("flags = 5 and type <> 0"))]), "cards")
+_q("s08_interleaved", "WITH a AS (SELECT id, row_number() OVER (ORDER BY id) AS p, count(*) OVER () AS n FROM cards WHERE type = 0), b AS (SELECT id, row_number() OVER (ORDER BY id) AS p, count(*) OVER () AS n FROM cards WHERE flags = 5 AND type <> 0) SELECT id, p / (n + 1) AS key, 0 AS which FROM a UNION ALL SELECT id, p / (n + 1), 1 FROM b", lambda k: T.interleaved(*[numbered(x.select("id"), ["id"], "position") for x in (k.where("type = 0"), k.where("flags = 5 and type <> 0"))]), "cards")
 _q("s09_completed_tags", "SELECT DISTINCT tag FROM notes WHERE regexp_matches(tag, '[^:]*e[^:]*::[^:]*1[^:]*', 'i') ORDER BY CASE WHEN starts_with(lower(tag), 'e::1') THEN 0 ELSE 1 END, lower(tag) LIMIT 10", lambda n: T.completed_tags(n, "e::1", 10), "notes")
 _q("s12_seeded_sample", None, lambda k: T.seeded_sample(k, "id", 25, 7).select("id"), "cards")
 _q("s13_stratified_sample", None, lambda k: T.stratified_sample(k, "did", "id", 3, 7).select("did", "id"), "cards")
@@ -105,7 +124,13 @@ _q("m02_last_writer_wins", "WITH l AS (SELECT id, mod, pending FROM notes WHERE
 _q("m03_without_graves", "SELECT id FROM notes WHERE id % 29 <> 0", lambda n: M.without_graves(n, n.where("id % 29 = 0").select(c("id").alias("oid"), F.lit(1).alias("type")), 1).select("id"), "notes")
 _q("m04_changed_since", "SELECT id FROM cards WHERE reps >= 8", lambda k: M.changed_since(k, 8, "reps").select("id"), "cards")
 _q("m05_merge_notes", "SELECT a.id, a.id AS guid, CASE WHEN b.id IS NULL THEN 'new' WHEN a.mid <> b.mid THEN 'conflicting' WHEN a.mod + a.id % 5 - 2 > b.mod THEN 'updated' ELSE 'duplicate' END AS status, a.id AS target, a.mod + a.id % 5 - 2 AS mod FROM notes a LEFT JOIN (SELECT id, CASE WHEN id % 7 = 0 THEN 99 ELSE mid END AS mid, mod FROM notes WHERE id % 3 <> 0) b ON a.id = b.id", lambda n: M.merge_notes(n.where("id % 3 <> 0").select("id", c("id").alias("guid"), F.when(c("id") % 7 == 0, 99).otherwise(c("mid")).alias("mid"), "mod"), n.select("id", c("id").alias("guid"), "mid", (c("mod") + c("id") % 5 - 2).alias("mod"))), "notes")
-_q("m06_without_collisions", "SELECT id, CASE WHEN id % 2 = 0 THEN (SELECT max(id) FROM notes) + row_number() OVER (PARTITION BY id % 2 ORDER BY id) ELSE id END AS new_id FROM notes WHERE id < 100", lambda n: M.without_collisions(n.where("id < 100").select("id"), n.where("id % 2 = 0 or id >= 100").select("id")), "notes")
+_q(
+    "m06_without_collisions",
+    "SELECT id, CASE WHEN id % 2 = 0 THEN (SELECT max(id) FROM notes) + row_number() OVER (PARTITION BY id % 2 ORDER BY id) ELSE id END AS new_id "
+    "FROM notes WHERE id % 3 <> 0",
+    lambda n: M.without_collisions(n.where("id % 3 <> 0").select("id"), n.where("id % 2 = 0 or id % 3 = 0").select("id")),
+    "notes",
+)
 _q("m07_import_cards", f"SELECT id, nid + 100000 AS nid, did + 50 AS did, ord, CASE WHEN queue IN (2, 3) THEN due + 5 ELSE due END AS due FROM cards WHERE nid % 2 = 0 AND did > 3 AND NOT (nid % 4 = 0 AND ord = 1)", lambda k: M.import_cards(k.where("nid % 4 = 0 and ord = 1").select((c("nid") + 100_000).alias("nid"), "ord"), k, k.where("nid % 2 = 0").select(c("nid").alias("old"), (c("nid") + 100_000).alias("new")).distinct(), k.where("did > 3").select(c("did").alias("old"), (c("did") + 50).alias("new")).distinct(), 5).select("id", "nid", "did", "ord", "due"), "cards")
 _q("m08_text_import", "WITH e AS (SELECT mid, front, min(id) AS f, count(*) AS n FROM notes WHERE id % 2 = 0 GROUP BY ALL) SELECT a.id AS line, CASE WHEN trim(a.front) = '' THEN 'empty_first_field' WHEN a.id % 10 = 0 THEN 'updated' WHEN f IS NULL THEN 'new' WHEN n > 1 THEN 'updated_first_of_many' ELSE 'updated' END AS outcome, CASE WHEN a.id % 10 = 0 THEN a.id ELSE f END AS target FROM notes a LEFT JOIN e ON e.mid = a.mid AND e.front = a.front", lambda n: M.text_import(n.where("id % 2 = 0").withColumn("guid", c("id").cast("string")), n.select(c("id").alias("line"), F.when(c("id") % 10 == 0, c("id").cast("string")).otherwise("none").alias("guid"), "mid", "front", "csum")), "notes")
 _q("m09_gathered_cards", "SELECT id FROM cards WHERE nid IN (SELECT id FROM notes WHERE mid = 3)", lambda n, k, e, r: M.gathered(n, k, e, r, c("mid") == 3)["cards"].select("id"), "notes", "cards", "decks", "reviews")

@@ -93,12 +93,21 @@ def live_due(events: DataFrame, cards: DataFrame) -> DataFrame:
     return events.where("ease > 0").join(home, "cid").groupBy("deck").agg(F.count("*").alias("answers"))
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its output: append mode to Parquet, complete mode to memory."""
+def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", key: list[str] | None = None, newest: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns its output, written as Parquet: rows as they come in append mode, the
+    last version of all rows in complete mode, the newest row of each key in update mode (the one with the largest `newest`).
+    """
     spark = stream.sparkSession
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        writer.format("parquet").option("path", path).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(path)
-    name = "t" + str(abs(hash(checkpoint)))
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    # one folder for each micro-batch: a batch that runs again replaces its own
+    query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")).start()
+    query.awaitTermination()
+    if not query.lastProgress:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={query.lastProgress['batchId']}")
+    rows = spark.read.schema(stream.schema).parquet(f"{path}/batch=*")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), newest).alias("row")).select("row.*")
