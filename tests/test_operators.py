@@ -6,12 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators.ranks import numbered
 from tidepool.context import FIXED
 from tidepool.functions import scalars as S
-from tidepool.operators import corpus, memory, merge, quality, topics
+from tidepool.operators import corpus, hierarchy, memory, merge, quality, topics
 from tidepool.operators import leakage as L
 from tidepool.operators import predicates as P
+from tidepool.operators.ranks import numbered
 from tidepool.sources import notes_io as IO
 from tidepool.streaming import model
 
@@ -231,3 +231,13 @@ def test_text_scan_profile(spark, tmp_path):
     assert layout.delimiter == "\t" and layout.is_html and layout.tags_column == 2
     rows = IO.map_note_columns(IO.read_notes_csv(spark, str(tmp_path / "n.txt"), layout), layout).collect()
     assert [(r["flds"], r["tags"]) for r in rows] == [(["foo", "<b>bar</b>"], ["x", "y"]), (["short", ""], [])]
+
+
+def test_deep_clozes_and_deep_decks(spark):
+    text = "".join(f"{{{{c{i}::" for i in range(1, 7)) + "core" + "}}" * 6 + " {{c7::flat::hint}} {{c8::x}}"
+    df = spark.createDataFrame([(text,), ("none",), (None,)], "t string")
+    assert [r[0] for r in df.select(S.strip_cloze(F.col("t"))).collect()] == ["core flat x", "none", None]
+    rows = [("::".join("d" * 1 for _ in range(n)), 0, 1, 1, 100 - n, 100) for n in range(1, 15)]
+    decks = spark.createDataFrame(rows, "name string, interday long, review long, new long, review_cap long, new_cap long")
+    got = {r["level"]: (r["review"], r["new"]) for r in hierarchy.capped_roll_up(decks, "name", "::").collect()}
+    assert got == {n: (15 - n, 15 - n) for n in range(1, 15)}

@@ -127,12 +127,11 @@ def drop_control(text: Column) -> Column:
 _CLOZE = r"(?s)\{\{c(\d+)::(.*?)(?:::[^{}]*?)?\}\}"
 
 
-def strip_cloze(text: Column, depth: int = 3) -> Column:
-    """The text of cloze deletions without their marks; nesting to `depth`."""
+def strip_cloze(text: Column) -> Column:
+    """The text of cloze deletions without their marks, the innermost first, however deep they are nested."""
     inner = r"(?s)\{\{c\d+::((?:(?!\{\{c\d+::|\}\}|::).)*)(?:::(?:(?!\{\{|\}\}).)*)?\}\}"
-    for _ in range(depth):
-        text = F.regexp_replace(text, inner, "$1")
-    return text
+    opened = F.regexp_count(text, F.lit(r"\{\{c\d+::"))
+    return F.when(opened == 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), opened), text, lambda t, _: F.regexp_replace(t, inner, "$1")))
 
 
 def cloze_numbers(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import ancestors, parent
+from tidepool.sources.shared import kept
 
 c = F.col
 
@@ -23,18 +24,16 @@ def rolled_up(counts: DataFrame, name: str, values: list[str], separator: str) -
     return each.groupBy(name).agg(*[F.sum(v).alias(v) for v in values])
 
 
-def capped_roll_up(decks: DataFrame, name: str, separator: str, depth: int = 10) -> DataFrame:
+def capped_roll_up(decks: DataFrame, name: str, separator: str) -> DataFrame:
     """Review and new counts under the caps of every ancestor: rows (name, interday, review, new, review_cap, new_cap).
 
     Interday learning goes first and uses the review cap, then reviews, then new cards, which the review cap holds too.
-    Level by level from the deepest, over the deck dimension only.
+    Level by level from the deepest, over the deck dimension only; trees of any depth.
     """
     level = decks.withColumn("level", F.size(F.split(name, separator))).withColumn("parent", parent(c(name), separator))
     done = None
     below = None
     top = level.agg(F.max("level")).first()[0] or 0
-    if top > depth:
-        raise ValueError(f"{top} levels; at most {depth}")
     for n in range(top, 0, -1):
         now = level.where(c("level") == n)
         if below is not None:
@@ -44,6 +43,8 @@ def capped_roll_up(decks: DataFrame, name: str, separator: str, depth: int = 10)
             now = now.withColumn(v, c(v) + (F.coalesce(c(f"below_{v}"), F.lit(0)) if below is not None else F.lit(0)))
         now = now.withColumn("interday", F.least("interday", "review_cap")).withColumn("review", F.least("review", c("review_cap") - c("interday")))
         now = now.withColumn("new", F.least("new", "new_cap", c("review_cap") - c("interday") - c("review"))).select(name, "parent", "level", "interday", "review", "new")
+        if (top - n) % 8 == 7:
+            now = kept(now)  # deep trees: the plan does not grow with every level
         done = now if done is None else done.union(now)
         below = now
     return done if done is not None else level.select(name, "parent", "level", "interday", "review", "new")

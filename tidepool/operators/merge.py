@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool import context as C
-from tidepool.operators.ranks import numbered
 from tidepool.functions.scalars import due_range, normal_tag, reparented, stable_order
 from tidepool.operators.hierarchy import ancestors
+from tidepool.operators.ranks import numbered
 
 c = F.col
 
@@ -222,7 +222,9 @@ def renamed_media(notes: DataFrame, names: dict[str, str], fields: str = "flds")
 
 def with_rewritten_schema(notes: DataFrame, cards: DataFrame, field_order: list[int | None], templates: list[int | None]) -> tuple[DataFrame, DataFrame]:
     """A notetype's new order: old places of its fields, old ordinals of its templates (None: new)."""
-    return changed_notetype(notes, cards, field_order, {old: new for new, old in enumerate(templates) if old is not None}, 0)[0].withColumn("mid", notes["mid"]), changed_notetype(notes, cards, field_order, {old: new for new, old in enumerate(templates) if old is not None}, 0)[1]
+    places = {old: new for new, old in enumerate(templates) if old is not None}
+    changed, moved = changed_notetype(notes.withColumn("__mid", c("mid")), cards, field_order, places, 0)
+    return changed.withColumn("mid", c("__mid")).drop("__mid"), moved
 
 
 def tag_parents_case(notes: DataFrame, registered: DataFrame, tags: str = "tags") -> DataFrame:

@@ -26,4 +26,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return enter
 
 
-from tidepool.plans import corpus_queries, memory_queries, predicate_queries, stats_queries, stream_queries, table_queries  # noqa: E402, F401  they register themselves
+from tidepool.plans import corpus_queries, memory_queries, predicate_queries, stats_queries, stream_queries, table_queries, text_queries  # noqa: E402, F401  they register themselves
