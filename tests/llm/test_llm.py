@@ -395,6 +395,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert collections.Counter(bytes(r["header"] + r["block"]) + b"\r\n\r\n" for r in files) == collections.Counter(bytes(r["record"]) for r in WS.record_bytes(spark, path).collect())
 
 
+@pytest.mark.parametrize("most_shared", [10, 0])
+def test_warc_repeats_and_damage(spark, tmp_path, most_shared):
+    """Repeated rows keep their records; a damaged or lost payload shows and loses no page."""
+    pages = [(1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (3, "u", "own"), (4, "u", "lost"), (None, None, "none")]
+    path = f"file://{tmp_path}/archive"
+    WS.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), path, most_shared=most_shared)
+    stored = spark.read.parquet(f"{path}/payloads")
+    assert stored.count() == stored.select("sha256").distinct().count() == 4
+    got = collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["verified"]) for r in WS.read_archive(spark, path).collect())
+    assert got == {(1, "revisit", 2, True): 1, (2, "response", None, True): 2, (3, "response", None, True): 1, (4, "response", None, True): 1, (None, "response", None, True): 1}
+    text = F.decode("payload", "UTF-8")
+    damaged = stored.where(text != "lost").withColumn("payload", F.encode(F.when(text == "own", "0wn").otherwise(text), "UTF-8"))
+    damaged.write.parquet(f"file://{tmp_path}/other/payloads")
+    spark.read.parquet(f"{path}/headers").write.parquet(f"file://{tmp_path}/other/headers")
+    bad = {r["page_id"]: r["verified"] for r in WS.read_archive(spark, f"file://{tmp_path}/other").collect()}
+    assert bad == {1: True, 2: True, 3: False, 4: False, None: True}
+
+
 def brute_targets(sizes, weights, most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}

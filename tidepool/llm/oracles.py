@@ -31,7 +31,7 @@ d AS (SELECT page_id, html, payload_bytes, array_to_string(list_transform(range(
                   + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest FROM b),
 r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS f FROM d)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to FROM r
+       CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to, true AS verified FROM r
 """
 
 OP10_DECONTAMINATION = r"""

@@ -46,7 +46,7 @@ def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archived(table(spark, sf_dir, "pages")).where("verified").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archived(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 VERSION = "WARC/1.1"
 _DATE = "2024-01-31T00:00:00Z"
@@ -56,29 +56,56 @@ def revisit_column() -> Column:
     return F.col("record_type") == "revisit"
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes the two tables of an archive in one pass over the records."""
+def write_archive(pages: DataFrame, path: str, least: int = 0, most_shared: int = 1_000_000) -> None:
+    """Writes the two tables of an archive.
+
+    Payloads that one page has are written where they are read; only copies are shuffled, to keep one of each. For that the
+    digests that copies share go to all tasks if they are at most `most_shared` (64 bytes each); beyond, all payloads are shuffled.
+    """
     rows = records(pages, least)
     rows.select("page_id", "record_type", "refers_to", "sha256", "payload_digest", "payload_bytes", "header").write.parquet(f"{path}/headers")
-    raw = pages.select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    stored = raw.select(F.sha2("payload", 256).alias("sha256"), "payload").dropDuplicates(["sha256"])
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    raw = pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload"))
+    copies = materialize(pages.sparkSession.read.parquet(f"{path}/headers").groupBy("sha256").count().where("count > 1").select("sha256"), "copies")
+    if copies.count() <= most_shared:
+        shared = F.broadcast(copies)
+        stored = raw.join(shared, "sha256", "left_anti").union(raw.join(shared, "sha256", "left_semi").dropDuplicates(["sha256"]))
+    else:
+        stored = raw.dropDuplicates(["sha256"])
     stored.write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive, parsed from their own header bytes and verified against their payloads."""
+    """The records of an archive, put together from header and payload bytes, parsed from their own bytes and verified.
+
+    Responses meet their payloads; length and digests are computed from the block that the record's Content-Length cuts out.
+    Revisits are headers alone; they take length and digest from the response that holds their payload. A record whose
+    bytes do not agree, or whose payload is missing, stays with verified false.
+    """
     headers, payloads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    proven = payloads.where(F.sha2("payload", 256) == F.col("sha256")).select("sha256", F.octet_length("payload").cast("long").alias("stored_bytes"), base32_sha1(F.col("payload")).alias("stored_digest"))
+    end = F.encode(F.lit("\r\n\r\n"), "UTF-8")
+    whole = headers.where("record_type <> 'revisit'").select("sha256", "header").join(payloads, "sha256", "left")
+    record = whole.select("sha256", F.concat("header", F.coalesce("payload", F.encode(F.lit(""), "UTF-8")), end).alias("record"))
+    head = F.length(F.substring_index(F.decode("record", "ISO-8859-1"), "\r\n\r\n", 1)) + 4  # a character for each byte
+    cut = record.withColumn("head", head).withColumn("size", _field(F.decode(F.expr("substring(record, 1, head)"), "UTF-8"), "Content-Length").try_cast("int"))
+    block = cut.select("sha256", F.expr("substring(record, 1, head)").alias("header"), F.expr("substring(record, head + 1, size)").alias("block"), F.expr("substring(record, head + size + 1)").alias("rest"))
+    sound = (F.sha2("block", 256) == F.col("sha256")) & (F.col("rest") == end)
+    read = block.select("sha256", "header", F.octet_length("block").cast("long").alias("payload_bytes"), base32_sha1(F.col("block")).alias("digest"), F.coalesce(sound, F.lit(False)).alias("sound"))
+    read = materialize(read, "responses")
+    proven = read.groupBy("sha256").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("digest").alias("digest"), F.bool_and("sound").alias("sound"))
+    revisits = headers.where("record_type = 'revisit'").select("sha256", "header").join(proven, "sha256", "left").select(*read.columns)
     text = F.decode("header", "UTF-8")
-    field = lambda name: F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
-    number = lambda name: F.regexp_extract(field(name), r"page:(-?\d+)>", 1).try_cast("long")
-    parsed = headers.select(
-        "sha256", number("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"), field("Content-Length").cast("long").alias("content_bytes"),
+    number = lambda name: F.regexp_extract(_field(text, name), r"page:(-?\d+)>", 1).try_cast("long")
+    parsed = read.union(revisits).select(
+        number("WARC-Record-ID").alias("page_id"), _field(text, "WARC-Target-URI").alias("url"), "payload_bytes", F.regexp_replace(_field(text, "WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+        _field(text, "WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"), "digest", "sound", _field(text, "Content-Length").try_cast("long").alias("length"),
     )
-    whole = parsed.join(proven, "sha256", "left")
-    ok = (F.col("stored_digest") == F.col("payload_digest")) & (F.col("content_bytes") == F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("stored_bytes")))
-    return whole.select("page_id", "url", F.col("stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.coalesce(ok, F.lit(False)).alias("verified"))
+    ok = F.col("sound") & (F.col("digest") == F.col("payload_digest")) & (F.col("length") == F.when(revisit_column(), 0).otherwise(F.col("payload_bytes")))
+    return parsed.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce(ok, F.lit(False)).alias("verified"))
+
+
+def _field(text: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(text, rf"\r\n{name}: ([^\r\n]*)\r\n", 1), F.lit(""))
 
 
 def record_bytes(spark: SparkSession, path: str) -> DataFrame:
