@@ -105,8 +105,8 @@ def answer_hits(items: DataFrame, docs: DataFrame, least_length: int = 4) -> Dat
     """(item_id, n): documents that hold an item's answer as a word or run of words; counted, not graded."""
     asked = items.select("item_id", leak_normal(c("answer")).alias("a")).where(F.length("a") >= least_length).withColumn("term", F.substring_index("a", " ", 1))
     told = docs.select("surface", "id", leak_normal(c("text")).alias("t"))
-    held = told.select("surface", "id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("term"))
-    hit = held.join(asked, "term").where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" "))))
+    held = told.select("surface", "id", F.explode(F.array_distinct(F.split("t", " "))).alias("term"))  # words without their text
+    hit = held.join(asked, "term").join(told, ["surface", "id"]).where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" "))))
     return hit.groupBy("item_id").agg(F.count("*").alias("n"))
 
 

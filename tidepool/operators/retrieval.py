@@ -84,8 +84,9 @@ def grounded(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     """Answers (query_id, answer) that some chunk of the whole corpus holds: by their first word's postings, then the text."""
     asked = answers.select("query_id", leak_normal(c("answer")).alias("a")).where("a <> ''").withColumn("term", F.substring_index("a", " ", 1))
     told = chunks.select("chunk_id", leak_normal(c("text")).alias("t"))
-    held = told.select("chunk_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("term"))
-    return asked.join(held, "term").where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" ")))).select("query_id").distinct()
+    held = told.select("chunk_id", F.explode(F.array_distinct(F.split("t", " "))).alias("term"))  # words without their text
+    met = asked.join(held, "term").join(told, "chunk_id")
+    return met.where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" ")))).select("query_id").distinct()
 
 
 def arm_summary(attempts: DataFrame) -> DataFrame:

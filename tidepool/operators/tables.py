@@ -62,12 +62,14 @@ def by_first_field(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def first_rule(notes: DataFrame, rules: DataFrame, name: str = "tag", separator: str = "::") -> DataFrame:
     """The first rule (rule_no, rule_tag, rule_deck) whose tag is the note's or a namespace above, with a matching deck.
 
-    A note's tag prefixes are exploded and equi-joined; the least rule number wins. Notes without a rule have nulls.
+    A note's tag prefixes are exploded and equi-joined; the least rule number wins. Notes are read once, in one row an id; those
+    without a rule have nulls.
     """
-    up = notes.select("id", F.col("deck"), F.explode(ancestors(c(name), separator)).alias("prefix"))
-    met = up.join(rules, up["prefix"] == c("rule_tag")).where(c("rule_deck").isNull() | (c("deck") == c("rule_deck")))
-    first = met.groupBy("id").agg(F.min_by(F.struct("rule_no", "section", "topic"), "rule_no").alias("rule"))
-    return notes.join(first, "id", "left").select(*[n for n in notes.columns], "rule.rule_no", "rule.section", "rule.topic")
+    up = notes.withColumn("__prefix", F.explode_outer(ancestors(c(name), separator)))
+    fits = (c("__prefix") == c("rule_tag")) & (c("rule_deck").isNull() | (c("deck") == c("rule_deck")))
+    rest = [F.any_value(n).alias(n) for n in notes.columns if n != "id"]
+    first = up.join(rules, fits, "left").groupBy("id").agg(F.min_by(F.struct("rule_no", "section", "topic"), "rule_no").alias("__rule"), *rest)
+    return first.select(*notes.columns, *[c(f"__rule.{n}").alias(n) for n in ("rule_no", "section", "topic")])
 
 
 def siblings(cards: DataFrame, queues: list[int]) -> DataFrame:
