@@ -10,6 +10,7 @@ from tidepool.context import FIXED
 from tidepool.operators import calibration as K
 from tidepool.operators import memory as M
 from tidepool.operators import topics as TP
+from tidepool.plans import memory_sql as SQL
 from tidepool.plans.registry import register
 from tidepool.sources.fixtures import view, with_tags
 
@@ -24,11 +25,29 @@ def _kept(spark: SparkSession, d: str, **how) -> DataFrame:
 register("f01_histories", f"SELECT cid, list_transform(list_sort(list(struct_pack(id := id, event_id := event_id))), lambda x: x.event_id) AS events, count(*) AS n FROM reviews GROUP BY cid")(
     lambda spark, d: M.histories(view(spark, d, "reviews"), FIXED).select("cid", F.transform("revs", lambda e: e["event_id"]).alias("events"), F.size("revs").cast("long").alias("n"))
 )
-register("f02_usable_histories")(lambda spark, d: _kept(spark, d).select("cid", "complete", F.size("kept").alias("n"), F.transform("kept", lambda e: e["delta_t"]).alias("gaps")))
-register("f03_training_items")(lambda spark, d: M.training_items(_kept(spark, d, training=True)))
-register("f04_memory_states")(lambda spark, d: M.memory_states(_kept(spark, d)))
-register("f06_card_memory")(lambda spark, d: M.card_memory(view(spark, d, "cards"), view(spark, d, "reviews"), view(spark, d, "decks"), FIXED, {p: (M.DEFAULT_W, 0.85 + 0.02 * p) for p in range(5)}))
-register("f07_predictions")(lambda spark, d: M.predictions(_kept(spark, d)))
+register("f02_usable_histories", SQL.USABLE)(
+    lambda spark, d: _kept(spark, d).select("cid", "complete", F.size("kept").alias("n"), F.transform("kept", lambda e: e["delta_t"]).alias("gaps"))
+)
+
+
+@register("f03_training_items", SQL.TRAINING)
+def training_items(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.array_join(F.transform("reviews", lambda r: F.concat_ws(":", r["rating"].cast("string"), r["delta_t"].cast("string"))), " ")
+    return M.training_items(_kept(spark, d, training=True)).withColumn("reviews", shown)
+
+
+def _rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) for n in names})
+
+
+register("f04_memory_states", SQL.STATES)(lambda spark, d: _rounded(M.memory_states(_kept(spark, d)), 6, "stability", "difficulty"))
+register("f06_card_memory", SQL.card_memory("(0.85 + 0.02 * preset)"))(
+    lambda spark, d: _rounded(
+        M.card_memory(view(spark, d, "cards"), view(spark, d, "reviews"), view(spark, d, "decks"), FIXED, {p: (M.DEFAULT_W, 0.85 + 0.02 * p) for p in range(5)}),
+        6, "stability", "difficulty",
+    )
+)
+register("f07_predictions", SQL.PREDICTIONS)(lambda spark, d: _rounded(M.predictions(_kept(spark, d)), 9, "p"))
 register("f15_chosen_days")(lambda spark, d: M.chosen_days(view(spark, d, "cards"), FIXED, (1, 1, 0.5, 1, 1, 1, 0.1)))
 
 _CASES = "SELECT event_id, collection_id, pred AS p, CASE WHEN ease >= 2 THEN 1 ELSE 0 END AS y FROM reviews"

@@ -92,4 +92,7 @@ def duck(body: str) -> str:
 
     need(body)
     ctes = ", ".join(f"{n} AS ({_filled(n, _DUCK)})" for n in needed)
-    return f"WITH {ctes} {body}" if ctes and not body.lstrip().upper().startswith("WITH") else f"WITH {ctes}, {body.lstrip()[4:].lstrip()}" if ctes else body
+    if not ctes:
+        return body
+    head, rest = ("WITH RECURSIVE", body.lstrip()[14:]) if body.lstrip().upper().startswith("WITH RECURSIVE") else ("WITH", body.lstrip()[4:] if body.lstrip().upper().startswith("WITH") else None)
+    return f"{head} {ctes}, {rest.lstrip()}" if rest is not None else f"{head} {ctes} {body}"
