@@ -497,9 +497,9 @@ def test_toxicity_search_is_exact_and_learns(spark):
         assert [s for s, _ in got] == pytest.approx([s for s, _ in want[: len(got)]])
     tied = TX.Index([{0: 1.0}] * 300 + [{1: 1.0}], np.zeros(301))
     assert len(tied.nearest({0: 1.0}, 10)) == 300
-    read, add = [], TX.Index._add
+    read, scored = [], TX.Index._scored
     far = TX.Index([{0: 1.0}] * 5 + [{0: 0.1, i: 0.99} for i in range(1, 5000)], np.zeros(5004))
-    far._add = lambda score, terms, blocks: (read.extend(blocks), add(far, score, terms, blocks))
+    far._scored = lambda entries, weight, blocks: (read.extend(np.flatnonzero(blocks)), scored(far, entries, weight, blocks))[1]
     assert len(far.nearest({0: 1.0}, 5)) == 5 and len(read) <= 8  # blocks below the fifth best stay unread
     rows = [(i, f"plain words of text {rng.randrange(50)} and more " + ("you awfulword" if i % 5 == 0 else "friend"), i % 5 == 0) for i in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")

@@ -69,51 +69,69 @@ class Terms(dict):
 
 
 class Index:
-    """Block-max inverted index of unit vectors: per term its examples and weights by block, and the largest weight per block."""
+    """Block-max inverted index of unit vectors. Postings lie by term and example; an entry is a term's stretch of postings in
+    one block of examples, with the largest weight there."""
 
     def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray) -> None:
         self.labels, self.n = labels, len(vectors)
         self.blocks = -(-self.n // BLOCK)
-        by: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                by.setdefault(t, []).append((i, w))
-        self.postings: dict[int, tuple[np.ndarray, ...]] = {}
-        for t, found in by.items():
-            at, w = np.array([f[0] for f in found]), np.array([f[1] for f in found])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = at, w, block, np.append(first, len(at)), np.maximum.reduceat(w, first)
+        sizes = [len(v) for v in vectors]
+        term = np.fromiter((t for v in vectors for t in v), dtype=np.int64, count=sum(sizes))
+        weight = np.fromiter((w for v in vectors for w in v.values()), dtype=np.float64, count=sum(sizes))
+        example = np.repeat(np.arange(self.n), sizes)
+        order = np.lexsort((example, term))
+        term, self.at, self.weight = term[order], example[order], weight[order]
+        new = (np.diff(term, prepend=-1) != 0) | (np.diff(self.at // BLOCK, prepend=-1) != 0)
+        first = np.flatnonzero(new)
+        self.entry = np.append(first, len(term))  # where the postings of each entry begin
+        self.block = self.at[first] // BLOCK
+        self.top = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.terms, of_term = np.unique(term[first], return_index=True)
+        self.of_term = np.append(of_term, len(first))  # where the entries of each term begin
 
     def nearest(self, query: dict[int, float], k: int, first: int = 8) -> list[tuple[float, int]]:
         """(similarity, example) of the k most similar examples with a positive cosine, and of all that tie with the last of them.
 
         The blocks with the highest bounds are scored first; of the others only those whose bound reaches the k-th best so
-        far are read, `first` and then twice as many at a time.
+        far are read, `first` and then four times as many at a time.
         """
-        terms = [(w, *self.postings[t]) for t, w in query.items() if t in self.postings]
-        if not terms:
+        asked = np.fromiter(query, dtype=np.int64, count=len(query))
+        weight = np.fromiter(query.values(), dtype=np.float64, count=len(query))
+        spot = np.searchsorted(self.terms, asked)
+        known = spot < len(self.terms)
+        known[known] = self.terms[spot[known]] == asked[known]
+        spot, weight = spot[known], weight[known]
+        entries, by = _ranges(self.of_term[spot], self.of_term[spot + 1])
+        if not len(entries):
             return []
-        bound = np.bincount(np.concatenate([x[3] for x in terms]), np.concatenate([x[0] * x[5] for x in terms]), self.blocks)
+        weight = weight[by]
+        bound = np.bincount(self.block[entries], weight * self.top[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
         score, done, least = np.zeros(self.n), 0, 0.0
         while done < len(order) and bound[order[done]] >= least - 1e-9:
-            some = order[done : done + first]
-            some = some[bound[some] >= least - 1e-9]
-            self._add(score, terms, np.sort(some))
-            done, first = done + first, 2 * first
+            some = np.zeros(self.blocks, dtype=bool)
+            some[order[done : done + first]] = True
+            some &= bound >= least - 1e-9
+            score += self._scored(entries, weight, some)
+            done, first = done + first, 4 * first
             positive = score[score > 0]
             least = np.partition(positive, -k)[-k] if len(positive) >= k else 0.0
         hits = np.flatnonzero((score > 0) & (score >= least - 1e-9))
         return sorted(zip(score[hits].tolist(), hits.tolist(), strict=True), key=lambda x: (-x[0], x[1]))
 
-    def _add(self, score: np.ndarray, terms: list[tuple], blocks: np.ndarray) -> None:
-        """Adds what the terms give to the examples of these blocks; only their postings are read."""
-        for weight, at, w, block, first, _ in terms:
-            spot = np.searchsorted(block, blocks)
-            spot = spot[spot < len(block)] if len(spot) and spot[-1] >= len(block) else spot
-            spot = spot[block[spot] == blocks[: len(spot)]]
-            for lo, hi in zip(first[spot], first[spot + 1], strict=True):
-                score[at[lo:hi]] += weight * w[lo:hi]
+    def _scored(self, entries: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """What these entries give to the examples of these blocks; no other postings are read."""
+        inside = blocks[self.block[entries]]
+        own = entries[inside]
+        postings, by = _ranges(self.entry[own], self.entry[own + 1])
+        return np.bincount(self.at[postings], weight[inside][by] * self.weight[postings], self.n)
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges first..end-1, one after another, and the range each belongs to."""
+    sizes = end - first
+    by = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(sizes.sum()) + (first - (np.cumsum(sizes) - sizes))[by], by
 
 
 def unit(counts: Counter[int], weight: np.ndarray) -> dict[int, float]:
