@@ -114,4 +114,6 @@ register("sf25_jaccard", f"WITH w AS (SELECT doc_id, list_distinct({_split(_NORM
 register("sf29_fuzz_bounds", "SELECT id, CASE WHEN high = low AND high > 2 AND high < 36500 THEN low ELSE low END AS low, CASE WHEN high = low AND high > 2 AND high < 36500 THEN high + 1 ELSE high END AS high FROM (SELECT id, least(greatest(CAST(round(ivl - delta) AS INT), 1), 36500) AS low, least(greatest(CAST(round(ivl + delta) AS INT), 1), 36500) AS high FROM (SELECT id, ivl, CASE WHEN ivl < 2.5 THEN 0 ELSE 1 + greatest(least(ivl, 7) - 2.5, 0) * 0.15 + greatest(least(ivl, 20) - 7, 0) * 0.1 + greatest(ivl - 20, 0) * 0.05 END AS delta FROM cards))")(
     lambda spark, d: (lambda b: view(spark, d, "cards").select("id", b[0].alias("low"), b[1].alias("high")))(S.fuzz_bounds(c("ivl").cast("double")))
 )
-register("sf22_time_span")(lambda spark, d: view(spark, d, "reviews").select("event_id", S.time_span(c("time_ms") * 3).alias("span")))
+_UNITS = ((365 * 86400, "y", True), (30 * 86400, "mo", True), (86400, "d", False), (3600, "h", False), (60, "m", False))
+_SPANS = " ".join(f"WHEN x >= {u} THEN " + (f"printf('%.1f{n}', x / {u})" if tenths else f"printf('%d{n}', CAST(round(x / {u}) AS BIGINT))") for u, n, tenths in _UNITS)
+register("sf22_time_span", f"SELECT event_id, CASE {_SPANS} ELSE printf('%ds', x) END AS span FROM (SELECT event_id, time_ms * 3 AS x FROM reviews)")(lambda spark, d: view(spark, d, "reviews").select("event_id", S.time_span(c("time_ms") * 3).alias("span")))

@@ -48,7 +48,7 @@ register("f06_card_memory", SQL.card_memory("(0.85 + 0.02 * preset)"))(
     )
 )
 register("f07_predictions", SQL.PREDICTIONS)(lambda spark, d: _rounded(M.predictions(_kept(spark, d)), 9, "p"))
-register("f15_chosen_days")(lambda spark, d: M.chosen_days(view(spark, d, "cards"), FIXED, (1, 1, 0.5, 1, 1, 1, 0.1)))
+register("f15_chosen_days", SQL.chosen_days((1, 1, 0.5, 1, 1, 1, 0.1)))(lambda spark, d: M.chosen_days(view(spark, d, "cards"), FIXED, (1, 1, 0.5, 1, 1, 1, 0.1)))
 
 _CASES = "SELECT event_id, collection_id, pred AS p, CASE WHEN ease >= 2 THEN 1 ELSE 0 END AS y FROM reviews"
 _GRID = f"g AS (SELECT CAST(floor(p * 1000 + 0.5) AS INT) AS g, count(*) AS n, sum(p) AS sum_p, CAST(sum(y) AS BIGINT) AS sum_y FROM ({_CASES}) GROUP BY 1)"

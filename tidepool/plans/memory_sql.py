@@ -101,3 +101,31 @@ def card_memory(retention: str) -> str:
         f"WITH RECURSIVE {per}, {joined}, {_fold('retention')} SELECT h.id, preset, round(coalesce(s, CASE WHEN {seeded} THEN {s0} END), 6) AS stability, "
         f"round(coalesce(d, CASE WHEN {seeded} THEN {d0} END), 6) AS difficulty, retention AS desired_retention FROM h LEFT JOIN {last} l ON l.cid = h.id"
     )
+
+
+#: The stream's states: answers in order of time, days of UTC, no history cut away.
+LIVE = (
+    "WITH RECURSIVE a AS (SELECT user_id AS cid, event_id, ts, floor(epoch(ts) / 86400) AS day, "
+    "CASE event_type WHEN 'error' THEN 1.0 WHEN 'view' THEN 2.0 WHEN 'click' THEN 3.0 ELSE 4.0 END AS rating FROM events WHERE event_type IN ('error', 'view', 'click', 'purchase')), "
+    "kept AS (SELECT cid, row_number() OVER w AS i, event_id AS id, event_id, CAST(rating AS DOUBLE) AS rating, CAST(coalesce(day - lag(day) OVER w, 0) AS DOUBLE) AS delta_t, "
+    "0 AS factor, 1 AS ivl, true AS complete FROM a WINDOW w AS (PARTITION BY cid ORDER BY ts, event_id)), "
+    f"{_fold('0.9')} SELECT cid, round(s, 6) AS stability, round(d, 6) AS difficulty, i AS reviews FROM states JOIN (SELECT cid, max(i) AS i FROM kept GROUP BY cid) USING (cid, i)"
+)
+
+_FUZZED = (
+    "SELECT id, nid, ivl, CASE WHEN ivl < 2.5 THEN 0 ELSE 1 + greatest(least(ivl, 7) - 2.5, 0) * 0.15 + greatest(least(ivl, 20) - 7, 0) * 0.1 + greatest(ivl - 20, 0) * 0.05 END AS delta "
+    "FROM cards WHERE type = 2 AND queue = 2"
+)
+
+
+def chosen_days(factors: tuple[float, ...]) -> str:
+    """The day of each review card's fuzz range with the largest weight; of equal ones the nearest."""
+    weekday = "CASE (ahead + %d) %% 7 " % FIXED.days_elapsed + " ".join(f"WHEN {i} THEN {float(x)}" for i, x in enumerate(factors)) + " END"
+    return (
+        f"WITH f AS ({_FUZZED}), b AS (SELECT id, nid, least(greatest(CAST(round(ivl - delta) AS INT), 1), 36500) AS low, least(greatest(CAST(round(ivl + delta) AS INT), 1), 36500) AS high FROM f), "
+        "d AS (SELECT id, nid, CAST(unnest(range(low, CASE WHEN high = low AND high > 2 AND high < 36500 THEN high + 1 ELSE high END + 1)) AS INT) AS ahead FROM b), "
+        "live AS (SELECT id, nid, due FROM cards WHERE type = 2 AND queue = 2), l AS (SELECT due, count(*) AS load FROM live GROUP BY 1), "
+        f"w AS (SELECT id, ahead, {weekday} * CASE WHEN EXISTS (SELECT 1 FROM live o WHERE o.nid = d.nid AND o.id <> d.id AND o.due = d.ahead + {FIXED.days_elapsed}) THEN 0.1 ELSE 1.0 END "
+        f"/ pow(coalesce(load, 0) + 1, 2) / ahead AS weight FROM d LEFT JOIN l ON l.due = d.ahead + {FIXED.days_elapsed}) "
+        "SELECT id, arg_max(ahead, (weight, -ahead)) AS ahead, max(weight) AS weight, count(*) AS choices FROM w GROUP BY id"
+    )

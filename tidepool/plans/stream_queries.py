@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.context import FIXED
+from tidepool.plans.memory_sql import LIVE
 from tidepool.plans.registry import register
 from tidepool.sources import notes_io as IO
 from tidepool.sources.fixtures import view, with_tags
@@ -29,7 +30,11 @@ register("st1_once", "SELECT event_id FROM events")(lambda spark, d: _run(spark,
 register("st2_study_days", f"SELECT {_AT} AS day, count(*) AS answers, sum(CAST(floor(value * 100) AS BIGINT)) / 1000.0 AS seconds FROM events WHERE event_type <> 'signup' GROUP BY 1")(lambda spark, d: _run(spark, ST.study_days(_events(spark, d))).select(c("day.start").cast("timestamp_ntz").alias("day"), "answers", "seconds"))
 register("st3_sliding_retention", f"SELECT {_AT} - to_days(CAST(k AS INTEGER)) AS week, count(*) AS answers, count(*) FILTER (event_type <> 'error') AS passed FROM events, range(0, 7) r(k) WHERE event_type <> 'signup' GROUP BY 1")(lambda spark, d: _run(spark, ST.sliding_retention(_events(spark, d))).select(c("week.start").cast("timestamp_ntz").alias("week"), "answers", "passed"))
 register("st4_sessions", "WITH e AS (SELECT user_id AS cid, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WHERE event_type <> 'signup'), g AS (SELECT *, sum(s) OVER (PARTITION BY cid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT cid, min(ts) AS start, count(*) AS answers FROM g GROUP BY cid, n")(lambda spark, d: _run(spark, ST.sessions(_events(spark, d))).select("cid", c("session.start").cast("timestamp_ntz").alias("start"), "answers"))
-register("st5_live_memory")(lambda spark, d: _run(spark, ST.live_memory(_events(spark, d)), "update", key=["cid"], newest="reviews"))
+register("st5_live_memory", LIVE)(
+    lambda spark, d: _run(spark, ST.live_memory(_events(spark, d)), "update", key=["cid"], newest="reviews").withColumns(
+        {n: F.round(n, 6) for n in ("stability", "difficulty")}
+    )
+)
 register("st7_live_due", "SELECT CASE WHEN odid <> 0 THEN odid ELSE did END AS deck, count(*) AS answers FROM events e JOIN cards k ON k.id = e.user_id WHERE event_type <> 'signup' GROUP BY 1")(lambda spark, d: _run(spark, ST.live_due(_events(spark, d), view(spark, d, "cards"))))
 
 

@@ -171,7 +171,8 @@ def _capped(decks: DataFrame, cards: DataFrame) -> DataFrame:
 
 # --- integrity ---------------------------------------------------------------------------------------------------------
 _q("q01_repaired_cards", f"SELECT id, least(greatest(ivl - 10, 0), 36500) AS ivl, least(mod + 2600000, {NOW}) AS mod, ivl < 10 OR mod + 2600000 > {NOW} AS fixed FROM cards", lambda k: Q.repaired_cards(k.withColumn("ivl", c("ivl") - 10).withColumn("mod", c("mod") + 2_600_000).withColumn("due", F.lit(0).cast("long")).withColumn("odue", F.lit(0).cast("long")), FIXED).select("id", "ivl", "mod", "fixed"), "cards")
-_q("q02_last_review", None, lambda k, r: Q.repaired_last_review(k.withColumn("lrt", F.when(c("id") % 2 == 0, c("lrt"))), r).select("id", "lrt"), "cards", "reviews")
+_LAST_INFO = f"WITH a AS (SELECT cid, max(struct_pack(i := id, e := event_id)) FILTER (kind = 4 AND factor = 0) AS rs, max(struct_pack(i := id, e := event_id, ease := ease, l := last_ivl)) FILTER ({_KEPT}) AS ls FROM reviews GROUP BY cid) SELECT cid, CASE WHEN ok THEN ls.i // 1000 END AS reviewed_at, CASE WHEN ok AND ls.ease > 1 AND ls.l >= 0 THEN ls.l END AS previous_ivl FROM (SELECT *, rs IS NULL OR (ls.i, ls.e) > (rs.i, rs.e) AS ok FROM a)"
+_q("q02_last_review", f"SELECT k.id, CASE WHEN k.id % 2 = 0 AND lrt IS NOT NULL THEN lrt WHEN s IS NOT NULL THEN reviewed_at END AS lrt FROM cards k LEFT JOIN ({_LAST_INFO}) l ON l.cid = k.id", lambda k, r: Q.repaired_last_review(k.withColumn("lrt", F.when(c("id") % 2 == 0, c("lrt"))), r).select("id", "lrt"), "cards", "reviews")
 _q("q03_repaired_reviews", "SELECT event_id, CASE WHEN kind = 0 AND time_ms % 10 = 0 AND ease <= 1 THEN 5 ELSE kind END AS kind FROM reviews", lambda r: Q.repaired_reviews(r.withColumn("time_ms", c("time_ms") % 10).withColumn("ease", F.when(c("ease") <= 1, 0).otherwise(c("ease")))).select("event_id", "kind"), "reviews")
 _q("q04_reference_faults", "SELECT 'card without note' AS fault, id FROM cards WHERE nid NOT IN (SELECT id FROM notes WHERE mid <> 3) UNION ALL SELECT 'missing deck', id FROM (SELECT did AS id FROM cards UNION SELECT odid FROM cards WHERE odid <> 0) WHERE id NOT IN (SELECT id FROM decks WHERE id <> 4) UNION ALL SELECT 'home deck outside list', id FROM cards WHERE odid <> 0 AND did NOT IN (SELECT id FROM decks WHERE filtered AND id <> 4)", lambda k, n, e: Q.reference_faults(k, n.where("mid <> 3"), e.where("id <> 4")), "cards", "notes", "decks")
 _q("q05_first_of_duplicates", "SELECT min(id) AS id FROM cards GROUP BY did, ord", lambda k: Q.first_of_duplicates(k.withColumn("nid", c("did"))).select("id"), "cards")
@@ -184,7 +185,7 @@ _q("q10_raised_eases", "SELECT k.id, CASE WHEN preset IN (1, 3) AND factor <> 0
 _q("q12_note_states", "SELECT n.id, CASE WHEN regexp_matches(front || back, '\\{\\{c\\d+::') AND mid <> 4 THEN 'cloze in plain type' WHEN trim(front) = '' THEN 'empty' WHEN mid = 4 AND NOT regexp_matches(front || back, '\\{\\{c\\d+::') THEN 'no cloze' WHEN count(*) OVER (PARTITION BY mid, front) > 1 THEN 'duplicate' ELSE 'normal' END AS state FROM notes n", lambda n: Q.note_states(n, [4]), "notes")
 _q("q14_item_defects", "WITH i AS (SELECT *, trim(regexp_replace(lower(answer), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS f, trim(regexp_replace(lower(stem), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS t FROM items) SELECT item_id, contains(t, f) AS stem_tells, length(answer) > 12 AS long_answer, count(*) OVER (PARTITION BY f) > 1 AS same_answer FROM i", Q.item_defects, "items")
 _q("q15_ledger_status", "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'unledgered' WHEN item_id % 4 = 1 THEN 'changed' WHEN item_id % 4 = 2 THEN 'missing' ELSE 'kept' END AS status FROM benchmark", lambda b: Q.ledger_status(b.where("item_id % 4 <> 2"), b.where("item_id % 4 <> 0").select("item_id", Q.item_hash(["item_id", "text"]).alias("hash")).withColumn("hash", F.when(c("item_id") % 4 == 1, "old").otherwise(c("hash"))), ["item_id", "text"]), "benchmark")
-_q("q16_secret_shapes", None, lambda d: Q.secret_shapes(d.select(c("doc_id").alias("id"), "text")), "documents")
+_q("q16_secret_shapes", "SELECT doc_id AS id, unnest(" + " || ".join(f"regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')" for p in Q.SECRET_SHAPES) + ") AS found FROM documents", lambda d: Q.secret_shapes(d.select(c("doc_id").alias("id"), "text")), "documents")
 _q("ag20_notetype_use", "SELECT mid, count(*) AS n FROM notes GROUP BY 1", lambda n: n.groupBy("mid").agg(F.count("*").alias("n")), "notes")
 _q("ag21_duplicates", "SELECT front, count(*) AS n, list_sort(list(id)) AS ids FROM notes WHERE front <> '' GROUP BY 1 HAVING count(*) > 1", lambda n: n.where("front <> ''").groupBy("front").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).where("n > 1"), "notes")
 _q("ag38_row_counts", "SELECT 'cards' AS name, count(*) AS n FROM cards UNION ALL SELECT 'notes', count(*) FROM notes UNION ALL SELECT 'reviews', count(*) FROM reviews", lambda k, n, r: k.agg(F.count("*").alias("n")).select(F.lit("cards").alias("name"), "n").union(n.agg(F.count("*")).select(F.lit("notes"), "count(1)")).union(r.agg(F.count("*")).select(F.lit("reviews"), "count(1)")), "cards", "notes", "reviews")
