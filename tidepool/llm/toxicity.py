@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,17 +74,28 @@ class Index:
     one block of examples, with the largest weight there."""
 
     def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray) -> None:
-        self.labels, self.n = labels, len(vectors)
-        self.blocks = -(-self.n // BLOCK)
         sizes = [len(v) for v in vectors]
-        term = np.fromiter((t for v in vectors for t in v), dtype=np.int64, count=sum(sizes))
+        term = np.fromiter((t for v in vectors for t in v), dtype=np.int32, count=sum(sizes))
         weight = np.fromiter((w for v in vectors for w in v.values()), dtype=np.float64, count=sum(sizes))
-        example = np.repeat(np.arange(self.n), sizes)
+        self._fill(np.repeat(np.arange(len(vectors), dtype=np.int32), sizes), term, weight, labels)
+
+    @classmethod
+    def of_counts(cls, example: np.ndarray, term: np.ndarray, n: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> Index:
+        """The index of rows (example, term, count) under term weights, as `unit` has them."""
+        raw = (1 + np.log(n)) * weight[term]
+        size = np.sqrt(np.bincount(example, raw * raw, len(labels)))
+        out = cls.__new__(cls)
+        out._fill(example, term, raw / size[example], labels)
+        return out
+
+    def _fill(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> None:
+        self.labels, self.n = labels, len(labels)
+        self.blocks = -(-self.n // BLOCK)
         order = np.lexsort((example, term))
         term, self.at, self.weight = term[order], example[order], weight[order]
         new = (np.diff(term, prepend=-1) != 0) | (np.diff(self.at // BLOCK, prepend=-1) != 0)
-        first = np.flatnonzero(new)
-        self.entry = np.append(first, len(term))  # where the postings of each entry begin
+        first = np.flatnonzero(new).astype(np.int32)
+        self.entry = np.append(first, np.int32(len(term)))  # where the postings of each entry begin
         self.block = self.at[first] // BLOCK
         self.top = np.maximum.reduceat(self.weight, first) if len(first) else self.weight
         self.terms, of_term = np.unique(term[first], return_index=True)
@@ -199,10 +211,9 @@ def scores(
     by_term = sample.mapInArrow(terms, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     known, other = F.col("toxic") + 0.5, F.col("clean") + 0.5
     lift = F.log(known / (toxic + 1) * (clean + 1) / other) - errors * F.sqrt(1 / known + 1 / other)
-    picked = by_term.withColumn("lift", lift).where("lift > 0").select("term", "lift").collect()  # terms of the bounded sample
-    ranked = sorted((bytes(r.term), r.lift) for r in picked)
-    chosen = {term: i for i, (term, _) in enumerate(ranked)}
-    lifts = np.array([x for _, x in ranked])
+    picked = by_term.withColumn("lift", lift).where("lift > 0").select("term", "lift").toArrow().sort_by("term")  # terms of the bounded sample
+    chosen = {term: i for i, term in enumerate(picked.column("term").to_pylist())}
+    lifts = picked.column("lift").to_numpy()
     shared = spark.sparkContext.broadcast(chosen)
 
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +226,10 @@ def scores(
                     df[t] += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(df))], pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["term", "df"])
 
-    df = dict(docs.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect())  # one row for each term
-    total = df.pop(-1, 0)
-    idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(chosen))]) * lifts
+    counted = docs.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # one row for each term
+    df = np.zeros(len(chosen) + 1, dtype=np.int64)  # the last one is -1: all texts
+    df[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+    idf = (np.log((df[-1] + 1) / (df[:-1] + 1)) + 1) * lifts
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Terms(shared.value)
@@ -226,16 +238,19 @@ def scores(
             lists = [pa.array([list(x) for x in c], pa.list_(pa.int32())) for c in ([c.keys() for c in counts], [c.values() for c in counts])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), *lists], ["doc_id", "label", "terms", "n"])
 
-    held = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, n array<int>").where("size(terms) > 0 or label = 1").collect()  # bounded by most_examples
-    held.sort(key=lambda r: (r.doc_id is None, r.doc_id))
-    examples = [r for r in held if r.terms]
-    index = spark.sparkContext.broadcast(
-        (Index([unit(Counter(dict(zip(r.terms, r.n, strict=True))), idf) for r in examples], np.array([r.label for r in examples], dtype=np.int64)), [r.doc_id for r in examples], idf)
-    )
-    base = sum(r.label for r in examples) / max(len(examples), 1)
-    bare_clean = clean - sum(1 - r.label for r in examples)
-    bare_toxic = sum(1 for r in held if not r.terms)
+    held = sample.mapInArrow(vectors, "doc_id long, label int, terms array<int>, n array<int>").where("size(terms) > 0 or label = 1").toArrow().sort_by("doc_id")  # bounded by most_examples
+    full = pc.greater(pc.list_value_length(held.column("terms")), 0)
+    examples = held.filter(full).combine_chunks()
+    marks = examples.column("label").to_numpy().astype(np.int64)
+    sizes = pc.list_value_length(examples.column("terms")).to_numpy()
+    flat = lambda name: pc.list_flatten(examples.column(name)).to_numpy()
+    found = Index.of_counts(np.repeat(np.arange(len(marks), dtype=np.int32), sizes), flat("terms"), flat("n"), idf, marks)
+    index = spark.sparkContext.broadcast((found, examples.column("doc_id").to_pylist(), idf))
+    base = float(marks.mean()) if len(marks) else 0.0
+    bare_clean = clean - int((marks == 0).sum())
+    bare_toxic = held.num_rows - len(marks)
     none = bare_toxic / max(bare_clean + bare_toxic, 1)
+    del held, examples, flat, found
 
     def vote(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Terms(shared.value)
