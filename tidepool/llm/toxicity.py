@@ -36,7 +36,7 @@ from .common import WordHashes, materialize, window_hashes
 from .decontamination import words_of
 from .lm_scoring import held_out
 
-BLOCK = 64
+BLOCK = 256
 
 
 def pieces(word: bytes) -> set[bytes]:
@@ -176,7 +176,7 @@ def _examples(docs: DataFrame, labels: DataFrame, most_examples: int) -> DataFra
 
 
 def scores(
-    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 10_000, errors: float = 2.5, prior_weight: float = 0.25, threshold: float = 0.7
+    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 10_000, errors: float = 4.0, prior_weight: float = 0.25, threshold: float = 0.7
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, and evidence: the nearest examples (doc_id, label, similarity)."""
     spark = docs.sparkSession
