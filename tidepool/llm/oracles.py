@@ -48,3 +48,43 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+#: CRC-32 of the bytes of a text x, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, strlen({x}) + 1), lambda i: [CAST('0x' || substr(hex(encode({x})), CAST(2 * i - 1 AS INT), 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda s, e: xor(xor(s, e) >> 1, 3988292384 * (xor(s, e) & 1))), 4294967295::BIGINT)"""
+
+OP11_TRIE = rf"""
+WITH t AS (SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, length(coalesce(text, '')) AS chars,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+           FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_CRC32.format(x="CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT ids.c, 0 AS part, t.p, t.g, t.chars FROM ids JOIN t ON t.c = ids.c - ids.c % 100 AND t.p <= h
+      UNION ALL SELECT ids.c, 1, t.p, t.g, t.chars FROM ids JOIN t ON t.c = ids.c AND t.p > h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d, g, chars FROM r),
+m AS (SELECT c, d, chars, string_agg(g, ',') OVER (PARTITION BY c ORDER BY d) AS k FROM q UNION ALL SELECT c, 0, 0, '' FROM ids),
+n AS (SELECT d, k, CASE WHEN d = 1 THEN '' WHEN d > 1 THEN left(k, length(k) - 33) END AS pk, min(c) AS c, count(*) AS n, max(chars) AS chars FROM m GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, pk AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1, 2),
+x AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (d, k)),
+below AS (SELECT m.d, m.k, sum(CASE WHEN x.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((x.n - 1) * x.chars) AS saved FROM x JOIN m ON m.c = x.c AND m.d <= x.d GROUP BY 1, 2),
+ends AS (SELECT d, k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT *, max(d) OVER (PARTITION BY c) AS last FROM m) WHERE d = last GROUP BY 1, 2)
+SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, up.c AS parent_conv_id, CAST(x.n AS BIGINT) AS n_convs, CAST(x.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM x JOIN below USING (d, k) LEFT JOIN n up ON up.d = x.d - 1 AND up.k = x.pk LEFT JOIN ends ON ends.d = x.d AND ends.k = x.k
+"""
+
+OP12_RESAMPLING = rf"""
+WITH w AS (SELECT 0 AS target, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+           UNION ALL SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (SELECT target, id, array_to_string(w[p : p + k - 1], ' ') AS f FROM (SELECT target, id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, (VALUES (1), (2), (3)) v(k))),
+crc AS (SELECT f, {_CRC32.format(x="f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM runs)),
+f AS (SELECT target, id, bucket, count(*) AS n FROM runs JOIN crc USING (f) GROUP BY 1, 2, 3),
+total AS (SELECT coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t FROM f),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((any_value(hist.t) + 1) * (any_value(total.s) + 10000) AS DOUBLE) / CAST((any_value(hist.s) + 1) * (any_value(total.t) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+         FROM (SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0) AS s, coalesce(sum(n) FILTER (target = 1), 0) AS t FROM f GROUP BY 1) hist, total GROUP BY bucket),
+d AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN gain USING (bucket) WHERE target = 0 GROUP BY 1),
+s AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM (SELECT id AS doc_id, w FROM w WHERE target = 0) x LEFT JOIN d ON d.id = x.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM s WHERE n_words >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN place <= n * 5 // 100 THEN place END AS rank FROM s LEFT JOIN r USING (doc_id)
+"""

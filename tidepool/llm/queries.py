@@ -10,10 +10,13 @@ from . import oracles
 from .common import table
 from .decontamination import contamination
 from .html_extraction import extracted
+from .importance_resampling import resampled
 from .lm_scoring import scored
 from .near_dedup import near_duplicates
+from .prefix_trie import prefix_trie
 from .quality_rules import judged
 from .secret_scan import secret_digests
+from .simhash_dedup import simhash_duplicates
 from .source_mixing import mix
 from .token_packing import packed
 from .toxicity import scores
@@ -61,6 +64,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"), distance=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -72,10 +87,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": oracles.OP5_RULES,
     "op7_warc": oracles.OP7_WARC,
     "op10_decontamination": oracles.OP10_DECONTAMINATION,
+    "op11_prefix_trie": oracles.OP11_TRIE,
+    "op12_importance_resampling": oracles.OP12_RESAMPLING,
 }
