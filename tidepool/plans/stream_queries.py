@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tidepool.sources import notes_io as IO
 from tidepool.sources.fixtures import view, with_tags
 from tidepool.sources.shared import scratch
 from tidepool.streaming import reviews as ST
+from tidepool.streaming import upkeep as UP
 
 c = F.col
 
@@ -25,26 +28,101 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str = "complete", **newes
     return ST.drained(stream, f"{at}/out", f"{at}/checkpoint", mode, **newest)
 
 
+LANDINGS = 3
+
+
+def _landings(spark: SparkSession, d: str, each: Callable[[str], None]) -> DataFrame:
+    """Lets the event table arrive in slices of time, one after the other: a fiftieth of the events comes with the last slice,
+    weeks late, another fiftieth comes twice. After each landing, each(folder) runs a stream over what is new. Returns all
+    that has arrived."""
+    raw = spark.read.schema(ST.EVENT_SCHEMA).parquet(f"{d}/events.parquet")
+    slice_of = F.least(F.floor((F.dayofmonth("ts") - 1) * LANDINGS / 31), F.lit(LANDINGS - 1))
+    late, twice = F.pmod(F.xxhash64("event_id"), F.lit(50)) == 0, F.pmod(F.xxhash64("event_id"), F.lit(50)) == 1
+    at = f"{scratch(spark)}/arrivals"
+    for number in range(LANDINGS):
+        first = F.when(late, LANDINGS - 1).otherwise(slice_of) == number
+        again = twice & (F.least(slice_of + 1, F.lit(LANDINGS - 1)) == number)
+        raw.where(first).unionByName(raw.where(again)).write.parquet(f"{at}/landing={number}")
+        each(f"{at}/landing=*")
+    return ST.events_of(spark.read.schema(ST.EVENT_SCHEMA).parquet(f"{at}/landing=*"))
+
+
+def _mended(spark: SparkSession, d: str, unit: str, tagged, totals, late: str = "1 day") -> DataFrame:
+    """What the stream closes over all landings, each event once, with the units of late events repaired."""
+    at = scratch(spark)
+    shape = totals(tagged(ST.events_of(spark.createDataFrame([], ST.EVENT_SCHEMA)))).schema
+
+    def each(folder: str) -> None:
+        stream = totals(tagged(ST.once(ST.read_events(spark, folder, 1000), late)))
+        ST.drained(stream, f"{at}/out", f"{at}/checkpoint", "append")
+
+    arrived = _landings(spark, d, each)
+    return UP.repaired(spark.read.schema(shape).parquet(f"{at}/out"), arrived, unit, tagged, totals)
+
+
 _AT = "date_trunc('day', ts - INTERVAL 4 HOUR) + INTERVAL 4 HOUR"
 register("st1_once", "SELECT event_id FROM events")(lambda spark, d: _run(spark, ST.once(_events(spark, d), "60 days"), "append").select("event_id"))
-register("st2_study_days", f"SELECT {_AT} AS day, count(*) AS answers, sum(CAST(floor(value * 100) AS BIGINT)) / 1000.0 AS seconds FROM events WHERE event_type <> 'signup' GROUP BY 1")(lambda spark, d: _run(spark, ST.study_days(_events(spark, d))).select(c("day.start").cast("timestamp_ntz").alias("day"), "answers", "seconds"))
-register("st3_sliding_retention", f"SELECT {_AT} - to_days(CAST(k AS INTEGER)) AS week, count(*) AS answers, count(*) FILTER (event_type <> 'error') AS passed FROM events, range(0, 7) r(k) WHERE event_type <> 'signup' GROUP BY 1")(lambda spark, d: _run(spark, ST.sliding_retention(_events(spark, d))).select(c("week.start").cast("timestamp_ntz").alias("week"), "answers", "passed"))
-register("st4_sessions", "WITH e AS (SELECT user_id AS cid, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WHERE event_type <> 'signup'), g AS (SELECT *, sum(s) OVER (PARTITION BY cid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT cid, min(ts) AS start, count(*) AS answers FROM g GROUP BY cid, n")(lambda spark, d: _run(spark, ST.sessions(_events(spark, d))).select("cid", c("session.start").cast("timestamp_ntz").alias("start"), "answers"))
-register("st5_live_memory", LIVE)(
-    lambda spark, d: _run(spark, ST.live_memory(_events(spark, d)), "update", key=["cid"], newest="reviews").withColumns(
-        {n: F.round(n, 6) for n in ("stability", "difficulty")}
-    )
+register("st2_study_days", f"SELECT {_AT} AS day, count(*) AS answers, sum(CAST(floor(value * 100) AS BIGINT)) / 1000.0 AS seconds FROM events WHERE event_type <> 'signup' GROUP BY 1")(
+    lambda spark, d: _mended(spark, d, "day", ST.in_days, ST.day_totals).select(c("day.start").cast("timestamp_ntz").alias("day"), "answers", "seconds")
+)
+register("st3_sliding_retention", f"SELECT {_AT} - to_days(CAST(k AS INTEGER)) AS week, count(*) AS answers, count(*) FILTER (event_type <> 'error') AS passed FROM events, range(0, 7) r(k) WHERE event_type <> 'signup' GROUP BY 1")(
+    lambda spark, d: _mended(spark, d, "week", ST.in_weeks, ST.week_totals).select(c("week.start").cast("timestamp_ntz").alias("week"), "answers", "passed")
+)
+_SESSIONS = (
+    "WITH e AS (SELECT user_id AS cid, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WHERE event_type <> 'signup'), "
+    "g AS (SELECT *, sum(s) OVER (PARTITION BY cid ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e) SELECT cid, min(ts) AS start, count(*) AS answers FROM g GROUP BY cid, n"
 )
-register("st7_live_due", "SELECT CASE WHEN odid <> 0 THEN odid ELSE did END AS deck, count(*) AS answers FROM events e JOIN cards k ON k.id = e.user_id WHERE event_type <> 'signup' GROUP BY 1")(lambda spark, d: _run(spark, ST.live_due(_events(spark, d), view(spark, d, "cards"))))
+register("st4_sessions", _SESSIONS)(
+    lambda spark, d: _mended(spark, d, "cid", lambda e: e.where("ease > 0"), ST.session_totals).select("cid", c("session.start").cast("timestamp_ntz").alias("start"), "answers")
+)
+
+
+@register("st5_live_memory", LIVE)
+def live_memory(spark: SparkSession, d: str) -> DataFrame:
+    """States after all answers, of which some came late and some twice."""
+    at, out = scratch(spark), []
+    before = {k: spark.conf.get(k, None) for k in ST.ROCKS}
+
+    def each(folder: str) -> None:
+        stream = ST.live_memory(ST.read_events(spark, folder, 1000))
+        out[:] = [ST.drained(stream, f"{at}/out", f"{at}/checkpoint", "update", key=["cid"], newest="reviews")]
+
+    try:
+        for k, v in ST.ROCKS.items():
+            spark.conf.set(k, v)
+        _landings(spark, d, each)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    return out[0].withColumns({n: F.round(n, 6) for n in ("stability", "difficulty")})
+
+
+_LAST = (
+    "WITH a AS (SELECT user_id AS cid, arg_max({{'ts': ts, 'value': value, 'ease': {ease}}}, (ts, event_id)) AS x FROM events WHERE {ease} > 0 GROUP BY 1), "
+    "f AS (SELECT k.did, CASE WHEN x IS NULL THEN k.queue WHEN x.ease = 1 THEN 1 ELSE 2 END AS queue, CASE WHEN x IS NULL THEN k.due WHEN x.ease = 1 THEN CAST(floor(epoch(x.ts)) AS BIGINT) + {again} "
+    "ELSE {days} - CAST(floor(({next} - 1 - floor(epoch(x.ts))) / 86400) AS BIGINT) + CAST(floor(x.value / 10) AS BIGINT) + x.ease END AS due FROM cards k LEFT JOIN a ON a.cid = k.id)"
+).format(ease="CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END", again=UP.LEARN_AGAIN, days=FIXED.days_elapsed, next=FIXED.next_day_at)
+
+
+@register(
+    "st7_live_due",
+    f"{_LAST} SELECT did, count(*) FILTER (queue = 0) AS new, count(*) FILTER (queue = 2 AND due <= {FIXED.days_elapsed}) AS review, count(*) FILTER (queue = 3 AND due <= {FIXED.days_elapsed}) AS interday, "
+    f"count(*) FILTER (queue = 1 AND due < {FIXED.now} + 1200) AS intraday, count(*) AS total FROM f GROUP BY 1",
+)
+def live_due(spark: SparkSession, d: str) -> DataFrame:
+    """Due counts of the final cards, read from the view that answers arriving late and twice have moved along."""
+    at = scratch(spark)
+    view_of = UP.LiveDue(spark, f"{at}/due", FIXED, buckets=8)
+    view_of.seed(view(spark, d, "cards"))
+    _landings(spark, d, lambda folder: view_of.follow(ST.read_events(spark, folder, 1000), f"{at}/checkpoint").awaitTermination())
+    return view_of.due_now(FIXED.now + 1200)
 
 
 @register("st6_kept_cards", "SELECT user_id AS cid, arg_max(CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END, (ts, event_id)) AS ease FROM events GROUP BY 1")
 def kept_cards(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark)
-    query = ST.keep_cards(_events(spark, d), f"{at}/cards", f"{at}/checkpoint")
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{at}/cards/v={last}").select("cid", "ease")
+    _landings(spark, d, lambda folder: ST.keep_cards(ST.read_events(spark, folder, 1000), f"{at}/cards", f"{at}/checkpoint", 8).awaitTermination())
+    return UP.BucketTable(spark, f"{at}/cards", ST.CARDS, ["cid"]).read().select("cid", "ease")
 
 
 register("io07_research_reviews", "SELECT event_id, cid FROM reviews WHERE ease BETWEEN 1 AND 4 OR (ease = 0 AND factor = 0)")(lambda spark, d: _exported(spark, d))

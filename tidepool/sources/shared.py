@@ -25,3 +25,20 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/kept"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    """Hadoop's path and the file system it lies in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _at(spark, path)
+    return files.exists(where)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    where, files = _at(spark, path)
+    files.delete(where, True)

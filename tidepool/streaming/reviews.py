@@ -1,15 +1,19 @@
-"""Review events as a stream. Late events are dropped past the watermark here and counted by the nightly batch, which is the truth."""
+"""Review events as a stream. Late events are dropped past the watermark here; upkeep.repaired mends the windows they belong to
+in the nightly batch, which is the truth."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import bisect
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidepool.operators.memory import DEFAULT_W
+from tidepool.streaming.model import first, step
+from tidepool.streaming.upkeep import BucketTable, newest
 
 c = F.col
 ROLLOVER = "4 hours"
@@ -18,9 +22,13 @@ EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """The event table's files as a stream, with event time `at`."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return events_of(spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+
+
+def events_of(raw: DataFrame) -> DataFrame:
+    """Rows of the event table as review events."""
     ease = F.when(c("event_type") == "error", 1).when(c("event_type") == "view", 2).when(c("event_type") == "click", 3).when(c("event_type") == "purchase", 4).otherwise(0)
-    return raw.select("event_id", c("user_id").alias("cid"), c("ts").cast("timestamp").alias("at"), ease.alias("ease"), F.floor(c("value") * 100).cast("long").alias("time_ms"))
+    return raw.select("event_id", c("user_id").alias("cid"), c("ts").cast("timestamp").alias("at"), ease.alias("ease"), F.floor(c("value") * 100).cast("long").alias("time_ms"), (F.floor(c("value") / 10) + ease).cast("int").alias("ivl"))
 
 
 def once(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -28,71 +36,133 @@ def once(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def _answers(events: DataFrame, *tags: Column) -> DataFrame:
+    return events.where("ease > 0").select("*", *tags)
+
+
+def in_days(events: DataFrame) -> DataFrame:
+    """Answers with their study day, which begins at the rollover hour."""
+    return _answers(events, F.window("at", "1 day", "1 day", ROLLOVER).alias("day"))
+
+
+def in_weeks(events: DataFrame) -> DataFrame:
+    """Answers with each week of study days that they count in."""
+    return _answers(events, F.window("at", "7 days", "1 day", ROLLOVER).alias("week"))
+
+
+def day_totals(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("day").agg(F.count("*").alias("answers"), (F.sum("time_ms") / 1000.0).alias("seconds"))
+
+
+def week_totals(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("week").agg(F.count("*").alias("answers"), F.count(F.when(c("ease") > 1, 1)).alias("passed"))
+
+
+def session_totals(answers: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Study sessions of each card: answers less than `gap` apart."""
+    return answers.groupBy("cid", F.session_window("at", gap).alias("session")).agg(F.count("*").alias("answers"), (F.sum("time_ms") / 1000.0).alias("seconds"))
+
+
 def study_days(events: DataFrame) -> DataFrame:
-    """Answers and seconds per study day, which begins at the rollover hour. The watermark is the caller's (see once)."""
-    return events.where("ease > 0").groupBy(F.window("at", "1 day", "1 day", ROLLOVER).alias("day")).agg(F.count("*").alias("answers"), (F.sum("time_ms") / 1000.0).alias("seconds"))
+    """Answers and seconds per study day. The watermark, which closes the days, is the caller's (see once)."""
+    return day_totals(in_days(events))
 
 
 def sliding_retention(events: DataFrame) -> DataFrame:
-    return events.where("ease > 0").groupBy(F.window("at", "7 days", "1 day", ROLLOVER).alias("week")).agg(F.count("*").alias("answers"), F.count(F.when(c("ease") > 1, 1)).alias("passed"))
+    return week_totals(in_weeks(events))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    return events.where("ease > 0").groupBy("cid", F.session_window("at", gap).alias("session")).agg(F.count("*").alias("answers"), (F.sum("time_ms") / 1000.0).alias("seconds"))
+    return session_totals(_answers(events), gap)
 
 
-def live_memory(events: DataFrame, w: tuple[float, ...] = DEFAULT_W) -> DataFrame:
-    """(cid, stability, difficulty, reviews): each card's state, updated per answer and kept between batches.
+#: The state store that keeps lists and timers per key; Spark's default one cannot.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+_NO_STATE = (0.0, 0.0, 0.0, 0, -1, -1)
 
-    Events of a batch are folded in the order of their time; an event older than the card's last one is left to the batch.
-    """
-    from tidepool.streaming.model import first, step
-
-    def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        s, d, last, n = state.get if state.exists else (0.0, 0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        for at, ease in zip(rows["at"], rows["ease"], strict=True):
-            day = at.timestamp() // 86_400
-            if ease == 0 or (n and day < last):
-                continue
-            s, d = step(w, day - last, float(ease), s, d) if n else first(w, float(ease))
-            last, n = day, n + 1
-        state.update((s, d, float(last), n))
-        yield pd.DataFrame({"cid": [key[0]], "stability": [s], "difficulty": [d], "reviews": [n]})
 
-    return events.groupBy("cid").applyInPandasWithState(update, "cid long, stability double, difficulty double, reviews long", "s double, d double, last double, n long", "update", GroupStateTimeout.NoTimeout)
+class CardMemory(StatefulProcessor):
+    """A card's memory state under answers in any order.
 
+    The answers of the last `keep_days` are held as a list, each with the state after it; an answer that comes late goes in
+    where it belongs and the ones behind it are folded again. An event-time timer turns what is older into one state; answers
+    from before that are left to the batch. Repeated events count once.
+    """
 
-def upsert(batch: DataFrame, path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], version: int) -> str:
-    """Writes version `version` of a table: the one before merged with a batch. The same version again gives the same rows."""
-    spark, target = batch.sparkSession, f"{path}/v={version}"
-    if version == 0:
-        batch.write.mode("overwrite").parquet(target)
-    else:
-        merge(spark.read.parquet(f"{path}/v={version - 1}"), batch).write.mode("overwrite").parquet(target)
-    return target
+    def __init__(self, w: tuple[float, ...] = DEFAULT_W, keep_days: int = 40) -> None:
+        self.w, self.keep = w, keep_days * 86_400_000
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, event_id long, ease int, s double, d double, day double, n long")
+        self.base = handle.getValueState("base", "s double, d double, day double, n long, at long, event_id long")
 
-def keep_cards(events: DataFrame, path: str, checkpoint: str):
-    """Last-writer-wins card table (cid, at, ease), one version per micro-batch, exactly once by batch number."""
+    def _folded(self, state: tuple, answers: list[tuple]) -> list[tuple]:
+        s, d, last, n = state
+        out = []
+        for at, event_id, ease in answers:
+            day = float(at // 86_400_000_000)
+            s, d = step(self.w, day - last, float(ease), s, d) if n else first(self.w, float(ease))
+            last, n = day, n + 1
+            out.append((at, event_id, ease, s, d, last, n))
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        base = tuple(self.base.get()) if self.base.exists() else _NO_STATE
+        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        known = {x[1] for x in held}
+        new = {}
+        for part in rows:
+            for at, event_id, ease in zip(part["at"].astype("datetime64[us]").astype("int64"), part["event_id"], part["ease"], strict=True):
+                if ease and event_id not in known and (at, event_id) > (base[4], base[5]):
+                    new[int(event_id)] = (int(at), int(event_id), int(ease))
+        if not new:
+            return
+        keep = bisect.bisect_left(held, min(new.values()))
+        behind = sorted([x[:3] for x in held[keep:]] + list(new.values()))
+        start = held[keep - 1][3:] if keep else base[:4]
+        held = held[:keep] + self._folded(start, behind)
+        self.held.put(held)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(held[-1][0] // 1000 + self.keep)
+        yield self._row(key, held[-1][3:])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = [tuple(x) for x in self.held.get()]
+        if held:
+            self.base.update((*held[-1][3:], held[-1][0], held[-1][1]))
+            self.held.clear()
+        return iter(())
+
+    def _row(self, key: tuple, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"cid": [key[0]], "stability": [state[0]], "difficulty": [state[1]], "reviews": [state[3]]})
+
+
+def live_memory(events: DataFrame, w: tuple[float, ...] = DEFAULT_W, keep_days: int = 40, late: str = "40 days") -> DataFrame:
+    """(cid, stability, difficulty, reviews): each card's state, updated with every answer, late ones included. Needs a session
+    with the settings ROCKS. State per card: the answers of its last `keep_days`."""
+    known = events.withWatermark("at", late).where("ease > 0").select("cid", "at", "event_id", "ease")
+    shape = "cid long, stability double, difficulty double, reviews long"
+    return known.groupBy("cid").transformWithStateInPandas(CardMemory(w, keep_days), shape, "Update", "EventTime")
+
+
+CARDS = "cid long, at timestamp, event_id long, ease int"
+
+
+def keep_cards(events: DataFrame, path: str, checkpoint: str, buckets: int = 64):
+    """Last-writer-wins card table (cid, at, event_id, ease); a micro-batch rewrites the buckets of its cards only."""
+    order = ["at", "event_id"]
+    table = BucketTable(events.sparkSession, path, CARDS, ["cid"], buckets)
+    table.seed(events.sparkSession.createDataFrame([], CARDS))
 
     def each(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("cid").agg(F.max(F.struct("at", "event_id", "ease")).alias("x")).select("cid", "x.*")
-
-        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-            return old.unionByName(new).groupBy("cid").agg(F.max(F.struct("at", "event_id", "ease")).alias("x")).select("cid", "x.*")
-
-        upsert(latest, path, merge, number)
+        latest = batch.groupBy("cid").agg(F.max(F.struct(*order, "ease")).alias("x")).select("cid", "x.*")
+        table.apply(latest, number, newest(["cid"], order))
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_due(events: DataFrame, cards: DataFrame) -> DataFrame:
-    """Answers per home deck as they come: the stream joined to the card table, then counted."""
-    home = cards.select(c("id").alias("cid"), F.when(c("odid") != 0, c("odid")).otherwise(c("did")).alias("deck"))
-    return events.where("ease > 0").join(home, "cid").groupBy("deck").agg(F.count("*").alias("answers"))
-
-
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", key: list[str] | None = None, newest: str | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its output, written as Parquet: rows as they come in append mode, the
     last version of all rows in complete mode, the newest row of each key in update mode (the one with the largest `newest`).
