@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import leak_normal
+from tidepool.operators.phrases import longest_shared, occurrences, pair_runs
 
 c = F.col
 
@@ -31,21 +32,11 @@ def _grams(w: Column, n: int) -> Column:
     return F.when(size < 1, F.array().cast("array<struct<g:bigint,p:int>>")).otherwise(combined)
 
 
-def verbatim(items: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """(item_id, surface, id): documents that hold an item's normalised text whole, found by its first shingle.
-
-    Items of fewer than n words are found by the shingle of all their words.
-    """
-    asked = items.select("item_id", leak_normal(c("stem")).alias("a")).where("a <> ''").withColumn("k", F.least(F.size(F.split("a", " ")), F.lit(n)))
+def verbatim(items: DataFrame, docs: DataFrame, **how: int) -> DataFrame:
+    """(item_id, surface, id): documents that hold an item's normalised text whole."""
+    asked = items.select("item_id", leak_normal(c("stem")).alias("a"))
     told = docs.select("surface", "id", leak_normal(c("text")).alias("t"))
-    met = None
-    for k in range(1, n + 1):
-        first = asked.where(c("k") == k).withColumn("g", F.get(_grams(F.split("a", " "), k), 0)["g"])
-        held = told.select("surface", "id", F.explode(F.array_distinct(F.transform(_grams(F.split("t", " "), k), lambda x: x["g"]))).alias("g"))
-        some = held.join(first, "g").select("item_id", "a", "surface", "id")
-        met = some if met is None else met.union(some)
-    whole = met.join(told, ["surface", "id"])
-    return whole.where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" ")))).select("item_id", "surface", "id").distinct()
+    return occurrences(asked, told, **how).join(asked, "a").select("item_id", "surface", "id").distinct()
 
 
 def contained(items: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.6) -> DataFrame:
@@ -94,6 +85,11 @@ def longest_runs(items: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
     return islands.groupBy("item_id", "surface", "id").agg((F.max("length") + n - 1).cast("int").alias("run"))
 
 
+def longest_shared_runs(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, run, surface, id): how many words in a row an item shares with the corpus at most, and where first."""
+    return longest_shared(items.select("item_id", words(c("stem")).alias("w")), docs.select("surface", "id", words(c("text")).alias("w")))
+
+
 def graded(hits: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
     """Hits with flags: the document is the item's own source, only the answer or only the id was found."""
     met = hits.join(items.select("item_id", "answer", *[x for x in ("source_id",) if x in items.columns]), "item_id")
@@ -101,13 +97,12 @@ def graded(hits: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
     return met.withColumn("own_source", own).withColumn("counts", ~own)
 
 
-def answer_hits(items: DataFrame, docs: DataFrame, least_length: int = 4) -> DataFrame:
+def answer_hits(items: DataFrame, docs: DataFrame, least_length: int = 4, **how: int) -> DataFrame:
     """(item_id, n): documents that hold an item's answer as a word or run of words; counted, not graded."""
-    asked = items.select("item_id", leak_normal(c("answer")).alias("a")).where(F.length("a") >= least_length).withColumn("term", F.substring_index("a", " ", 1))
+    asked = items.select("item_id", leak_normal(c("answer")).alias("a")).where(F.length("a") >= least_length)
     told = docs.select("surface", "id", leak_normal(c("text")).alias("t"))
-    held = told.select("surface", "id", F.explode(F.array_distinct(F.split("t", " "))).alias("term"))  # words without their text
-    hit = held.join(asked, "term").join(told, ["surface", "id"]).where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" "))))
-    return hit.groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = occurrences(asked, told, **how).groupBy("a").agg(F.count("*").alias("n"))
+    return asked.join(hits, "a").select("item_id", "n")
 
 
 def denominators(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -138,7 +133,6 @@ def rewording(pairs: DataFrame) -> DataFrame:
     content = lambda name: F.array_distinct(F.filter(name, lambda t: ~F.array_contains(F.concat(stop, c("xw")), t)))
     a, b = content("aw"), content("bw")
     overlap = F.when(F.size(F.array_union(a, b)) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-    lists = pairs.select(c("pair_id").alias("item_id"), c("a").alias("stem")), pairs.select(F.lit("b").alias("surface"), c("pair_id").alias("id"), c("b").alias("text"))
-    runs = longest_runs(*lists, n=1).where("item_id = id").select(c("item_id").alias("pair_id"), "run")
+    runs = pair_runs(w.select("pair_id", c("aw").alias("a"), c("bw").alias("b")))
     met = w.select("pair_id", overlap.alias("overlap")).join(runs, "pair_id", "left").withColumn("run", F.coalesce("run", F.lit(0)))
     return met.select("pair_id", "run", "overlap", ((c("run") <= 3) & (c("overlap") < 0.5)).alias("reworded"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import leak_normal, typographic, wilson
+from tidepool.operators.phrases import occurrences
 
 c = F.col
 
@@ -80,13 +81,11 @@ def support(ranked: DataFrame, answers: DataFrame, chunks: DataFrame) -> DataFra
     return hits.groupBy("query_id").agg(F.min_by(F.struct("chunk_id", "rank", (c("at") - 1).alias("start")), "rank").alias("x")).select("query_id", "x.*")
 
 
-def grounded(answers: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Answers (query_id, answer) that some chunk of the whole corpus holds: by their first word's postings, then the text."""
-    asked = answers.select("query_id", leak_normal(c("answer")).alias("a")).where("a <> ''").withColumn("term", F.substring_index("a", " ", 1))
+def grounded(answers: DataFrame, chunks: DataFrame, **how: int) -> DataFrame:
+    """Answers (query_id, answer) that some chunk of the whole corpus holds as a word or run of words."""
+    asked = answers.select("query_id", leak_normal(c("answer")).alias("a"))
     told = chunks.select("chunk_id", leak_normal(c("text")).alias("t"))
-    held = told.select("chunk_id", F.explode(F.array_distinct(F.split("t", " "))).alias("term"))  # words without their text
-    met = asked.join(held, "term").join(told, "chunk_id")
-    return met.where(F.contains(F.concat(F.lit(" "), c("t"), F.lit(" ")), F.concat(F.lit(" "), c("a"), F.lit(" ")))).select("query_id").distinct()
+    return asked.join(occurrences(asked, told, **how).select("a").distinct(), "a").select("query_id").distinct()
 
 
 def arm_summary(attempts: DataFrame) -> DataFrame:

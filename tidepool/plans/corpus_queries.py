@@ -91,7 +91,40 @@ register("t15_answer_hits", f"WITH {_DOCS}, b AS (SELECT item_id, {_NORM.format(
 register("t15_graded", f"WITH {_ITEMS}, {_DOCS}, {_CONTAINED} SELECT item_id, surface, id, item_id = id AS own_source, item_id <> id AS counts FROM k")(lambda spark, d: L.graded(L.contained(view(spark, d, "items"), view(spark, d, "docs")), view(spark, d, "items").withColumn("source_id", c("item_id")), view(spark, d, "docs")).select("item_id", "surface", "id", "own_source", "counts"))
 register("t16_denominators", f"WITH {_DOCS} SELECT surface, count(*) AS docs, sum(len({_split('t')})) AS words, count(*) * (SELECT count(*) FROM items) AS comparisons FROM d GROUP BY 1")(lambda spark, d: L.denominators(view(spark, d, "items"), view(spark, d, "docs")))
 register("t17_windows_shared", f"WITH {_ITEMS}, {_DOCS} SELECT item_id, count(*) AS windows FROM (SELECT DISTINCT item_id, g FROM {_grams('i', 'item_id', 'a', 8)}) WHERE g IN (SELECT g FROM {_grams('d', 'surface, id', 't', 8)}) GROUP BY 1")(lambda spark, d: L.windows_shared(view(spark, d, "items"), view(spark, d, "docs")))
-register("t18_rewording")(lambda spark, d: L.rewording(view(spark, d, "items").join(view(spark, d, "documents"), c("doc_id") == c("item_id")).select(c("item_id").alias("pair_id"), c("stem").alias("a"), c("text").alias("b"), "answer")))
+_LONGEST = (
+    f"iw AS (SELECT item_id, unnest(range(0, len(w))) AS p, unnest(w) AS w FROM (SELECT item_id, {_split('a')} AS w FROM i)), dw AS (SELECT surface, id, unnest(range(0, len(w))) AS p, unnest(w) AS w FROM (SELECT surface, id, {_split('t')} AS w FROM d)), "
+    "x AS (SELECT item_id, surface, id, dw.p AS dp, dw.p - iw.p AS dg FROM iw JOIN dw USING (w)), y AS (SELECT *, dp - row_number() OVER (PARTITION BY item_id, surface, id, dg ORDER BY dp) AS island FROM x), "
+    "z AS (SELECT item_id, surface, id, count(*) AS n FROM y GROUP BY item_id, surface, id, dg, island)"
+)
+
+
+@register(
+    "t14_longest_shared",
+    f"WITH {_ITEMS}, {_DOCS}, {_LONGEST} SELECT item_id, CAST(n AS INT) AS run, surface, id FROM z QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, surface, id) = 1",
+)
+def longest_shared_runs(spark: SparkSession, d: str) -> DataFrame:
+    return L.longest_shared_runs(view(spark, d, "items"), view(spark, d, "docs"))
+
+
+_CONTENT = "list_filter(list_distinct({0}), lambda t: NOT list_contains(['" + "', '".join(L.STOP) + "'], t) AND NOT list_contains(xw, t))"
+_PAIRS = (
+    f"p AS (SELECT item_id AS pair_id, {_split(_NORM.format('stem'))} AS aw, {_split(_NORM.format('text'))} AS bw, {_split(_NORM.format('answer'))} AS xw FROM items JOIN documents ON doc_id = item_id), "
+    "x AS (SELECT pair_id, b.p, b.p - a.p AS dg FROM (SELECT pair_id, unnest(range(0, len(aw))) AS p, unnest(aw) AS w FROM p) a JOIN (SELECT pair_id, unnest(range(0, len(bw))) AS p, unnest(bw) AS w FROM p) b USING (pair_id, w)), "
+    "y AS (SELECT pair_id, dg, p - row_number() OVER (PARTITION BY pair_id, dg ORDER BY p) AS island FROM x), r AS (SELECT pair_id, max(n) AS run FROM (SELECT pair_id, count(*) AS n FROM y GROUP BY pair_id, dg, island) GROUP BY 1), "
+    f"c AS (SELECT pair_id, {_CONTENT.format('aw')} AS a, {_CONTENT.format('bw')} AS b FROM p)"
+)
+
+
+@register(
+    "t18_rewording",
+    f"WITH {_PAIRS}, o AS (SELECT pair_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS overlap FROM c) "
+    "SELECT pair_id, CAST(coalesce(run, 0) AS INT) AS run, overlap, coalesce(run, 0) <= 3 AND overlap < 0.5 AS reworded FROM o LEFT JOIN r USING (pair_id)",
+)
+def rewording(spark: SparkSession, d: str) -> DataFrame:
+    pairs = view(spark, d, "items").join(view(spark, d, "documents"), c("doc_id") == c("item_id"))
+    return L.rewording(pairs.select(c("item_id").alias("pair_id"), c("stem").alias("a"), c("text").alias("b"), "answer"))
+
+
 _ARM = "SELECT role AS arm, turn > 0 AS shipped, conv_id % 7 AS topic, length(text) % 9 AS answer FROM conversations"
 register("t19_arm_summary", f"WITH a AS ({_ARM}), s AS (SELECT arm, count(*) AS attempts, count(*) FILTER (shipped) AS shipped, count(DISTINCT (topic, answer)) FILTER (shipped) AS distinct_shipped FROM a GROUP BY 1), p AS (SELECT *, shipped / attempts AS p, attempts * 1.0 AS n FROM s) SELECT arm, attempts, shipped, distinct_shipped, 100.0 * p AS per_hundred, 100 * greatest((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 0) AS low, 100 * least((p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 1) AS high FROM p")(
     lambda spark, d: R.arm_summary(view(spark, d, "conversations").select(c("role").alias("arm"), (c("turn") > 0).alias("shipped"), (c("conv_id") % 7).alias("topic"), (F.length("text") % 9).alias("answer")))
