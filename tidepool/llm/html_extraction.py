@@ -18,6 +18,7 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -188,8 +189,13 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = _Tree()
-    tree.feed(html)
+    end = html.rfind(">") + 1
+    if "<" not in html[end:]:
+        end = len(html)
+    tree.feed(html[:end])
     tree.close()
+    if end < len(html):  # tags that nothing closes are text; the parser would look for the end of each
+        tree.handle_data(unescape(html[end:]))
     n = len(tree.tag)
     # what sounds like noise is none if it contains the main heading or an article of its own, or, as a form, most of the text
     holds = [tree.tag[i] in ("main", "h1") or (tree.tag[i] == "article" and not tree.named[i]) for i in range(n)]

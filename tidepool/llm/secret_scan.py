@@ -31,12 +31,13 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: A credential word, the rest of its name, a separator and a value. Names are read from the credential word on: no chain before it.
-_CONTEXT = re.compile(
-    r"(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|secret|signing|encryption)[_-]?key)(?:[_.-]?[A-Za-z0-9]+){0,4}+"
-    r"[\"']?\s{0,3}(:|=>|:=|=|\bis\b)(\s{0,3})([\"']?)(?:bearer\s)?([^\s\"'<>,;`]{8,})",
-    re.A | re.I,
-)
+#: A credential word as it may stand in a name; a name; and what stands between a name and its value, and the value.
+_WORD = re.compile(r"(?<![A-Za-z])(?=(pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|signing|encryption)[_-]?key))", re.A | re.I)
+_SECRET_KEY = re.compile(r"secret[_-]?key", re.A | re.I)
+_NAME = re.compile(r"[A-Za-z0-9]++(?:[_.-][A-Za-z0-9]++)*+")
+_VALUE = re.compile(r"[\"']?\s{0,3}(:|=>|:=|=|\bis\b)(\s{0,3})([\"']?)(?:bearer\s)?([^\s\"'<>,;`]{8,})", re.A | re.I)
+#: How many more pieces a name may have behind its credential word.
+MORE_PIECES = 4
 #: What a plain word looks like: letters of one case, or only the first upper, in pieces joined by hyphens or apostrophes.
 _PLAIN = re.compile(r"[^\W\d_]?(?:[^\W\d_A-Z]+|[A-Z]+)(?:['’-][^\W\d_A-Z]+)*[.!?:)]*")
 _HINTS = ("pass", "pwd", "secret", "token", "bearer", "auth", "credential", "key")
@@ -65,7 +66,8 @@ def _class_cost(c: str) -> float:
 def guess_cost(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the guesses for the cheapest segmentation of a value, in time linear in its length. ranks: a word's place in
     the order in which guessers try words."""
-    n, low = len(value), value.lower()
+    n = len(value)
+    low = "".join(x if len(x := c.lower()) == 1 else c for c in value)  # as long as the value
     plain = low.translate(_LEET)
     each = [_class_cost(c) for c in value]
     best = [0.0] + [math.inf] * n
@@ -120,6 +122,24 @@ def _add_start(starts: list[int], best: list[float], j: int) -> None:
     starts.append(new)
 
 
+def contexts(text: str) -> Iterator[re.Match]:
+    """Matches of _VALUE behind names with a credential word near their end, from left to right and apart. A name is read once, its
+    words once, and a value only behind such a name, so all of it takes linear time."""
+    at = 0
+    while name := _NAME.search(text, at):
+        at = name.end()
+        last = None
+        for last in _WORD.finditer(text, name.start(), at):
+            pass
+        if last is None:
+            continue
+        word_end = max(last.end(1), m.end() if (m := _SECRET_KEY.match(text, last.start())) and m.end() <= at else 0)
+        rest = text[word_end:at]
+        if bool(rest and rest[0] not in "_.-") + sum(map(rest.count, "_.-")) <= MORE_PIECES and (value := _VALUE.match(text, at)):
+            yield value
+            at = value.end()
+
+
 def spans(text: str | None, least_cost: float = 11.0, ranks: dict[str, int] = _RANK) -> list[tuple[int, int, int, float | None]]:
     """(start, end, kind number, cost) in the order of start, then kind; cost for values in a credential context."""
     if not text:
@@ -134,7 +154,7 @@ def spans(text: str | None, least_cost: float = 11.0, ranks: dict[str, int] = _R
     found += [(m.start(), m.end(), 2, None) for m in _HEX.finditer(text)]
     if hints:
         starts, ends = _union(found)
-        for m in _CONTEXT.finditer(text):
+        for m in contexts(text):
             start, end = m.span(4)
             at = bisect_left(ends, start + 1)  # the first fixed stretch that ends behind the start
             if at < len(starts) and starts[at] < end:
@@ -175,7 +195,8 @@ def word_ranks(docs: DataFrame, most_words: int = 50_000) -> dict[str, int]:
             for text in batch.column("text"):
                 low = (text.as_py() or "").lower()
                 if any(h in low for h in _HINTS):
-                    low = _CONTEXT.sub(lambda m: m[0][: m.start(4) - m.start()], low)
+                    cuts = [0, *(x for m in contexts(low) for x in m.span(4)), len(low)]
+                    low = "".join(low[s:e] for s, e in zip(cuts[::2], cuts[1::2], strict=True))
                 counts.update(set(_LETTERS.findall(low)))
                 if len(counts) > 500_000:
                     yield flush()
@@ -212,11 +233,13 @@ def scan(docs: DataFrame, least_cost: float = 11.0, most_words: int = 50_000) ->
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """Counts per fixed kind, digest of the fixed spans and all spans as text, derived from scan()."""
+    """Counts per fixed kind, digest of the fixed spans and all spans as text, derived from scan(); least_cost is that of the value
+    in a credential context (assign or guess) that is guessed first, in powers of ten."""
     named = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.transform(F.filter("spans", lambda s: s["kind"] != "guess"), named)
     return scan(docs).select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", named), ",").alias("spans"), count("guess").alias("n_guess"),
+        F.array_min(F.filter(F.transform("spans", lambda s: s["cost"]), lambda x: x.isNotNull())).alias("least_cost"),
     )

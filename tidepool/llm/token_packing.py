@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,6 +38,23 @@ def load_encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Runs of white space (as the vocabulary's pattern knows it) that are too long for the pattern: it backtracks over each.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1024,}")
+
+
+def encoded(encoding, text: str) -> list[int]:
+    """The ids of a text of any kind and length. The pattern takes a run of white space but for its last character as one
+    piece, or all of it at the end of a text; long runs are cut out so and merged without the pattern."""
+    ids: list[int] = []
+    at = 0
+    for run in _LONG_SPACE.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 class Capacities:
     """Segment tree over free capacities 0..size: which of them open rows have, and the least one of at least n."""
 
@@ -96,7 +114,7 @@ def packed(docs: DataFrame, row_ids: int = 2048, tokenizer: str = f"{TOKENIZERS}
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_encoding(tokenizer).encode_ordinary
+        encoding = load_encoding(tokenizer)
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         pieces: list[tuple[int | None, int, np.ndarray]] = []
         held = 0
@@ -122,7 +140,7 @@ def packed(docs: DataFrame, row_ids: int = 2048, tokenizer: str = f"{TOKENIZERS}
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype=kind)
+                ids = np.array([*encoded(encoding, text.as_py() or ""), end_id], dtype=kind)
                 for at in range(0, len(ids), row_ids):
                     pieces.append((doc_id, at, ids[at : at + row_ids]))
                 held += len(ids)
