@@ -2,9 +2,9 @@
 
 Terms are the words of a text (ASCII lower-cased; letters, digits and all non-ASCII characters) and the 4- and 5-letter
 pieces of them, so that inflected and misspelt forms meet. A term weighs TF-IDF, the document frequencies taken over all
-documents, times what the labelled examples prove of it: the logarithm of how much more frequent it is in toxic ones, less
-`errors` standard errors. Terms whose bound is not above zero weigh nothing and so take no part in any cosine; no term is
-left out by its rank or by a share. (Without that factor a few insults vanish among hundreds of other words, and the nearest
+documents, times what the labelled examples prove of it (`proven_lift`): the logarithm of how much more frequent it is in toxic
+ones, shrunk by what chance explains at `errors` standard errors. Terms of which nothing is proven weigh nothing and so take no
+part in any cosine; no term is left out by its rank or by a share. (Without that factor a few insults vanish among hundreds of other words, and the nearest
 examples are those of the same language and length; README has the figures.)
 
 Every text is compared with the examples: posting blocks have the largest weight they hold, blocks are visited in the order of
@@ -29,7 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, materialize, window_hashes
@@ -175,10 +175,25 @@ def _examples(docs: DataFrame, labels: DataFrame, most_examples: int) -> DataFra
     return shapes.groupBy("label", "shape").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "label")
 
 
+def proven_lift(in_toxic: Column, in_clean: Column, toxic: int, clean: int, errors: float) -> Column:
+    """What the examples prove of a term: the logarithm of how much more frequent it is in toxic ones, shrunk by the share of it
+    that chance explains; zero or less if chance can explain all. By the likelihood ratio against one rate for both, which
+    holds for terms that clean examples do not have at all."""
+    rate = (in_toxic + in_clean) / F.lit(max(toxic + clean, 1))
+
+    def part(count: Column, size: int, own: Column) -> Column:
+        return F.when(count > 0, count * F.log(own / rate)).otherwise(0.0) + F.when(size - count > 0, (size - count) * F.log((1 - own) / F.greatest(1 - rate, F.lit(1e-300)))).otherwise(0.0)
+
+    ratio = 2 * (part(in_toxic, toxic, in_toxic / max(toxic, 1)) + part(in_clean, clean, in_clean / max(clean, 1)))
+    log_lift = F.log((in_toxic + 0.5) / (toxic + 1) * (clean + 1) / (in_clean + 0.5))
+    return log_lift * (1 - errors / F.sqrt(F.greatest(ratio, F.lit(1e-9))))
+
+
 def scores(
-    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 10_000, errors: float = 4.0, prior_weight: float = 0.25, threshold: float = 0.7
+    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 10_000, errors: float = 3.5, prior_weight: float = 0.25, threshold: float = 0.7
 ) -> DataFrame:
-    """doc_id, held_out, score, predicted, and evidence: the nearest examples (doc_id, label, similarity)."""
+    """doc_id, held_out, score, predicted, n_votes (the k nearest examples and all that tie with the last), and evidence: the
+    first k of them (doc_id, label, similarity)."""
     spark = docs.sparkSession
     one = materialize(_examples(docs, labels, most_examples), "examples")
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]), "sample")  # bounded, as above
@@ -209,9 +224,8 @@ def scores(
     sizes = {r.label: r.n for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     by_term = sample.mapInArrow(terms, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    known, other = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    lift = F.log(known / (toxic + 1) * (clean + 1) / other) - errors * F.sqrt(1 / known + 1 / other)
-    picked = by_term.withColumn("lift", lift).where("lift > 0").select("term", "lift").toArrow().sort_by("term")  # terms of the bounded sample
+    lift = proven_lift(F.col("toxic"), F.col("clean"), toxic, clean, errors)
+    picked = by_term.withColumn("lift", lift).where("lift > 0 and toxic * %d > clean * %d" % (max(clean, 1), max(toxic, 1))).select("term", "lift").toArrow().sort_by("term")  # terms of the bounded sample
     chosen = {term: i for i, term in enumerate(picked.column("term").to_pylist())}
     lifts = picked.column("lift").to_numpy()
     shared = spark.sparkContext.broadcast(chosen)
@@ -257,14 +271,15 @@ def scores(
         found, ids, weights = index.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
         for batch in batches:
-            out, evidence = [], []
+            out, evidence, votes = [], [], []
             for text in batch.column("text"):
                 counts = own.counts(text.as_py())
                 near = found.nearest(unit(counts, weights), k) if counts and found.n else []
                 mass = sum(s for s, _ in near)
                 out.append((sum(s * int(found.labels[i]) for s, i in near) + prior_weight * base) / (mass + prior_weight) if near else none)
-                evidence.append([{"doc_id": ids[i], "label": int(found.labels[i]), "similarity": s} for s, i in near])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
+                evidence.append([{"doc_id": ids[i], "label": int(found.labels[i]), "similarity": s} for s, i in near[:k]])
+                votes.append(len(near))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32()), pa.array(votes, pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "n_votes", "evidence"])
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
-    return rows.mapInArrow(vote, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,label:int,similarity:double>>")
+    return rows.mapInArrow(vote, "doc_id long, held_out boolean, score double, predicted int, n_votes int, evidence array<struct<doc_id:long,label:int,similarity:double>>")
