@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.scalars import wilson
+from tidepool.functions.scalars import newcombe, wilson
 
 c = F.col
 GRID = 1000
@@ -71,12 +73,16 @@ def per_collection(rows: DataFrame, by: str = "collection_id") -> DataFrame:
     return each.agg(*[F.percentile("brier", F.lit(q)).alias(f"brier_{round(100 * q)}") for q in (0.1, 0.5, 0.9)], *[F.percentile("log_loss", F.lit(q)).alias(f"log_loss_{round(100 * q)}") for q in (0.1, 0.5, 0.9)])
 
 
+#: Chances that a Poisson count of mean one is at most 0, 1, 2, ...
+POISSON = tuple(round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)), 8) for k in range(7))
+
+
 def bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
     """95% interval of the mean of `value`, clusters resampled: each draw weighs a cluster by a seeded Poisson(1) count."""
     sums = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64(cluster, "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    ladder = (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
-    weight = sum((F.when(u >= t, 1).otherwise(0) for t in ladder), F.lit(0))
+    digest = F.md5(F.concat_ws(":", c(cluster).cast("string"), c("draw").cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
+    weight = sum((F.when(u >= t, 1).otherwise(0) for t in POISSON), F.lit(0))
     drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     means = drawn.groupBy("draw").agg((F.sum(c("w") * c("s")) / F.nullif(F.sum(c("w") * c("n")), F.lit(0))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("*").alias("draws"))
@@ -85,3 +91,31 @@ def bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 200, seed:
 def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, draws: int = 200, seed: int = 7) -> DataFrame:
     """95% interval of the mean difference of two columns, rows resampled together."""
     return bootstrap(pairs.withColumn("__d", c(a) - c(b)), key, "__d", draws, seed)
+
+
+def block_gaps(responses: DataFrame, draws: int = 200, seed: int = 7) -> DataFrame:
+    """(measure, n, point, low, high) of answers (card_id, block, correct, skipped) to three blocks of items.
+
+    Blocks are `card` (as learned), `rset` (the same cards reworded, several a card) and `pset` (held out). Accuracies have
+    Wilson intervals, but that of rset is resampled by card, as its answers come in clusters. The gap to the reworded is
+    paired by card and resampled with the cards; that to the held out is of two independent shares (Newcombe).
+    """
+    graded = responses.where(~c("skipped"))
+    right = lambda name: F.sum(F.when(c("block") == name, c("correct")).otherwise(0)).cast("double")
+    asked = lambda name: F.count(F.when(c("block") == name, 1)).cast("double")
+    sums = graded.agg(*[f(b).alias(f"{n}_{b}") for b in ("card", "rset", "pset") for n, f in (("x", right), ("n", asked))])
+
+    def share(name: str, low: Column, high: Column, label: str) -> Column:
+        return F.struct(F.lit(label).alias("measure"), c(f"n_{name}").cast("long").alias("n"), (c(f"x_{name}") / F.nullif(c(f"n_{name}"), F.lit(0.0))).alias("point"), low.alias("low"), high.alias("high"))
+
+    some = lambda name: F.nullif(c(f"n_{name}"), F.lit(0.0))
+    gap = newcombe(c("x_card"), some("card"), c("x_pset"), some("pset"))
+    held = F.struct(F.lit("card minus held out").alias("measure"), c("n_pset").cast("long").alias("n"), (c("x_card") / some("card") - c("x_pset") / some("pset")).alias("point"), gap[0].alias("low"), gap[1].alias("high"))
+    plain = sums.select(F.inline(F.array(share("card", *wilson(c("x_card"), some("card")), "card"), share("pset", *wilson(c("x_pset"), some("pset")), "held out"), share("rset", *wilson(c("x_rset"), some("rset")), "reworded, naive"), held)))
+    rset = graded.where("block = 'rset'")
+    clustered = bootstrap(rset, "card_id", "correct", draws, seed).select("low", "high")
+    per = graded.groupBy("card_id").agg(F.avg(F.when(c("block") == "card", c("correct"))).alias("a"), F.avg(F.when(c("block") == "rset", c("correct"))).alias("b")).where("a is not null and b is not null")
+    paired = paired_bootstrap(per, "card_id", "a", "b", draws, seed).select("low", "high")
+    one = lambda rows, label, n, point, interval: rows.agg(n.cast("long").alias("n"), point.alias("point")).join(interval, F.lit(True), "left").select(F.lit(label).alias("measure"), "n", "point", "low", "high")  # noqa: E731  one row each
+    reworded = one(rset, "reworded", F.count("*"), F.avg("correct"), clustered)
+    return plain.unionByName(reworded).unionByName(one(per, "card minus reworded", F.count("*"), F.avg(c("a") - c("b")), paired))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import ancestors, parent
@@ -50,6 +50,29 @@ def capped_roll_up(decks: DataFrame, name: str, separator: str) -> DataFrame:
     return done if done is not None else level.select(name, "parent", "level", "interday", "review", "new")
 
 
+def filled(cards: DataFrame, decks: DataFrame, order: list[Column], separator: str, overall: int, deck: str = "deck", key: str = "id") -> DataFrame:
+    """The cards that a daily list takes when it is filled in `order`: a card goes in unless the cap of its deck, of a deck above
+    it, or the overall cap is used up. cards have `deck`, the deck's name; decks are (name, cap).
+
+    What a deck takes are the first of what the decks below it take and of its own, up to its cap. So caps apply level by level,
+    the deepest first, and each level keeps a ranking's first rows for each deck: tasks drop what cannot be among them
+    before anything is shuffled.
+    """
+    caps = decks.select(c("name").alias("__name"), c("cap").alias("__cap"))
+    levels, most = decks.agg(F.max(F.size(F.split("name", separator))), F.max("cap")).first()
+    path = F.split(c(deck), separator)
+    left = cards.join(caps.select("__name"), c(deck) == c("__name"), "left_semi")
+    for level in range(levels or 0, 0, -1):
+        below = F.size(path) >= level
+        node = F.array_join(F.slice(path, 1, level), separator)
+        ranked = left.where(below).withColumn("__name", node).withColumn("__rank", F.row_number().over(Window.partitionBy("__name").orderBy(*order, c(key)))).where(c("__rank") <= most)
+        kept_here = ranked.join(caps, "__name").where("__rank <= __cap").drop("__name", "__rank", "__cap")
+        left = kept_here.unionByName(left.where(~below)) if level > 1 else kept_here
+        if (levels - level) % 4 == 3:
+            left = kept(left)  # deep trees: the plan does not grow with every level
+    return left.orderBy(*order, c(key)).limit(overall)
+
+
 def children(nodes: DataFrame, name: str, of: str, separator: str) -> DataFrame:
     return nodes.where(F.startswith(name, F.lit(of + separator)))
 

@@ -258,9 +258,14 @@ def completed_tags(tags: DataFrame, typed: str, limit: int) -> DataFrame:
     return hits.orderBy((~F.startswith(F.lower("tag"), F.lit(typed.lower()))).cast("int"), F.lower("tag"), "tag").limit(limit)
 
 
+def seeded(key: str, seed: int) -> Column:
+    """An order that a key and a seed give in any engine."""
+    return F.md5(F.concat_ws(":", c(key).cast("string"), F.lit(str(seed))))
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly n rows in a seeded order; an error if there are fewer."""
-    out = rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    out = rows.orderBy(seeded(key, seed), key).limit(n)
     if out.count() < n:
         raise ValueError(f"fewer than {n} rows to choose from")
     return out
@@ -268,7 +273,7 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, each: int, seed: int, used: DataFrame | None = None) -> DataFrame:
     pool = rows if used is None else rows.join(used.select(key), key, "left_anti")
-    return capped(pool, stratum, [F.xxhash64(key, F.lit(seed)), c(key)], each).drop("rank")
+    return capped(pool, stratum, [seeded(key, seed), c(key)], each).drop("rank")
 
 
 def with_checksum(notes: DataFrame) -> DataFrame:

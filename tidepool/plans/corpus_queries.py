@@ -46,10 +46,13 @@ def chunk_topics(spark: SparkSession, d: str) -> DataFrame:
 
 register("ag35_coverage", "SELECT lang AS category, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'it', 0")(lambda spark, d: C.coverage(view(spark, d, "documents").select(c("lang").alias("category")), view(spark, d, "documents").select(c("lang").alias("category")).distinct().union(spark.sql("select 'it'"))))
 register("ag36_corpus_stats", "SELECT 'pages' AS measure, count(*) AS n FROM pages UNION ALL SELECT 'chunks', count(*) FROM documents UNION ALL SELECT 'refused', count(*) FROM benchmark")(lambda spark, d: C.corpus_stats(view(spark, d, "pages"), view(spark, d, "documents"), view(spark, d, "benchmark")))
+_BM25 = (
+    f"WITH w AS (SELECT doc_id, {_split(_NORM.format('text'))} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), q AS (SELECT DISTINCT item_id, unnest({_split(_NORM.format('text'))}) AS term FROM benchmark), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), "
+    "x AS (SELECT q.item_id AS query_id, tf.doc_id, round(sum(ln((s.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.mean))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 10"
+)
 register(
     "t07_bm25",
-    f"WITH w AS (SELECT doc_id, {_split(_NORM.format('text'))} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), q AS (SELECT DISTINCT item_id, unnest({_split(_NORM.format('text'))}) AS term FROM benchmark), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), "
-    "x AS (SELECT q.item_id AS query_id, tf.doc_id, round(sum(ln((s.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / s.mean))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), s GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 10",
+    _BM25,
 )(lambda spark, d: R.bm25(view(spark, d, "documents").select("doc_id", "text"), view(spark, d, "benchmark").select(c("item_id").alias("query_id"), "text"), 10))
 _COS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id"
 register("t08_nearest", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COS}) QUALIFY rank <= 10")(lambda spark, d: R.nearest(view(spark, d, "embeddings"), view(spark, d, "embeddings").where("vec_id % 20 = 0"), 10))
@@ -77,7 +80,13 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "items").select(c("item_id").alias("query_id"), "answer")
 
 
-register("t10_support")(lambda spark, d: R.support(_ranked(spark, d), _answers(spark, d), _chunks(spark, d)))
+#: Typographic signs folded to plain ones and white space to one space, in lower case.
+_FOLDED = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+_SUPPORT = (
+    f"r AS ({_BM25}), h AS (SELECT query_id, rank, doc_id AS chunk_id, strpos({_FOLDED.format('text')}, {_FOLDED.format('answer')}) AS spot FROM r JOIN documents USING (doc_id) JOIN items ON item_id = query_id WHERE {_FOLDED.format('answer')} <> ''), "
+    "x AS (SELECT query_id, arg_min({'chunk_id': chunk_id, 'rank': rank, 'start': spot - 1}, rank) AS s FROM h WHERE spot > 0 GROUP BY 1)"
+)
+register("t10_support", f"WITH {_SUPPORT} SELECT query_id, s.chunk_id AS chunk_id, s.rank AS rank, s.start AS start FROM x")(lambda spark, d: R.support(_ranked(spark, d), _answers(spark, d), _chunks(spark, d)))
 register("t11_grounded", f"WITH {_ITEMS}, {_DOCS}, b AS (SELECT item_id, {_NORM.format('answer')} AS x FROM items) SELECT DISTINCT item_id AS query_id FROM b JOIN d ON surface = 'documents' AND x <> '' AND contains(' ' || t || ' ', ' ' || x || ' ')")(lambda spark, d: R.grounded(_answers(spark, d), _chunks(spark, d)))
 register("t12_verbatim", f"WITH {_ITEMS}, {_DOCS} SELECT DISTINCT item_id, surface, id FROM i JOIN d ON contains(' ' || t || ' ', ' ' || a || ' ')")(lambda spark, d: L.verbatim(view(spark, d, "items"), view(spark, d, "docs")))
 _CONTAINED = f"ig AS (SELECT DISTINCT item_id, g FROM {_grams('i', 'item_id', 'a', 5)}), dg AS (SELECT DISTINCT surface, id, g FROM {_grams('d', 'surface, id', 't', 5)}), m AS (SELECT item_id, surface, id, count(*) AS shared FROM ig JOIN dg USING (g) GROUP BY ALL), k AS (SELECT m.*, shared / size AS containment FROM m JOIN (SELECT item_id, count(*) AS size FROM ig GROUP BY 1) USING (item_id) WHERE shared / size >= 0.6)"
@@ -132,7 +141,10 @@ register("t19_arm_summary", f"WITH a AS ({_ARM}), s AS (SELECT arm, count(*) AS
 register("ag37_outcome_tally", "SELECT role AS outcome, CAST(turn AS VARCHAR) AS reason, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM conversations) AS per_hundred FROM conversations GROUP BY ALL")(lambda spark, d: R.outcome_tally(view(spark, d, "conversations").select(c("role").alias("outcome"), c("turn").cast("string").alias("reason"))))
 
 
-@register("t20_verdicts")
+@register(
+    "t20_verdicts",
+    f"WITH {_SUPPORT} SELECT item_id AS query_id, CASE WHEN item_id NOT IN (SELECT query_id FROM r) THEN 'no retrieval' WHEN item_id NOT IN (SELECT query_id FROM x) THEN 'no supporting span' ELSE 'ships' END AS verdict FROM items",
+)
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
     ranked, chunks = _ranked(spark, d), _chunks(spark, d)
     supported = R.support(ranked, _answers(spark, d), chunks)

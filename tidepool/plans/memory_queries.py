@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +68,19 @@ register("f10_auc", f"WITH {_GRID}, r AS (SELECT sum_y, n - sum_y AS lost, coale
 register("f11_band", f"WITH b AS (SELECT count(*) AS n, sum(y) AS x FROM ({_CASES}) WHERE p >= 0.795 AND p < 0.805) SELECT n, x AS recalled, x / n AS observed, greatest((x / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(x / n * (1 - x / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 0) AS low, least((x / n + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(x / n * (1 - x / n) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 1) AS high FROM b")(lambda spark, d: K.band(_cases(spark, d), 0.8))
 register("f12_baseline", f"WITH b AS (SELECT avg(y) AS b FROM ({_CASES})) SELECT b * (1 - b) AS brier, -(b * ln(b) + (1 - b) * ln(1 - b)) AS log_loss FROM b")(lambda spark, d: K.baseline(_cases(spark, d)))
 register("f13_per_collection", f"WITH e AS (SELECT collection_id, avg({_BRIER}) AS b, avg({_LOG}) AS l FROM ({_CASES}) GROUP BY 1) SELECT quantile_cont(b, 0.1) AS brier_10, quantile_cont(b, 0.5) AS brier_50, quantile_cont(b, 0.9) AS brier_90, quantile_cont(l, 0.1) AS log_loss_10, quantile_cont(l, 0.5) AS log_loss_50, quantile_cont(l, 0.9) AS log_loss_90 FROM e")(lambda spark, d: K.per_collection(_cases(spark, d)))
-register("f14_bootstrap")(lambda spark, d: K.bootstrap(_cases(spark, d), "collection_id", "y"))
+_U = "CAST('0x' || substr(md5(concat_ws(':', {0}, draw, 7)), 1, 8) AS BIGINT) / 4294967296"
+_DRAWN = " + ".join(f"CASE WHEN {_U} >= {t} THEN 1 ELSE 0 END" for t in K.POISSON)
+
+
+def _drawn(name: str, rows: str, cluster: str, value: str) -> str:
+    """CTE: the interval of the mean of `value` in 200 draws of the clusters."""
+    return (
+        f"{name} AS (SELECT quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS draws FROM (SELECT draw, sum(w * s) / nullif(sum(w * n), 0) AS mean "
+        f"FROM (SELECT draw, s, n, {_DRAWN.format(cluster)} AS w FROM (SELECT {cluster}, sum({value}) AS s, count(*) AS n FROM {rows} GROUP BY 1) c, range(1, 201) r(draw)) GROUP BY draw))"
+    )
+
+
+register("f14_bootstrap", f"WITH e AS ({_CASES}), {_drawn('b', 'e', 'collection_id', 'y')} SELECT low, high, draws FROM b")(lambda spark, d: K.bootstrap(_cases(spark, d), "collection_id", "y"))
 
 _RULES = [(1, "fr::src1", None, None, None), (2, "fr", None, "BB", "1A"), (3, "en::src0", "ASIA", "BB", "1B"), (4, "en", None, "CP", "4A")]
 _SCHEMA = T.StructType([T.StructField("rule_no", T.IntegerType())] + [T.StructField(n, T.StringType()) for n in ("rule_tag", "rule_deck", "section", "topic")])
@@ -115,4 +127,26 @@ def section_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("ag34_attempts", "SELECT role AS section, count(*) AS attempts, count(DISTINCT conv_id) AS topics FROM conversations GROUP BY 1")(lambda spark, d: TP.attempts_by_section(view(spark, d, "conversations").select(c("role").alias("section"), c("conv_id").alias("topic"))))
+_WILSON = "greatest((p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 0.0) AS low, least((p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 1.0) AS high"
+_BLOCKS = (
+    "r AS (SELECT cid AS card_id, ease = 0 AS skipped, CASE WHEN ease >= 2 THEN 1 ELSE 0 END AS correct, CASE row_number() OVER (PARTITION BY cid ORDER BY id, event_id) WHEN 1 THEN 'card' WHEN 2 THEN 'rset' WHEN 3 THEN 'rset' WHEN 4 THEN 'rset' ELSE 'pset' END AS block FROM reviews), "
+    "g AS (SELECT * FROM r WHERE NOT skipped), s AS (SELECT block, count(*) AS n, avg(correct) AS p FROM g GROUP BY 1), w AS (SELECT block, n, p, " + _WILSON + " FROM s), "
+    "rs AS (SELECT * FROM g WHERE block = 'rset'), per AS (SELECT card_id, avg(correct) FILTER (block = 'card') - avg(correct) FILTER (block = 'rset') AS d FROM g GROUP BY 1 HAVING d IS NOT NULL)"
+)
+
+
+@register(
+    "ag45_block_gaps",
+    f"WITH {_BLOCKS}, {_drawn('cb', 'rs', 'card_id', 'correct')}, {_drawn('pb', 'per', 'card_id', 'd')} SELECT CASE block WHEN 'card' THEN 'card' WHEN 'pset' THEN 'held out' ELSE 'reworded, naive' END AS measure, n, p AS point, low, high FROM w "
+    "UNION ALL SELECT 'card minus held out', b.n, a.p - b.p, a.p - b.p - sqrt(pow(a.p - a.low, 2) + pow(b.high - b.p, 2)), a.p - b.p + sqrt(pow(a.high - a.p, 2) + pow(b.p - b.low, 2)) FROM w a, w b WHERE a.block = 'card' AND b.block = 'pset' "
+    "UNION ALL SELECT 'reworded', (SELECT count(*) FROM rs), (SELECT avg(correct) FROM rs), low, high FROM cb UNION ALL SELECT 'card minus reworded', (SELECT count(*) FROM per), (SELECT avg(d) FROM per), low, high FROM pb",
+)
+def block_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """A card's first answer, the three after it, and the rest stand for the three blocks."""
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("id", "event_id"))
+    block = F.when(place == 1, "card").when(place <= 4, "rset").otherwise("pset")
+    rows = view(spark, d, "reviews").select(c("cid").alias("card_id"), block.alias("block"), (c("ease") >= 2).cast("int").alias("correct"), (c("ease") == 0).alias("skipped"))
+    return K.block_gaps(rows)
+
+
 register("ag45_block_accuracy", "SELECT collection_id % 3 AS block, count(*) AS n, sum(y) AS right, sum(y) / count(*) AS accuracy FROM (" + _CASES + ") GROUP BY 1")(lambda spark, d: _cases(spark, d).groupBy((c("collection_id") % 3).alias("block")).agg(F.count("*").alias("n"), F.sum("y").alias("right"), (F.sum("y") / F.count("*")).alias("accuracy")))

@@ -38,7 +38,8 @@ _q("pj05_review_classes", "SELECT event_id, ease > 0 AS rated, kind = 4 AND fact
 _q("pj08_difficulty", "SELECT id, (d - 1) / 9 AS share, (d - 1) / 9 + 0.1 AS shifted FROM cards WHERE d IS NOT NULL", lambda k: k.where("d is not null").select("id", PJ.normal_difficulty().alias("share"), PJ.normal_difficulty(0.1).alias("shifted")), "cards")
 _q("pj09_browse_cards", f"SELECT k.id, n.front AS sfld, e.leaf AS deck, n.tag, {_DUE_AT} AS due_at, CASE WHEN type <> 0 THEN factor / 10.0 END AS ease, CASE WHEN type IN (2, 3) THEN ivl END AS interval, lapses, reps, k.id // 1000 AS created, k.mod, s AS stability, (d - 1) / 9 AS difficulty, {_RECALL} AS recall FROM cards k JOIN notes n ON n.id = k.nid JOIN decks e ON e.id = k.did", lambda k, n, e: PJ.browse_cards(k, n, e, FIXED), "cards", "notes", "decks")
 _q("pj09_browse_notes", f"SELECT nid, avg(CASE WHEN type <> 0 THEN factor / 10.0 END) AS ease, avg(CASE WHEN type IN (2, 3) THEN ivl END) AS interval, min({_DUE_AT}) AS due_at, max(mod) AS mod, sum(lapses) AS lapses, sum(reps) AS reps, count(DISTINCT {_HOME}) AS decks, count(*) AS cards FROM cards GROUP BY nid", lambda k: PJ.browse_notes(k, FIXED), "cards")
-_q("pj10_prepared_notes", None, lambda n: PJ.prepared_notes(n).select("id", "front", "back", "sfld", "csum"), "notes")
+_CLEAN = "nfc_normalize(regexp_replace({0}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))"
+_q("pj10_prepared_notes", f"WITH a AS (SELECT id, {_CLEAN.format('front')} AS front, {_CLEAN.format('back')} AS back FROM notes), b AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(front, '(?i)<br\\s*/?>|</?(?:div|p|li|ul|ol|tr|h[1-6])\\b[^>]*>|\n', ' ', 'g'), '<[^>]*>|\\[sound:[^\\]]*\\]', '', 'g'), '\\s+', ' ', 'g')) AS sfld FROM a) SELECT id, front, back, sfld, CAST('0x' || substr(sha1(sfld), 1, 8) AS BIGINT) AS csum FROM b", lambda n: PJ.prepared_notes(n).select("id", "front", "back", "sfld", "csum"), "notes")
 _q("pj11_deck_path", "SELECT id, parent, leaf, 2 AS level, [parent, name] AS ancestors FROM decks", lambda e: e.select("id", PJ.deck_path(c("name")).alias("p")).select("id", "p.*"), "decks")
 _q("pj12_last_position", f"SELECT id, CASE WHEN type = 0 THEN {_DUE0} ELSE id END AS position FROM cards", lambda k: k.withColumn("pos", c("id")).select("id", PJ.last_position().alias("position")), "cards")
 
@@ -61,6 +62,11 @@ _q("so2_unused_media", "SELECT page_id AS id FROM pages EXCEPT SELECT doc_id FRO
 _q("so3_unused_tags", "SELECT DISTINCT tag FROM notes WHERE tag NOT IN (SELECT tag FROM notes WHERE id % 50 = 0)", lambda n: T.unused_tags(n, n.where("id % 50 = 0")), "notes")
 _q("so5_combined", "SELECT id FROM cards WHERE (type = 2 OR flags = 1) AND NOT lapses > 3", lambda k: k.where(((c("type") == 2) | (c("flags") == 1)) & ~(c("lapses") > 3)).select("id"), "cards")
 
+def _caps(decks: DataFrame) -> DataFrame:
+    """A cap for every deck and for what is above it."""
+    return decks.select("name", (4 + c("id") % 9).cast("int").alias("cap")).union(decks.select(c("parent").alias("name"), F.lit(20).alias("cap")).distinct())
+
+
 # --- windows -----------------------------------------------------------------------------------------------------------
 _KEPT = "ease > 0 AND NOT (kind = 3 AND factor = 0)"
 _q("w01_day_gaps", f"SELECT event_id, cid, coalesce({_OFFSET} - lag({_OFFSET}) OVER (PARTITION BY cid ORDER BY id, event_id), 0) AS delta_t FROM reviews WHERE {_KEPT}", lambda r: T.day_gaps(r, FIXED), "reviews")
@@ -70,6 +76,13 @@ _q("w06_name_ranks", "SELECT id, row_number() OVER (ORDER BY lower(name), name)
 _q("w09_holdout", "SELECT event_id, row_number() OVER (PARTITION BY collection_id ORDER BY id, cid, event_id) > count(*) OVER (PARTITION BY collection_id) - ceil(count(*) OVER (PARTITION BY collection_id) * 0.2) AS held_out FROM reviews", lambda r: T.holdout(r).select("event_id", "held_out"), "reviews")
 _q("w10_siblings_suppressed", "SELECT id FROM (SELECT id, coalesce(max(CASE WHEN did % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY nid ORDER BY due, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM cards) WHERE h = 0", lambda k: T.sibling_suppressed(k.select("id", "nid", c("due").alias("position"), (c("did") % 2 == 0).alias("buries"))).select("id"), "cards")
 _q("w11_capped", "SELECT id, did FROM cards QUALIFY row_number() OVER (PARTITION BY did ORDER BY due, id) <= 10", lambda k: T.capped(k, "did", [c("due"), c("id")], 10).select("id", "did"), "cards")
+_q(
+    "w11_nested_caps",
+    "WITH k AS (SELECT cards.id, due, d.id AS did, d.parent FROM cards JOIN decks d ON d.id = cards.did), a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY did ORDER BY due, id) <= 4 + did % 9), "
+    "b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY parent ORDER BY due, id) <= 20) SELECT id, did FROM b ORDER BY due, id LIMIT 70",
+    lambda e, k: H.filled(k.join(e.select(c("id").alias("did"), c("name").alias("deck")), "did"), _caps(e), [c("due")], "\x1f", 70).select("id", "did"),
+    "decks", "cards",
+)
 _q("w12_repositioned", "SELECT id, nid, 100 + 5 * (dense_rank() OVER (ORDER BY nid) - 1) AS position FROM cards WHERE type = 0", lambda k: T.repositioned(k, 100, 5), "cards")
 _q("w14_first_card", f"SELECT nid, arg_min({_HOME}, ord) AS deck, min(ord) AS ord FROM cards GROUP BY nid", T.first_card, "cards")
 
@@ -115,8 +128,8 @@ _q("s06_forgotten", f"SELECT id FROM cards WHERE queue >= 0 AND odid = 0 AND id
 _q("s07_two_terms", "WITH a AS (SELECT id FROM cards WHERE type = 2 ORDER BY due, id LIMIT 20), b AS (SELECT id, due FROM cards WHERE lapses > 2 ORDER BY due, id LIMIT 40) SELECT id, row_number() OVER (ORDER BY due, id) AS position FROM cards WHERE id IN (SELECT id FROM a) UNION ALL SELECT id, 20 + row_number() OVER (ORDER BY due, id) FROM b WHERE id NOT IN (SELECT id FROM a)", lambda k: T.two_terms(k.where("type = 2").orderBy("due", "id").limit(20), k.where("lapses > 2").orderBy("due", "id").limit(40), [c("due"), c("id")], [c("due"), c("id")]), "cards")
 _q("s08_interleaved", "WITH a AS (SELECT id, row_number() OVER (ORDER BY id) AS p, count(*) OVER () AS n FROM cards WHERE type = 0), b AS (SELECT id, row_number() OVER (ORDER BY id) AS p, count(*) OVER () AS n FROM cards WHERE flags = 5 AND type <> 0) SELECT id, p / (n + 1) AS key, 0 AS which FROM a UNION ALL SELECT id, p / (n + 1), 1 FROM b", lambda k: T.interleaved(*[numbered(x.select("id"), ["id"], "position") for x in (k.where("type = 0"), k.where("flags = 5 and type <> 0"))]), "cards")
 _q("s09_completed_tags", "SELECT DISTINCT tag FROM notes WHERE regexp_matches(tag, '[^:]*e[^:]*::[^:]*1[^:]*', 'i') ORDER BY CASE WHEN starts_with(lower(tag), 'e::1') THEN 0 ELSE 1 END, lower(tag) LIMIT 10", lambda n: T.completed_tags(n, "e::1", 10), "notes")
-_q("s12_seeded_sample", None, lambda k: T.seeded_sample(k, "id", 25, 7).select("id"), "cards")
-_q("s13_stratified_sample", None, lambda k: T.stratified_sample(k, "did", "id", 3, 7).select("did", "id"), "cards")
+_q("s12_seeded_sample", "SELECT id FROM cards ORDER BY md5(id || ':7'), id LIMIT 25", lambda k: T.seeded_sample(k, "id", 25, 7).select("id"), "cards")
+_q("s13_stratified_sample", "SELECT did, id FROM cards QUALIFY row_number() OVER (PARTITION BY did ORDER BY md5(id || ':7'), id) <= 3", lambda k: T.stratified_sample(k, "did", "id", 3, 7).select("did", "id"), "cards")
 
 # --- merges ------------------------------------------------------------------------------------------------------------
 _q("m01_append_absent", "SELECT event_id, ease FROM reviews WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 9 FROM reviews WHERE event_id % 2 = 0 AND event_id % 3 <> 0", lambda r: M.append_absent(r.where("event_id % 3 = 0").select("event_id", "ease"), r.where("event_id % 2 = 0").select("event_id", F.lit(9).alias("ease")), "event_id"), "reviews")

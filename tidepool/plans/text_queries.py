@@ -24,9 +24,12 @@ def _q(name: str, sql: str, operator, *tables: str) -> None:
 
 
 def _stripped(text: str) -> str:
-    for pattern in ("(?s)<!--.*?-->", "(?is)<style.*?>.*?</style>", "(?is)<script.*?>.*?</script>", "(?s)<.*?>"):
-        text = f"regexp_replace({text}, '{pattern}', '', 'g')"
-    return text
+    """Text between markup: cut at every `<`, a piece loses what stands before its first `>`. Elements of raw text go first."""
+    for name in ("style", "script"):
+        text = f"regexp_replace({text}, '(?is)<{name}( [^>]*)?>.*?</{name}>', '', 'g')"
+    text = f"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
+    pieces = f"string_split({text}, '<')"
+    return f"array_to_string(list_transform({pieces}, lambda x, i: CASE WHEN i = 1 THEN x WHEN contains(x, '>') THEN substr(x, strpos(x, '>') + 1) ELSE '<' || x END), '')"
 
 
 _BREAKS = r"(?i)<br\s*/?>|</?(?:div|p|li|ul|ol|tr|h[1-6])\b[^>]*>|\n"
