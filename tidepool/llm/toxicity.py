@@ -3,8 +3,9 @@
 Terms are the words of a text (ASCII lower-cased; letters, digits and all non-ASCII characters) and the 4- and 5-letter
 pieces of them, so that inflected and misspelt forms meet. A term weighs TF-IDF, the document frequencies taken over all
 documents, times what the labelled examples prove of it (`proven_lift`): the logarithm of how much more frequent it is in toxic
-ones, shrunk by what chance explains at `errors` standard errors. Terms of which nothing is proven weigh nothing and so take no
-part in any cosine; no term is left out by its rank or by a share. (Without that factor a few insults vanish among hundreds of other words, and the nearest
+ones, shrunk by what chance explains at `errors` standard errors. Terms whose proven lift is below `least_lift` (1.42 times as
+frequent) weigh nothing and so take no part in any cosine: function words that longer toxic texts have somewhat more often
+would stand in every text. No term is left out by its rank or by a share. (Without that factor a few insults vanish among hundreds of other words, and the nearest
 examples are those of the same language and length; README has the figures.)
 
 Every text is compared with the examples: posting blocks have the largest weight they hold, blocks are visited in the order of
@@ -102,7 +103,11 @@ class Index:
         self.of_term = np.append(of_term, len(first))  # where the entries of each term begin
 
     def nearest(self, query: dict[int, float], k: int, first: int = 8) -> list[tuple[float, int]]:
-        """(similarity, example) of the k most similar examples with a positive cosine, and of all that tie with the last of them.
+        """(similarity, example) of what search() finds."""
+        return list(zip(*(x.tolist() for x in self.search(query, k, first)), strict=True))
+
+    def search(self, query: dict[int, float], k: int, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and numbers of the k most similar examples with a positive cosine, and of all that tie with the last of them.
 
         The blocks with the highest bounds are scored first; of the others only those whose bound reaches the k-th best so
         far are read, `first` and then four times as many at a time.
@@ -115,7 +120,7 @@ class Index:
         spot, weight = spot[known], weight[known]
         entries, by = _ranges(self.of_term[spot], self.of_term[spot + 1])
         if not len(entries):
-            return []
+            return np.zeros(0), np.zeros(0, dtype=np.int64)
         weight = weight[by]
         bound = np.bincount(self.block[entries], weight * self.top[entries], self.blocks)
         order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
@@ -129,7 +134,8 @@ class Index:
             positive = score[score > 0]
             least = np.partition(positive, -k)[-k] if len(positive) >= k else 0.0
         hits = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-        return sorted(zip(score[hits].tolist(), hits.tolist(), strict=True), key=lambda x: (-x[0], x[1]))
+        hits = hits[np.lexsort((hits, -score[hits]))]
+        return score[hits], hits
 
     def _scored(self, entries: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """What these entries give to the examples of these blocks; no other postings are read."""
@@ -178,7 +184,7 @@ def _examples(docs: DataFrame, labels: DataFrame, most_examples: int) -> DataFra
 def proven_lift(in_toxic: Column, in_clean: Column, toxic: int, clean: int, errors: float) -> Column:
     """What the examples prove of a term: the logarithm of how much more frequent it is in toxic ones, shrunk by the share of it
     that chance explains; zero or less if chance can explain all. By the likelihood ratio against one rate for both, which
-    holds for terms that clean examples do not have at all."""
+    holds for terms that clean examples do not have at all. Terms that are rarer in toxic examples get a negative one."""
     rate = (in_toxic + in_clean) / F.lit(max(toxic + clean, 1))
 
     def part(count: Column, size: int, own: Column) -> Column:
@@ -186,11 +192,11 @@ def proven_lift(in_toxic: Column, in_clean: Column, toxic: int, clean: int, erro
 
     ratio = 2 * (part(in_toxic, toxic, in_toxic / max(toxic, 1)) + part(in_clean, clean, in_clean / max(clean, 1)))
     log_lift = F.log((in_toxic + 0.5) / (toxic + 1) * (clean + 1) / (in_clean + 0.5))
-    return log_lift * (1 - errors / F.sqrt(F.greatest(ratio, F.lit(1e-9))))
+    return log_lift * F.greatest(1 - errors / F.sqrt(F.greatest(ratio, F.lit(1e-9))), F.lit(0.0))
 
 
 def scores(
-    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 10_000, errors: float = 3.5, prior_weight: float = 0.25, threshold: float = 0.7
+    docs: DataFrame, labels: DataFrame, k: int = 15, most_examples: int = 4_000, errors: float = 3.5, least_lift: float = 0.35, prior_weight: float = 0.25, threshold: float = 0.7
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, n_votes (the k nearest examples and all that tie with the last), and evidence: the
     first k of them (doc_id, label, similarity)."""
@@ -225,7 +231,7 @@ def scores(
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     by_term = sample.mapInArrow(terms, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     lift = proven_lift(F.col("toxic"), F.col("clean"), toxic, clean, errors)
-    picked = by_term.withColumn("lift", lift).where("lift > 0 and toxic * %d > clean * %d" % (max(clean, 1), max(toxic, 1))).select("term", "lift").toArrow().sort_by("term")  # terms of the bounded sample
+    picked = by_term.withColumn("lift", lift).where(F.col("lift") >= least_lift).select("term", "lift").toArrow().sort_by("term")  # terms of the bounded sample
     chosen = {term: i for i, term in enumerate(picked.column("term").to_pylist())}
     lifts = picked.column("lift").to_numpy()
     shared = spark.sparkContext.broadcast(chosen)
@@ -274,10 +280,9 @@ def scores(
             out, evidence, votes = [], [], []
             for text in batch.column("text"):
                 counts = own.counts(text.as_py())
-                near = found.nearest(unit(counts, weights), k) if counts and found.n else []
-                mass = sum(s for s, _ in near)
-                out.append((sum(s * int(found.labels[i]) for s, i in near) + prior_weight * base) / (mass + prior_weight) if near else none)
-                evidence.append([{"doc_id": ids[i], "label": int(found.labels[i]), "similarity": s} for s, i in near[:k]])
+                near, who = found.search(unit(counts, weights), k) if counts and found.n else (np.zeros(0), np.zeros(0, dtype=np.int64))
+                out.append(float((near @ found.labels[who] + prior_weight * base) / (near.sum() + prior_weight)) if len(near) else none)
+                evidence.append([{"doc_id": ids[i], "label": int(found.labels[i]), "similarity": float(s)} for s, i in zip(near[:k], who[:k], strict=True)])
                 votes.append(len(near))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), pa.array(out, pa.float64()), pa.array([int(s >= threshold) for s in out], pa.int32()), pa.array(votes, pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "n_votes", "evidence"])
 
