@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,6 +133,56 @@ register("io12_pages", "SELECT page_id, length(html) AS n FROM pages")(lambda sp
 register("io13_vectors", "SELECT vec_id, len(embedding) AS n FROM embeddings")(lambda spark, d: IO.read_vectors(spark, f"{d}/embeddings.parquet").select("vec_id", F.size("embedding").alias("n")))
 
 
+def _note_files(spark: SparkSession, d: str) -> str:
+    """Notes in files of three layouts: with a head that says all, with some of it, and with nothing but rows."""
+    at = f"{scratch(spark)}/files"
+    notes = with_tags(view(spark, d, "notes")).select("id", F.regexp_replace("front", "[\\t;,|\"#<>&]", " ").alias("front"), F.replace("tag", F.lit("::"), F.lit("/")).alias("tag")).where("trim(front) <> ''")
+    quoted = F.concat(F.lit('"'), "front", F.lit('; <b>x</b>"'))
+    kinds = {
+        "said": (("#separator:Semicolon", "#html:true", "#tags column:3", "#guid column:1", "#deck:Said", "#notetype:Basic"), F.concat_ws(";", "id", quoted, "tag")),
+        "some": (("#notetype column:1", "#columns:kind,front,id", "#kind is a comment"), F.concat_ws(",", F.lit("Plain"), "front", "id")),
+        "none": ((), F.concat_ws("\t", F.concat(F.lit("x "), "front"), "id")),
+    }
+    for k, (name, (head, line)) in enumerate(kinds.items()):
+        lines = notes.where(c("id") % 3 == k).select(line.alias("value"))
+
+        def with_head(frames: Iterator[pd.DataFrame], head: tuple[str, ...] = head) -> Iterator[pd.DataFrame]:
+            for n, frame in enumerate(frames):
+                yield pd.concat([pd.DataFrame({"value": head if n == 0 else ()}, dtype=str), frame]) if head and n == 0 else frame
+
+        lines.mapInPandas(with_head, "value string").write.text(f"{at}/{name}")
+    return at
+
+
+_FRONT = "regexp_replace(front, '[\t;,|\"#<>&]', ' ', 'g')"
+
+
+@register(
+    "io01_note_files",
+    f"WITH n AS (SELECT id, {_FRONT} AS front, replace(tag, '::', '/') AS tag FROM notes WHERE trim({_FRONT}) <> '') SELECT CASE WHEN id % 3 = 0 THEN CAST(id AS VARCHAR) END AS guid, "
+    "CASE id % 3 WHEN 0 THEN [front || '; <b>x</b>'] WHEN 1 THEN [front, CAST(id AS VARCHAR)] ELSE ['x ' || front, CAST(id AS VARCHAR)] END AS flds, CASE WHEN id % 3 = 0 THEN tag END AS tag, "
+    "CASE WHEN id % 3 = 0 THEN 'Said' END AS deck, CASE id % 3 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Plain' END AS notetype FROM n",
+)
+def note_files(spark: SparkSession, d: str) -> DataFrame:
+    return IO.read_note_files(spark, f"{_note_files(spark, d)}/*").select("guid", "flds", F.get("tags", 0).alias("tag"), "deck", "notetype")
+
+
+@register("io03_directives", "SELECT unnest(['said', 'some', 'none']) AS name, unnest([';', ',', chr(9)]) AS delimiter, unnest([3, 3, 2]) AS n, unnest([true, false, false]) AS html, unnest([5 + 1, 2, 0]) AS said")
+def directives(spark: SparkSession, d: str) -> DataFrame:
+    found = {(files[0].split("/")[-2], x.delimiter, x.columns, x.is_html, len(x.directives)) for x, files in IO.note_layouts(spark, f"{_note_files(spark, d)}/*")}
+    return spark.createDataFrame(sorted(found), "name string, delimiter string, n int, html boolean, said int")
+
+
+@register("io04_json_notes", "SELECT CAST(item_id AS VARCHAR) AS guid, CASE WHEN item_id % 2 = 0 THEN 'Own' ELSE 'All' END AS deck, 'Basic' AS notetype, [text, CAST(item_id AS VARCHAR)] AS flds FROM benchmark")
+def json_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Files of JSON notes, whose decks are those of the file where a note names none."""
+    at = f"{scratch(spark)}/json"
+    note = F.struct(c("item_id").cast("string").alias("guid"), F.when(c("item_id") % 2 == 0, "Own").alias("deck"), F.array("text", c("item_id").cast("string")).alias("fields"), F.array().cast("array<string>").alias("tags"))
+    files = view(spark, d, "benchmark").groupBy((c("item_id") % 4).alias("file")).agg(F.collect_list(note).alias("notes"))
+    files.select(F.lit("All").alias("default_deck"), F.lit("Basic").alias("default_notetype"), "notes").write.option("maxRecordsPerFile", 1).json(at)  # a document is a file
+    return IO.read_notes_json(spark, at).select("guid", "deck", "notetype", "flds")
+
+
 def _exported(spark: SparkSession, d: str) -> DataFrame:
     at = f"{scratch(spark)}/research"
     IO.export_dataset(view(spark, d, "reviews"), view(spark, d, "cards"), view(spark, d, "decks"), at, 10)

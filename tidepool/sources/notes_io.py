@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import strip_html
@@ -27,30 +28,76 @@ class Layout:
     notetype_column: int | None = None
     guid_column: int | None = None
     directives: dict[str, str] = field(default_factory=dict)
-
-
-def csv_profile(spark: SparkSession, path: str, columns: int = 2) -> Layout:
-    """The layout of a file: `#key:value` lines at its head, else the first delimiter that occurs, and whether cells look like HTML."""
-    lines = spark.read.text(path)
-    said = {r.value[1:].split(":", 1)[0].strip().lower(): r.value.split(":", 1)[1].strip() for r in lines.where(c("value").rlike(r"^#[A-Za-z ]+:")).limit(50).collect()}
-    body = lines.where(~F.startswith("value", F.lit("#")))
-    seen = body.limit(200).agg(*[F.max(F.contains("value", F.lit(d))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)]).first()
-    named = {"tab": "\t", "comma": ",", "semicolon": ";", "space": " ", "pipe": "|", "colon": ":"}
-    own = said.get("separator")
-    delimiter = named.get(own.lower(), own) if own else next((d for i, d in enumerate(DELIMITERS) if seen[f"d{i}"]), "\t")
-    looks = body.agg(F.coalesce(F.max(c("value").rlike(_HTML)), F.lit(False)).alias("h")).first()["h"]
+    multiline: bool = True
+
+
+_NAMED = {"tab": "\t", "comma": ",", "semicolon": ";", "space": " ", "pipe": "|", "colon": ":"}
+
+
+def note_layouts(spark: SparkSession, path: str, columns: int | None = None) -> list[tuple[Layout, list[str]]]:
+    """The layouts of the files under a path, and the files of each.
+
+    A file says how it is to be read in `#key:value` lines at its head, the later of two counting; else its first row shows it:
+    the first of the delimiters that occurs there, and as many columns as it has. Cells are HTML if any row of the file
+    looks like it. One scan over all lines; what reaches the driver is a row for each layout, with its files' names.
+    """
+    lines = spark.read.text(path).select("value", c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    comment = F.startswith("value", F.lit("#"))
+    first = F.min(F.when((c("block") == 0) & ~comment, F.struct("id", "value"))).alias("first")
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    shown = lines.groupBy("file").agg(first, F.max(F.when(~comment, c("value").rlike(_HTML))).alias("html"), F.coalesce(F.max(odd & ~comment), F.lit(False)).alias("multiline"))
+    heads = lines.where((c("block") == 0) & c("value").rlike("^#[A-Za-z ]+:")).join(shown.select("file", c("first.id").alias("until")), "file").where("until is null or id < until")
+    key, value = F.lower(F.trim(F.substring_index(F.substring("value", 2, 1 << 30), ":", 1))), F.trim(F.regexp_replace("value", "^[^:]*:", ""))
+    said = heads.groupBy("file", key.alias("key")).agg(F.max_by(value, "id").alias("value")).groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("said"))
+    row = F.coalesce(c("first.value"), F.lit(""))
+    guess = F.coalesce(*[F.when(F.contains(row, F.lit(d)), F.lit(d)) for d in DELIMITERS], F.lit("\t"))
+    own = F.get(F.map_values(F.map_filter("said", lambda k, _: k == "separator")), 0)
+    named = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair]), lambda k, _: k == F.lower(own))), 0)
+    per = shown.join(said, "file", "left").withColumn("delimiter", F.coalesce(named, own, guess))
+    width = F.size(F.split(F.regexp_replace(row, '"[^"]*"', ""), F.concat(F.lit("\\Q"), c("delimiter"), F.lit("\\E"))))
+    per = per.withColumn("width", width).groupBy("delimiter", "html", "multiline", "width", F.to_json("said").alias("said")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [(_layout(r, columns), r["files"]) for r in per.collect()]
+
+
+def _layout(row: Row, columns: int | None) -> Layout:
+    said = json.loads(row["said"] or "{}")
+    count = columns or (len(said["columns"].split(row["delimiter"])) if said.get("columns") else row["width"])
     number = lambda key: int(said[key]) - 1 if said.get(key, "").isdigit() else None
     special = {k: number(f"{k} column") for k in ("tags", "deck", "notetype", "guid")}
-    return Layout(delimiter, said["html"].lower() == "true" if "html" in said else looks, columns, tuple(i for i in range(columns) if i not in special.values()), special["tags"], special["deck"], special["notetype"], special["guid"], said)
+    html = said["html"].lower() == "true" if "html" in said else bool(row["html"])
+    fields = tuple(i for i in range(count) if i not in special.values())
+    return Layout(row["delimiter"], html, count, fields, special["tags"], special["deck"], special["notetype"], special["guid"], said, row["multiline"])
+
 
+def csv_profile(spark: SparkSession, path: str, columns: int | None = 2) -> Layout:
+    """The layout of files that are all alike."""
+    found = note_layouts(spark, path, columns)
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} layouts under {path}; read_note_files reads each file by its own")
+    return found[0][0]
 
-def read_notes_csv(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """Cells c0.. of every row; rows may be short, comments and a leading tags line are skipped."""
+
+def read_notes_csv(spark: SparkSession, path: str | list[str], layout: Layout) -> DataFrame:
+    """Cells c0.. of every row; rows may be short, comments and a leading tags line are skipped. Files with no line end inside a
+    cell are split over tasks."""
     schema = ", ".join(f"c{i} string" for i in range(layout.columns))
-    rows = spark.read.schema(schema).csv(path, sep=layout.delimiter, comment="#", multiLine=True, mode="PERMISSIVE", escape='"')
+    rows = spark.read.schema(schema).csv(path, sep=layout.delimiter, comment="#", multiLine=layout.multiline, mode="PERMISSIVE", escape='"')
     return rows.where(~F.startswith(F.coalesce("c0", F.lit("")), F.lit("tags:")))
 
 
+def read_note_files(spark: SparkSession, path: str) -> DataFrame:
+    """(flds, tags, deck, notetype, guid) of all note files under a path, each read by its own layout. A deck or notetype that a
+    file names for all of its notes holds where a row names none."""
+    notes = None
+    for layout, files in note_layouts(spark, path):
+        some = map_note_columns(read_notes_csv(spark, files, layout), layout)
+        some = some.withColumns({k: F.coalesce(F.nullif(k, F.lit("")), F.lit(layout.directives.get(k)).cast("string")) for k in ("deck", "notetype")})
+        if also := layout.directives.get("tags"):
+            some = some.withColumn("tags", F.array_union("tags", F.array(*[F.lit(t) for t in also.split()])))
+        notes = some if notes is None else notes.unionByName(some)
+    return spark.createDataFrame([], "flds array<string>, tags array<string>, deck string, notetype string, guid string") if notes is None else notes
+
+
 def map_note_columns(rows: DataFrame, layout: Layout) -> DataFrame:
     """(flds, tags, deck, notetype, guid): cells by column; cells that are not HTML are escaped, their lines become <br>."""
 
