@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import leak_normal, typographic, wilson
 from tidepool.operators.phrases import occurrences
+from tidepool.operators.text_index import TextIndex
+from tidepool.sources.shared import scratch
 
 c = F.col
 
@@ -18,19 +20,10 @@ def terms(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): documents (doc_id, text) for queries (query_id, text), terms OR-ed, unstemmed.
 
-    Only postings of query terms are built: the documents' terms are filtered by a semi-join before they are counted.
+    Builds an index of the queries' terms alone and searches it; text_index keeps one for many searches.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(c("text")))).alias("term"))
-    words = docs.select("doc_id", terms(c("text")).alias("w"))
-    lengths = words.select("doc_id", F.size("w").alias("length"))
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    used = asked.select("term").distinct()
-    tf = words.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(used, "term", "left_semi").groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(whole["n"]) - c("df") + 0.5) / (c("df") + 0.5) + 1)
-    weight = idf * c("tf") * (k1 + 1) / (c("tf") + k1 * (1 - b + b * c("length") / F.lit(whole["mean"] or 1.0)))
-    scored = tf.join(df, "term").select("term", "doc_id", weight.alias("w")).join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
-    return top(scored, "query_id", "score", "doc_id", k)
+    asked = queries.select(F.explode(terms(c("text"))).alias("term"))
+    return TextIndex.build(docs, f"{scratch(docs.sparkSession)}/index", asked, k1=k1, b=b).search(queries, k)[0]
 
 
 def top(scored: DataFrame, by: str, score: str, key: str, k: int) -> DataFrame:
