@@ -72,3 +72,13 @@ def test_leak_and_grounding_use_phrases(spark):
         assert [r["query_id"] for r in R.grounded(items.selectExpr("item_id AS query_id", "answer"), chunks, **how).collect()] == [1]
     pairs = spark.createDataFrame([(1, "one two three four", "zero one two three", "none"), (2, "one", "", "x"), (3, None, "one", "x")], "pair_id long, a string, b string, answer string")
     assert {r["pair_id"]: r["run"] for r in L.rewording(pairs).collect()} == {1: 3, 2: 0, 3: 0}
+
+
+def test_contained_is_the_same_by_tasks_and_by_join(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(25)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 3, 5, 6, 20])))) for i in range(40)] + [(90, None)]
+    docs = [("d", i, " ".join([*(word() for _ in range(rng.randrange(40))), *items[i % 40][1].split()[: rng.randrange(30)], "x Y"])) for i in range(90)] + [("p", 1, None), ("p", 2, "")]
+    one, other = spark.createDataFrame(items, "item_id long, stem string"), spark.createDataFrame(docs, "surface string, id long, text string")
+    local, joined = (sorted(map(tuple, L.contained(one, other, local_shingles=n).collect())) for n in (2_000_000, 0))
+    assert local == joined and len(local) > 20

@@ -108,14 +108,17 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-#: Letters that decomposition leaves alone.
-_PLAIN = {"đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H", "ı": "i", "ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss", "ð": "d", "þ": "th"}
+#: Letters that decomposition leaves alone, and what stands for them (fixed values).
+_PLAIN = {
+    "€": "E", "Æ": "AE", "Ð": "D", "Ø": "O", "Þ": "TH", "ß": "s", "æ": "ae", "ð": "d", "ø": "o", "þ": "th", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h",
+    "ı": "i", "ĸ": "k", "Ł": "L", "ł": "l", "Ŋ": "N", "ŋ": "n", "Œ": "OE", "œ": "oe", "Ŧ": "T", "ŧ": "t", "Ə": "E", "ǝ": "e", "ɑ": "a",
+}
 
 
 @F.pandas_udf(T.StringType())
 def without_marks(text: pd.Series) -> pd.Series:
     plain = str.maketrans(_PLAIN)
-    return text.map(lambda t: None if t is None else "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).translate(plain))
+    return text.map(lambda t: None if t is None else "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.category(ch).startswith("M")).translate(plain))
 
 
 def drop_control(text: Column) -> Column:

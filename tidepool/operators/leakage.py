@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import leak_normal
-from tidepool.operators.phrases import longest_shared, occurrences, pair_runs
+from tidepool.operators.phrases import longest_shared, occurrences, pair_runs, shared_shingles
 
 c = F.col
 
@@ -39,12 +39,18 @@ def verbatim(items: DataFrame, docs: DataFrame, **how: int) -> DataFrame:
     return occurrences(asked, told, **how).join(asked, "a").select("item_id", "surface", "id").distinct()
 
 
-def contained(items: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.6) -> DataFrame:
-    """(item_id, surface, id, shared, containment): share of an item's shingles that a document has, from `least` on."""
-    asked = items.select("item_id", F.array_distinct(F.transform(_grams(words(c("stem")), n), lambda x: x["g"])).alias("gs")).where(F.size("gs") > 0).select("item_id", F.size("gs").alias("size"), F.explode("gs").alias("g"))
-    held = docs.select("surface", "id", F.explode(F.array_distinct(F.transform(_grams(words(c("text")), n), lambda x: x["g"]))).alias("g"))
-    met = held.join(asked, "g").groupBy("item_id", "surface", "id", "size").agg(F.count("*").alias("shared"))
-    return met.withColumn("containment", c("shared") / c("size")).where(c("containment") >= least).drop("size")
+def contained(items: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.6, **how: int) -> DataFrame:
+    """(item_id, surface, id, shared, containment): share of an item's shingles that a document has, from `least` on.
+
+    Items that a task can hold go to the documents; more of them meet in a join on shingle hashes.
+    """
+    told = docs.select("surface", "id", leak_normal(c("text")).alias("t"))
+    met = shared_shingles(items.select("item_id", leak_normal(c("stem")).alias("a")), told, n, **how)
+    if met is None:
+        asked = items.select("item_id", F.array_distinct(F.transform(_grams(words(c("stem")), n), lambda x: x["g"])).alias("gs")).where(F.size("gs") > 0).select("item_id", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+        held = docs.select("surface", "id", F.explode(F.array_distinct(F.transform(_grams(words(c("text")), n), lambda x: x["g"]))).alias("g"))
+        met = held.join(asked, "g").groupBy("item_id", "surface", "id", "size").agg(F.count("*").alias("shared"))
+    return met.withColumn("containment", c("shared") / c("size")).where(c("containment") >= least).select("item_id", "surface", "id", "shared", "containment")
 
 
 def best_windows(candidates: DataFrame, items: DataFrame, docs: DataFrame, least: float = 0.6, n: int = 1) -> DataFrame:

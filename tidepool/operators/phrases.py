@@ -6,12 +6,15 @@ tasks in slices of a stated size, so a text is read once for each slice and neve
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 c = F.col
 #: Code points of phrases in one automaton (some 100 bytes each), and how many automata are worth a pass over the texts each.
@@ -208,3 +211,65 @@ def pair_runs(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(runs, pa.int32())], ["pair_id", "run"])
 
     return pairs.select("pair_id", "a", "b").mapInArrow(run, f"pair_id {dict(pairs.dtypes)['pair_id']}, run int")
+
+
+#: Shingles of items that a task may hold (some 100 bytes each).
+LOCAL_SHINGLES = 2_000_000
+
+
+class _WordHashes(dict):
+    """64-bit hash of a word, remembered between texts up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return value
+
+
+def _shingles(words: list[str], n: int, hashes: _WordHashes) -> np.ndarray:
+    """Distinct hashes of the runs of n words, in order."""
+    if len(words) < n:
+        return np.zeros(0, dtype=np.uint64)
+    own = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    mixed = np.zeros(len(own) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        mixed = (mixed ^ own[k : len(own) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def shared_shingles(items: DataFrame, docs: DataFrame, n: int, local_shingles: int = LOCAL_SHINGLES) -> DataFrame | None:
+    """(item_id, *key, shared, size): how many of an item's `size` distinct n-word shingles a document has, for those that share
+    any; items are (item_id, a), documents (*key, t), words joined by one space. None where the items' words are too many for
+    a task. Documents are read once; nothing but hits leaves a task."""
+    key = [k for k in docs.columns if k != "t"]
+    if (items.agg(F.sum(F.size(F.split("a", " ")))).first()[0] or 0) > local_shingles:
+        return None
+    asked = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["a"]) for r in items.select("item_id", "a").where("a is not null").collect()])  # at most local_shingles words
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        own = [(item, _shingles(a.split(), n, hashes)) for item, a in asked.value]
+        grams = np.concatenate([np.zeros(0, dtype=np.uint64), *[g for _, g in own]])
+        of = np.repeat(np.arange(len(own)), [len(g) for _, g in own])
+        order = np.argsort(grams, kind="stable")
+        grams, of = grams[order], of[order]
+        for batch in batches:
+            row, item, shared = [], [], []
+            for i, text in enumerate(batch.column("t")):
+                held = _shingles((text.as_py() or "").split(), n, hashes)
+                low, high = np.searchsorted(grams, held), np.searchsorted(grams, held, side="right")
+                some = high > low
+                if some.any():
+                    hit, count = np.unique(np.concatenate([of[lo:hi] for lo, hi in zip(low[some], high[some], strict=True)]), return_counts=True)
+                    row += [i] * len(hit)
+                    item += hit.tolist()
+                    shared += count.tolist()
+            rows = batch.select(key).take(pa.array(row, pa.int64()))
+            columns = [pa.array([own[x][0] for x in item], items_type), *rows.columns, pa.array(shared, pa.int64()), pa.array([len(own[x][1]) for x in item], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", *key, "shared", "size"])
+
+    kind = dict(items.dtypes)["item_id"]
+    items_type = to_arrow_type(items.schema["item_id"].dataType)
+    return docs.select(*key, "t").mapInArrow(run, ", ".join([f"item_id {kind}", *[f"{k} {t}" for k, t in docs.select(*key).dtypes], "shared long", "size int"]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidepool import context as C
@@ -59,12 +59,39 @@ def by_first_field(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.join(known, (c("mid") == c("emid")) & (c("csum") == c("ecsum")) & (c("front") == c("efront")), "left").drop("emid", "ecsum", "efront")
 
 
+#: Rules that a plan may hold by itself.
+LITERAL_RULES = 200
+
+
+def _looked_up(rules: list[Row], prefixes: Column) -> Column:
+    """The first of the rules whose tag is among the prefixes and whose deck, if any, is that of the row."""
+    kind = "struct<rule_no:int,section:string,topic:string>"
+    by_tag: dict[str, list[Row]] = {}
+    for rule in rules:
+        if rule["rule_tag"] is not None:
+            by_tag.setdefault(rule["rule_tag"], []).append(rule)
+    if not by_tag:
+        return F.lit(None).cast(kind)
+    text = lambda x: F.lit(x).cast("string")
+    of = [F.array(*[F.struct(F.lit(r["rule_no"]).alias("rule_no"), text(r["section"]).alias("section"), text(r["topic"]).alias("topic"), text(r["rule_deck"]).alias("deck")) for r in rows]) for rows in by_tag.values()]
+    known = F.create_map(*[x for pair in zip(map(F.lit, by_tag), of, strict=True) for x in pair])
+    met = F.flatten(F.array_compact(F.transform(prefixes, lambda p: F.try_element_at(known, p))))
+    fits = F.filter(met, lambda r: r["deck"].isNull() | (c("deck") == r["deck"])) if any(r["rule_deck"] is not None for r in rules) else met
+    first = F.get(F.array_sort(fits, lambda x, y: x["rule_no"] - y["rule_no"]), 0)
+    return F.when(first.isNotNull(), F.struct(first["rule_no"].alias("rule_no"), first["section"].alias("section"), first["topic"].alias("topic")))
+
+
 def first_rule(notes: DataFrame, rules: DataFrame, name: str = "tag", separator: str = "::") -> DataFrame:
     """The first rule (rule_no, rule_tag, rule_deck) whose tag is the note's or a namespace above, with a matching deck.
 
-    A note's tag prefixes are exploded and equi-joined; the least rule number wins. Notes are read once, in one row an id; those
-    without a rule have nulls.
+    The least rule number wins; notes without a rule have nulls. Up to LITERAL_RULES rules become part of the plan, a map by tag
+    that each note looks its own prefixes up in, so notes are neither joined nor shuffled. More rules are joined to the
+    exploded prefixes; then notes are read once, in one row an id.
     """
+    few = rules.select("rule_no", "rule_tag", "rule_deck", "section", "topic").limit(LITERAL_RULES + 1).collect()
+    if len(few) <= LITERAL_RULES:
+        found = _looked_up(few, ancestors(c(name), separator))
+        return notes.withColumn("__rule", found).select(*notes.columns, *[c(f"__rule.{n}").alias(n) for n in ("rule_no", "section", "topic")])
     up = notes.withColumn("__prefix", F.explode_outer(ancestors(c(name), separator)))
     fits = (c("__prefix") == c("rule_tag")) & (c("rule_deck").isNull() | (c("deck") == c("rule_deck")))
     rest = [F.any_value(n).alias(n) for n in notes.columns if n != "id"]

@@ -72,6 +72,19 @@ _q(
     lambda d: d.select("doc_id", F.md5(S.nfc(F.replace("text", F.lit("é"), F.lit("é")))).alias("sum")),
     "documents",
 )
+_MARKED = "translate(text, 'aeos', 'åøħß')"
+_q(
+    "sf09_without_marks",
+    f"SELECT doc_id, md5(strip_accents(replace(replace(replace({_MARKED}, 'ø', 'o'), 'ħ', 'h'), 'ß', 's'))) AS sum FROM documents",
+    lambda d: d.select("doc_id", F.md5(S.without_marks(F.expr(_MARKED))).alias("sum")),
+    "documents",
+)
+_q(
+    "sf24_shingles",
+    "WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark) SELECT item_id, CASE WHEN len(w) < 3 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')))) END AS shingles FROM w",
+    lambda b: b.select("item_id", F.array_sort(S.shingles(F.split(F.lower("text"), " "), 3)).alias("shingles")),
+    "benchmark",
+)
 _q(
     "sf10_without_control",
     "SELECT doc_id, md5(replace(text, ' ', '')) AS sum FROM documents WHERE NOT regexp_matches(text, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]')",
