@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import keyed, materialize, table
+from tidepool.llm.common import discard, keyed, materialize, table
 from tidepool.llm.decontamination import contamination
 from tidepool.llm.near_dedup import near_duplicates
 from tidepool.llm.quality_rules import POLICIES, judged
@@ -71,6 +71,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    for number, (name, stage) in enumerate(STAGES):
+        made = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if number:
+            discard(docs)  # the stage before, which nothing reads any more
+        docs = made
     return docs
