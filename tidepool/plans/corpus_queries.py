@@ -9,6 +9,7 @@ from tidepool.functions import scalars as S
 from tidepool.operators import corpus as C
 from tidepool.operators import leakage as L
 from tidepool.operators import retrieval as R
+from tidepool.operators.vector_index import nearest_by_cells
 from tidepool.plans.registry import register
 from tidepool.sources.fixtures import view
 from tidepool.sources.shared import scratch
@@ -120,6 +121,9 @@ register("t07_by_category", _BM25.replace("QUALIFY", "WHERE (SELECT lang FROM do
 )
 _COS = "SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])), 9) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id"
 register("t08_nearest", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COS}) QUALIFY rank <= 10")(lambda spark, d: R.nearest(view(spark, d, "embeddings"), view(spark, d, "embeddings").where("vec_id % 20 = 0"), 10))
+register("t08_by_cells", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COS}) QUALIFY rank <= 10")(
+    lambda spark, d: nearest_by_cells(view(spark, d, "embeddings"), view(spark, d, "embeddings").where("vec_id % 20 = 0"), 10)[0]
+)
 register("t09_fused", f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_COS}) QUALIFY rank <= 20), b AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM a), x AS (SELECT query_id, vec_id, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, vec_id, rank FROM a UNION ALL SELECT * FROM b) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM x QUALIFY rank <= 20")(
     lambda spark, d: _fused(spark, d)
 )
