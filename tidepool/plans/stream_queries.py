@@ -29,7 +29,7 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str = "complete", **newes
     return ST.drained(stream, f"{at}/out", f"{at}/checkpoint", mode, **newest)
 
 
-LANDINGS = 3
+LANDINGS = 2
 
 
 def _landings(spark: SparkSession, d: str, each: Callable[[str], None]) -> DataFrame:
