@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +41,20 @@ def materialize(df: DataFrame, label: str = "part") -> DataFrame:
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """df, written, with a column __row that tells its rows apart."""
-    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    """df with a column __row that tells its rows apart, the same whenever it is read.
+
+    Rows of a Parquet table are told by their file's number and their place in the file, so no copy is made; the rows of
+    anything else are numbered and written.
+    """
+    try:
+        names = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())  # a row for each file
+        placed = df.select(*df.columns, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    except AnalysisException:
+        return materialize(df.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    if not names:
+        return df.withColumn("__row", F.lit(0).cast("long"))
+    files = df.sparkSession.createDataFrame([(name, number << 40) for number, name in enumerate(names)], "__file string, __first long")
+    return placed.join(files, "__file").select(*df.columns, (F.col("__first") + F.col("__at")).alias("__row"))
 
 
 def discard(df: DataFrame) -> None:
