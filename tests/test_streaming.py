@@ -87,7 +87,7 @@ def test_due_counts_move_with_answers(spark):
 
 @pytest.mark.parametrize(
     ("unit", "tagged", "totals"),
-    [("day", ST.in_days, ST.day_totals), ("week", ST.in_weeks, ST.week_totals), ("cid", lambda e: e.where("ease > 0"), ST.session_totals)],
+    [("day", ST.in_days, ST.day_totals), ("cid", lambda e: e.where("ease > 0"), ST.session_totals)],
 )
 def test_late_events_are_repaired(spark, unit, tagged, totals):
     got = SQ._mended(spark, SF, unit, tagged, totals).cache()
