@@ -43,7 +43,7 @@ def _placed(rows: DataFrame, pivots, key: str) -> DataFrame:
     return rows.select(key, "embedding").mapInArrow(run, f"{key} {kinds[key]}, embedding {kinds['embedding']}, cell int, angles array<double>")
 
 
-def _compared(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def compared(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k best in each slice of a cell, of vectors (cell, slice, vec_id, embedding) for queries
     (cell, slice, query_id, embedding)."""
     shape = ["cell", "slice", "asks", "id", "embedding"]
@@ -111,12 +111,12 @@ def nearest_by_cells(vectors: DataFrame, queries: DataFrame, k: int, cells: int
     def best(rows: DataFrame) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(c("score").desc(), "vec_id"))).where(c("rank") <= k)
 
-    early = kept(best(_compared(sliced, to_slices(reach.where("cell = home")), k)))
+    early = kept(best(compared(sliced, to_slices(reach.where("cell = home")), k)))
     limit = early.where(c("rank") == k).select("query_id", F.acos(F.greatest(F.least("score", F.lit(1.0)), F.lit(-1.0))).alias("limit"))
     # cosines are rounded to nine places; an angle near nought moves by the root of that
     more = reach.where("cell <> home").join(limit, "query_id", "left").where(c("limit").isNull() | (c("bound") <= c("limit") + 1e-4))
     more = kept(more.select("query_id", "cell", "n", "embedding"))
-    late = _compared(sliced, to_slices(more), k)
+    late = compared(sliced, to_slices(more), k)
     count = lambda rows: rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     computed = count(reach.where("cell = home")).unionByName(count(more)).agg(F.sum("n").alias("computed"))
     pairs = count(reach).select(c("n").alias("pairs")).join(computed, F.lit(True))  # one row each
