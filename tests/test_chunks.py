@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from tidepool.operators import corpus as C
+from tidepool.sources.shared import pieces
 
 
 def page(rng, n):
@@ -48,3 +50,11 @@ def test_a_page_of_many_blocks_is_linear(spark):
     start = time.perf_counter()
     assert C.chunks(C.laid_out(df)).count() > 900
     assert time.perf_counter() - start < 30
+
+
+def test_a_batch_is_read_in_pieces_of_a_stated_size():
+    """Whole batches as Python objects are what took an executor's memory."""
+    rows = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["x" * (10_000 if i == 400 else 100) for i in range(500)])], ["page_id", "html"])
+    some = list(pieces([rows, rows.slice(0, 0)], size=5_000))
+    assert len(some) > 10 and pa.Table.from_batches(some) == pa.Table.from_batches([rows])
+    assert all(p.num_rows * rows.nbytes / rows.num_rows <= 5_000 for p in some)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +29,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of about `size` bytes, a row at least: what a task holds as Python objects at a time
+    does not follow the rows of a batch. A batch without rows gives nothing."""
+    for batch in batches:
+        step = max(batch.num_rows * size // max(batch.nbytes, 1), 1)
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def _at(spark: SparkSession, path: str):
     """Hadoop's path and the file system it lies in."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
