@@ -82,3 +82,26 @@ def test_contained_is_the_same_by_tasks_and_by_join(spark):
     one, other = spark.createDataFrame(items, "item_id long, stem string"), spark.createDataFrame(docs, "surface string, id long, text string")
     local, joined = (sorted(map(tuple, L.contained(one, other, local_shingles=n).collect())) for n in (2_000_000, 0))
     assert local == joined and len(local) > 20
+
+
+def test_runs_and_windows_are_the_same_by_tasks_and_by_join(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(12)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([0, 2, 3, 6, 20])))) for i in range(30)] + [(90, None)]
+    docs = [("d", i, " ".join([*(word() for _ in range(rng.randrange(40))), *items[i % 30][1].split()[: rng.randrange(30)]])) for i in range(60)] + [("p", 1, None), ("p", 2, "")]
+    one, other = spark.createDataFrame(items, "item_id long, stem string"), spark.createDataFrame(docs, "surface string, id long, text string").repartition(4)
+    for found in (L.longest_runs, L.windows_shared):
+        local, joined = (sorted(map(tuple, found(one, other, 3, local_shingles=n).collect())) for n in (2_000_000, 0))
+        assert local == joined and len(local) > 10
+    seen = {tuple(w[i : i + 3]) for _, _, t in docs for w in [(t or "").split()] for i in range(len(w) - 2)}
+    windows = {i: len({tuple(w[k : k + 3]) for k in range(len(w) - 2)} & seen) for i, t in items for w in [(t or "").split()]}
+    assert dict(map(tuple, L.windows_shared(one, other, 3).collect())) == {i: n for i, n in windows.items() if n}
+
+
+def test_only_texts_of_candidates_are_shingled(spark):
+    """Shingles of every document before the join were what took the time."""
+    docs = spark.range(5).selectExpr("'d' AS surface", "id", "concat('a b c d ', id) AS text")
+    items = spark.createDataFrame([(1, "a b c d")], "item_id long, stem string")
+    found = L.best_windows(docs.where("id = 3").selectExpr("1L AS item_id", "surface", "id"), items, docs, 0.0)
+    assert [(r["id"], r["best"]) for r in found.collect()] == [(3, 1.0)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -6,11 +6,16 @@ their side is broadcast is left to Spark, which measures it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalars import leak_normal
-from tidepool.operators.phrases import longest_shared, occurrences, pair_runs, shared_shingles
+from tidepool.operators.phrases import WordHashes, held_shingles, longest_shared, occurrences, pair_runs, placed_shingles, shared_shingles
+from tidepool.sources.shared import kept, pieces
 
 c = F.col
 
@@ -60,31 +65,49 @@ def best_windows(candidates: DataFrame, items: DataFrame, docs: DataFrame, least
     counts in a window where it is the first of its kind, that is where its previous place lies before the window. So each
     place of a shingle covers a range of windows, and running sums over window starts give both set sizes.
     """
-    grams = lambda text: F.transform(_grams(words(text), n), lambda x: x["g"])
-    asked = items.select("item_id", grams(c("stem")).alias("iw")).select("item_id", F.size("iw").alias("n"), F.array_distinct("iw").alias("iw")).where("n > 0")
-    met = candidates.select("item_id", "surface", "id").join(asked, "item_id").join(docs.select("surface", "id", grams(c("text")).alias("dw")), ["surface", "id"])
-    key = ["item_id", "surface", "id"]
-    each = met.select(*key, "n", F.size("iw").alias("kinds"), F.size("dw").alias("len"), F.posexplode("dw").alias("p", "word"), c("iw"))
-    each = each.select(*key, "n", "kinds", "len", "p", "word", F.array_contains("iw", c("word")).alias("held"))
-    before = F.lag("p").over(Window.partitionBy(*key, "word").orderBy("p"))
-    last = F.greatest(c("len") - c("n"), F.lit(0))
-    ranged = each.withColumn("from", F.greatest(c("p") - c("n") + 1, F.coalesce(before + 1, F.lit(0)), F.lit(0))).withColumn("to", F.least("p", last))
-    ranged = ranged.where("`from` <= `to`")
-    held = c("held").cast("int")
-    steps = ranged.select(*key, "kinds", F.inline(F.array(F.struct(c("from").alias("at"), F.lit(1).alias("d"), held.alias("h")), F.struct((c("to") + 1).alias("at"), F.lit(-1).alias("d"), (-held).alias("h")))))
-    summed = steps.groupBy(*key, "kinds", "at").agg(F.sum("d").alias("d"), F.sum("h").alias("h"))
-    line = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = summed.select(*key, "kinds", F.sum("d").over(line).alias("size"), F.sum("h").over(line).alias("shared"))
-    return sizes.groupBy(*key).agg(F.max(c("shared") / F.nullif(c("kinds") + c("size") - c("shared"), F.lit(0))).alias("best")).where(c("best") >= least)
-
-
-def longest_runs(items: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
+    candidates = kept(candidates.select("item_id", "surface", "id"))  # few, so that texts need not move to find theirs
+    named = docs.join(candidates.select("surface", "id").distinct(), ["surface", "id"], "left_semi").select("surface", "id", leak_normal(c("text")).alias("t"))
+    met = candidates.join(items.select("item_id", leak_normal(c("stem")).alias("a")), "item_id").join(named, ["surface", "id"]).where("a is not null and t is not null")
+    kinds, key = dict(met.dtypes), ["item_id", "surface", "id"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in pieces(batches):
+            own = [(placed_shingles(a.as_py().split(), n, hashes), placed_shingles(t.as_py().split(), n, hashes)) for a, t in zip(batch.column("a"), batch.column("t"), strict=True)]
+            some = [i for i, (item, doc) in enumerate(own) if len(item) and len(doc)]
+            best = [_best_window(np.unique(own[i][0]), own[i][1], len(own[i][0])) for i in some]
+            yield pa.RecordBatch.from_arrays([*batch.select(key).take(pa.array(some, pa.int64())).columns, pa.array(best, pa.float64())], [*key, "best"])
+
+    return met.select(*key, "a", "t").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in key), "best double"])).where(c("best") >= least)
+
+
+def _best_window(item: np.ndarray, doc: np.ndarray, n: int) -> float:
+    """The best Jaccard of an item's distinct shingles with a window of n of a document's, which are not none."""
+    at = np.arange(len(doc))
+    order = np.argsort(doc, kind="stable")
+    before = np.full(len(doc), -1)
+    again = doc[order[1:]] == doc[order[:-1]]
+    before[order[1:][again]] = order[:-1][again]
+    last = max(len(doc) - n, 0)
+    first, end = np.maximum(np.maximum(at - n + 1, before + 1), 0), np.minimum(at, last) + 1
+    some = first < end
+    first, end, held = first[some], end[some], np.isin(doc[some], item).astype(np.float64)
+    running = lambda weight: np.cumsum(np.bincount(first, weight, last + 2) - np.bincount(end, weight, last + 2))[: last + 1]
+    size, shared = running(np.ones(len(first))), running(held)
+    return float((shared / (len(item) + size - shared)).max())
+
+
+def longest_runs(items: DataFrame, docs: DataFrame, n: int = 3, **how: int) -> DataFrame:
     """(item_id, surface, id, run): the longest common run of words of pairs that share n words in a row.
 
-    Shared shingles lie on diagonals (place in document minus place in item); a run of words is an island on one.
+    Shared shingles lie on diagonals (place in document minus place in item); a run of words is an island on one. Shingles
+    of items that a task can hold go to the documents, so that only those found there are joined.
     """
-    asked = items.select("item_id", F.explode(_grams(words(c("stem")), n)).alias("x")).select("item_id", c("x.g").alias("g"), c("x.p").alias("ip"))
-    held = docs.select("surface", "id", F.explode(_grams(words(c("text")), n)).alias("x")).select("surface", "id", c("x.g").alias("g"), c("x.p").alias("dp"))
+    told = docs.select("surface", "id", leak_normal(c("text")).alias("t"))
+    found = held_shingles(items.select("item_id", leak_normal(c("stem")).alias("a")), told, n, **how)
+    if found is None:
+        found = [t.select(*key, F.explode(_grams(words(c(text)), n)).alias("x")).select(*key, "x.g", "x.p") for t, key, text in ((items, ["item_id"], "stem"), (docs, ["surface", "id"], "text"))]
+    asked, held = found[0].withColumnRenamed("p", "ip"), found[1].withColumnRenamed("p", "dp")
     met = held.join(asked, "g").select("item_id", "surface", "id", "dp", (c("dp") - c("ip")).alias("diagonal"))
     line = Window.partitionBy("item_id", "surface", "id", "diagonal").orderBy("dp")
     islands = met.withColumn("island", c("dp") - F.row_number().over(line)).groupBy("item_id", "surface", "id", "diagonal", "island").agg(F.count("*").alias("length"))
@@ -93,7 +116,7 @@ def longest_runs(items: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
 
 def longest_shared_runs(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, run, surface, id): how many words in a row an item shares with the corpus at most, and where first."""
-    return longest_shared(items.select("item_id", words(c("stem")).alias("w")), docs.select("surface", "id", words(c("text")).alias("w")))
+    return longest_shared(items.select("item_id", words(c("stem")).alias("w")), docs.select("surface", "id", leak_normal(c("text")).alias("t")))
 
 
 def graded(hits: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -118,10 +141,14 @@ def denominators(items: DataFrame, docs: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(n), F.lit(True), "left").select("surface", "docs", "words", (c("docs") * c("items")).alias("comparisons"))
 
 
-def windows_shared(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
-    """(item_id, windows): an item's n-word windows that occur anywhere in the documents."""
-    asked = items.select("item_id", F.explode(F.array_distinct(F.transform(_grams(words(c("stem")), n), lambda x: x["g"]))).alias("g"))
-    held = docs.select(F.explode(F.transform(_grams(words(c("text")), n), lambda x: x["g"])).alias("g")).distinct()
+def windows_shared(items: DataFrame, docs: DataFrame, n: int = 8, **how: int) -> DataFrame:
+    """(item_id, windows): an item's n-word windows that occur anywhere in the documents. Windows of items that a task can hold go
+    to the documents; more of them meet in a join."""
+    told = docs.select("surface", "id", leak_normal(c("text")).alias("t"))
+    found = held_shingles(items.select("item_id", leak_normal(c("stem")).alias("a")), told, n, once=True, **how)
+    if found is None:
+        found = [t.select(*key, F.explode(F.transform(_grams(words(c(text)), n), lambda x: x["g"])).alias("g")) for t, key, text in ((items, ["item_id"], "stem"), (docs, [], "text"))]
+    asked, held = found[0].select("item_id", "g").distinct(), found[1].select("g").distinct()
     return asked.join(held, "g", "left_semi").groupBy("item_id").agg(F.count("*").alias("windows"))
 
 

@@ -149,9 +149,18 @@ class ItemRuns:
     def read(self, words: list[str], key: tuple) -> None:
         """Notes the longest matches of one text. Of texts that match as much the one with the smaller key counts."""
         own: dict[int, int] = {}
-        for state, n in self.runs.matched(words):
-            if n > own.get(state, 0):
-                own[state] = n
+        at, n = 0, 0
+        follows, link, length = self.runs.follows, self.runs.link, self.runs.length
+        for word in words:  # as matched() does, without a call for each word
+            while at and word not in follows[at]:
+                at = link[at]
+                n = length[at]
+            after = follows[at].get(word)
+            if after is None:
+                continue
+            at, n = after, n + 1
+            if n > own.get(at, 0):
+                own[at] = n
         for state, n in own.items():
             held = self.best.get(state)
             if held is None or (-n, key) < (-held[0], held[1]):
@@ -180,7 +189,10 @@ class ItemRuns:
 
 def longest_shared(items: DataFrame, docs: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
     """(item_id, run, surface, id): the longest run of words that an item (item_id, w) shares with any document (surface, id, w), from
-    one word on, and the first document that holds it. Each task hands on one row for each item."""
+    one word on, and the first document that holds it. Documents may have text `t`, words joined by one space, instead of w.
+    Each task hands on one row for each item."""
+    words_of = (lambda x: (x.as_py() or "").split()) if "t" in docs.columns else (lambda x: x.as_py() or [])
+    told = "t" if "t" in docs.columns else "w"
     asked, count = _sliced(items.where(F.size("w") > 0).select("item_id", "w", F.size("w").cast("long").alias("size")), "size", slice_words)
     kinds = dict(items.dtypes) | dict(docs.dtypes)
     spark, found = docs.sparkSession, None
@@ -190,13 +202,13 @@ def longest_shared(items: DataFrame, docs: DataFrame, slice_words: int = SLICE_W
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             runs = ItemRuns(held.value)
             for batch in batches:
-                for surface, key, words in zip(batch.column("surface").to_pylist(), batch.column("id").to_pylist(), batch.column("w"), strict=True):
-                    runs.read(words.as_py() or [], (surface, key))
+                for surface, key, words in zip(batch.column("surface").to_pylist(), batch.column("id").to_pylist(), batch.column(told), strict=True):
+                    runs.read(words_of(words), (surface, key))
             out = [{"item_id": item, "run": n, "surface": key[0], "id": key[1]} for item, n, key in runs.result()]
             if out:
                 yield pa.RecordBatch.from_pylist(out)
 
-        some = docs.select("surface", "id", "w").mapInArrow(run, f"item_id {kinds['item_id']}, run long, surface {kinds['surface']}, id {kinds['id']}")
+        some = docs.select("surface", "id", told).mapInArrow(run, f"item_id {kinds['item_id']}, run long, surface {kinds['surface']}, id {kinds['id']}")
         found = some if found is None else found.unionByName(some)
     best = F.min(F.struct((-c("run")).alias("less"), "surface", "id")).alias("x")
     return found.groupBy("item_id").agg(best).select("item_id", (-c("x.less")).cast("int").alias("run"), "x.surface", "x.id")
@@ -217,7 +229,7 @@ def pair_runs(pairs: DataFrame) -> DataFrame:
 LOCAL_SHINGLES = 2_000_000
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
     """64-bit hash of a word, remembered between texts up to a bound."""
 
     def __missing__(self, word: str) -> int:
@@ -227,8 +239,8 @@ class _WordHashes(dict):
         return value
 
 
-def _shingles(words: list[str], n: int, hashes: _WordHashes) -> np.ndarray:
-    """Distinct hashes of the runs of n words, in order."""
+def placed_shingles(words: list[str], n: int, hashes: WordHashes) -> np.ndarray:
+    """Hashes of the runs of n words, by place."""
     if len(words) < n:
         return np.zeros(0, dtype=np.uint64)
     own = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
@@ -236,7 +248,12 @@ def _shingles(words: list[str], n: int, hashes: _WordHashes) -> np.ndarray:
     for k in range(n):
         mixed = (mixed ^ own[k : len(own) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
+
+
+def _shingles(words: list[str], n: int, hashes: WordHashes) -> np.ndarray:
+    """Distinct hashes of the runs of n words, in order."""
+    return np.unique(placed_shingles(words, n, hashes))
 
 
 def shared_shingles(items: DataFrame, docs: DataFrame, n: int, local_shingles: int = LOCAL_SHINGLES) -> DataFrame | None:
@@ -249,7 +266,7 @@ def shared_shingles(items: DataFrame, docs: DataFrame, n: int, local_shingles: i
     asked = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["a"]) for r in items.select("item_id", "a").where("a is not null").collect()])  # at most local_shingles words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = WordHashes()
         own = [(item, _shingles(a.split(), n, hashes)) for item, a in asked.value]
         grams = np.concatenate([np.zeros(0, dtype=np.uint64), *[g for _, g in own]])
         of = np.repeat(np.arange(len(own)), [len(g) for _, g in own])
@@ -273,3 +290,49 @@ def shared_shingles(items: DataFrame, docs: DataFrame, n: int, local_shingles: i
     kind = dict(items.dtypes)["item_id"]
     items_type = to_arrow_type(items.schema["item_id"].dataType)
     return docs.select(*key, "t").mapInArrow(run, ", ".join([f"item_id {kind}", *[f"{k} {t}" for k, t in docs.select(*key).dtypes], "shared long", "size int"]))
+
+
+def held_shingles(items: DataFrame, docs: DataFrame, n: int, once: bool = False, local_shingles: int = LOCAL_SHINGLES) -> tuple[DataFrame, DataFrame] | None:
+    """((item_id, g, p), (*key, g, p)): the n-word shingles of items (item_id, a) by place, and of documents (*key, t) those that
+    an item has; words are joined by one space. once: of the documents (g) alone, each at most once a task. None where the
+    items' words are too many for a task. Documents are read once; shingles that no item has never leave a task."""
+    key = [k for k in docs.columns if k != "t"]
+    if (items.agg(F.sum(F.size(F.split("a", " ")))).first()[0] or 0) > local_shingles:
+        return None
+    asked = docs.sparkSession.sparkContext.broadcast([r["a"] for r in items.select("a").where("a is not null").distinct().collect()])  # at most local_shingles words
+
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [placed_shingles((text.as_py() or "").split(), n, hashes) for text in batch.column("a")]
+            yield _rows(batch, ["item_id"], found, [np.arange(len(g)) for g in found])
+
+    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        grams = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *[_shingles(a.split(), n, hashes) for a in asked.value]]))
+        new = np.ones(len(grams), dtype=bool)
+        for batch in batches:
+            found, places = [], []
+            for text in batch.column("t"):
+                mine = placed_shingles((text.as_py() or "").split(), n, hashes)
+                spot = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
+                at = np.flatnonzero(grams[spot] == mine) if len(grams) else np.zeros(0, dtype=np.int64)
+                if once:
+                    spot = np.unique(spot[at])
+                    mine, at = grams, spot[new[spot]]
+                    new[at] = False
+                found.append(mine[at])
+                places.append(at)
+            yield _rows(batch, [] if once else key, found, places)
+
+    kinds = [] if once else [f"{k} {t}" for k, t in docs.select(*key).dtypes]
+    one = items.select("item_id", "a").mapInArrow(own, f"item_id {dict(items.dtypes)['item_id']}, g long, p int")
+    return one, docs.select(*key, "t").mapInArrow(held, ", ".join([*kinds, "g long, p int"]))
+
+
+def _rows(batch: pa.RecordBatch, key: list[str], found: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows (*key, g, p) of what each row of a batch was found to hold."""
+    at = np.repeat(np.arange(batch.num_rows), [len(g) for g in found])
+    rows = [batch.column(k).take(pa.array(at, pa.int64())) for k in key]
+    flat = lambda parts, kind: np.concatenate([np.zeros(0, dtype=kind), *parts])
+    return pa.RecordBatch.from_arrays([*rows, pa.array(flat(found, np.uint64).view(np.int64)), pa.array(flat(places, np.int64).astype(np.int32))], [*key, "g", "p"])
