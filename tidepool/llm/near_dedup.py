@@ -271,6 +271,15 @@ def _confirm(groups: DataFrame, threshold: int, k: int) -> DataFrame:
     return groups.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
 
 
+def _likely(rows: DataFrame, ids: DataFrame, key: str, bits: int = 2**24) -> DataFrame:
+    """The rows whose key is among the ids, and few others: by a map of this many bits, broadcast as at most bits / 64 rows. What it
+    lets through by chance, the join that follows drops."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    word, at = F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("at")
+    held = ids.select(word, at).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
+    return rows.select("*", word, at).join(F.broadcast(held), "word").where(F.getbit("bits", F.col("at")) == 1).select(*rows.columns)
+
+
 def near_duplicates(
     docs: DataFrame, threshold: int = 85, k: int = 5, seed_trees: int = 4, trees: int = 12, levels: int = 6, leaf_rows: int = 2048, block_shingles: int = 1_500_000
 ) -> DataFrame:
@@ -290,7 +299,8 @@ def near_duplicates(
     grouped = materialize(grouped.join(reps.select("rep", "n"), "rep"), "grouped")
     weight = F.col("n") + 300  # many short texts make a large block as well
     sized = grouped.groupBy("grp").agg(F.ceil(F.sum(weight) / block_shingles).cast("int").alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(grouped.join(sized, "grp").hint("merge"), "rep")  # the same plan at every size
+    told = _likely(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"), grouped, "rep")  # texts outside groups do not move
+    texts = told.join(grouped.join(sized, "grp").hint("merge"), "rep")  # the same plan at every size
     own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0)
     pivot = (F.col("blocks") > 1) & (F.col("rep") == F.col("grp"))
     nodes = F.when(pivot, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("grp", b.cast("long")))).otherwise(F.array(F.xxhash64("grp", own.cast("long"))))
