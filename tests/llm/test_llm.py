@@ -103,6 +103,29 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(220)], "a long, b long").repartition(3)
+    one, rounds = (sorted(map(tuple, components(edges, task_edges=n).collect())) for n in (500_000, 0))
+    assert one == rounds and len(one) > 200
+
+
+def test_near_dedup_moves_few_rows_of_texts_that_are_not_near(spark, monkeypatch):
+    """Texts with a third in common share many values but few pairs of them: their nodes are not written."""
+    rows, kept = 0, ND.materialize
+
+    def counted(df, label="part"):
+        nonlocal rows
+        out = kept(df, label)
+        rows += out.count() if label == "nodes" else 0
+        return out
+
+    monkeypatch.setattr(ND, "materialize", counted)
+    docs = spark.createDataFrame([(i, " ".join([f"a{j}" for j in range(40)] + [f"x{i}y{j}" for j in range(70)])) for i in range(300)], "doc_id long, text string")
+    assert ND.near_duplicates(docs).where("kept").count() == 300
+    assert rows < 4 * 300
+
+
 def test_lm_base_and_normalisation(spark, odd):
     got = {(r["doc_id"], r["n_tokens"]): r for r in LM.scored(odd).collect()}
     texts = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in odd.collect()]

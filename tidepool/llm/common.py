@@ -127,13 +127,35 @@ def with_least(pairs: DataFrame, cuts: int = 64) -> DataFrame:
     return rows.join(low, ["a", "cut"]).select("a", "b", "m")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _rooted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the edges (a, b) of a task, root the smallest node that these reach."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := above.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            above[x], x = top, above[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            above[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.int64()), pa.array([root(x) for x in list(above)], pa.int64())], ["node", "root"])
+
+
+def components(edges: DataFrame, max_rounds: int = 60, task_edges: int = 500_000) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node, root the smallest node reachable.
 
-    Alternates large-star and small-star over written tables until nothing changes. Minima are pre-aggregated and
-    joined back by slices, so no node's neighbours are gathered in a group or in one task.
+    Up to `task_edges` distinct edges (8 MB) are one task's work. More of them alternate large-star and small-star over
+    written tables until nothing changes. Minima are pre-aggregated and joined back by slices, so no node's neighbours are
+    gathered in a group or in one task.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.count() <= task_edges:
+        return materialize(now.coalesce(1).mapInArrow(_rooted, "node long, root long"), "roots")
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -2,13 +2,14 @@
 
 Every text becomes its set of distinct 5-word shingles and 128 minwise values of it. Texts with equal sets form one
 class, held by its smallest doc_id. The classes then run through independent trees: a node branches on the minwise
-values at coordinates drawn from the node itself (1/lambda of them on average, as the chosen-path join prescribes), a
-node of at most `leaf_rows` classes is compared exhaustively on minwise sketches, and a node whose classes are all known
-to belong together is dropped. A first batch of trees only seeds that knowledge, so that large groups of near copies
+values at coordinates drawn from the node itself (1/lambda of them on average, as the chosen-path join prescribes), the
+first node that is looked at is a path of two values (many texts share one, few share two without being near), a node of
+at most `leaf_rows` classes is compared exhaustively on minwise sketches, and a node whose classes are all known to
+belong together is dropped. A first batch of trees only seeds that knowledge, so that large groups of near copies
 collapse before the second batch looks for everything else. A node that is still large at the last level is compared
 block against block, each text first within the largest such node it is in; what two texts of one such node are to each
-other is known from then on. What the trees connect is a superset of the groups (a pair is missed by a sketch with a chance
-near 1e-5, by all trees with less than the documented recall allows); inside each such group the links are then
+other is known from then on. What the trees connect is a superset of the groups (a pair is missed by a sketch with a
+chance near 1e-5, by all trees with less than the documented recall allows); inside each such group the links are then
 confirmed on the full shingle sets, every pair being either compared or already connected.
 
 Defined results: null or wordless text has an empty set and links with nothing; a text of fewer than five words has one
@@ -162,6 +163,12 @@ def _sized(level: DataFrame, cuts: int = 64) -> DataFrame:
     return rows.join(found, ["node", "cut"]).select("node", "rep", "label", "n", "pivot", "top")
 
 
+def _shared(level: DataFrame) -> DataFrame:
+    """The rows (node, rep) of nodes that hold two classes, and few others: most nodes hold one, whose row does not move again."""
+    held = level.groupBy("node").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    return _likely(level, materialize(held.select("node"), "shared"), "node")
+
+
 def _dense_links(ready: DataFrame, sketches: DataFrame, leaf_rows: int, least: int) -> list[DataFrame]:
     """Links inside nodes (node, rep, label, n) too large for one task, block against block.
 
@@ -195,13 +202,15 @@ def _trees(reps: DataFrame, labels: DataFrame | None, first: int, count: int, le
     else:
         known = reps.select("rep").join(labels.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").select("rep", F.coalesce("label", "rep").alias("label"))
     sigs, sketches = reps.select("rep", "sig"), reps.select("rep", "sketch")
-    roots = [F.xxhash64(F.lit(tree)) for tree in range(first, first + count)]
-    of_root = F.explode(F.array_distinct(F.flatten(F.array(*[_children(r, F.col("sig"), extra) for r in roots])))).alias("node")
-    level = sigs.select("rep", of_root).join(known, "rep") if labels is not None else sigs.select("rep", F.col("rep").alias("label"), of_root)
+    below = F.flatten(F.array(*[_children(F.xxhash64(F.lit(tree)), F.col("sig"), extra) for tree in range(first, first + count)]))
+    of_root = F.explode(F.array_distinct(F.flatten(F.transform(below, lambda node: _children(node, F.col("sig"), extra))))).alias("node")
+    level = _shared(sigs.select("rep", of_root))
+    level = level.join(known, "rep") if labels is not None else level.withColumn("label", F.col("rep"))
     found: list[DataFrame] = []
     for depth in range(levels):
         live = materialize(_sized(level), "nodes")
-        found.append(materialize(_leaf_links(live.where(F.col("n") <= leaf_rows).join(sketches, "rep").select("node", "rep", "label", "sketch"), least), "links"))
+        leaves = live.where(F.col("n") <= leaf_rows)
+        found.append(materialize(_leaf_links(leaves.join(_likely(sketches, leaves, "rep"), "rep").select("node", "rep", "label", "sketch"), least), "links"))
         large = live.where(F.col("n") > leaf_rows)
         if large.isEmpty():
             break
@@ -212,7 +221,8 @@ def _trees(reps: DataFrame, labels: DataFrame | None, first: int, count: int, le
         # a node that one label fills but for a few rows is compared now: those rows against all; so is what is left at the end
         last = depth == levels - 1
         ready = large if last else large.where(F.col("n") - F.col("top") <= leaf_rows)
-        found += _dense_links(ready, sketches, leaf_rows, least)
+        if not ready.isEmpty():
+            found += _dense_links(ready, sketches, leaf_rows, least)
         more = large.where(F.col("n") - F.col("top") > leaf_rows)
         if last or more.isEmpty():
             break
@@ -281,7 +291,7 @@ def _likely(rows: DataFrame, ids: DataFrame, key: str, bits: int = 2**24) -> Dat
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: int = 85, k: int = 5, seed_trees: int = 4, trees: int = 12, levels: int = 6, leaf_rows: int = 2048, block_shingles: int = 1_500_000
+    docs: DataFrame, threshold: int = 85, k: int = 5, seed_trees: int = 4, trees: int = 12, levels: int = 5, leaf_rows: int = 2048, block_shingles: int = 1_500_000
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
