@@ -248,3 +248,15 @@ def test_repaired_notes_report_each_fault_apart(spark):
     notes = spark.createDataFrame([(1, 1, ["a", "b"], 5), (2, 1, ["a", "b"], late), (3, 1, ["a"], late), (4, 1, [None, None], 5), (5, 9, ["a"], 5)], "id long, mid int, flds array<string>, mod long")
     got = {r["id"]: (r["flds"], r["fixed"], r["mod_fixed"], r["mod"]) for r in quality.repaired_notes(notes, {1: 1}, FIXED).collect()}
     assert got == {1: (["a; b"], "fields", False, 5), 2: (["a; b"], "fields", True, FIXED.now), 3: (["a"], "", True, FIXED.now), 4: ([None], "fields", False, 5)}
+
+
+def test_card_memory_reads_histories_once(spark):
+    """Presets are told apart card by card, not by a scan of all histories for each."""
+    cards = spark.createDataFrame([(i, i % 3 + 1, 0, 2, 2500, 9) for i in range(9)], "id long, did long, odid long, type int, factor int, ivl int")
+    decks = spark.createDataFrame([(1, 0), (2, 1), (3, 7)], "id long, preset int")
+    presets = {0: (memory.DEFAULT_W, 0.9), 1: (memory.DEFAULT_W, 0.8)}
+    out = memory.card_memory(cards, reviews(spark), decks, FIXED, presets)
+    got = {r["id"]: (r["preset"], r["desired_retention"], r["stability"]) for r in out.collect()}
+    assert {i: x[:2] for i, x in got.items()} == {i: (i % 3, presets[i % 3][1]) for i in range(9) if i % 3 < 2}
+    assert got[0][2] == pytest.approx(9.0) and got[1][2] < 9.0 and len({x[2] for x in got.values()}) == 2
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()

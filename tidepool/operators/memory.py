@@ -155,16 +155,17 @@ def card_memory(cards: DataFrame, reviews: DataFrame, decks: DataFrame, clock: C
     """
     home = cards.withColumn("deck", F.when(c("odid") != 0, c("odid")).otherwise(c("did"))).join(decks.select(c("id").alias("deck"), "preset"), "deck").select("id", "preset", "type", "factor", "ivl")
     kept = usable(histories(reviews, clock)).withColumnRenamed("cid", "id")
-    met = home.join(kept, "id", "left")
-    out = None
-    for preset, (w, retention) in presets.items():
-        of = met.where(c("preset") == preset)
+    met = home.join(kept, "id", "left").where(c("preset").isin(*presets))
+    state = retention_of = None
+    for preset, (w, retention) in presets.items():  # one pass over the histories: a card takes the branch of its preset
+        own = c("preset") == preset
         s0, d0 = seed_state(w, F.when(c("factor") == 0, F.lit(2.5)).otherwise(c("factor") / 1000.0), c("ivl"), retention)
-        f = F.when(F.size("kept") > 0, _fold(w, retention))
-        seeded = (c("type") != 0) & (c("ivl") >= 1)
-        some = of.select("id", "preset", F.coalesce(f["s"], F.when(seeded, s0)).alias("stability"), F.coalesce(f["d"], F.when(seeded, d0)).alias("difficulty"), F.lit(retention).alias("desired_retention"))
-        out = some if out is None else out.union(some)
-    return out
+        f = _fold(w, retention)
+        folded, seeded = F.struct(f["s"].alias("s"), f["d"].alias("d")), F.struct(s0.alias("s"), d0.alias("d"))
+        then = F.when(F.size("kept") > 0, folded).when((c("type") != 0) & (c("ivl") >= 1), seeded)
+        state = F.when(own, then) if state is None else state.when(own, then)
+        retention_of = F.when(own, F.lit(retention)) if retention_of is None else retention_of.when(own, F.lit(retention))
+    return met.select("id", "preset", state.alias("m"), retention_of.alias("desired_retention")).select("id", "preset", c("m.s").alias("stability"), c("m.d").alias("difficulty"), "desired_retention")
 
 
 # --- work load ---------------------------------------------------------------------------------------------------------
