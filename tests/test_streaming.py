@@ -9,6 +9,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tidepool.context import FIXED
 from tidepool.plans import stream_queries as SQ
@@ -107,3 +108,50 @@ def test_the_stream_alone_loses_late_events(spark):
     assert [r["answers"] for r in closed.collect()] == [1]  # event 3 came after its day was closed; the day of event 2 is open
     mended = UP.repaired(closed, arrived, "day", ST.in_days, ST.day_totals)
     assert sorted((r["answers"], r["repaired"]) for r in mended.collect()) == [(1, True), (2, True)]
+
+
+class Store:
+    """Stands in for the state of one card; counts the calls that reach the store."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], [], 0
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.timers[0]
+
+
+def test_card_memory_in_any_order_with_few_calls():
+    """Three batches, late and repeated answers, a timer that is set again and one that folds the list into its head."""
+    day = 86_400_000_000
+    answers = [Row(us=day * d, event_id=i, ease=e) for i, (d, e) in enumerate([(1, 3), (4, 3), (9, 1), (9, 3), (20, 4), (33, 3)])]
+    store, whole = Store(), Store()
+    one, all_at_once = ST.CardMemory(keep_days=40), ST.CardMemory(keep_days=40)
+    one.init(store)
+    all_at_once.init(whole)
+    (want,) = all_at_once.handleInputRows((7,), iter(answers), None)
+    for part in ([4, 0], [2, 4, 1], [3, 5, 0]):
+        (got,) = one.handleInputRows((7,), iter([answers[i] for i in part]), None)
+    assert got == want and got.reviews == 6 and got.cid == 7
+    assert store.calls == 3 * 2 + 1 and store.timers == [day // 1000 * 60]  # a list read and written each time, one timer
+    assert list(one.handleExpiredTimer((7,), None, store)) == [] and len(store.rows) == 6 and store.timers.pop(0) == day // 1000 * 60
+    assert store.timers == [day // 1000 * 73] and list(one.handleExpiredTimer((7,), None, store)) == []
+    assert len(store.rows) == 1 and store.rows[0][2] == 0
+    assert list(one.handleInputRows((7,), iter(answers[:3] + [Row(us=day * 33, event_id=2, ease=3)]), None)) == []  # older than the head
+    late = Row(us=day * 50, event_id=9, ease=3)
+    (more,) = one.handleInputRows((7,), iter([late]), None)
+    (whole_more,) = all_at_once.handleInputRows((7,), iter([late]), None)
+    assert more == whole_more and more.reviews == 7 and len(store.rows) == 2 and store.timers[-1] == day // 1000 * 90

@@ -6,8 +6,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -78,15 +77,16 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 #: The state store that keeps lists and timers per key; Spark's default one cannot.
 ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-_NO_STATE = (0.0, 0.0, 0.0, 0, -1, -1)
+_NO_STATE = (0.0, 0.0, 0.0, 0)
 
 
 class CardMemory(StatefulProcessor):
     """A card's memory state under answers in any order.
 
     The answers of the last `keep_days` are held as a list, each with the state after it; an answer that comes late goes in
-    where it belongs and the ones behind it are folded again. An event-time timer turns what is older into one state; answers
-    from before that are left to the batch. Repeated events count once.
+    where it belongs and the ones behind it are folded again. An event-time timer turns what is older into one state, which
+    heads the list with an ease of 0; answers from before that are left to the batch. Repeated events count once. Calls to the
+    state store are the cost of a card: one reads its list, one writes it, and a timer that comes too early is set again.
     """
 
     def __init__(self, w: tuple[float, ...] = DEFAULT_W, keep_days: int = 40) -> None:
@@ -95,7 +95,6 @@ class CardMemory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", "at long, event_id long, ease int, s double, d double, day double, n long")
-        self.base = handle.getValueState("base", "s double, d double, day double, n long, at long, event_id long")
 
     def _folded(self, state: tuple, answers: list[tuple]) -> list[tuple]:
         s, d, last, n = state
@@ -107,44 +106,42 @@ class CardMemory(StatefulProcessor):
             out.append((at, event_id, ease, s, d, last, n))
         return out
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        base = tuple(self.base.get()) if self.base.exists() else _NO_STATE
-        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
-        known = {x[1] for x in held}
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = list(self.held.get())
+        base = held[:1] if held and not held[0][2] else []
+        waiting = len(held) > len(base)  # answers in the list have a timer
+        known, least = {x[1] for x in held[len(base) :]}, base[0][:2] if base else (-1, -1)
         new = {}
-        for part in rows:
-            for at, event_id, ease in zip(part["at"].astype("datetime64[us]").astype("int64"), part["event_id"], part["ease"], strict=True):
-                if ease and event_id not in known and (at, event_id) > (base[4], base[5]):
-                    new[int(event_id)] = (int(at), int(event_id), int(ease))
+        for row in rows:
+            if row.ease and row.event_id not in known and (row.us, row.event_id) > least:
+                new[row.event_id] = (row.us, row.event_id, row.ease)
         if not new:
             return
-        keep = bisect.bisect_left(held, min(new.values()))
+        keep = max(bisect.bisect_left(held, min(new.values())), len(base))
         behind = sorted([x[:3] for x in held[keep:]] + list(new.values()))
-        start = held[keep - 1][3:] if keep else base[:4]
-        held = held[:keep] + self._folded(start, behind)
+        held = held[:keep] + self._folded(held[keep - 1][3:] if keep else _NO_STATE, behind)
         self.held.put(held)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(held[-1][0] // 1000 + self.keep)
-        yield self._row(key, held[-1][3:])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = [tuple(x) for x in self.held.get()]
-        if held:
-            self.base.update((*held[-1][3:], held[-1][0], held[-1][1]))
-            self.held.clear()
+        if not waiting:
+            self.handle.registerTimer(held[-1][0] // 1000 + self.keep)
+        _, _, _, s, d, _, n = held[-1]
+        yield Row(cid=key[0], stability=s, difficulty=d, reviews=n)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        *_, last = self.held.get()
+        due = last[0] // 1000 + self.keep
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.held.put([(*last[:2], 0, *last[3:])])
         return iter(())
 
-    def _row(self, key: tuple, state: tuple) -> pd.DataFrame:
-        return pd.DataFrame({"cid": [key[0]], "stability": [state[0]], "difficulty": [state[1]], "reviews": [state[3]]})
-
 
 def live_memory(events: DataFrame, w: tuple[float, ...] = DEFAULT_W, keep_days: int = 40, late: str = "40 days") -> DataFrame:
     """(cid, stability, difficulty, reviews): each card's state, updated with every answer, late ones included. Needs a session
     with the settings ROCKS. State per card: the answers of its last `keep_days`."""
-    known = events.withWatermark("at", late).where("ease > 0").select("cid", "at", "event_id", "ease")
+    known = events.withWatermark("at", late).where("ease > 0").select("cid", "at", F.unix_micros("at").alias("us"), "event_id", "ease")
     shape = "cid long, stability double, difficulty double, reviews long"
-    return known.groupBy("cid").transformWithStateInPandas(CardMemory(w, keep_days), shape, "Update", "EventTime")
+    return known.groupBy("cid").transformWithState(CardMemory(w, keep_days), shape, "Update", "EventTime")
 
 
 CARDS = "cid long, at timestamp, event_id long, ease int"
