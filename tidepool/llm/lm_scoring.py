@@ -1,23 +1,28 @@
 """LM scoring with a probabilistic suffix tree over the words of texts.
 
-A text is its words (A-Z lower-cased) and one end, each a symbol. The states of the tree are contexts of one word, the root,
-and, below the root, the contexts of up to five letters by which a symbol is spelled:
+A text is its words (A-Z lower-cased) and one end, each a symbol. The states of the tree are contexts of one to `longest`
+words, the root, and, below the root, the contexts of up to five letters by which a symbol is spelled:
 
 * A context's next symbols count if they follow it at least twice in the training texts. The context is retained if the
   divergence of these from the root's distribution, times its count, reaches `gain` nats.
+* A longer context counts likewise against the context one word shorter. It is looked at only if some longer context can reach
+  `gain` at all: the divergence of no extension of a context s passes the sum of c * log(n(s) / c) over its counts c.
 * The root mixes the count of every training word with the spelling of a symbol, weighted by the number of distinct words.
 * Spelling contexts are learned from the distinct training words, letter by letter; they too are retained by divergence.
 
-Every distribution is smoothed by that of its state's parent and sums to one. A symbol is scored in the longest retained
-suffix of what precedes it. Words and pairs are counted over all training texts, at any size: the tree grows with the
+Every distribution is smoothed by that of its state's parent, the longest retained suffix, and sums to one. A symbol is
+scored in the longest retained suffix of what precedes it. Words, pairs and longer grams are counted over all training texts, at any size: the tree grows with the
 corpus. Counts of words are exact; pairs stand by 40 bits of their words' hashes, so of 1e9 distinct words about one in 2,000
-shares its bits with another. Only the spelling contexts are bounded, since they are broadcast: at most 1 / least_share next letters for each
+shares its bits with another; contexts of more words stand by 48 bits. Only the spelling contexts are bounded, since they are broadcast: at most 1 / least_share next letters for each
 length of context, 16 bytes each (40 MB in all at the default), beside at most 1 / word_share frequent words.
 
 The plan: texts are packed into chunks of some million tokens, each with its own vocabulary. The distinct pairs of
 neighbours of a chunk go to buckets by a hash of the second word (by the pair, if that is frequent), packed into arrays.
 A bucket adds up the pairs of all chunks, answers each chunk with the counts that matter, and sums what the
 divergence of its contexts needs. Words and contexts are ordinary tables. Chunks are scored once answers have joined them.
+Contexts of two words, then of three and so on, take a round each: a chunk sends its grams to buckets by the context, which
+holds all that the context's state needs. A context too frequent for a bucket is dealt by its grams; its sums are collected (at
+most 1 / word_share contexts a round). A place whose context can have no longer state leaves the rounds with its score.
 
 Defined results: null and empty texts are the end symbol alone; a null doc_id counts as training; repeated rows are trained
 on and scored each; with no training rows only the spelling of an empty tree is left; an empty table gives no rows; a text
@@ -27,7 +32,8 @@ is held whole by one task, however long; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +41,11 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import ascii_lower_words, materialize
+from tidepool.sources.shared import removed
+
+from .common import ascii_lower_words, discard, materialize, shared_dir
 
 ORDER = 5
 _END = b"\n"
@@ -294,9 +303,10 @@ def _asked(chunks: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
 
 def _answered(asked: DataFrame, frequent: np.ndarray, frequent_n: np.ndarray, tokens: int) -> DataFrame:
     """Per bucket: for each chunk the counts of its pairs (0 for those seen less than twice), and for each context the sums
-    over its next symbols that its divergence needs: count, kinds, and count * log(count * tokens / count of the symbol)."""
+    over its next symbols that its divergence needs: count, kinds, count * log(count * tokens / count of the symbol), and
+    count * log(count), which bounds the divergence of longer contexts."""
     shared = asked.sparkSession.sparkContext.broadcast((frequent, frequent_n))
-    kinds = [("chunk", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("context", pa.list_(pa.int64())), ("kept", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int64())), ("part", pa.list_(pa.float64()))]
+    kinds = [("chunk", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("context", pa.list_(pa.int64())), ("kept", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int64())), ("part", pa.list_(pa.float64())), ("logs", pa.list_(pa.float64()))]
 
     def run(rows: pa.Table) -> pa.Table:
         keys, known = shared.value
@@ -316,13 +326,253 @@ def _answered(asked: DataFrame, frequent: np.ndarray, frequent_n: np.ndarray, to
         contexts, by = np.unique(first[example[entry]], return_inverse=True)
         c = count[entry]
         part = c * np.log(c * tokens / total[which[example[entry]]]) if len(c) else np.zeros(0)
-        sums = [contexts.view(np.int64), np.bincount(by, c, len(contexts)).astype(np.int64), np.bincount(by, minlength=len(contexts)), np.bincount(by, part, len(contexts))]
+        sums = [contexts.view(np.int64), np.bincount(by, c, len(contexts)).astype(np.int64), np.bincount(by, minlength=len(contexts)), np.bincount(by, part, len(contexts)), np.bincount(by, c * np.log(c), len(contexts))]
         answer, ends = np.where(count >= 2, count, 0)[of], np.cumsum([len(t) for t in times])
-        out = [[chunk, bucket, _pack(answer[end - len(t) : end]), None, None, None, None] for chunk, t, end in zip(rows.column("chunk").to_pylist(), times, ends, strict=True)]
+        out = [[chunk, bucket, _pack(answer[end - len(t) : end]), None, None, None, None, None] for chunk, t, end in zip(rows.column("chunk").to_pylist(), times, ends, strict=True)]
         out.append([None, bucket, None, *sums])
         return pa.table({name: pa.array([row[i] for row in out], kind) for i, (name, kind) in enumerate(kinds)})
 
-    return asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, counts binary, context array<long>, kept array<long>, kinds array<long>, part array<double>")
+    return asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, counts binary, context array<long>, kept array<long>, kinds array<long>, part array<double>, logs array<double>")
+
+
+#: Bytes of the hash that stands for a context of several words, and of a count.
+_CONTEXT, _COUNT = 6, 5
+_LONG = np.uint64((1 << 8 * _CONTEXT) - 1)
+_ASKED = "bucket long, heavy boolean, context binary, runs binary, own binary, parent binary, next binary, above binary, times binary"
+_STATE = f"chunk long, ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, symbols binary, short binary, live binary, of binary, grams binary, sent binary, chance binary, heavies binary, {_ASKED}"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+class _Texts:
+    """The texts of a chunk while their longer contexts are looked up: what is known of the documents, and their symbols."""
+
+    def __init__(self, row: dict, symbols: np.ndarray, short: np.ndarray) -> None:
+        self.row, self.symbols, self.short = row, symbols, short
+        self.sizes = np.array(row["sizes"], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.training = np.repeat(~np.array(row["held"], dtype=bool), self.sizes)
+        self.inside = np.arange(len(symbols)) - np.repeat(self.first, self.sizes)
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """At each place what `values` has at the place before it; the first place of a text has no use for it."""
+        return np.concatenate([values[:1], values[:-1]])
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, self.first)
+
+    def scored(self, score: np.ndarray) -> pa.Table:
+        row = self.row
+        out = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *map(pa.array, (self.sizes, np.array(row["known"], np.int64), np.array(row["base"], np.float64), score))]
+        return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    def asked(self, k: int, live: np.ndarray, own: np.ndarray, parent: np.ndarray, above: np.ndarray, chance: np.ndarray, score: np.ndarray, least: float, buckets: int) -> pa.Table:
+        """What the chunk keeps and what it asks for the contexts of k words at its `live` places.
+
+        Per place: `own`, how often its context occurs in training (-1: not known); `parent`, the same of the context one word
+        shorter; `above`, how often its symbol follows that one; `chance`, log10 of its probability so far. Grams whose `above`
+        is 0 are not sent where `own` is known: they count nothing. Contexts of `least` and more go by their grams.
+        """
+        at = np.flatnonzero(live)
+        context = self.short[self.symbols[at - 1]]
+        for j in range(2, k + 1):  # the end before a text, or the last one of the chunk, is a text's start
+            context = _mixed(context, self.short[self.symbols[at - j]])
+        context &= _LONG
+        key, example, of = np.unique(_mixed(context, self.short[self.symbols[at]]), return_index=True, return_inverse=True)
+        times = np.bincount(of[self.training[at]], minlength=len(key))
+        place = at[example]
+        context, heavy = context[example], own[place] >= least
+        sliced = lambda x, bits: (((x >> np.uint64(bits - 32)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
+        bucket = sliced(context, 8 * _CONTEXT)  # in the order of contexts
+        bucket[heavy] = sliced(key[heavy], 64)
+        plain, often = np.flatnonzero(~heavy), np.flatnonzero(heavy)
+        order = np.concatenate([plain[np.argsort(context[plain], kind="stable")], often[np.lexsort((context[often], bucket[often]))]])
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        context, heavy, bucket, place, times = context[order], heavy[order], bucket[order], place[order], times[order]
+        sent = (above[place] > 0) | (own[place] < 0)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1]) | (heavy[1:] != heavy[:-1])
+        run = np.flatnonzero(new)
+        grams = np.diff(np.append(run, len(order)))
+        sent_grams = np.add.reduceat(sent, run, dtype=np.int64) if len(run) else np.zeros(0, np.int64)
+        bits = lambda x: _squeezed(np.packbits(x).tobytes())
+        kept = {x: self.row[x] for x in ("chunk", "ids", "held", "sizes", "known", "base", "symbols")} | {"score": score.tolist(), "short": _squeezed(_pack(self.short, _BYTES)), "live": bits(live)}
+        kept |= {"of": _squeezed(_pack(rank[of])), "grams": _squeezed(_pack(grams)), "sent": bits(sent), "chance": _squeezed(chance[place].astype("<f4").tobytes()), "heavies": _pack(context[run[heavy[run]]], _CONTEXT)}
+        rows = [kept]
+        group = heavy[run] * np.int64(buckets) + bucket[run].astype(np.int64)
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        ends = np.cumsum(sent_grams)
+        symbol, over, times = self.short[self.symbols[place[sent]]], above[place[sent]], times[sent]
+        for lo, hi in zip(cuts, [*cuts[1:], len(run)], strict=True):
+            some, of_some = run[lo:hi], slice(int(ends[lo] - sent_grams[lo]), int(ends[hi - 1]))
+            packed = {"context": _pack(context[some], _CONTEXT), "runs": _pack(sent_grams[lo:hi]), "own": _pack(own[place[some]] + 1, _COUNT), "parent": _pack(parent[place[some]], _COUNT)}
+            packed |= {"next": _pack(symbol[of_some], _BYTES), "above": _pack(over[of_some], _COUNT), "times": _pack(times[of_some])}
+            rows.append({"chunk": self.row["chunk"], "bucket": int(bucket[some[0]]), "heavy": bool(heavy[some[0]]), **packed})
+        kinds = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<double>": pa.list_(pa.float64())}
+        names = [x.split(" ") for x in _STATE.split(", ")]
+        return pa.table({name: pa.array([row.get(name) for row in rows], kinds[kind]) for name, kind in names})
+
+
+def _below(asked: DataFrame, gain: float) -> DataFrame:
+    """Per bucket of contexts of one length: for each chunk the counts of its grams (0 for those seen less than twice) and, of
+    each context, its count, what its state holds (0 where it is not retained) and whether it is open to longer ones. Contexts
+    dealt by their grams are answered with counts; their sums go out by themselves."""
+    kinds = [("chunk", pa.int64()), ("bucket", pa.int64()), ("heavy", pa.bool_()), *[(x, pa.binary()) for x in ("counts", "size", "kept", "kinds", "open")]]
+    sums = [("sum_context", pa.int64()), ("sum_size", pa.int64()), ("sum_kept", pa.int64()), ("sum_kinds", pa.int64()), ("sum_part", pa.float64()), ("sum_logs", pa.float64())]
+
+    def run(rows: pa.Table) -> pa.Table:
+        bucket, heavy = rows.column("bucket")[0].as_py(), rows.column("heavy")[0].as_py()
+        read = lambda name, size: [_unpack(x.as_py(), size) for x in rows.column(name)]
+        contexts, times = read("context", _CONTEXT), read("times", 4)
+        runs = np.concatenate(read("runs", 4)).astype(np.int64)
+        context, first, which = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
+        own = np.concatenate(read("own", _COUNT)).astype(np.int64)[first] - 1
+        parent = np.concatenate(read("parent", _COUNT)).astype(np.int64)[first]
+        by_gram, n, above = np.repeat(which, runs), np.concatenate(times), np.concatenate(read("above", _COUNT)).astype(np.int64)
+        _, example, of = np.unique(_mixed(context[by_gram], np.concatenate(read("next", _BYTES))), return_index=True, return_inverse=True)
+        count = np.bincount(of, n, len(example)).astype(np.int64)
+        size = np.where(own >= 0, own, np.bincount(by_gram, n, len(context)).astype(np.int64))
+        entry = np.flatnonzero(count >= 2)
+        by, c = by_gram[example[entry]], count[entry]
+        summed = lambda values: np.bincount(by, values, len(context)) if len(by) else np.zeros(len(context))
+        kept, some = summed(c).astype(np.int64), summed(None).astype(np.int64)
+        part, logs = summed(c * np.log(c * parent[by] / np.maximum(above[example[entry]], c))), summed(c * np.log(c))
+        answer = np.where(count >= 2, count, 0)[of]
+        retained, open_ = _judged(size, kept, part, logs, gain)
+        told = [x[which] for x in (np.where(retained | open_, size, 0), np.where(retained, kept, 0), np.where(retained, some, 0), open_)]
+        out, a, b = [], 0, 0
+        for chunk, mine, grams in zip(rows.column("chunk").to_pylist(), contexts, times, strict=True):
+            s = slice(b, b + len(mine))
+            states = [None] * 4 if heavy else [*[_pack(x[s], _COUNT) for x in told[:3]], np.packbits(told[3][s]).tobytes()]
+            out.append([chunk, bucket, heavy, _pack(answer[a : a + len(grams)], _COUNT), *states])
+            a, b = a + len(grams), b + len(mine)
+        table = pa.table({name: pa.array([row[i] for row in out], kind) for i, (name, kind) in enumerate(kinds)})
+        values = [pa.array(x) for x in ((context.view(np.int64), size, kept, some, part, logs) if heavy else [np.zeros(0, t.to_pandas_dtype()) for _, t in sums])]
+        states = pa.table(values, schema=pa.schema(sums))
+        both = pa.schema(kinds + sums)
+        return pa.concat_tables([table, states], promote_options="default").select(both.names).cast(both)
+
+    names = "chunk long, bucket long, heavy boolean, counts binary, size binary, kept binary, kinds binary, open binary, sum_context long, sum_size long, sum_kept long, sum_kinds long, sum_part double, sum_logs double"
+    return asked.groupBy("bucket", "heavy").applyInArrow(run, names)
+
+
+def _judged(size: np.ndarray, kept: np.ndarray, part: np.ndarray, logs: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether contexts of these sums are retained, and whether longer ones can be."""
+    log = np.log(np.maximum(size, 1))
+    fine = (kept > 0) & (kept <= size)
+    return fine & (part - kept * log >= gain), fine & (kept * log - logs >= gain)
+
+
+def _heavies(answers: DataFrame, gain: float) -> tuple[np.ndarray, ...]:
+    """Contexts dealt by their grams, in order, with size, kept, kinds and whether they are open."""
+    rows = answers.where("sum_context is not null").groupBy("sum_context")
+    sums = rows.agg(F.max("sum_size").alias("size"), F.sum("sum_kept").alias("kept"), F.sum("sum_kinds").alias("kinds"), F.sum("sum_part").alias("part"), F.sum("sum_logs").alias("logs"))
+    context, size, kept, kinds, part, logs = _column(sums, "sum_context", "size", "kept", "kinds", "part", "logs")
+    retained, open_ = _judged(size, kept, part, logs, gain)
+    order = np.argsort(context)
+    return context[order].astype(np.uint64), size[order], np.where(retained, kept, 0)[order], np.where(retained, kinds, 0)[order], open_[order]
+
+
+def _advanced(k: int, longest: int, heavies: tuple[np.ndarray, ...], least: float, buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """Scores the live places of a chunk in their contexts of k words and asks for those of k + 1, if there are any to come."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        row = rows.filter(pa.compute.is_valid(rows.column("symbols"))).to_pylist()[0]
+        answers = rows.filter(pa.compute.is_valid(rows.column("bucket"))).sort_by([("heavy", "ascending"), ("bucket", "ascending")])
+        texts = _Texts(row, _unpack(_whole(row["symbols"])).astype(np.int32), _unpack(_whole(row["short"]), _BYTES))
+        bits = lambda name, n: np.unpackbits(np.frombuffer(_whole(row[name]), np.uint8), count=n).astype(bool)
+        live, of, grams = bits("live", len(texts.symbols)), _unpack(_whole(row["of"])).astype(np.int64), _unpack(_whole(row["grams"])).astype(np.int64)
+        chance = np.frombuffer(_whole(row["chance"]), "<f4").astype(np.float64)
+        count = np.zeros(len(chance), dtype=np.int64)
+        joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        count[bits("sent", len(chance))] = joined([_unpack(x.as_py(), _COUNT).astype(np.int64) for x in answers.column("counts")])
+        plain = answers.filter(pa.compute.invert(answers.column("heavy")))
+        told = [joined([_unpack(x.as_py(), _COUNT).astype(np.int64) for x in plain.column(name)]) for name in ("size", "kept", "kinds")]
+        told.append(joined([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n.as_py()) // _COUNT) for x, n in zip(plain.column("open"), plain.column("size"), strict=True)]).astype(bool))
+        spot = np.searchsorted(heavies[0], _unpack(row["heavies"], _CONTEXT))
+        size, kept, kinds, open_ = [np.concatenate([a, b[spot]]) if len(spot) else a for a, b in zip(told, heavies[1:], strict=True)]
+        by = np.repeat(np.arange(len(grams)), grams)
+        whole = np.where(kept > 0, size + kinds, 1)
+        chance += np.where(kept > 0, np.log10((whole - kept) / whole), 0.0)[by]
+        hit = np.flatnonzero((count > 0) & (kept > 0)[by])
+        chance[hit] = np.log10(count[hit] / whole[by[hit]] + 10.0 ** chance[hit])
+        at = np.flatnonzero(live)
+        spread = lambda values, none: _spread(len(live), at, values[of], none)
+        now, counted = spread(chance, 0.0), spread(count, -1)
+        own = texts.before(counted)
+        more = live & (texts.inside >= k) & spread(open_[by], False) & ((own < 0) | (own >= 2)) if k < longest else np.zeros(len(live), dtype=bool)
+        score = np.array(row["score"]) + texts.summed(np.where(more, 0.0, now))
+        if k == longest:
+            return texts.scored(score)
+        return texts.asked(k + 1, more, own, spread(size[by], 0), counted, now, score, least, buckets)
+
+    return run
+
+
+def _spread(n: int, at: np.ndarray, values: np.ndarray, none: float) -> np.ndarray:
+    out = np.full(n, none, dtype=values.dtype)
+    out[at] = values
+    return out
+
+
+def _apart(rows: DataFrame, kept: list[str], asked: list[str]) -> tuple[DataFrame, DataFrame, str]:
+    """Writes what chunks keep and what they ask in one go, each to a folder of its own: both, and the folder above them."""
+    at = shared_dir(rows.sparkSession)
+    rows.withColumn("asks", F.col("bucket").isNotNull()).write.partitionBy("asks").parquet(at)
+    both = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("asks", BooleanType())])).parquet(at)
+    return both.where("not asks").select(*kept), both.where("asks").select(*asked), at
+
+
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the job that wrote them is done, as what is read again lies in tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of words by bucket, and the buckets in that order."""
+    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
+def _told(chunks: DataFrame, states: DataFrame, buckets: int) -> DataFrame:
+    """What is known of the words of each chunk, packed by bucket of words: n, kept, kinds, open."""
+
+    def used(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, vocabulary in zip(batch.column("chunk").to_pylist(), batch.column("vocabulary").to_pylist(), strict=True):
+                own = _hashes(_whole(vocabulary).split(b"\n"))
+                order, bucket = _by_bucket(own, buckets)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                keys = [own[order[lo:hi]].tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), chunk)), pa.array(bucket[cuts]), pa.array(keys, pa.binary())], ["chunk", "word_bucket", "keys"])
+
+    def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+        key = known.column("key").to_numpy()
+        order = np.argsort(key)
+        key, values = key[order], {x: np.asarray(known.column(x).to_numpy(), dtype=np.int64)[order] for x in ("n", "kept", "kinds", "open")}
+        out: dict[str, list[bytes]] = {x: [] for x in values}
+        for keys in asked.column("keys"):
+            own = np.frombuffer(keys.as_py(), np.int64)
+            spot = np.searchsorted(key, own)
+            hit = np.flatnonzero(spot < len(key))
+            hit = hit[key[spot[hit]] == own[hit]]
+            for x, has in values.items():
+                got = np.zeros(len(own), dtype=np.int64)
+                got[hit] = has[spot[hit]]
+                out[x].append(_pack(got, _COUNT))
+        return pa.table({"chunk": asked.column("chunk"), "word_bucket": asked.column("word_bucket"), **{x: pa.array(v, pa.binary()) for x, v in out.items()}})
+
+    asked = chunks.select("chunk", "vocabulary").mapInArrow(used, "chunk long, word_bucket long, keys binary")
+    known = states.withColumn("word_bucket", F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)))
+    return asked.groupBy("word_bucket").cogroup(known.groupBy("word_bucket")).applyInArrow(tell, "chunk long, word_bucket long, n binary, kept binary, kinds binary, open binary")
 
 
 def _spelled(words: DataFrame) -> DataFrame:
@@ -349,9 +599,15 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def scored(
-    docs: DataFrame, gain: float = 3.0, least_share: float = 2e-6, word_share: float = 1e-6, chunk_tokens: int = 1_500_000, bucket_tokens: int = 2_000_000
+    docs: DataFrame, gain: float = 3.0, least_share: float = 2e-6, word_share: float = 1e-6, chunk_tokens: int = 1_500_000, bucket_tokens: int = 2_000_000, longest: int = 1
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document, in contexts of up to `longest`
+    words."""
+    with _tidied(docs.sparkSession):
+        return _scored(docs, gain, least_share, word_share, chunk_tokens, bucket_tokens, longest)
+
+
+def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float, chunk_tokens: int, bucket_tokens: int, longest: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), 10, 0).alias("held_out"))
     chunks = materialize(_chunks(rows, chunk_tokens), "chunks")
@@ -364,30 +620,27 @@ def scored(
     all_tokens = chunks.select(F.explode("sizes").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     answers = materialize(_answered(_asked(chunks, frequent, 1 + all_tokens // bucket_tokens), frequent, frequent_n, tokens), "answers")
     # contexts: divergence from the root by the sums of all buckets
-    each = answers.where("context is not null").select(F.inline(F.arrays_zip("context", "kept", "kinds", "part")))
-    sums = each.groupBy(F.col("context").alias("short")).agg(F.sum("kept").alias("kept"), F.sum("kinds").alias("kinds"), F.sum("part").alias("part"))
+    each = answers.where("context is not null").select(F.inline(F.arrays_zip("context", "kept", "kinds", "part", "logs")))
+    sums = each.groupBy(F.col("context").alias("short")).agg(F.sum("kept").alias("kept"), F.sum("kinds").alias("kinds"), F.sum("part").alias("part"), F.sum("logs").alias("logs"))
     short = F.col("key").bitwiseAND(F.lit(int(_SHORT)).cast("long"))
     states = words.select("key", "n", short.alias("short")).join(sums, "short", "left").withColumn("retained", F.coalesce((F.col("part") - F.col("kept") * F.log("n") >= gain) & (F.col("kept") <= F.col("n")), F.lit(False)))
-    states = states.select("key", "n", F.when(F.col("retained"), F.col("kept")).otherwise(0).cast("int").alias("kept"), F.when(F.col("retained"), F.col("kinds")).otherwise(0).cast("int").alias("kinds"))
+    open_ = F.coalesce((F.col("kept") * F.log("n") - F.col("logs") >= gain) & (F.col("kept") <= F.col("n")), F.lit(False))
+    states = states.select("key", "n", open_.alias("open"), F.when(F.col("retained"), F.col("kept")).otherwise(0).cast("int").alias("kept"), F.when(F.col("retained"), F.col("kinds")).otherwise(0).cast("int").alias("kinds"))
     tree = spark.sparkContext.broadcast(grow(materialize(_spelled(words), "spelled"), least_share, gain))
 
-    def used(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, vocabulary in zip(batch.column("chunk").to_pylist(), batch.column("vocabulary").to_pylist(), strict=True):
-                own = _hashes(_whole(vocabulary).split(b"\n")).view(np.int64)
-                for lo in range(0, len(own), 50_000):
-                    some = own[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk)), pa.array(np.arange(lo, lo + len(some), dtype=np.int32)), pa.array(some)], ["chunk", "at", "key"])
-
-    told = chunks.select("chunk", "vocabulary").mapInArrow(used, "chunk long, at int, key long").join(states, "key").select("chunk", "at", "n", "kept", "kinds")
-    parts = chunks.unionByName(answers.where("chunk is not null").select("chunk", "bucket", "counts"), allowMissingColumns=True)
+    told = materialize(_told(chunks, states, 1 + kinds // 200_000), "told")
+    if longest > 1:
+        discard(words)
+    parts = chunks.unionByName(answers.where("chunk is not null").select("chunk", "bucket", "counts"), allowMissingColumns=True).unionByName(told, allowMissingColumns=True)
 
-    def score(rows: pa.Table, known: pa.Table) -> pa.Table:
+    def score(rows: pa.Table) -> pa.Table:
         row = rows.filter(pa.compute.is_valid(rows.column("symbols"))).to_pylist()[0]
         chunk = _Chunk(row)
-        word = {x: np.zeros(len(chunk.words)) for x in ("n", "kept", "kinds")}
+        word = {x: np.zeros(len(chunk.words)) for x in ("n", "kept", "kinds", "open")}
+        known = rows.filter(pa.compute.is_valid(rows.column("word_bucket"))).sort_by("word_bucket")
+        order = _by_bucket(chunk.hashes, 1 + kinds // 200_000)[0]
         for x, values in word.items():
-            values[known.column("at").to_numpy()] = known.column(x).to_numpy()
+            values[order] = np.concatenate([_unpack(part.as_py(), _COUNT) for part in known.column(x)])
         packed = rows.filter(pa.compute.is_valid(rows.column("bucket")))
         found = dict(zip(packed.column("bucket").to_pylist(), packed.column("counts"), strict=True))
         count = np.zeros(len(chunk.next), dtype=np.int32)
@@ -406,12 +659,31 @@ def scored(
         hit = np.flatnonzero((count > 0) & (word["kept"] > 0)[chunk.previous])
         chance[hit] = np.log10(count[hit] / size[chunk.previous[hit]] + 10.0 ** chance[hit])
         base = np.log10((word["n"] + 0.1) / (tokens + 0.1 * (kinds + 1)))
-        first = np.cumsum(chunk.sizes) - chunk.sizes
-        sums = [np.add.reduceat(x[of], first) for x, of in (((word["n"] > 0).astype(np.int64), chunk.symbols), (base, chunk.symbols), (chance, chunk.of))]
-        out = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(chunk.sizes), *map(pa.array, sums)]
-        return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        texts = _Texts(row, chunk.symbols, chunk.short)
+        del packed, found, known, rows
+        row["known"], row["base"] = (texts.summed(x[chunk.symbols]) for x in ((word["n"] > 0).astype(np.int64), base))
+        if longest == 1:
+            return texts.scored(texts.summed(chance[chunk.of]))
+        now, own = chance[chunk.of], texts.before(count[chunk.of]).astype(np.int64)
+        before = chunk.previous[chunk.of]
+        more = (texts.inside >= 1) & (word["open"] > 0)[before] & (own >= 2)
+        parent, above = word["n"].astype(np.int64)[before], count[chunk.of].astype(np.int64)
+        del chunk, count, chance, before, hit
+        return texts.asked(2, more, own, parent, above, now, texts.summed(np.where(more, 0.0, now)), heavy_least, buckets)
 
     spare, buckets = max(kinds, 1), 1 + all_tokens // bucket_tokens
     frequent_shared = spark.sparkContext.broadcast(frequent)
-    out = parts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    heavy_least = max(bucket_tokens // 50, word_share * tokens)
+    out = parts.groupBy("chunk").applyInArrow(score, _SCORED if longest == 1 else _STATE)
+    asked, kept = [x.split(" ")[0] for x in f"chunk long, {_ASKED}".split(", ")], [x.split(" ")[0] for x in _STATE[: -len(_ASKED) - 2].split(", ")]
+    done = [chunks, answers, told]
+    for k in range(2, longest + 1):
+        texts, questions, at = _apart(out, kept, asked)
+        for table in done:
+            removed(spark, table) if isinstance(table, str) else discard(table)
+        below = materialize(_below(questions, gain), f"below{k}")
+        removed(spark, f"{at}/asks=true")
+        done = [at, below]
+        parts = texts.unionByName(below.where("chunk is not null").drop(*[x for x in below.columns if x.startswith("sum_")]), allowMissingColumns=True)
+        out = parts.groupBy("chunk").applyInArrow(_advanced(k, longest, _heavies(below, gain), heavy_least, buckets), _SCORED if k == longest else _STATE)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

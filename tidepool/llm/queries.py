@@ -22,13 +22,16 @@ from .token_packing import packed
 from .toxicity import scores
 from .warc_store import archived
 
+#: How many words a context of op2 has at most.
+CONTEXT_WORDS = 3
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"))
+    return scored(table(spark, sf_dir, "documents"), longest=CONTEXT_WORDS, chunk_tokens=1_000_000)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
