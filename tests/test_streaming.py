@@ -13,6 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tidepool.context import FIXED
 from tidepool.plans import stream_queries as SQ
+from tidepool.plans.registry import QUERIES
 from tidepool.sources.shared import scratch
 from tidepool.streaming import reviews as ST
 from tidepool.streaming import upkeep as UP
@@ -155,3 +156,12 @@ def test_card_memory_in_any_order_with_few_calls():
     (more,) = one.handleInputRows((7,), iter([late]), None)
     (whole_more,) = all_at_once.handleInputRows((7,), iter([late]), None)
     assert more == whole_more and more.reviews == 7 and len(store.rows) == 2 and store.timers[-1] == day // 1000 * 90
+
+
+def test_sessions_keep_their_state_outside_the_heap(spark, monkeypatch):
+    """The store of each stream is RocksDB; the session has its own again afterwards."""
+    key, seen, run = next(iter(ST.ROCKS)), [], ST.drained
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(SQ.ST, "drained", lambda *a, **k: (seen.append(spark.conf.get(key)), run(*a, **k))[1])
+    assert QUERIES["st4_sessions"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen == [ST.ROCKS[key]] * SQ.LANDINGS and spark.conf.get(key, None) == before

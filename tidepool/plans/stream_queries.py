@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,23 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return ST.read_events(spark, f"{d}/events.parquet*")  # a glob, so that one file serves as well as a folder
 
 
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB; Spark's default store holds all of it in the executors' heap."""
+    before = {k: spark.conf.get(k, None) for k in ST.ROCKS}
+    try:
+        for k, v in ST.ROCKS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+
+
 def _run(spark: SparkSession, stream: DataFrame, mode: str = "complete", **newest) -> DataFrame:
     at = scratch(spark)
-    return ST.drained(stream, f"{at}/out", f"{at}/checkpoint", mode, **newest)
+    with _rocks(spark):
+        return ST.drained(stream, f"{at}/out", f"{at}/checkpoint", mode, **newest)
 
 
 LANDINGS = 2
@@ -57,7 +72,8 @@ def _mended(spark: SparkSession, d: str, unit: str, tagged, totals, late: str =
         stream = totals(tagged(ST.once(ST.read_events(spark, folder, 1000), late)))
         ST.drained(stream, f"{at}/out", f"{at}/checkpoint", "append")
 
-    arrived = _landings(spark, d, each)
+    with _rocks(spark):
+        arrived = _landings(spark, d, each)
     return UP.repaired(spark.read.schema(shape).parquet(f"{at}/out"), arrived, unit, tagged, totals)
 
 
@@ -82,19 +98,13 @@ register("st4_sessions", _SESSIONS)(
 def live_memory(spark: SparkSession, d: str) -> DataFrame:
     """States after all answers, of which some came late and some twice."""
     at, out = scratch(spark), []
-    before = {k: spark.conf.get(k, None) for k in ST.ROCKS}
 
     def each(folder: str) -> None:
         stream = ST.live_memory(ST.read_events(spark, folder, 1000))
         out[:] = [ST.drained(stream, f"{at}/out", f"{at}/checkpoint", "update", key=["cid"], newest="reviews")]
 
-    try:
-        for k, v in ST.ROCKS.items():
-            spark.conf.set(k, v)
+    with _rocks(spark):
         _landings(spark, d, each)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v else spark.conf.unset(k)
     return out[0].withColumns({n: F.round(n, 6) for n in ("stability", "difficulty")})
 
 
