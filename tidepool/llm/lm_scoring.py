@@ -21,7 +21,8 @@ neighbours of a chunk go to buckets by a hash of the second word (by the pair, i
 A bucket adds up the pairs of all chunks, answers each chunk with the counts that matter, and sums what the
 divergence of its contexts needs. Words and contexts are ordinary tables. Chunks are scored once answers have joined them.
 Contexts of two words, then of three and so on, take a round each: a chunk sends its grams to buckets by the context, which
-holds all that the context's state needs. A context too frequent for a bucket is dealt by its grams; its sums are collected (at
+holds all that the context's state needs. Tables of chunks and of questions are written in slices; a slice is shuffled and then
+removed, before the next one is, so that none of them lies on the disk twice. A context too frequent for a bucket is dealt by its grams; its sums are collected (at
 most 1 / word_share contexts a round). A place whose context can have no longer state leaves the rounds with its score.
 
 Defined results: null and empty texts are the end symbol alone; a null doc_id counts as training; repeated rows are trained
@@ -34,6 +35,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidepool.sources.shared import removed
 
@@ -340,18 +342,19 @@ _CONTEXT, _COUNT = 6, 5
 _LONG = np.uint64((1 << 8 * _CONTEXT) - 1)
 _ASKED = "bucket long, heavy boolean, context binary, runs binary, own binary, parent binary, next binary, above binary, times binary"
 _STATE = f"chunk long, ids array<long>, held array<boolean>, sizes array<long>, known array<long>, base array<double>, score array<double>, symbols binary, short binary, live binary, of binary, grams binary, sent binary, chance binary, heavies binary, {_ASKED}"
+_BELOW = "chunk long, bucket long, heavy boolean, counts binary, size binary, kept binary, kinds binary, open binary, sum_context long, sum_size long, sum_kept long, sum_kinds long, sum_part double, sum_logs double"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 class _Texts:
     """The texts of a chunk while their longer contexts are looked up: what is known of the documents, and their symbols."""
 
-    def __init__(self, row: dict, symbols: np.ndarray, short: np.ndarray) -> None:
+    def __init__(self, row: dict, symbols: np.ndarray | None, short: np.ndarray | None) -> None:
         self.row, self.symbols, self.short = row, symbols, short
         self.sizes = np.array(row["sizes"], dtype=np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.training = np.repeat(~np.array(row["held"], dtype=bool), self.sizes)
-        self.inside = np.arange(len(symbols)) - np.repeat(self.first, self.sizes)
+        self.inside = np.arange(len(self.training)) - np.repeat(self.first, self.sizes)
 
     def before(self, values: np.ndarray) -> np.ndarray:
         """At each place what `values` has at the place before it; the first place of a text has no use for it."""
@@ -365,8 +368,8 @@ class _Texts:
         out = [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), *map(pa.array, (self.sizes, np.array(row["known"], np.int64), np.array(row["base"], np.float64), score))]
         return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    def asked(self, k: int, live: np.ndarray, own: np.ndarray, parent: np.ndarray, above: np.ndarray, chance: np.ndarray, score: np.ndarray, least: float, buckets: int) -> pa.Table:
-        """What the chunk keeps and what it asks for the contexts of k words at its `live` places.
+    def asked(self, k: int, live: np.ndarray, own: np.ndarray, parent: np.ndarray, above: np.ndarray, chance: np.ndarray, score: np.ndarray, least: float, buckets: int, last: bool) -> pa.Table:
+        """What the chunk keeps (no symbols, if this is the last round) and what it asks for the contexts of k words at its `live` places.
 
         Per place: `own`, how often its context occurs in training (-1: not known); `parent`, the same of the context one word
         shorter; `above`, how often its symbol follows that one; `chance`, log10 of its probability so far. Grams whose `above`
@@ -390,14 +393,19 @@ class _Texts:
         rank[order] = np.arange(len(order))
         context, heavy, bucket, place, times = context[order], heavy[order], bucket[order], place[order], times[order]
         sent = (above[place] > 0) | (own[place] < 0)
+        still = np.zeros(len(live), dtype=bool)  # places whose gram is sent; the others can only fall back, which adds to their score
+        still[at] = sent[rank[of]]
+        score = score + self.summed(np.where(live & ~still, chance, 0.0))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1]) | (heavy[1:] != heavy[:-1])
         run = np.flatnonzero(new)
         grams = np.diff(np.append(run, len(order)))
         sent_grams = np.add.reduceat(sent, run, dtype=np.int64) if len(run) else np.zeros(0, np.int64)
         bits = lambda x: _squeezed(np.packbits(x).tobytes())
-        kept = {x: self.row[x] for x in ("chunk", "ids", "held", "sizes", "known", "base", "symbols")} | {"score": score.tolist(), "short": _squeezed(_pack(self.short, _BYTES)), "live": bits(live)}
-        kept |= {"of": _squeezed(_pack(rank[of])), "grams": _squeezed(_pack(grams)), "sent": bits(sent), "chance": _squeezed(chance[place].astype("<f4").tobytes()), "heavies": _pack(context[run[heavy[run]]], _CONTEXT)}
+        kept = {x: self.row[x] for x in ("chunk", "ids", "held", "sizes", "known", "base")} | {"score": score.tolist(), "live": bits(live)}
+        if not last:
+            kept |= {"symbols": self.row["symbols"], "short": _squeezed(_pack(self.short, _BYTES))}
+        kept |= {"of": _squeezed(_pack(rank[of])), "grams": _squeezed(_pack(grams)), "sent": bits(sent), "chance": _squeezed(chance[place[sent]].astype("<f4").tobytes()), "heavies": _pack(context[run[heavy[run]]], _CONTEXT)}
         rows = [kept]
         group = heavy[run] * np.int64(buckets) + bucket[run].astype(np.int64)
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -452,8 +460,7 @@ def _below(asked: DataFrame, gain: float) -> DataFrame:
         both = pa.schema(kinds + sums)
         return pa.concat_tables([table, states], promote_options="default").select(both.names).cast(both)
 
-    names = "chunk long, bucket long, heavy boolean, counts binary, size binary, kept binary, kinds binary, open binary, sum_context long, sum_size long, sum_kept long, sum_kinds long, sum_part double, sum_logs double"
-    return asked.groupBy("bucket", "heavy").applyInArrow(run, names)
+    return asked.groupBy("bucket", "heavy").applyInArrow(run, _BELOW)
 
 
 def _judged(size: np.ndarray, kept: np.ndarray, part: np.ndarray, logs: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray]:
@@ -477,15 +484,16 @@ def _advanced(k: int, longest: int, heavies: tuple[np.ndarray, ...], least: floa
     """Scores the live places of a chunk in their contexts of k words and asks for those of k + 1, if there are any to come."""
 
     def run(rows: pa.Table) -> pa.Table:
-        row = rows.filter(pa.compute.is_valid(rows.column("symbols"))).to_pylist()[0]
+        row = rows.filter(pa.compute.is_valid(rows.column("ids"))).to_pylist()[0]
         answers = rows.filter(pa.compute.is_valid(rows.column("bucket"))).sort_by([("heavy", "ascending"), ("bucket", "ascending")])
-        texts = _Texts(row, _unpack(_whole(row["symbols"])).astype(np.int32), _unpack(_whole(row["short"]), _BYTES))
+        texts = _Texts(row, *(None, None) if k == longest else (_unpack(_whole(row["symbols"])).astype(np.int32), _unpack(_whole(row["short"]), _BYTES)))
         bits = lambda name, n: np.unpackbits(np.frombuffer(_whole(row[name]), np.uint8), count=n).astype(bool)
-        live, of, grams = bits("live", len(texts.symbols)), _unpack(_whole(row["of"])).astype(np.int64), _unpack(_whole(row["grams"])).astype(np.int64)
-        chance = np.frombuffer(_whole(row["chance"]), "<f4").astype(np.float64)
-        count = np.zeros(len(chance), dtype=np.int64)
+        live, of, grams = bits("live", len(texts.training)), _unpack(_whole(row["of"])).astype(np.int64), _unpack(_whole(row["grams"])).astype(np.int64)
+        sent = bits("sent", int(grams.sum()))
+        chance, count = np.zeros(len(sent)), np.zeros(len(sent), dtype=np.int64)
+        chance[sent] = np.frombuffer(_whole(row["chance"]), "<f4")
         joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
-        count[bits("sent", len(chance))] = joined([_unpack(x.as_py(), _COUNT).astype(np.int64) for x in answers.column("counts")])
+        count[sent] = joined([_unpack(x.as_py(), _COUNT).astype(np.int64) for x in answers.column("counts")])
         plain = answers.filter(pa.compute.invert(answers.column("heavy")))
         told = [joined([_unpack(x.as_py(), _COUNT).astype(np.int64) for x in plain.column(name)]) for name in ("size", "kept", "kinds")]
         told.append(joined([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n.as_py()) // _COUNT) for x, n in zip(plain.column("open"), plain.column("size"), strict=True)]).astype(bool))
@@ -504,7 +512,7 @@ def _advanced(k: int, longest: int, heavies: tuple[np.ndarray, ...], least: floa
         score = np.array(row["score"]) + texts.summed(np.where(more, 0.0, now))
         if k == longest:
             return texts.scored(score)
-        return texts.asked(k + 1, more, own, spread(size[by], 0), counted, now, score, least, buckets)
+        return texts.asked(k + 1, more, own, spread(size[by], 0), counted, now, score, least, buckets, k + 1 == longest)
 
     return run
 
@@ -515,12 +523,36 @@ def _spread(n: int, at: np.ndarray, values: np.ndarray, none: float) -> np.ndarr
     return out
 
 
-def _apart(rows: DataFrame, kept: list[str], asked: list[str]) -> tuple[DataFrame, DataFrame, str]:
-    """Writes what chunks keep and what they ask in one go, each to a folder of its own: both, and the folder above them."""
-    at = shared_dir(rows.sparkSession)
-    rows.withColumn("asks", F.col("bucket").isNotNull()).write.partitionBy("asks").parquet(at)
-    both = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("asks", BooleanType())])).parquet(at)
-    return both.where("not asks").select(*kept), both.where("asks").select(*asked), at
+#: Tables by chunk or by bucket lie in so many slices, which large inputs shuffle one by one.
+_SLICES = 6
+
+
+class _Sliced:
+    """A written table whose rows lie apart by slice, so that each slice can be read and removed by itself."""
+
+    def __init__(self, spark: SparkSession, schema: StructType) -> None:
+        self.spark, self.at, self.writes = spark, shared_dir(spark), 0
+        self.columns, self.schema = schema.names, StructType([*schema.fields, StructField("slice", IntegerType())])
+
+    def add(self, rows: DataFrame, number: Column) -> None:
+        rows.withColumn("slice", number).write.option("compression", "zstd").partitionBy("slice").parquet(f"{self.at}/write={self.writes}")
+        self.writes += 1
+
+    def read(self, *numbers: int) -> DataFrame:
+        """The rows of these slices, or of all."""
+        rows = self.spark.read.schema(self.schema).parquet(self.at)
+        return (rows.where(F.col("slice").isin(*numbers)) if numbers else rows).select(*self.columns)
+
+    def remove(self, *numbers: int) -> None:
+        for write in range(self.writes):
+            for number in numbers:
+                removed(self.spark, f"{self.at}/write={write}/slice={number}")
+
+
+def _slice(by: str) -> Column:
+    """The slice of a chunk (those of a task are dealt in turn) or of a bucket."""
+    number = F.col(by)
+    return F.pmod(F.shiftright(number, 32) + number.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(_SLICES)).cast("int")
 
 
 @contextmanager
@@ -599,18 +631,21 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def scored(
-    docs: DataFrame, gain: float = 3.0, least_share: float = 2e-6, word_share: float = 1e-6, chunk_tokens: int = 1_500_000, bucket_tokens: int = 2_000_000, longest: int = 1
+    docs: DataFrame, gain: float = 3.0, least_share: float = 2e-6, word_share: float = 1e-6, chunk_tokens: int = 1_500_000, bucket_tokens: int = 2_000_000, longest: int = 1, turn_tokens: int = 16_000_000
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document, in contexts of up to `longest`
-    words."""
+    words. Texts of more than `turn_tokens` are shuffled in several turns, up to one for each slice."""
     with _tidied(docs.sparkSession):
-        return _scored(docs, gain, least_share, word_share, chunk_tokens, bucket_tokens, longest)
+        return _scored(docs, gain, least_share, word_share, chunk_tokens, bucket_tokens, longest, turn_tokens)
 
 
-def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float, chunk_tokens: int, bucket_tokens: int, longest: int) -> DataFrame:
+def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float, chunk_tokens: int, bucket_tokens: int, longest: int, turn_tokens: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), 10, 0).alias("held_out"))
-    chunks = materialize(_chunks(rows, chunk_tokens), "chunks")
+    made = _chunks(rows, chunk_tokens)
+    chunked = _Sliced(spark, made.schema)
+    chunked.add(made, _slice("chunk"))
+    chunks = chunked.read()
     words = materialize(_words(chunks), "words")
     size = words.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     tokens, kinds = size["tokens"], size["kinds"]
@@ -618,9 +653,11 @@ def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float,
     frequent, first = np.unique(key.view(np.uint64) & _SHORT, return_index=True)
     frequent_n = n[first]
     all_tokens = chunks.select(F.explode("sizes").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    answers = materialize(_answered(_asked(chunks, frequent, 1 + all_tokens // bucket_tokens), frequent, frequent_n, tokens), "answers")
+    counted = _answered(_asked(chunks, frequent, 1 + all_tokens // bucket_tokens), frequent, frequent_n, tokens)
+    answered = _Sliced(spark, counted.schema)
+    answered.add(counted, F.coalesce(_slice("chunk"), F.lit(_SLICES)))
     # contexts: divergence from the root by the sums of all buckets
-    each = answers.where("context is not null").select(F.inline(F.arrays_zip("context", "kept", "kinds", "part", "logs")))
+    each = answered.read(_SLICES).select(F.inline(F.arrays_zip("context", "kept", "kinds", "part", "logs")))
     sums = each.groupBy(F.col("context").alias("short")).agg(F.sum("kept").alias("kept"), F.sum("kinds").alias("kinds"), F.sum("part").alias("part"), F.sum("logs").alias("logs"))
     short = F.col("key").bitwiseAND(F.lit(int(_SHORT)).cast("long"))
     states = words.select("key", "n", short.alias("short")).join(sums, "short", "left").withColumn("retained", F.coalesce((F.col("part") - F.col("kept") * F.log("n") >= gain) & (F.col("kept") <= F.col("n")), F.lit(False)))
@@ -628,10 +665,16 @@ def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float,
     states = states.select("key", "n", open_.alias("open"), F.when(F.col("retained"), F.col("kept")).otherwise(0).cast("int").alias("kept"), F.when(F.col("retained"), F.col("kinds")).otherwise(0).cast("int").alias("kinds"))
     tree = spark.sparkContext.broadcast(grow(materialize(_spelled(words), "spelled"), least_share, gain))
 
-    told = materialize(_told(chunks, states, 1 + kinds // 200_000), "told")
+    about = _told(chunks, states, 1 + kinds // 200_000)
+    told = _Sliced(spark, about.schema)
+    told.add(about, _slice("chunk"))
     if longest > 1:
         discard(words)
-    parts = chunks.unionByName(answers.where("chunk is not null").select("chunk", "bucket", "counts"), allowMissingColumns=True).unionByName(told, allowMissingColumns=True)
+        answered.remove(_SLICES)
+
+    def parts(*numbers: int) -> DataFrame:
+        counts = answered.read(*numbers).where("chunk is not null").select("chunk", "bucket", "counts")
+        return chunked.read(*numbers).unionByName(counts, allowMissingColumns=True).unionByName(told.read(*numbers), allowMissingColumns=True)
 
     def score(rows: pa.Table) -> pa.Table:
         row = rows.filter(pa.compute.is_valid(rows.column("symbols"))).to_pylist()[0]
@@ -669,21 +712,33 @@ def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float,
         more = (texts.inside >= 1) & (word["open"] > 0)[before] & (own >= 2)
         parent, above = word["n"].astype(np.int64)[before], count[chunk.of].astype(np.int64)
         del chunk, count, chance, before, hit
-        return texts.asked(2, more, own, parent, above, now, texts.summed(np.where(more, 0.0, now)), heavy_least, buckets)
+        return texts.asked(2, more, own, parent, above, now, texts.summed(np.where(more, 0.0, now)), heavy_least, buckets, longest == 2)
 
     spare, buckets = max(kinds, 1), 1 + all_tokens // bucket_tokens
     frequent_shared = spark.sparkContext.broadcast(frequent)
     heavy_least = max(bucket_tokens // 50, word_share * tokens)
-    out = parts.groupBy("chunk").applyInArrow(score, _SCORED if longest == 1 else _STATE)
     asked, kept = [x.split(" ")[0] for x in f"chunk long, {_ASKED}".split(", ")], [x.split(" ")[0] for x in _STATE[: -len(_ASKED) - 2].split(", ")]
-    done = [chunks, answers, told]
+    n_turns = min(_SLICES, 1 + all_tokens // turn_tokens)
+    turns = [range(i, _SLICES, n_turns) for i in range(n_turns)]
+    out, sources, advance = parts, [chunked, answered, told], score
     for k in range(2, longest + 1):
-        texts, questions, at = _apart(out, kept, asked)
-        for table in done:
-            removed(spark, table) if isinstance(table, str) else discard(table)
-        below = materialize(_below(questions, gain), f"below{k}")
-        removed(spark, f"{at}/asks=true")
-        done = [at, below]
-        parts = texts.unionByName(below.where("chunk is not null").drop(*[x for x in below.columns if x.startswith("sum_")]), allowMissingColumns=True)
-        out = parts.groupBy("chunk").applyInArrow(_advanced(k, longest, _heavies(below, gain), heavy_least, buckets), _SCORED if k == longest else _STATE)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        texts = _Sliced(spark, StructType.fromDDL(_STATE))
+        for turn in turns:
+            texts.add(out(*turn).groupBy("chunk").applyInArrow(advance, _STATE), F.when(F.col("ids").isNull(), _SLICES + _slice("bucket")).otherwise(_slice("chunk")))
+            for table in sources:
+                table.remove(*turn)
+        below = _Sliced(spark, StructType.fromDDL(_BELOW))
+        for turn in turns:
+            questions = [_SLICES + i for i in turn]
+            below.add(_below(texts.read(*questions).select(*asked), gain), F.coalesce(_slice("chunk"), F.lit(_SLICES)))
+            texts.remove(*questions)
+        sources, advance = [texts, below], _advanced(k, longest, _heavies(below.read(_SLICES), gain), heavy_least, buckets)
+        out = partial(_with_answers, texts, kept, below)
+    return out().groupBy("chunk").applyInArrow(advance, _SCORED).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _with_answers(texts: _Sliced, kept: list[str], below: _Sliced, *numbers: int) -> DataFrame:
+    """What chunks of these slices, or of all, have kept, and the answers to them."""
+    answers = below.read(*numbers).where("chunk is not null")
+    told = texts.read(*numbers).where("ids is not null").select(*kept)
+    return told.unionByName(answers.drop(*[x for x in answers.columns if x.startswith("sum_")]), allowMissingColumns=True)
