@@ -11,8 +11,10 @@ from tidepool.functions import scalars as S
 from tidepool.operators import corpus, hierarchy, memory, merge, quality, topics
 from tidepool.operators import leakage as L
 from tidepool.operators import predicates as P
+from tidepool.operators import tables as T
 from tidepool.operators.ranks import numbered
 from tidepool.sources import notes_io as IO
+from tidepool.sources.fixtures import note_keys, view
 from tidepool.streaming import model
 
 DAY_MS = 86_400_000
@@ -260,3 +262,42 @@ def test_card_memory_reads_histories_once(spark):
     assert {i: x[:2] for i, x in got.items()} == {i: (i % 3, presets[i % 3][1]) for i in range(9) if i % 3 < 2}
     assert got[0][2] == pytest.approx(9.0) and got[1][2] < 9.0 and len({x[2] for x in got.values()}) == 2
     assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_a_frequent_first_field_go_to_many_tasks(spark):
+    """9,000 notes of either side with one first field make 81 million pairs; a plain join makes them in one task."""
+    notes = spark.createDataFrame([(i, 1, 5, "same") for i in range(9000)], "id long, mid int, csum long, front string")
+    broadcast = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")  # as larger tables have it
+    try:
+        out = T.by_first_field(notes, notes.withColumn("id", F.col("id") + 10_000))
+        got = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("existing_id").alias("n")).collect()]
+    finally:
+        spark.conf.set(broadcast, before)
+    assert sum(got) == 9000 * 9000 and max(got) < 0.5 * sum(got)
+
+
+def test_first_fields_in_cells_equal_a_plain_join(spark):
+    """Frequent fields on both sides or one, other notetypes, equal checksums, null fields and ids that repeat, so that parts are empty."""
+    rng = random.Random(5)
+    field = lambda: rng.choice([(1, 7, "often"), (2, 7, "often"), (1, 7, "other"), (1, 8, "rare"), (None, 8, "rare"), (1, 9, None), (1, 9, "")])
+    made = lambda n, *more: spark.createDataFrame([(i, *field()) for i in range(n)] + [*more], "id long, mid int, csum long, front string")
+    new = made(90, *[(1000, 3, 1, "new alone")] * 9, *[(500, 1, 7, "one id")] * 12, *[(i, 4, 1, "few old") for i in range(30)])
+    old = made(60, *[(2000, 3, 1, "old alone")] * 9, *[(600, 1, 7, "one id")] * 12, (None, 4, 1, "few old"), (701, 5, 2, "unmet"))
+    known = old.selectExpr("id AS existing_id", "mid AS emid", "csum AS ecsum", "front AS efront")
+    want = new.join(known, (F.col("mid") == F.col("emid")) & (F.col("csum") == F.col("ecsum")) & (F.col("front") == F.col("efront")), "left").select("id", "mid", "csum", "front", "existing_id")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for size in (1, 3, 8, 4096):
+        out = T.by_first_field(new, old, size)
+        assert out.columns == want.columns and rows(out) == rows(want)
+
+
+def test_keys_of_notes_leave_texts_behind(spark, tmp_path):
+    texts = ["", None, "one line", "\nsecond", "first\r\nsecond", "a\n\nb", "ünï\nx", "ends\n", "a\\nb"]
+    spark.createDataFrame([(i, t, "fr" if i % 2 else None, "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (2, 0, 1), (2, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got, want = note_keys(spark, str(tmp_path)), view(spark, str(tmp_path), "notes").select("id", "mid", "csum", "front")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == len(texts) + 1
+    joined = got._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1].splitlines()[1]
+    assert "AS csum" in joined and "text#" not in joined

@@ -53,10 +53,40 @@ def by_guid(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.join(existing.select("guid", c("id").alias("existing_id"), c("mod").alias("existing_mod")), "guid", "left")
 
 
-def by_first_field(incoming: DataFrame, existing: DataFrame) -> DataFrame:
-    """Candidates by (notetype, checksum), then the exact text."""
-    known = existing.select(c("mid").alias("emid"), c("csum").alias("ecsum"), c("front").alias("efront"), c("id").alias("existing_id"))
-    return incoming.join(known, (c("mid") == c("emid")) & (c("csum") == c("ecsum")) & (c("front") == c("efront")), "left").drop("emid", "ecsum", "efront")
+#: Rows of each side that meet in a cell, on average, where a first field is frequent; and how many such fields are dealt into cells.
+CELL_ROWS, FREQUENT_FIELDS = 4096, 10_000
+
+
+def by_first_field(incoming: DataFrame, existing: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Candidates by (notetype, checksum), then the exact text; an incoming note without any stays once.
+
+    The pairs of a first field grow with the square of its rows. Where either side has more than `cell_rows` of them, both sides are
+    dealt into parts by id, and each part of one meets each part of the other in a cell of its own, so the pairs go to many tasks.
+    The numbers of parts are broadcast, for the FREQUENT_FIELDS most frequent fields; any other has less than a 10,000th of all rows.
+    """
+    key = ["csum", "mid", "front"]
+    existing = existing.dropna(subset=key).select(*key, "id")
+    count = lambda notes, new: notes.select(*key, F.lit(new).alias("new"), F.lit(1 - new).alias("old"))
+    counts = count(incoming, 1).union(count(existing, 0)).groupBy(*key).agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
+    most = F.greatest("new", "old")
+    parts = lambda n: F.greatest(F.ceil(c(n) / cell_rows), F.lit(1)).cast("int")
+    frequent = counts.where(most > cell_rows).orderBy(most.desc(), *key).limit(FREQUENT_FIELDS)
+    frequent = F.broadcast(frequent.select(*[c(x).alias(f"f{x}") for x in key], parts("new").alias("rows"), parts("old").alias("columns"), (c("old") > 0).alias("met")))
+
+    def dealt(notes: DataFrame, own: str, other: str) -> DataFrame:
+        same = [c(x).eqNullSafe(c(f"f{x}")) for x in key]
+        found = notes.join(frequent, same[0] & same[1] & same[2], "left").drop(*[f"f{x}" for x in key])
+        found = found.withColumn(own, F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int"))
+        return found.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+
+    # The number is given, since sizes in bytes, by which Spark would put partitions together, say nothing of the pairs.
+    tasks, cell = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["csum", "mid", "rows", "columns", "front"]
+    known = dealt(existing, "columns", "rows").select(*[c(x).alias(f"e{x}") for x in cell], c("id").alias("existing_id"), F.lit(True).alias("found"))
+    asked, known = dealt(incoming, "rows", "columns").repartition(tasks, *cell), known.repartition(tasks, *[f"e{x}" for x in cell])
+    same = [c(x) == c(f"e{x}") for x in cell]
+    pairs = asked.join(known, same[0] & same[1] & same[2] & same[3] & same[4], "left")
+    # Parts are dealt by a hash, so one may be empty; a frequent field that has notes meets them in the other cells.
+    return pairs.where("found OR met IS NULL OR NOT met").select(*incoming.columns, "existing_id")
 
 
 #: Rules that a plan may hold by itself.

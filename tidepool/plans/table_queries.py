@@ -14,7 +14,7 @@ from tidepool.operators import quality as Q
 from tidepool.operators import tables as T
 from tidepool.operators.ranks import numbered
 from tidepool.plans.registry import register
-from tidepool.sources.fixtures import view, with_tags
+from tidepool.sources.fixtures import note_keys, view, with_tags
 
 NOW, NEXT, DAYS = FIXED.now, FIXED.next_day_at, FIXED.days_elapsed
 c = F.col
@@ -52,7 +52,9 @@ _q("j05_missing_decks", "SELECT DISTINCT id FROM (SELECT did AS id FROM cards UN
 _q("j06_studied_today", f"SELECT {_HOME} AS deck, count(DISTINCT k.id) AS cards FROM reviews r JOIN cards k ON k.id = r.cid WHERE kind NOT IN (4, 5) AND r.id > {(NEXT - 86400) * 1000} GROUP BY 1", lambda r, k: T.studied_today_by_deck(r, k, FIXED), "reviews", "cards")
 _q("j07_note_types_decks", f"SELECT DISTINCT nid, mid, csum, {_HOME} AS deck FROM cards JOIN notes ON notes.id = nid", T.note_types_decks, "notes", "cards")
 _q("j08_by_guid", "SELECT a.id, b.id AS existing_id, b.mod AS existing_mod FROM notes a LEFT JOIN notes b ON b.id = a.id AND b.id % 3 <> 0", lambda n: T.by_guid(n.withColumn("guid", c("id")), n.withColumn("guid", c("id")).where("id % 3 <> 0")).select("id", "existing_id", "existing_mod"), "notes")
-_q("j09_by_first_field", "SELECT a.id, b.id AS existing_id FROM notes a LEFT JOIN notes b ON b.mid = a.mid AND b.front = a.front AND b.id % 2 = 0 WHERE a.id % 3 = 0", lambda n: T.by_first_field(n.where("id % 3 = 0"), n.where("id % 2 = 0")).select("id", "existing_id"), "notes")
+register("j09_by_first_field", "SELECT a.id, b.id AS existing_id FROM notes a LEFT JOIN notes b ON b.mid = a.mid AND b.front = a.front AND b.id % 2 = 0 WHERE a.id % 3 = 0")(
+    lambda spark, d: T.by_first_field(note_keys(spark, d).where("id % 3 = 0"), note_keys(spark, d).where("id % 2 = 0")).select("id", "existing_id")
+)
 _q("j11_deck_descendants", "SELECT p.parent AS name, d.id FROM (SELECT DISTINCT parent FROM decks) p JOIN decks d ON d.parent = p.parent UNION ALL SELECT name, id FROM decks", lambda e: e.select(F.explode(S.ancestors(c("name"), "\x1f")).alias("name"), "id"), "decks")
 _q("j13_last_review", f"SELECT cid, max(id) AS last FROM reviews WHERE ease > 0 AND id < {NOW * 1000 - 86400000} GROUP BY 1", lambda r: T.last_review(r, NOW * 1000 - 86_400_000), "reviews")
 _q("j14_siblings", "SELECT a.id, b.id AS sibling FROM cards a JOIN cards b ON a.nid = b.nid AND a.id <> b.id WHERE b.queue IN (0, 2)", lambda k: T.siblings(k, [0, 2]), "cards")

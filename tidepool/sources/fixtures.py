@@ -11,6 +11,7 @@ from tidepool.context import FIXED
 
 #: name -> (given tables or views it reads, SQL that both engines accept; {x} are the places where they differ)
 _EASE = "CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END"
+_MID = "CASE d.lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END"
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "events_k": (("events",), "SELECT event_id, {millis} AS id, user_id AS cid, event_type, value, {k} AS k FROM events"),
     "reviews": (
@@ -37,7 +38,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "decks": (("nation", "region"), "SELECT CAST(n_nationkey + 1 AS BIGINT) AS id, r_name AS parent, n_name AS leaf, r_name || chr(31) || n_name AS name, n_regionkey AS preset, n_regionkey = 2 AS filtered FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "notes": (
         ("documents", "labels"),
-        "SELECT d.doc_id AS id, CASE d.lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS mid, split_part(d.text, chr(10), 1) AS front, "
+        f"SELECT d.doc_id AS id, {_MID} AS mid, split_part(d.text, chr(10), 1) AS front, "
         "substr(d.text, length(split_part(d.text, chr(10), 1)) + 2) AS back, d.lang || '::' || d.source AS tag, l.quality, l.toxic, 1704067200 + d.doc_id * 60 AS mod, d.doc_id % 2 = 0 AS pending, "
         "{csum} AS csum FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     ),
@@ -73,6 +74,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **needs)
 
 
+def note_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, mid, csum and front of the view `notes`. Texts are cut to these before the labels are joined, so no whole text is shuffled."""
+    cut = f"SELECT d.doc_id AS id, {_MID} AS mid, substring_index(d.text, chr(10), 1) AS front FROM {{documents}} d"
+    keys = f"SELECT id, mid, CAST(conv(substr(sha1(front), 1, 8), 16, 10) AS BIGINT) AS csum, front FROM ({cut})"
+    return spark.sql(f"SELECT n.* FROM ({keys}) n LEFT JOIN {{labels}} l ON l.doc_id = n.id", documents=view(spark, sf_dir, "documents"), labels=view(spark, sf_dir, "labels"))
+
+
 def with_tags(notes: DataFrame) -> DataFrame:
     """Notes with their fields and tags as arrays: language::source, and a tag for each positive label."""
     tags = F.array_compact(F.array(F.col("tag"), F.when(F.col("quality") == 1, "label::good"), F.when(F.col("toxic") == 1, "label::toxic")))
