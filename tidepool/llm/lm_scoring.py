@@ -36,9 +36,11 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +49,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidepool.sources.shared import removed
 
-from .common import ascii_lower_words, discard, materialize, shared_dir
+from .common import discard, materialize, shared_dir
 
 ORDER = 5
 _END = b"\n"
@@ -58,7 +60,7 @@ def _mask(symbols: int) -> int:
     return (1 << (8 * symbols)) - 1
 
 
-def grams(buffer: bytes, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def grams(buffer: bytes, starts: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The (ORDER + 1)-grams that end at each symbol of the texts in a buffer, and where each text's first one is.
 
     Each text in the buffer stands behind ORDER end symbols, its context; `starts` are the places of those.
@@ -67,7 +69,8 @@ def grams(buffer: bytes, starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw) - ORDER
     out = np.zeros(n, dtype=np.uint64)
     for j in range(ORDER + 1):
-        out = (out << _SYMBOL) | raw[j : j + n]
+        out <<= _SYMBOL
+        out |= raw[j : j + n]
     keep = np.ones(n, dtype=bool)
     for at in range(1, ORDER + 1):  # those that end inside the next text's context
         rest = np.asarray(starts[1:], dtype=np.int64) - at
@@ -152,12 +155,31 @@ def grow(counts: DataFrame, least_share: float, gain: float) -> Tree:
     return Tree(np.log10(root), [logs(p) for p in contexts], [logs(p) for p in entries])
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first use."""
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (A-Z lower-cased), one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    word = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one there
+    before = np.concatenate([[0], np.cumsum(word.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    at = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    return words.filter(word).cast(pa.large_binary()), np.diff(before[at])
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in the order of keys, and for each place the number of its key among them."""
+    order = np.argsort(keys)
+    found = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = found[1:] != found[:-1]
+    of = np.empty(len(keys), dtype=np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return order[new], of
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the order within a bucket, and the buckets in it. Small numbers are sorted by their digits."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    return order.astype(np.int32), bucket[order].astype(np.int64)
 
 
 #: Words stand by 40 bits of their hash where pairs are counted; their own counts are exact, by the words themselves. Of a
@@ -193,35 +215,47 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        number, ids, held, sizes, symbols = _Numbers({b"": 0}), [], [], [], []
+        ids, held, sizes, words, total = [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            row = [[chunk], [ids], [held], [sizes], [_squeezed(b"\n".join(number))], [_squeezed(_pack(np.concatenate(symbols)))]]
+            ends = np.cumsum(np.concatenate(sizes)) - 1
+            numbered = pa.concat_arrays([pa.array([b""], pa.large_binary()), *words]).dictionary_encode()  # in the order of their first use
+            symbols, word = np.zeros(ends[-1] + 1, dtype=np.uint32), np.ones(ends[-1] + 1, dtype=bool)
+            word[ends] = False
+            symbols[word] = numbered.indices.to_numpy()[1:]
+            row = [[chunk], [ids], [held], [np.concatenate(sizes)], [_squeezed(b"\n".join(numbered.dictionary.to_pylist()))], [_squeezed(_pack(symbols))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
-        total = 0
         for batch in batches:
-            for i, text, fold in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-                words = ascii_lower_words(text.as_py())
-                own = np.zeros(len(words) + 1, dtype=np.uint32)
-                own[:-1] = np.fromiter(map(number.__getitem__, words), dtype=np.uint32, count=len(words))
-                ids.append(i)
-                held.append(fold)
-                sizes.append(len(own))
-                symbols.append(own)
-                total += len(own)
-                if total >= chunk_tokens:
-                    yield close()
-                    chunk, total, number, ids, held, sizes, symbols = chunk + 1, 0, _Numbers({b"": 0}), [], [], [], []
+            for lo in range(0, batch.num_rows, 500):
+                some = batch.slice(lo, 500)
+                own, counts = _split(some.column("text"))
+                number, fold, at = some.column("doc_id").to_pylist(), some.column("held_out").to_pylist(), 0
+                ends = np.cumsum(counts)
+                while at < len(counts):
+                    texts = np.cumsum(counts[at:] + 1)
+                    to = at + min(int(np.searchsorted(texts, chunk_tokens - total)) + 1, len(texts))
+                    first = int(ends[at] - counts[at])
+                    ids += number[at:to]
+                    held += fold[at:to]
+                    sizes.append(counts[at:to] + 1)
+                    words.append(own.slice(first, int(ends[to - 1]) - first))
+                    total, at = total + int(texts[to - at - 1]), to
+                    if total >= chunk_tokens:
+                        yield close()
+                        chunk, total, ids, held, sizes, words = chunk + 1, 0, [], [], [], []
+                        pa.default_memory_pool().release_unused()
         if ids:
             yield close()
+        words, own, some = [], None, None
+        pa.default_memory_pool().release_unused()  # else idle workers keep it
 
     return docs.mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, sizes array<long>, vocabulary binary, symbols binary")
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
     """What Spark's xxhash64 gives for each word."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), dtype=np.uint64, count=len(words))
 
 
 class _Chunk:
@@ -250,10 +284,10 @@ class _Chunk:
         common = np.isin(self.short, frequent)[self.next]
         key[common] = _mixed(key[common], self.short[self.previous[common]])
         bucket = (_mixed(key, np.array([5], np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable").astype(np.int32)
-        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        order, bucket = _dealt(bucket, buckets)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            yield int(bucket[order[lo]]), order[lo:hi]
+            yield int(bucket[lo]), order[lo:hi]
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -263,21 +297,31 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _words(chunks: DataFrame) -> DataFrame:
-    """(word, key, n) of the training texts; key is the hash that stands for a word in packed arrays."""
+def _words(chunks: DataFrame, buckets: int) -> DataFrame:
+    """(word, key, n) of the training texts; key is the hash that stands for a word in packed arrays. Chunks send their words by
+    bucket, packed; a bucket adds up equal words."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def used(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 chunk = _Chunk(batch.slice(at, 1).to_pylist()[0], pairs=False)
                 n = np.bincount(chunk.symbols[chunk.training], minlength=len(chunk.words))
-                used = np.flatnonzero(n)
-                for lo in range(0, len(used), 50_000):
-                    some = used[lo : lo + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk.words[i] for i in some], pa.binary()), pa.array(n[some])], ["word", "n"])
+                order, bucket = _by_bucket(chunk.hashes, buckets)
+                order, bucket = order[n[order] > 0], bucket[n[order] > 0]
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                    some = order[lo:hi]
+                    row = [[int(bucket[lo])], [b"\n".join([chunk.words[i] for i in some.tolist()])], [_pack(n[some])]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["word_bucket", "words", "n"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
+        words = pa.concat_arrays([pa.array(x.as_py().split(b"\n"), pa.large_binary()) for x in rows.column("words")]).dictionary_encode()
+        n = np.bincount(words.indices.to_numpy(), np.concatenate([_unpack(x.as_py()) for x in rows.column("n")])).astype(np.int64)
+        return pa.table({"word": words.dictionary.cast(pa.binary()), "n": n})
 
-    counted = chunks.select("held", "sizes", "vocabulary", "symbols").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.select("word", F.xxhash64("word").alias("key"), "n")
+    packed = chunks.select("held", "sizes", "vocabulary", "symbols").mapInArrow(used, "word_bucket long, words binary, n binary")
+    return packed.groupBy("word_bucket").applyInArrow(added, "word binary, n long").select("word", F.xxhash64("word").alias("key"), "n")
 
 
 def _asked(chunks: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -317,7 +361,7 @@ def _answered(asked: DataFrame, frequent: np.ndarray, frequent_n: np.ndarray, to
         times = read("times", 4)
         second = np.concatenate([np.repeat(n, r.astype(np.int64)) for n, r in zip(read("next", _BYTES), read("runs", 4), strict=True)])
         first, n = np.concatenate(read("previous", _BYTES)), np.concatenate(times)
-        _, example, of = np.unique(_mixed(second, first), return_index=True, return_inverse=True)
+        example, of = _distinct(_mixed(second, first))
         count = np.bincount(of, n).astype(np.int64)
         words, which = np.unique(second, return_inverse=True)
         total = np.bincount(which, n)
@@ -380,15 +424,16 @@ class _Texts:
         for j in range(2, k + 1):  # the end before a text, or the last one of the chunk, is a text's start
             context = _mixed(context, self.short[self.symbols[at - j]])
         context &= _LONG
-        key, example, of = np.unique(_mixed(context, self.short[self.symbols[at]]), return_index=True, return_inverse=True)
+        key = _mixed(context, self.short[self.symbols[at]])
+        example, of = _distinct(key)
+        key, place = key[example], at[example]
         times = np.bincount(of[self.training[at]], minlength=len(key))
-        place = at[example]
         context, heavy = context[example], own[place] >= least
         sliced = lambda x, bits: (((x >> np.uint64(bits - 32)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
         bucket = sliced(context, 8 * _CONTEXT)  # in the order of contexts
         bucket[heavy] = sliced(key[heavy], 64)
         plain, often = np.flatnonzero(~heavy), np.flatnonzero(heavy)
-        order = np.concatenate([plain[np.argsort(context[plain], kind="stable")], often[np.lexsort((context[often], bucket[often]))]])
+        order = np.concatenate([plain[np.argsort(context[plain])], often[np.lexsort((context[often], bucket[often]))]])
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         context, heavy, bucket, place, times = context[order], heavy[order], bucket[order], place[order], times[order]
@@ -433,11 +478,12 @@ def _below(asked: DataFrame, gain: float) -> DataFrame:
         read = lambda name, size: [_unpack(x.as_py(), size) for x in rows.column(name)]
         contexts, times = read("context", _CONTEXT), read("times", 4)
         runs = np.concatenate(read("runs", 4)).astype(np.int64)
-        context, first, which = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
-        own = np.concatenate(read("own", _COUNT)).astype(np.int64)[first] - 1
+        every = np.concatenate(contexts)
+        first, which = _distinct(every)
+        context, own = every[first], np.concatenate(read("own", _COUNT)).astype(np.int64)[first] - 1
         parent = np.concatenate(read("parent", _COUNT)).astype(np.int64)[first]
         by_gram, n, above = np.repeat(which, runs), np.concatenate(times), np.concatenate(read("above", _COUNT)).astype(np.int64)
-        _, example, of = np.unique(_mixed(context[by_gram], np.concatenate(read("next", _BYTES))), return_index=True, return_inverse=True)
+        example, of = _distinct(_mixed(context[by_gram], np.concatenate(read("next", _BYTES))))
         count = np.bincount(of, n, len(example)).astype(np.int64)
         size = np.where(own >= 0, own, np.bincount(by_gram, n, len(context)).astype(np.int64))
         entry = np.flatnonzero(count >= 2)
@@ -484,17 +530,17 @@ def _advanced(k: int, longest: int, heavies: tuple[np.ndarray, ...], least: floa
     """Scores the live places of a chunk in their contexts of k words and asks for those of k + 1, if there are any to come."""
 
     def run(rows: pa.Table) -> pa.Table:
-        row = rows.filter(pa.compute.is_valid(rows.column("ids"))).to_pylist()[0]
-        answers = rows.filter(pa.compute.is_valid(rows.column("bucket"))).sort_by([("heavy", "ascending"), ("bucket", "ascending")])
+        row = rows.filter(pc.is_valid(rows.column("ids"))).to_pylist()[0]
+        answers = rows.filter(pc.is_valid(rows.column("bucket"))).sort_by([("heavy", "ascending"), ("bucket", "ascending")])
         texts = _Texts(row, *(None, None) if k == longest else (_unpack(_whole(row["symbols"])).astype(np.int32), _unpack(_whole(row["short"]), _BYTES)))
         bits = lambda name, n: np.unpackbits(np.frombuffer(_whole(row[name]), np.uint8), count=n).astype(bool)
-        live, of, grams = bits("live", len(texts.training)), _unpack(_whole(row["of"])).astype(np.int64), _unpack(_whole(row["grams"])).astype(np.int64)
+        live, of, grams = bits("live", len(texts.training)), _unpack(_whole(row["of"])).view(np.int64), _unpack(_whole(row["grams"])).view(np.int64)
         sent = bits("sent", int(grams.sum()))
         chance, count = np.zeros(len(sent)), np.zeros(len(sent), dtype=np.int64)
         chance[sent] = np.frombuffer(_whole(row["chance"]), "<f4")
         joined = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
         count[sent] = joined([_unpack(x.as_py(), _COUNT).astype(np.int64) for x in answers.column("counts")])
-        plain = answers.filter(pa.compute.invert(answers.column("heavy")))
+        plain = answers.filter(pc.invert(answers.column("heavy")))
         told = [joined([_unpack(x.as_py(), _COUNT).astype(np.int64) for x in plain.column(name)]) for name in ("size", "kept", "kinds")]
         told.append(joined([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(n.as_py()) // _COUNT) for x, n in zip(plain.column("open"), plain.column("size"), strict=True)]).astype(bool))
         spot = np.searchsorted(heavies[0], _unpack(row["heavies"], _CONTEXT))
@@ -535,7 +581,7 @@ class _Sliced:
         self.columns, self.schema = schema.names, StructType([*schema.fields, StructField("slice", IntegerType())])
 
     def add(self, rows: DataFrame, number: Column) -> None:
-        rows.withColumn("slice", number).write.option("compression", "zstd").partitionBy("slice").parquet(f"{self.at}/write={self.writes}")
+        rows.withColumn("slice", number).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").partitionBy("slice").parquet(f"{self.at}/write={self.writes}")
         self.writes += 1
 
     def read(self, *numbers: int) -> DataFrame:
@@ -570,8 +616,7 @@ def _tidied(spark: SparkSession) -> Iterator[None]:
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of words by bucket, and the buckets in that order."""
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order]
+    return _dealt(bucket, buckets)
 
 
 def _told(chunks: DataFrame, states: DataFrame, buckets: int) -> DataFrame:
@@ -611,18 +656,21 @@ def _spelled(words: DataFrame) -> DataFrame:
     """(key, n): how often each (ORDER + 1)-gram of letters occurs in the distinct words, ends included."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys, n = np.unique(grams(*_spelling(batch.column("word").to_pylist()))[0], return_counts=True)
+        held: list[bytes] = []
+        for batch in chain(batches, [None]):
+            held += batch.column("word").to_pylist() if batch is not None else []
+            if held and (batch is None or len(held) >= 100_000):
+                keys, n = np.unique(grams(*_spelling(held))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+                held = []
 
     return words.select("word").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _spelling(words: list[bytes]) -> tuple[bytes, list[int]]:
-    """A buffer of words, each behind its context of ends, and where each begins."""
-    at = np.cumsum([0] + [len(w) + ORDER + 1 for w in words[:-1]])
-    return b"".join(_END * ORDER + w + _END for w in words), at.tolist()
+def _spelling(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """A buffer of words (one at least), each behind its context of ends, and where each begins."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + ORDER + 1
+    return _END * ORDER + (_END * (ORDER + 1)).join(words) + _END, np.cumsum(sizes) - sizes
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -646,13 +694,13 @@ def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float,
     chunked = _Sliced(spark, made.schema)
     chunked.add(made, _slice("chunk"))
     chunks = chunked.read()
-    words = materialize(_words(chunks), "words")
+    all_tokens = chunks.select(F.explode("sizes").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = materialize(_words(chunks, 1 + all_tokens // bucket_tokens), "words")
     size = words.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
     tokens, kinds = size["tokens"], size["kinds"]
     key, n = _column(words.where(F.col("n") >= max(2.0, word_share * tokens)), "key", "n")  # at most 1 / word_share rows, or few tokens
     frequent, first = np.unique(key.view(np.uint64) & _SHORT, return_index=True)
     frequent_n = n[first]
-    all_tokens = chunks.select(F.explode("sizes").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     counted = _answered(_asked(chunks, frequent, 1 + all_tokens // bucket_tokens), frequent, frequent_n, tokens)
     answered = _Sliced(spark, counted.schema)
     answered.add(counted, F.coalesce(_slice("chunk"), F.lit(_SLICES)))
@@ -677,14 +725,14 @@ def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float,
         return chunked.read(*numbers).unionByName(counts, allowMissingColumns=True).unionByName(told.read(*numbers), allowMissingColumns=True)
 
     def score(rows: pa.Table) -> pa.Table:
-        row = rows.filter(pa.compute.is_valid(rows.column("symbols"))).to_pylist()[0]
+        row = rows.filter(pc.is_valid(rows.column("symbols"))).to_pylist()[0]
         chunk = _Chunk(row)
         word = {x: np.zeros(len(chunk.words)) for x in ("n", "kept", "kinds", "open")}
-        known = rows.filter(pa.compute.is_valid(rows.column("word_bucket"))).sort_by("word_bucket")
+        known = rows.filter(pc.is_valid(rows.column("word_bucket"))).sort_by("word_bucket")
         order = _by_bucket(chunk.hashes, 1 + kinds // 200_000)[0]
         for x, values in word.items():
             values[order] = np.concatenate([_unpack(part.as_py(), _COUNT) for part in known.column(x)])
-        packed = rows.filter(pa.compute.is_valid(rows.column("bucket")))
+        packed = rows.filter(pc.is_valid(rows.column("bucket")))
         found = dict(zip(packed.column("bucket").to_pylist(), packed.column("counts"), strict=True))
         count = np.zeros(len(chunk.next), dtype=np.int32)
         for bucket, at in chunk.dealt(frequent_shared.value, buckets):
