@@ -87,7 +87,8 @@ class Tree:
 
     def log10(self, found: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last symbol of each gram after the others."""
-        keys, at = np.unique(found, return_inverse=True)
+        encoded = pa.array(found).dictionary_encode()
+        keys, at = encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
@@ -165,6 +166,12 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(word).cast(pa.large_binary()), np.diff(before[at])
 
 
+def _listed(words: pa.Array) -> bytes:
+    """Words, of which there is one at least, in one piece with line ends between."""
+    words = words.cast(pa.large_binary())
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(b"\n", pa.large_binary()))[0].as_py()
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct key, in the order of keys, and for each place the number of its key among them."""
     order = np.argsort(keys)
@@ -209,9 +216,9 @@ def _whole(data: bytes) -> bytes:
 
 
 def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
-    """Chunks of texts: ids, folds and sizes of the documents, the words used (an end is the empty word, number 0), and
-    all symbols by number."""
-    fields = [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("vocabulary", pa.binary()), ("symbols", pa.binary())]
+    """Chunks of texts: ids, folds and sizes of the documents, the words used (an end is the empty word, number 0) and their
+    hashes, and all symbols by number."""
+    fields = [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("vocabulary", pa.binary()), ("hashes", pa.binary()), ("symbols", pa.binary())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
@@ -223,7 +230,8 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
             symbols, word = np.zeros(ends[-1] + 1, dtype=np.uint32), np.ones(ends[-1] + 1, dtype=bool)
             word[ends] = False
             symbols[word] = numbered.indices.to_numpy()[1:]
-            row = [[chunk], [ids], [held], [np.concatenate(sizes)], [_squeezed(b"\n".join(numbered.dictionary.to_pylist()))], [_squeezed(_pack(symbols))]]
+            used = _listed(numbered.dictionary)
+            row = [[chunk], [ids], [held], [np.concatenate(sizes)], [_squeezed(used)], [_hashes(used.split(b"\n")).tobytes()], [_squeezed(_pack(symbols))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(row, fields, strict=True)], [n for n, _ in fields])
 
         for batch in batches:
@@ -250,7 +258,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
         words, own, some = [], None, None
         pa.default_memory_pool().release_unused()  # else idle workers keep it
 
-    return docs.mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, sizes array<long>, vocabulary binary, symbols binary")
+    return docs.mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, sizes array<long>, vocabulary binary, hashes binary, symbols binary")
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -262,13 +270,13 @@ class _Chunk:
     """The symbols of a chunk and their pairs: `code` lists the distinct pairs (next, previous), `of` the pair of each symbol."""
 
     def __init__(self, row: dict, pairs: bool = True) -> None:
-        self.words = _whole(row["vocabulary"]).split(b"\n")
-        self.hashes = _hashes(self.words)
+        self.words = _whole(row["vocabulary"]).split(b"\n") if row.get("vocabulary") else []
+        self.hashes = np.frombuffer(row["hashes"], np.uint64)
         self.short = self.hashes & _SHORT
         self.symbols, self.sizes = _unpack(_whole(row["symbols"])).astype(np.int32), np.array(row["sizes"], dtype=np.int64)
         self.training = np.repeat(~np.array(row["held"], dtype=bool), self.sizes)
         if pairs:
-            code = self.symbols * np.int64(len(self.words))
+            code = self.symbols * np.int64(len(self.hashes))
             code[1:] += self.symbols[:-1]  # a text begins behind an end, symbol 0
             order = np.argsort(code)
             code = code[order]
@@ -276,12 +284,12 @@ class _Chunk:
             self.of = np.empty(len(code), dtype=np.int32)
             self.of[order] = np.cumsum(new, dtype=np.int32) - 1
             code = code[new]
-            self.next, self.previous = (code // len(self.words)).astype(np.int32), (code % len(self.words)).astype(np.int32)
+            self.next, self.previous = (code // len(self.hashes)).astype(np.int32), (code % len(self.hashes)).astype(np.int32)
 
     def dealt(self, frequent: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, its pairs): by the second word, or by the pair if that word is frequent."""
         key = self.short[self.next]
-        common = np.isin(self.short, frequent)[self.next]
+        common = _among(self.short, frequent)[self.next]
         key[common] = _mixed(key[common], self.short[self.previous[common]])
         bucket = (_mixed(key, np.array([5], np.uint64)) % np.uint64(buckets)).astype(np.int32)
         order, bucket = _dealt(bucket, buckets)
@@ -290,6 +298,13 @@ class _Chunk:
             yield int(bucket[lo]), order[lo:hi]
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is among the known ones, which are in order."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
@@ -320,7 +335,7 @@ def _words(chunks: DataFrame, buckets: int) -> DataFrame:
         n = np.bincount(words.indices.to_numpy(), np.concatenate([_unpack(x.as_py()) for x in rows.column("n")])).astype(np.int64)
         return pa.table({"word": words.dictionary.cast(pa.binary()), "n": n})
 
-    packed = chunks.select("held", "sizes", "vocabulary", "symbols").mapInArrow(used, "word_bucket long, words binary, n binary")
+    packed = chunks.select("held", "sizes", "vocabulary", "hashes", "symbols").mapInArrow(used, "word_bucket long, words binary, n binary")
     return packed.groupBy("word_bucket").applyInArrow(added, "word binary, n long").select("word", F.xxhash64("word").alias("key"), "n")
 
 
@@ -344,7 +359,7 @@ def _asked(chunks: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 del chunk, times
                 pa.default_memory_pool().release_unused()
 
-    return chunks.mapInArrow(run, "bucket long, chunk long, next binary, runs binary, previous binary, times binary")
+    return chunks.drop("vocabulary").mapInArrow(run, "bucket long, chunk long, next binary, runs binary, previous binary, times binary")
 
 
 def _answered(asked: DataFrame, frequent: np.ndarray, frequent_n: np.ndarray, tokens: int) -> DataFrame:
@@ -359,11 +374,13 @@ def _answered(asked: DataFrame, frequent: np.ndarray, frequent_n: np.ndarray, to
         bucket = rows.column("bucket")[0].as_py()
         read = lambda name, size: [_unpack(x.as_py(), size) for x in rows.column(name)]
         times = read("times", 4)
-        second = np.concatenate([np.repeat(n, r.astype(np.int64)) for n, r in zip(read("next", _BYTES), read("runs", 4), strict=True)])
+        following, runs = np.concatenate(read("next", _BYTES)), np.concatenate(read("runs", 4)).astype(np.int64)
+        second = np.repeat(following, runs)
         first, n = np.concatenate(read("previous", _BYTES)), np.concatenate(times)
         example, of = _distinct(_mixed(second, first))
         count = np.bincount(of, n).astype(np.int64)
-        words, which = np.unique(second, return_inverse=True)
+        words, which = np.unique(following, return_inverse=True)
+        which = np.repeat(which, runs)
         total = np.bincount(which, n)
         if len(keys):
             spot = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
@@ -603,14 +620,17 @@ def _slice(by: str) -> Column:
 
 @contextmanager
 def _tidied(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go when the job that wrote them is done, as what is read again lies in tables."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    """Shuffle files go when the job that wrote them is done, as what is read again lies in tables. Rows of a sliced table are not
+    sorted before they are written, since a task has a file open for each slice."""
+    names = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": str(4 * _SLICES)}
+    before = {name: spark.conf.get(name) for name in names}
     try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -624,8 +644,8 @@ def _told(chunks: DataFrame, states: DataFrame, buckets: int) -> DataFrame:
 
     def used(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, vocabulary in zip(batch.column("chunk").to_pylist(), batch.column("vocabulary").to_pylist(), strict=True):
-                own = _hashes(_whole(vocabulary).split(b"\n"))
+            for chunk, hashes in zip(batch.column("chunk").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+                own = np.frombuffer(hashes, np.uint64)
                 order, bucket = _by_bucket(own, buckets)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 keys = [own[order[lo:hi]].tobytes() for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True)]
@@ -647,7 +667,7 @@ def _told(chunks: DataFrame, states: DataFrame, buckets: int) -> DataFrame:
                 out[x].append(_pack(got, _COUNT))
         return pa.table({"chunk": asked.column("chunk"), "word_bucket": asked.column("word_bucket"), **{x: pa.array(v, pa.binary()) for x, v in out.items()}})
 
-    asked = chunks.select("chunk", "vocabulary").mapInArrow(used, "chunk long, word_bucket long, keys binary")
+    asked = chunks.select("chunk", "hashes").mapInArrow(used, "chunk long, word_bucket long, keys binary")
     known = states.withColumn("word_bucket", F.pmod(F.shiftrightunsigned("key", 32), F.lit(buckets)))
     return asked.groupBy("word_bucket").cogroup(known.groupBy("word_bucket")).applyInArrow(tell, "chunk long, word_bucket long, n binary, kept binary, kinds binary, open binary")
 
@@ -658,7 +678,7 @@ def _spelled(words: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         for batch in chain(batches, [None]):
-            held += batch.column("word").to_pylist() if batch is not None else []
+            held += _listed(batch.column("word")).split(b"\n") if batch is not None and batch.num_rows else []
             if held and (batch is None or len(held) >= 100_000):
                 keys, n = np.unique(grams(*_spelling(held))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
