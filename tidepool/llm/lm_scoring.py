@@ -88,8 +88,10 @@ class Tree:
     def log10(self, found: np.ndarray) -> np.ndarray:
         """log10 of the probability of the last symbol of each gram after the others."""
         encoded = pa.array(found).dictionary_encode()
-        keys, at = encoded.dictionary.to_numpy(), encoded.indices.to_numpy()
-        out = np.zeros(len(keys))
+        sort = np.argsort(encoded.dictionary.to_numpy())
+        keys, number = encoded.dictionary.to_numpy()[sort], np.empty(len(sort), dtype=np.int32)
+        number[sort] = np.arange(len(sort), dtype=np.int32)
+        at, out = number[encoded.indices.to_numpy()], np.zeros(len(keys))
         left = np.arange(len(keys))
         for order in range(ORDER, 0, -1):
             (contexts, back), (entries, chance) = self.contexts[order], self.entries[order]
@@ -252,7 +254,6 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                     if total >= chunk_tokens:
                         yield close()
                         chunk, total, ids, held, sizes, words = chunk + 1, 0, [], [], [], []
-                        pa.default_memory_pool().release_unused()
         if ids:
             yield close()
         words, own, some = [], None, None
@@ -324,10 +325,9 @@ def _words(chunks: DataFrame, buckets: int) -> DataFrame:
                 order, bucket = _by_bucket(chunk.hashes, buckets)
                 order, bucket = order[n[order] > 0], bucket[n[order] > 0]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                    some = order[lo:hi]
-                    row = [[int(bucket[lo])], [b"\n".join([chunk.words[i] for i in some.tolist()])], [_pack(n[some])]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["word_bucket", "words", "n"])
+                parts = [order[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+                packed = [[b"\n".join([chunk.words[i] for i in some.tolist()]) for some in parts], [_pack(n[some]) for some in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *[pa.array(x, pa.binary()) for x in packed]], ["word_bucket", "words", "n"])
 
     def added(rows: pa.Table) -> pa.Table:
         pa.default_memory_pool().release_unused()
@@ -350,13 +350,17 @@ def _asked(chunks: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 row = batch.slice(at_row, 1).to_pylist()[0]
                 chunk = _Chunk(row)
                 times = np.bincount(chunk.of[chunk.training], minlength=len(chunk.next))
+                found, packed = [], []
                 for bucket, at in chunk.dealt(shared.value, buckets):
                     seconds = chunk.next[at]  # in order, as the codes are
                     first = np.flatnonzero(np.diff(seconds, prepend=-1))
                     runs = np.diff(np.append(first, len(at)))
-                    packed = [_pack(chunk.short[seconds[first]], _BYTES), _pack(runs), _pack(chunk.short[chunk.previous[at]], _BYTES), _pack(times[at])]
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([row["chunk"]], pa.int64()), *[pa.array([x], pa.binary()) for x in packed]], ["bucket", "chunk", "next", "runs", "previous", "times"])
+                    found.append(bucket)
+                    packed.append([_pack(chunk.short[seconds[first]], _BYTES), _pack(runs), _pack(chunk.short[chunk.previous[at]], _BYTES), _pack(times[at])])
                 del chunk, times
+                columns = [pa.array([x[i] for x in packed], pa.binary()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([row["chunk"]] * len(found), pa.int64()), *columns], ["bucket", "chunk", "next", "runs", "previous", "times"])
+                del packed, columns
                 pa.default_memory_pool().release_unused()
 
     return chunks.drop("vocabulary").mapInArrow(run, "bucket long, chunk long, next binary, runs binary, previous binary, times binary")
@@ -436,12 +440,12 @@ class _Texts:
         shorter; `above`, how often its symbol follows that one; `chance`, log10 of its probability so far. Grams whose `above`
         is 0 are not sent where `own` is known: they count nothing. Contexts of `least` and more go by their grams.
         """
-        at = np.flatnonzero(live)
-        context = self.short[self.symbols[at - 1]]
+        at, short = np.flatnonzero(live), self.short[self.symbols]
+        context = short[at - 1]
         for j in range(2, k + 1):  # the end before a text, or the last one of the chunk, is a text's start
-            context = _mixed(context, self.short[self.symbols[at - j]])
+            context = _mixed(context, short[at - j])
         context &= _LONG
-        key = _mixed(context, self.short[self.symbols[at]])
+        key = _mixed(context, short[at])
         example, of = _distinct(key)
         key, place = key[example], at[example]
         times = np.bincount(of[self.training[at]], minlength=len(key))
@@ -472,7 +476,7 @@ class _Texts:
         group = heavy[run] * np.int64(buckets) + bucket[run].astype(np.int64)
         cuts = np.flatnonzero(np.diff(group, prepend=-1))
         ends = np.cumsum(sent_grams)
-        symbol, over, times = self.short[self.symbols[place[sent]]], above[place[sent]], times[sent]
+        symbol, over, times = short[place[sent]], above[place[sent]], times[sent]
         for lo, hi in zip(cuts, [*cuts[1:], len(run)], strict=True):
             some, of_some = run[lo:hi], slice(int(ends[lo] - sent_grams[lo]), int(ends[hi - 1]))
             packed = {"context": _pack(context[some], _CONTEXT), "runs": _pack(sent_grams[lo:hi]), "own": _pack(own[place[some]] + 1, _COUNT), "parent": _pack(parent[place[some]], _COUNT)}
