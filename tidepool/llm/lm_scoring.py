@@ -254,6 +254,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
                     if total >= chunk_tokens:
                         yield close()
                         chunk, total, ids, held, sizes, words = chunk + 1, 0, [], [], [], []
+                        pa.default_memory_pool().release_unused()
         if ids:
             yield close()
         words, own, some = [], None, None
@@ -290,7 +291,7 @@ class _Chunk:
     def dealt(self, frequent: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, its pairs): by the second word, or by the pair if that word is frequent."""
         key = self.short[self.next]
-        common = _among(self.short, frequent)[self.next]
+        common = pc.is_in(pa.array(self.short), value_set=pa.array(frequent)).to_numpy(zero_copy_only=False)[self.next]
         key[common] = _mixed(key[common], self.short[self.previous[common]])
         bucket = (_mixed(key, np.array([5], np.uint64)) % np.uint64(buckets)).astype(np.int32)
         order, bucket = _dealt(bucket, buckets)
@@ -299,13 +300,6 @@ class _Chunk:
             yield int(bucket[lo]), order[lo:hi]
 
 
-def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each value is among the known ones, which are in order."""
-    if not len(known):
-        return np.zeros(len(values), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a ^ (b * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
@@ -662,7 +656,8 @@ def _told(chunks: DataFrame, states: DataFrame, buckets: int) -> DataFrame:
         out: dict[str, list[bytes]] = {x: [] for x in values}
         for keys in asked.column("keys"):
             own = np.frombuffer(keys.as_py(), np.int64)
-            spot = np.searchsorted(key, own)
+            by_key, spot = np.argsort(own), np.empty(len(own), dtype=np.int64)
+            spot[by_key] = np.searchsorted(key, own[by_key])  # in order, near places follow each other
             hit = np.flatnonzero(spot < len(key))
             hit = hit[key[spot[hit]] == own[hit]]
             for x, has in values.items():
@@ -765,6 +760,7 @@ def _scored(docs: DataFrame, gain: float, least_share: float, word_share: float,
         for lo in range(0, len(chunk.words), 100_000):
             letters, first = grams(*_spelling(chunk.words[lo : lo + 100_000]))
             spelling[lo : lo + 100_000] = np.add.reduceat(tree.value.log10(letters), first)
+        pa.default_memory_pool().release_unused()
         root = (word["n"] + spare * 10.0**spelling) / (tokens + spare)
         root = np.where(root > 0, np.log10(np.where(root > 0, root, 1.0)), math.log10(spare / (tokens + spare)) + spelling)  # long words fall below the smallest number
         # per word as a context: what it leaves to the root, and what its counts are divided by
